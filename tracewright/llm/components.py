@@ -1,0 +1,40 @@
+"""Connected components of a table of links by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.llm.common import materialise
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected component of links (a, b).
+
+    Large-star and small-star steps alternate until no link changes; the number of rounds grows with
+    the logarithm of a component's size. Every step is a grouped minimum (pre-aggregated, so a
+    node with very many links is no burden) and a join back. Each round is written to the shared
+    folder; only a row count and a checksum reach the driver. Self-links name single nodes; links
+    with a null end are ignored.
+    """
+    edges = materialise(
+        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null").distinct(), "links"
+    )
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = materialise(small, "stars")
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    roots = edges.select(F.col("v").alias("u")).distinct().select("u", F.col("u").alias("v"))
+    alone = links.where("a = b").select(F.col("a").alias("u"), F.col("a").alias("v")).distinct()
+    found = edges.unionByName(roots)
+    alone = alone.join(found, "u", "left_anti")
+    return found.unionByName(alone).select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -1,7 +1,7 @@
 """All queries of the subpackage, with the SQL of those that SQL can express."""
 
-from tracewright.llm import exact_dedup, hilbert_shards, packing, token_files, url_filter
+from tracewright.llm import exact_dedup, hilbert_shards, ngram_join, packing, token_files, url_filter
 
-MODULES = [token_files, exact_dedup, packing, url_filter, hilbert_shards]
+MODULES = [token_files, exact_dedup, packing, url_filter, ngram_join, hilbert_shards]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
