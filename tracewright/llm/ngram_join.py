@@ -68,7 +68,7 @@ def _survey(width: int, letters):
         for batch in batches:
             a, b, n = [], [], []
             for w in words(batch.column(1), letters):
-                for _, s in shingles(w, width):
+                for _, s, _ in shingles(w, width):
                     a.append(mix(s, 1).sum(dtype=np.uint64))
                     b.append(mix(s, 2).sum(dtype=np.uint64))
                     n.append(len(s))
@@ -91,7 +91,13 @@ _SURVEY = ["kind", "id", "n", "cid", "check"]
 
 
 def _entries(width: int, letters, percent: int, light: int, frequent):
-    """List rows of each distinct set: prefix tokens of heavy sets, subset hashes of light ones."""
+    """List rows of each distinct set: prefix tokens of heavy sets, subset hashes of light ones.
+
+    A row is (token, list, cid, place): list is 0, the salt + 1 of a frequent token, or minus the size of
+    a subset; place holds the set's size and, below, the token's position in the set's order. The order puts frequent
+    tokens last and, before them, long ones first: long words are rare words, and the order must only
+    depend on the token.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = frequent.value
@@ -100,7 +106,7 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
         for batch in batches:
             out: list[tuple] = []
             for w in words(batch.column(0), letters):
-                for _, s in shingles(w, width):
+                for _, s, long in shingles(w, width):
                     n = len(s)
                     if not n:
                         continue
@@ -115,21 +121,19 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
                         for k in deletions(n, light, percent):
                             less = [m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), k)] if k else [np.uint64(0)]
                             key = mix(total - np.array(less, np.uint64), 1000 + n - k)
-                            out.append((key, cid, n, np.zeros(len(key), np.int32), n - k, np.ones(len(key), np.int32)))
+                            out.append((key, np.full(len(key), k - n), cid, np.full(len(key), n << 32)))
                     if n > light:
                         length = n - -(-percent * n // 100) + 1
                         at = np.minimum(np.searchsorted(names, s), max(len(names) - 1, 0))
                         df = np.where(names[at] == s, counts[at], 0) if len(names) else np.zeros(n, np.int64)
-                        order = np.lexsort((s, df))[:length]
-                        salts = (df[order] // LIST_ROWS + 1).astype(np.int32)
-                        out.append((s[order], cid, n, np.arange(length, dtype=np.int32), 0, salts))
+                        order = np.lexsort((s, -long, df))[:length]
+                        salts = df[order] // LIST_ROWS + 1
+                        salt = np.where(salts > 1, (cid % salts.astype(np.uint64)).astype(np.int64) + 1, 0)
+                        out.append((s[order], salt, cid, (n << 32) + np.arange(length)))
             if out:
-                size = [len(x[0]) for x in out]
-                rep = lambda i, t: pa.array(np.repeat(np.array([x[i] for x in out], t), size))
-                yield pa.RecordBatch.from_arrays(
-                    [_SIGNED(np.concatenate([x[0] for x in out])), _SIGNED(np.repeat(np.array([x[1] for x in out], np.uint64), size)), rep(2, np.int32), pa.array(np.concatenate([x[3] for x in out])), rep(4, np.int32), pa.array(np.concatenate([x[5] for x in out]))],
-                    names=["token", "cid", "n", "pos", "subset", "salts"],
-                )
+                cids = np.repeat(np.array([x[2] for x in out], np.uint64), [len(x[0]) for x in out])
+                join = lambda i: np.concatenate([x[i] for x in out])  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([_SIGNED(join(0)), pa.array(join(1).astype(np.int32)), _SIGNED(cids), pa.array(join(3).astype(np.int64))], names=["token", "list", "cid", "place"])
 
     return run
 
@@ -138,7 +142,7 @@ def _sets(width: int, letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(0), letters):
-                sets = [s for _, s in shingles(w, width) if len(s)]
+                sets = [s for _, s, _ in shingles(w, width) if len(s)]
                 if sets:
                     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                     cids = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -158,14 +162,23 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _reaches(n, m, left, percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets reach the similarity; counted on the whole sets."""
+def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, width: int, letters, percent: int, tag: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets reach the similarity; counted on the whole sets.
+
+    Only documents that stand in a pair are read and hashed again.
+    """
+    pairs = materialise(pairs, f"{tag}-pairs")
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed")
+    sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(_sets(width, letters), "cid bigint, tokens array<bigint>")
+    sets = materialise(sets, f"{tag}-sets")
     both = (
         pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("right")), "b")
         .join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("left")), "a")
         .select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"), F.size(F.array_intersect("left", "right")).alias("common"))
     )
-    return both.where(_reaches(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b").distinct()
+    links = both.where(_reaches(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b").distinct()
+    return materialise(links, f"{tag}-links")
 
 
 def _frequent_tokens(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -217,36 +230,32 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     frequent = spark.sparkContext.broadcast((names, df))
 
     entries = rows.where("doc_id is not null").select("text").mapInArrow(
-        _entries(width, letters, percent, light, frequent), "token bigint, cid bigint, n int, pos int, subset int, salts int"
+        _entries(width, letters, percent, light, frequent), "token bigint, list int, cid bigint, place bigint"
     )
-    # Lists of two or more sets, each row with the list's centre: smallest set of a subset list, else the set with most left after pos.
-    entries = entries.withColumn("salt", F.pmod("cid", F.col("salts")))
-    rank = F.struct(F.when(F.col("subset") > 0, F.col("n")).otherwise(F.col("pos") - F.col("n")).alias("rank"), F.col("cid").alias("cid"), F.col("n").alias("n"), F.col("pos").alias("pos"))
-    w = Window.partitionBy("token", "subset", "salt")
+    # Lists of two or more sets, each row with the list's centre: the smallest set of a subset list, else the set with most left after pos.
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    rank = F.struct(F.when(F.col("list") < 0, n).otherwise(pos - n).alias("rank"), F.col("cid").alias("cid"), n.alias("n"), pos.alias("pos"))
+    w = Window.partitionBy("token", "list")
     listed = (
         entries.withColumn("centre", F.min(rank).over(w)).withColumn("far", F.max("cid").over(w)).withColumn("near", F.min("cid").over(w))
-        .where("near <> far or salts > 1").select("token", "subset", "salt", "salts", "cid", "n", "pos", "centre")
+        .where("near <> far or list > 0").select("token", "list", "cid", n.alias("n"), pos.alias("pos"), "centre")
         .distinct()  # copies met in different tasks; the rows of a list are together already
     )
     listed = materialise(listed, "lists")
-    whole = listed.where("salts > 1").groupBy("token").agg(F.min("centre").alias("head"))
-    listed = listed.join(whole, "token", "left").withColumn("centre", F.coalesce("head", "centre")).drop("head")
-
-    ids = listed.select("cid").distinct()
-    first_doc = members.where("doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), "needed")
-    sets = materialise(semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(_sets(width, letters), "cid bigint, tokens array<bigint>"), "sets")
+    whole = listed.where("list > 0").groupBy(F.col("token").alias("salted")).agg(F.min("centre").alias("head"))
+    listed = listed.join(whole, (F.col("token") == F.col("salted")) & (F.col("list") > 0), "left").withColumn("centre", F.coalesce("head", "centre")).drop("head", "salted")
+    first_doc = materialise(members.where("doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    near = F.when(F.col("x.subset") > 0, _reaches(F.col("x.n"), F.col("x.centre.n"), F.col("x.subset"), percent)).otherwise(
+    near = F.when(F.col("x.list") < 0, _reaches(F.col("x.n"), F.col("x.centre.n"), -F.col("x.list"), percent)).otherwise(
         (100 * F.least("x.n", "x.centre.n") >= percent * F.greatest("x.n", "x.centre.n"))
         & _reaches(F.col("x.n"), F.col("x.centre.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("x.centre.n") - F.col("x.centre.pos")), percent)
     )
     stars = listed.alias("x").where("x.cid <> x.centre.cid").where(near).select(F.least("x.cid", "x.centre.cid").alias("a"), F.greatest("x.cid", "x.centre.cid").alias("b")).distinct()
-    links = materialise(_verified(stars, sets, percent), "star-links")
+    links = _verified(rows, first_doc, stars, width, letters, percent, "star")
     grouped = materialise(components(links), "groups")
 
     # Token lists that still hold sets of different components.
-    open_ = listed.where("subset = 0").select("token", "salts", "cid", "n", "pos", F.col("centre.cid").alias("centre"))
+    open_ = listed.where("list >= 0").select("token", "cid", "n", "pos", F.col("centre.cid").alias("centre"))
     open_ = open_.join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = (
         open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
@@ -263,7 +272,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
             & _may_link("x", "y", percent),
         ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     )
-    more = materialise(_verified(rest, sets, percent), "more-links")
+    more = _verified(rows, first_doc, rest, width, letters, percent, "more")
     if more.limit(1).count():
         star = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
         grouped = materialise(components(star.unionByName(more)), "groups")

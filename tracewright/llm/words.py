@@ -50,6 +50,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _room(size: int) -> int:
+    return 1 << max(20, int(size).bit_length())
+
+
 @dataclass
 class Words:
     """Words of the rows first .. first + len(counts) - 1 of a batch."""
@@ -60,6 +64,12 @@ class Words:
     data: np.ndarray  # the bytes of the texts
     starts: np.ndarray  # where words begin in data
     ends: np.ndarray
+    sums: np.ndarray  # running sum of byte number times power
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the words' first bytes, size at most."""
+        ends = np.minimum(self.starts + size, self.ends)
+        return mix((self.sums[ends] - self.sums[self.starts]) * _powers(_room(len(self.data)))[1][self.starts], size)
 
 
 def words(column: pa.Array, letters=ALNUM) -> Iterator[Words]:
@@ -86,31 +96,34 @@ def words(column: pa.Array, letters=ALNUM) -> Iterator[Words]:
         opens[edge] |= inside[1:-1][edge]
         closes[edge - 1] |= inside[1:-1][edge - 1]
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        up, down = _powers(1 << max(20, int(size).bit_length()))
+        up, down = _powers(_room(size))
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(numbers[data] * up[:size], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         counts = np.diff(np.searchsorted(starts, bounds))
-        yield Words(first, h, counts, data, starts, ends)
+        yield Words(first, h, counts, data, starts, ends, sums)
         first = last
 
 
-def shingles(w: Words, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct 64-bit shingle hashes); with fewer words than width the whole sequence is one."""
+def shingles(w: Words, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, sorted distinct 64-bit shingle hashes, bytes of their words); with fewer words than width the whole sequence is one."""
     n = len(w.hashes)
-    h = np.zeros(max(n - width + 1, 0), np.uint64)
+    h, size = np.zeros(max(n - width + 1, 0), np.uint64), np.zeros(max(n - width + 1, 0), np.int64)
+    long = w.ends - w.starts
     for k in range(width):
         h += mix(w.hashes[k : n - width + 1 + k], k + 1)
+        size += long[k : n - width + 1 + k]
     h = mix(h, 99)
     at = 0
     for i, m in enumerate(w.counts.tolist()):
         if m >= width:
-            yield w.first + i, np.unique(h[at : at + m - width + 1])
+            found, where = np.unique(h[at : at + m - width + 1], return_index=True)
+            yield w.first + i, found, size[at + where]
         elif m:
             short = np.zeros(1, np.uint64)
             for k in range(m):
                 short += mix(w.hashes[at + k : at + k + 1], k + 1)
-            yield w.first + i, mix(short, 100 + m)
+            yield w.first + i, mix(short, 100 + m), long[at : at + m].sum(keepdims=True)
         else:
-            yield w.first + i, np.empty(0, np.uint64)
+            yield w.first + i, np.empty(0, np.uint64), np.empty(0, np.int64)
         at += m
