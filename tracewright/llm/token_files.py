@@ -50,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", row_g
     are all written. Other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(_encode, SCHEMA).write.option("compression", "zstd")
     settings = {"parquet.block.size": str(row_group_mb << 20), "parquet.page.row.count.limit": str(page_rows)} | ENCODINGS[encoding]
     for k, v in settings.items():

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct chunks that one Python worker remembers; then it starts afresh.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 700_000
 #: Bytes of text that are split into chunks at a time.
 SLICE_BYTES = 2_000_000
 #: Chunks between two separators in one call of the tokenizer.
