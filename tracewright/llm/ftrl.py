@@ -18,8 +18,10 @@ class Sparse:
     @classmethod
     def of(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Sparse:
         bounds = np.cumsum([0, *[len(f) for f, _ in rows]])
-        empty = [(np.empty(0, np.int64), np.empty(0))] if not rows else rows
-        return cls(np.concatenate([f for f, _ in empty]), np.concatenate([v for _, v in empty]), bounds)
+        features, values = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.float32)
+        for (f, v), a, b in zip(rows, bounds[:-1], bounds[1:]):
+            features[a:b], values[a:b] = f, v
+        return cls(features, values, bounds)
 
     def take(self, rows: np.ndarray) -> Sparse:
         sizes = np.diff(self.bounds)[rows]
@@ -50,7 +52,7 @@ def fit(x: Sparse, y: np.ndarray, classes: int, size: int, alpha: float = 0.5, b
     for rows in np.array_split(order, max(1, -(-len(order) // batch))):
         part = x.take(rows)
         at, inverse = np.unique(part.features, return_inverse=True)
-        steps.append((at, Sparse(inverse, part.values, part.bounds), np.eye(classes)[y[rows]], np.repeat(np.arange(len(rows)), np.diff(part.bounds))))
+        steps.append((at, Sparse(inverse.astype(np.int32), part.values, part.bounds), np.eye(classes)[y[rows]], np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(part.bounds))))
     for _ in range(epochs):
         for at, part, truth, row in steps:
             w = weights(at)

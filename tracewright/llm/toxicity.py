@@ -15,12 +15,12 @@ from tracewright.llm.ftrl import Sparse, fit, softmax
 from tracewright.llm.words import words
 
 #: Buckets of hashed words and word beginnings; one bucket more for the bias, then one for each earlier category.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 PREFIXES = (4, 5)
 #: The chain in order: category and its condition on the labels. The last one is what a document is flagged for.
 CONDITIONS = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 #: The chain is fitted on at most this many labelled documents.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: Buckets met in fewer documents of the sample are not used.
 LEAST_ROWS = 4
 FOLDS = 5
