@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
-from tokenizers import Tokenizer
+import pyarrow as pa
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+from tracewright.llm.words import CASED, Words, words
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct chunks that one Python worker remembers; then it starts afresh.
-CACHE_CHUNKS = 700_000
-#: Bytes of text that are split into chunks at a time.
-SLICE_BYTES = 2_000_000
+CACHE_CHUNKS = 1_500_000
+#: Bytes of text that are prepared at a time.
+SLICE_BYTES = 4_000_000
 #: Chunks between two separators in one call of the tokenizer.
 RUN = 500
 #: Where this is found, a stop or comma may belong to a longer run of signs and stays where it is.
-_SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
+_SIGNS = re.compile(r"[.,](?<=(?:[^\w\s]|_).)")
 
 
 def loosened(text: str) -> bytes:
@@ -36,30 +38,28 @@ def loosened(text: str) -> bytes:
     return raw if b"<|" in raw else raw.lower()
 
 
-class _Codes(dict):
-    """Chunk -> number; unknown chunks get the next number and are remembered as new."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, chunk: bytes) -> int:
-        self[chunk] = n = len(self)
-        self.new.append(chunk)
-        return n
-
-
 class ChunkEncoder:
     """Ids of texts under a tokenizer whose words never cross ASCII white space.
 
     The tokenizer normalises and splits at white space before it merges, so the ids of a text are the
-    ids of its chunks in turn, and each distinct chunk is tokenised once. New chunks go to the library
-    many at a time, with a separator word between them whose single id marks where a chunk ends.
+    ids of its chunks in turn, and each distinct chunk is tokenised once. Chunks are found and looked
+    up by two 64-bit hashes over whole slices of text. New chunks go to the library many at a time, with
+    a separator word between them whose single id marks where a chunk ends. Lower-case Latin words
+    need no normalising or splitting, so they go to the library's model straight.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.library = Tokenizer.from_file(path)
+        self.straight = Tokenizer.from_file(path)
+        self.straight.normalizer = normalizers.Sequence([])
+        self.straight.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {b: alphabet.pre_tokenize_str(chr(b))[0][0][-1] for b in range(0x21, 0x7F)}
+        for b in range(0x80, 0x100):  # the last byte of a two-byte character, and the first
+            pair = (bytes([0xC3, b]) if b < 0xC0 else bytes([b, 0x80])).decode("utf-8", "replace")
+            if "\ufffd" not in pair:
+                self.letters[b] = alphabet.pre_tokenize_str(pair)[0][0][1 if b < 0xC0 else 0]
         self.mark = self._ids("\x01")
         if len(self.mark) != 1 or self._ids("a \x01 b") != [*self._ids("a"), *self.mark, *self._ids("b")]:
             raise ValueError("this tokenizer has no separator of one id")
@@ -69,55 +69,94 @@ class ChunkEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.codes = _Codes()
-        self.codes[b" "] = 0  # no chunk holds a space: stands for the end of a document
-        self.flat = np.array([END_ID], np.int32)
-        self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def _learn(self) -> None:
-        new, self.codes.new = self.codes.new, []
-        odd = [b"\x01" in c for c in new]
-        plain = [c for c, o in zip(new, odd) if not o]
-        joined = [b" \x01 ".join([*plain[i : i + RUN], b""]).decode("utf-8", "replace") for i in range(0, len(plain), RUN)]
-        ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        self.names = self.checks = np.empty(0, np.uint64)
+        self.codes = np.empty(0, np.int64)
+        self.flat = np.empty(0, np.int32)
+        self.starts = self.sizes = np.empty(0, np.int64)
+
+    def _many(self, library: Tokenizer, runs: list[str], count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks that stand in runs with a separator after each."""
+        ids = [np.array(e.ids, np.int32) for e in library.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.int32), *ids])
         stops = np.flatnonzero(ids == self.mark[0])
-        if len(stops) != len(plain):
+        if len(stops) != count:
             raise ValueError("the tokenizer joined chunks across white space")
-        sizes = np.diff(stops, prepend=-1) - 1
-        flat = ids[ids != self.mark[0]]
-        if any(odd):
-            pieces, at, out, n = np.split(flat, np.cumsum(sizes)[:-1]) if len(plain) else [], 0, [], []
-            for c, o in zip(new, odd):
-                if o:
-                    out.append(np.array(self._ids(c.decode("utf-8", "replace")), np.int32))
-                else:
-                    out.append(pieces[at])
-                    at += 1
-                n.append(len(out[-1]))
-            flat, sizes = np.concatenate(out), np.array(n, np.int64)
-        start = len(self.flat)
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts, start + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by END_ID, and the number of ids of each text."""
-        if len(self.codes) > CACHE_CHUNKS:
-            self.forget()
-        parts = [loosened(t).split() for t in texts]
-        for p in parts:
-            p.append(b" ")
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
-        if self.codes.new:
-            self._learn()
-        sizes = self.sizes[codes]
+        return ids[ids != self.mark[0]], np.diff(stops, prepend=-1) - 1
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks, in their order."""
+        kind = np.array([2 if "\x01" in c else 0 if c.isalpha() and c.islower() and max(c) < "\u0250" else 1 for c in chunks])
+        parts = []
+        for k, library in ((0, self.straight), (1, self.library)):
+            these = [chunks[i] for i in np.flatnonzero(kind == k)]
+            runs = [these[i : i + RUN] for i in range(0, len(these), RUN)]
+            if k == 0:
+                sign = " " + self.alphabetic("\x01") + " "
+                runs = [self.alphabetic(" ".join(r)).replace(" ", sign) + sign if unicodedata.is_normalized("NFC", " ".join(r)) else None for r in runs]
+                if None in runs:
+                    kind[kind == 0] = 1
+                    parts.append((np.empty(0, np.int32), np.empty(0, np.int64)))
+                    continue
+            else:
+                runs = [" \x01 ".join([*r, ""]) for r in runs]
+            parts.append(self._many(library, runs, len(these)))
+        odd = [np.array(self._ids(chunks[i]), np.int32) for i in np.flatnonzero(kind == 2)]
+        parts.append((np.concatenate([np.empty(0, np.int32), *odd]), np.array([len(o) for o in odd], np.int64)))
+        order = np.argsort(np.argsort(kind, kind="stable"))
+        flat, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        sizes, starts = sizes[order], starts[order]
         ends = np.cumsum(sizes)
-        index = np.repeat(self.starts[codes] - (ends - sizes), sizes)
-        index += np.arange(len(index))
-        per_text = np.add.reduceat(sizes, np.cumsum(n) - n) if len(n) else n
-        return self.flat[index], per_text
+        return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def alphabetic(self, text: str) -> str:
+        """The text in the model's alphabet, which has one character for each byte; spaces stay."""
+        if text == "\x01":
+            return self.library.id_to_token(self.mark[0]).removesuffix("</w>")
+        return text.encode().decode("latin-1").translate(self.letters)
+
+    def _lookup(self, w: Words) -> np.ndarray | None:
+        """The number of each word; None if two words have one hash."""
+        second = w.second()
+        names, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+        checks = second[first]
+        if (second != checks[inverse]).any():
+            return None
+        at = np.minimum(np.searchsorted(self.names, names), max(len(self.names) - 1, 0))
+        known = self.names[at] == names if len(self.names) else np.zeros(len(names), bool)
+        if (self.checks[at[known]] != checks[known]).any():
+            return None
+        code = np.empty(len(names), np.int64)
+        code[known] = self.codes[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = w.data.tobytes()
+            flat, sizes = self._learn([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist())])
+            code[new] = len(self.sizes) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+            place = np.searchsorted(self.names, names[new])
+            self.names, self.checks, self.codes = (np.insert(a, place, b) for a, b in ((self.names, names[new]), (self.checks, checks[new]), (self.codes, code[new])))
+        return code[inverse]
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts, each followed by END_ID, and the number of ids of each text; slice by slice."""
+        for w in words(pa.array([loosened(t) for t in texts], pa.large_binary()), CASED):
+            if len(self.names) > CACHE_CHUNKS:
+                self.forget()
+            code = self._lookup(w)
+            if code is None:
+                ids = [np.array([*self._ids(t), END_ID], np.int32) for t in texts[w.first : w.first + len(w.counts)]]
+                yield np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+                continue
+            sizes = self.sizes[code]
+            ends = np.cumsum(sizes)
+            total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(w.counts)])]
+            rows = np.arange(len(w.counts))
+            out = np.full(int(total[-1]) + len(rows), END_ID, np.int32)
+            index = np.arange(int(total[-1]))
+            out[index + np.repeat(rows, np.diff(total))] = self.flat[index + np.repeat(self.starts[code] - ends + sizes, sizes)]
+            yield out, np.diff(total) + 1
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -138,5 +177,7 @@ def encoded(batch: pa.RecordBatch, name: str = TOKENIZER) -> Iterator[tuple[int,
         texts.append(text.as_py() or "")
         held += len(texts[-1])
         if held >= SLICE_BYTES or i + 1 == len(column):
-            yield first, *encoder(name).encode(texts)
-            first, held, texts = i + 1, 0, []
+            for ids, sizes in encoder(name).encode(texts):
+                yield first, ids, sizes
+                first += len(sizes)
+            held, texts = 0, []

@@ -25,11 +25,12 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def _letters(delimiter) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: whether it belongs to words, and its random number; A-Z count as a-z."""
+def _letters(delimiter, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte: whether it belongs to words, and its random number; with fold, A-Z count as a-z."""
     is_word = np.array([not delimiter(b) for b in range(256)])
     numbers = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
-    numbers[65:91] = numbers[97:123]
+    if fold:
+        numbers[65:91] = numbers[97:123]
     return is_word, numbers
 
 
@@ -37,6 +38,8 @@ def _letters(delimiter) -> tuple[np.ndarray, np.ndarray]:
 ALNUM = _letters(lambda b: b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128)
 #: Words between ASCII white space.
 BLANK = _letters(lambda b: b == 32 or 9 <= b <= 13)
+CASED = _letters(lambda b: b == 32 or 9 <= b <= 13, fold=False)
+_SECOND = np.random.default_rng(8).integers(0, 2**64, 256, np.uint64)
 
 
 @cache
@@ -66,6 +69,13 @@ class Words:
     ends: np.ndarray
     sums: np.ndarray  # running sum of byte number times power
 
+    def second(self) -> np.ndarray:
+        """Other hashes of the same words, with the case of letters; where both agree, words agree."""
+        up, down = _powers(_room(len(self.data)))
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_SECOND[self.data] * up[: len(self.data)], out=sums[1:])
+        return (sums[self.ends] - sums[self.starts]) * down[self.starts]
+
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first bytes, size at most."""
         ends = np.minimum(self.starts + size, self.ends)
@@ -79,7 +89,7 @@ def words(column: pa.Array, letters=ALNUM) -> Iterator[Words]:
     power, so it needs two look-ups and one running sum per byte and no loop over words.
     """
     is_word, numbers = letters
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] and column.buffers()[2].size else np.zeros(0, np.uint8)
     first = 0
