@@ -76,7 +76,7 @@ def stream_precedence(sync: DataFrame, activity: DataFrame) -> DataFrame:
     pairs = waits.join(streams, "pid").where("stream <> other").select("id", "pid", F.col("stream").alias("own"), F.col("other").alias("stream"), "t")
     ends = activity.select("pid", "stream", F.col("t_end").alias("t"), F.col("corr").alias("id"), "corr")
     found = asof(pairs, ends, ["pid", "stream"], ["corr"], strict=True)
-    best = found.groupBy("id").agg(F.max(F.struct(F.col("r_t"), F.col("r_corr").alias("corr"), F.col("stream"))).alias("b"))
+    best = found.where("r_t IS NOT NULL").groupBy("id").agg(F.max(F.struct(F.col("r_t"), F.col("r_corr").alias("corr"), F.col("stream"))).alias("b"))
     return waits.join(best, "id", "left").select("id", "pid", "stream", "t", F.col("b.stream").alias("before_stream"), F.col("b.corr").alias("before_corr"), F.col("b.r_t").alias("before_t"))
 
 
