@@ -218,7 +218,7 @@ def detect_joins(publishes: DataFrame, types: DataFrame) -> DataFrame:
     at = publishes.join(multi, ["node", "topic"])
     completers = at.where("kind = 'sub'").select("node", "topic", "entity", F.lit("completer").alias("role"))
     timeouts = at.where("kind = 'tmr'").select("node", "topic", "entity", F.lit("timeout").alias("role"))
-    input_types = completers.join(types, "entity").select("node", "topic", "msg_type").distinct()
+    input_types = completers.join(types.select("entity", "msg_type").distinct(), "entity").select("node", "topic", "msg_type").distinct()
     subs = types.where("kind = 'sub'").select("node", "entity", "msg_type")
     members = subs.join(input_types, ["node", "msg_type"]).join(completers.select("node", "entity"), ["node", "entity"], "left_anti").select("node", "topic", "entity", F.lit("member").alias("role"))
     return completers.unionByName(members).unionByName(timeouts).groupBy("node", "entity", "role").agg(F.min("topic").alias("join_group"))
