@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts that go to Python at a time.
+BATCH_ROWS = 2_000
 #: Rows of (id) that may be broadcast; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,6 +43,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Let batches of whole texts hold BATCH_ROWS rows at most, so that memory follows the texts, not Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def body(col: str = "text"):
     """A text column where null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import anti_by_id, materialise, table
+from tracewright.llm.common import anti_by_id, light_batches, materialise, table
 from tracewright.llm.words import mix, words
 
 #: Share of an item's words that may be edited (floor of the product).
@@ -229,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are reported as often as they occur. Other columns are ignored.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text")).where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -31,7 +31,7 @@ class Sparse:
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         """Row sums of value times weight row, one column for each column of weights."""
-        rows = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        rows = np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
         return np.stack([np.bincount(rows, self.values * weights[self.features, k], len(self.bounds) - 1) for k in range(weights.shape[1])], 1)
 
 

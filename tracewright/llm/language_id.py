@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import light_batches, table
 from tracewright.llm.ftrl import Sparse, fit, softmax, temperature
 from tracewright.llm.words import mix
 
@@ -98,6 +98,7 @@ def train(docs: DataFrame) -> Model:
     Document frequencies are taken over all those rows (BUCKETS numbers reach the driver). The
     regression sees a sample that a hash of doc_id picks, bounded by TRAIN_ROWS and TRAIN_PER_LANG.
     """
+    light_batches(docs.sparkSession)
     rows = docs.where(learnable()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BROADCAST_ROWS, materialise, semi_by_id, table
+from tracewright.llm.common import BROADCAST_ROWS, light_batches, materialise, semi_by_id, table
 from tracewright.llm.components import components
 from tracewright.llm.words import BLANK, mix, shingles, words
 
 #: Tokens that are counted together in a task before frequent ones are passed on.
-COUNT_TOKENS = 4_000_000
+COUNT_TOKENS = 2_000_000
 #: Most tokens in the table of frequent tokens (16 bytes each); it is checked before it is broadcast.
 FREQUENT_TOKENS = 400_000
 #: Rows of one list above which it is dealt out to several tasks.
@@ -49,6 +49,24 @@ def light_bound(percent: int, list_rows: float) -> int:
 _SIGNED = lambda a: pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """Tokens per bucket (256 buckets, 255 at most). Between two sets the counts differ by no more in all than the sets do."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _close(percent: int):
+    """Pairs (a, b) whose sketches do not rule out the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16) for k in (4, 5))
+            both = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            keep = np.abs(left - right).sum(axis=1, dtype=np.int64) * (100 + percent) <= both * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _survey(width: int, letters):
     """Rows (0, doc_id, n, set hash, second set hash) of documents and (1, token, count) of tokens met twice."""
 
@@ -63,15 +81,16 @@ def _survey(width: int, letters):
                 held, size, seen = [], 0, set()
                 if len(n):
                     z = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(z + 1), _SIGNED(token), pa.array(n), pa.array(z), pa.array(z)], names=_SURVEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(z + 1), _SIGNED(token), pa.array(n), pa.array(z), pa.array(z), pa.nulls(len(z), pa.binary())], names=_SURVEY)
 
         for batch in batches:
-            a, b, n = [], [], []
+            a, b, n, sketches = [], [], [], []
             for w in words(batch.column(1), letters):
                 for _, s, _ in shingles(w, width):
                     a.append(mix(s, 1).sum(dtype=np.uint64))
                     b.append(mix(s, 2).sum(dtype=np.uint64))
                     n.append(len(s))
+                    sketches.append(_sketch(s))
                     if len(s) and a[-1] not in seen:
                         seen.add(a[-1])
                         held.append(s)
@@ -80,14 +99,14 @@ def _survey(width: int, letters):
                     yield from tokens()
             if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(n), np.int64)), batch.column(0), pa.array(n, pa.int64()), _SIGNED(np.array(a, np.uint64)), _SIGNED(np.array(b, np.uint64))], names=_SURVEY
+                    [pa.array(np.zeros(len(n), np.int64)), batch.column(0), pa.array(n, pa.int64()), _SIGNED(np.array(a, np.uint64)), _SIGNED(np.array(b, np.uint64)), pa.array(sketches, pa.binary())], names=_SURVEY
                 )
         yield from tokens()
 
     return run
 
 
-_SURVEY = ["kind", "id", "n", "cid", "check"]
+_SURVEY = ["kind", "id", "n", "cid", "check", "sketch"]
 
 
 def _entries(width: int, letters, percent: int, light: int, frequent):
@@ -104,8 +123,8 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
         seen: set[int] = set()
         bridge = 100 * light // percent  # the largest set that can meet a light one
         for batch in batches:
-            out: list[tuple] = []
             for w in words(batch.column(0), letters):
+                out: list[tuple] = []
                 for _, s, long in shingles(w, width):
                     n = len(s)
                     if not n:
@@ -130,10 +149,10 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
                         salts = df[order] // LIST_ROWS + 1
                         salt = np.where(salts > 1, (cid % salts.astype(np.uint64)).astype(np.int64) + 1, 0)
                         out.append((s[order], salt, cid, (n << 32) + np.arange(length)))
-            if out:
-                cids = np.repeat(np.array([x[2] for x in out], np.uint64), [len(x[0]) for x in out])
-                join = lambda i: np.concatenate([x[i] for x in out])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([_SIGNED(join(0)), pa.array(join(1).astype(np.int32)), _SIGNED(cids), pa.array(join(3).astype(np.int64))], names=["token", "list", "cid", "place"])
+                if out:
+                    cids = np.repeat(np.array([x[2] for x in out], np.uint64), [len(x[0]) for x in out])
+                    join = lambda i: np.concatenate([x[i] for x in out])  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([_SIGNED(join(0)), pa.array(join(1).astype(np.int32)), _SIGNED(cids), pa.array(join(3).astype(np.int64))], names=["token", "list", "cid", "place"])
 
     return run
 
@@ -165,9 +184,12 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, width: int, letters, percent: int, tag: str) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity; counted on the whole sets.
 
-    Only documents that stand in a pair are read and hashed again.
+    Pairs whose token counts per bucket differ by more than the similarity allows go first. Only documents
+    that stand in one of the other pairs are read and hashed again.
     """
-    pairs = materialise(pairs, f"{tag}-pairs")
+    sketch = lambda end, n, s: first_doc.select(F.col("cid").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
+    sketched = pairs.join(sketch("a", "n", "left"), "a").join(sketch("b", "m", "right"), "b").select("a", "b", "n", "m", "left", "right")
+    pairs = materialise(sketched.mapInArrow(_close(percent), "a bigint, b bigint"), f"{tag}-pairs")
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed")
     sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(_sets(width, letters), "cid bigint, tokens array<bigint>")
@@ -222,8 +244,9 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     docs are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    survey = materialise(rows.mapInArrow(_survey(width, letters), "kind bigint, id bigint, n bigint, cid bigint, check bigint"), "survey")
+    survey = materialise(rows.mapInArrow(_survey(width, letters), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
     members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "check")
     names, df, list_rows = _frequent_tokens(survey)
     light = light_bound(percent, list_rows)
@@ -244,7 +267,8 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     listed = materialise(listed, "lists")
     whole = listed.where("list > 0").groupBy(F.col("token").alias("salted")).agg(F.min("centre").alias("head"))
     listed = listed.join(whole, (F.col("token") == F.col("salted")) & (F.col("list") > 0), "left").withColumn("centre", F.coalesce("head", "centre")).drop("head", "salted")
-    first_doc = materialise(members.where("doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    named = survey.where("kind = 0 AND id IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.col("id").alias("doc_id"), "n", "sketch")).alias("r"))
+    first_doc = materialise(named.select("cid", "r.*"), "classes")
 
     near = F.when(F.col("x.list") < 0, _reaches(F.col("x.n"), F.col("x.centre.n"), -F.col("x.list"), percent)).otherwise(
         (100 * F.least("x.n", "x.centre.n") >= percent * F.greatest("x.n", "x.centre.n"))
@@ -277,7 +301,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
         star = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
         grouped = materialise(components(star.unionByName(more)), "groups")
 
-    classes = first_doc.join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    classes = first_doc.select("cid", "doc_id").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = classes.join(smallest, "component").select("cid", "component_id")
     return members.join(by_class, "cid", "left").select(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import table
+from tracewright.llm.common import light_batches, table
 from tracewright.llm.tokens import encoded
 
 SEQUENCE = 2048
@@ -95,6 +95,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     Null text counts as empty: one piece with the end id only. A null doc_id is carried along;
     repeated rows are documents of their own. Other columns are ignored. An empty table has no pieces.
     """
+    light_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(_packed, SCHEMA)
 
 

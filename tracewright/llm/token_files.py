@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import new_path, table
+from tracewright.llm.common import light_batches, new_path, table
 from tracewright.llm.tokens import TOKENIZER, encoded
 
 SCHEMA = "doc_id bigint, n_tokens bigint, local_start bigint, part int, tokens array<int>"
@@ -49,6 +49,7 @@ def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", row_g
     Null text counts as empty (its only id is the end id); a null doc_id sorts first; repeated rows
     are all written. Other columns of docs are ignored.
     """
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(_encode, SCHEMA).write.option("compression", "zstd")

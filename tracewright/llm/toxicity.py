@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import semi_by_id, table
+from tracewright.llm.common import light_batches, semi_by_id, table
 from tracewright.llm.ftrl import Sparse, fit, softmax
 from tracewright.llm.words import words
 
@@ -44,7 +44,7 @@ class Chain:
 
     def row(self, buckets: np.ndarray, earlier: list[float]) -> tuple[np.ndarray, np.ndarray]:
         more = BUCKETS + np.arange(1 + len(earlier))
-        return np.append(buckets, more), np.concatenate([np.ones(len(buckets) + 1), earlier])
+        return np.append(buckets, more).astype(np.int32), np.concatenate([np.ones(len(buckets) + 1), earlier]).astype(np.float32)
 
     def predict(self, buckets: np.ndarray) -> list[float]:
         out: list[float] = []
@@ -90,6 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, conditions: dict[str, str] = CONDI
 
     The ids of the sample are few, so their texts are fetched with a checked broadcast.
     """
+    light_batches(docs.sparkSession)
     names = list(conditions)
     truth = labels.where("doc_id is not null").select("doc_id", *[F.expr(c).cast("int").alias(n) for n, c in conditions.items()])
     for n in names:
@@ -104,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, conditions: dict[str, str] = CONDI
     sample = semi_by_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id")
     hashed = sample.mapInArrow(_hashed, "doc_id bigint, buckets array<int>").toPandas().drop_duplicates("doc_id")
     both = few.merge(hashed, on="doc_id").sort_values("doc_id", ignore_index=True)
-    return train_chain([np.asarray(b, np.int64) for b in both["buckets"]], both[names].to_numpy(), names)
+    return train_chain([np.asarray(b, np.int32) for b in both["buckets"]], both[names].to_numpy(), names)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
