@@ -12,9 +12,9 @@ from pyspark.sql.types import LongType
 from tracewright.operators.temporal import asof, asof_last, interval_owner, nearest_tolerance
 
 
-def _one(events: DataFrame, name: str, **columns: str) -> DataFrame:
+def _one(events: DataFrame, event: str, /, **columns: str) -> DataFrame:
     """Events of one name with payload keys as columns, keyed by session and process."""
-    return events.where(F.col("event") == name).select("session_id", "vpid", "ts_ns", "id", *[F.col("payload")[k].alias(c) for c, k in columns.items()])
+    return events.where(F.col("event") == event).select("session_id", "vpid", "ts_ns", "id", *[F.col("payload")[k].alias(c) for c, k in columns.items()])
 
 
 def first_per_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -269,7 +269,7 @@ def _lcm(values: pd.Series) -> int:
         out = out * v // gcd(out, int(v))
         if out > limit:
             break
-    return int(out)
+    return min(int(out), 2**63 - 1)
 
 
 def hyperperiod(periods: DataFrame, key: str = "executor") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed form of a trace line: [HH:MM:SS.nnnnnnnnn] (+d) host event: { cpu }, { proc }, { payload }.
 LINE = r"^\[(\d{2}):(\d{2}):(\d{2})\.(\d{9})\] \([^)]*\) (\S+) ([^:\s]+:?[^:\s]*): \{([^}]*)\}, \{([^}]*)\}(?:, \{(.*)\})?\s*$"
-PAIR = r'(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|\[[^\]]*\]|[^,{}\[\]]+)'
+PAIR = r'(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|\[(?:[^\[\]]|\[\d+\])*\]|[^,{}\[\]]+)'
 DAY = 86_400_000_000_000
 
 
@@ -25,7 +25,7 @@ def fields(text: Column) -> Column:
     is_array = lambda p: p["value"].startswith("[")
     ordered = F.concat(F.filter(pairs, is_array), F.filter(pairs, lambda p: ~is_array(p)))
     seen = F.aggregate(ordered, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["key"] == p["key"]), acc).otherwise(F.concat(acc, F.array(p))))
-    clean = lambda v: F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).when(v.startswith("["), F.regexp_replace(v, r"[\[\]\s]|\d+\s*=\s*", "")).otherwise(v)
+    clean = lambda v: F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).when(v.startswith("["), F.regexp_replace(v, r"\[\d+\]\s*=|[\[\]\s]", "")).otherwise(v)
     return F.map_from_entries(F.transform(seen, lambda p: F.struct(p["key"], clean(p["value"]))))
 
 
