@@ -35,9 +35,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    compact deals narrow tables (ids, links) to two files per core, however many partitions the last shuffle had.
+    """
     spark = df.sparkSession
+    if compact:
+        df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

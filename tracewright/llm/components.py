@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     with a null end are ignored.
     """
     edges = materialise(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null").distinct(), "links"
+        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null").distinct(), "links", compact=True
     )
     seen = None
     while True:
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small, "stars")
+        edges = materialise(small, "stars", compact=True)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -248,7 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; columns unchanged."""
-    ids = materialise(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
+    ids = materialise(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "contaminated", compact=True)
     return anti_by_id(docs, ids, "doc_id").select(docs.columns)
 
 

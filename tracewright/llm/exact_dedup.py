@@ -49,7 +49,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     are reduced to one; only if there are such rows is the text shuffled for that. Rows with a null
     doc_id go unless no number has their text, and then one stays.
     """
-    verdicts = materialise(exact_duplicates(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "dedup")
+    verdicts = materialise(exact_duplicates(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "dedup", compact=True)
     losers = verdicts.where("not kept").select("doc_id").where("doc_id is not null").distinct()
     out = anti_by_id(docs, losers, "doc_id")
     kept = verdicts.where("kept")

@@ -189,9 +189,9 @@ def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, width: in
     """
     sketch = lambda end, n, s: first_doc.select(F.col("cid").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
     sketched = pairs.join(sketch("a", "n", "left"), "a").join(sketch("b", "m", "right"), "b").select("a", "b", "n", "m", "left", "right")
-    pairs = materialise(sketched.mapInArrow(_close(percent), "a bigint, b bigint"), f"{tag}-pairs")
+    pairs = materialise(sketched.mapInArrow(_close(percent), "a bigint, b bigint"), f"{tag}-pairs", compact=True)
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed")
+    needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed", compact=True)
     sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(_sets(width, letters), "cid bigint, tokens array<bigint>")
     sets = materialise(sets, f"{tag}-sets")
     both = (
@@ -200,12 +200,12 @@ def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, width: in
         .select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"), F.size(F.array_intersect("left", "right")).alias("common"))
     )
     links = both.where(_reaches(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b").distinct()
-    return materialise(links, f"{tag}-links")
+    return materialise(links, f"{tag}-links", compact=True)
 
 
 def _frequent_tokens(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """The most frequent tokens with counts (FREQUENT_TOKENS at most), and the list size as a token sees it."""
-    counts = materialise(survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")), "token-counts")
+    counts = materialise(survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")), "token-counts", compact=True)
     by_power = sorted((r["p"], r["c"], r["s"]) for r in counts.groupBy(F.floor(F.log2("df")).alias("p")).agg(F.count(F.lit(1)).alias("c"), F.sum("df").alias("s")).collect())
     least, room = 64, FREQUENT_TOKENS
     for p, c, _ in reversed(by_power):
@@ -268,7 +268,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     whole = listed.where("list > 0").groupBy(F.col("token").alias("salted")).agg(F.min("centre").alias("head"))
     listed = listed.join(whole, (F.col("token") == F.col("salted")) & (F.col("list") > 0), "left").withColumn("centre", F.coalesce("head", "centre")).drop("head", "salted")
     named = survey.where("kind = 0 AND id IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.col("id").alias("doc_id"), "n", "sketch")).alias("r"))
-    first_doc = materialise(named.select("cid", "r.*"), "classes")
+    first_doc = materialise(named.select("cid", "r.*"), "classes", compact=True)
 
     near = F.when(F.col("x.list") < 0, _reaches(F.col("x.n"), F.col("x.centre.n"), -F.col("x.list"), percent)).otherwise(
         (100 * F.least("x.n", "x.centre.n") >= percent * F.greatest("x.n", "x.centre.n"))
@@ -276,7 +276,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     )
     stars = listed.alias("x").where("x.cid <> x.centre.cid").where(near).select(F.least("x.cid", "x.centre.cid").alias("a"), F.greatest("x.cid", "x.centre.cid").alias("b")).distinct()
     links = _verified(rows, first_doc, stars, width, letters, percent, "star")
-    grouped = materialise(components(links), "groups")
+    grouped = materialise(components(links), "groups", compact=True)
 
     # Token lists that still hold sets of different components.
     open_ = listed.where("list >= 0").select("token", "cid", "n", "pos", F.col("centre.cid").alias("centre"))
@@ -299,7 +299,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     more = _verified(rows, first_doc, rest, width, letters, percent, "more")
     if more.limit(1).count():
         star = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        grouped = materialise(components(star.unionByName(more)), "groups")
+        grouped = materialise(components(star.unionByName(more)), "groups", compact=True)
 
     classes = first_doc.select("cid", "doc_id").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -312,7 +312,7 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component (the one with the smallest doc_id); columns unchanged."""
-    found = materialise(ngram_components(docs, width, percent), "near-copies")
+    found = materialise(ngram_components(docs, width, percent), "near-copies", compact=True)
     losers = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = losers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti").select(docs.columns)
