@@ -272,3 +272,25 @@ def namespace_neighbours(edges: DataFrame, space: DataFrame, name: str) -> DataF
     b = edges.join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
     near = a.union(b).distinct().join(inside, "id", "left_anti")
     return inside.withColumn("foreign", F.lit(False)).unionByName(near.withColumn("foreign", F.lit(True)))
+
+
+def component_graph(edges: DataFrame, space: DataFrame, sampled: DataFrame | None = None) -> DataFrame:
+    """Links between namespaces by kind, with their number and the median weight (element n // 2 of the sorted edge weights).
+
+    kind: sampled where the target is a deposit subscription, else trigger; pairs inside one namespace are dropped.
+    """
+    s = space.select(F.col("id").alias("src"), F.col("namespace").alias("a"))
+    t = space.select(F.col("id").alias("dst"), F.col("namespace").alias("b"))
+    both = edges.join(s, "src").join(t, "dst").where("a <> b")
+    if sampled is not None:
+        both = both.join(sampled.select(F.col("id").alias("dst"), F.lit(True).alias("deposit")), "dst", "left")
+    kind = F.when(F.col("deposit"), "sampled").otherwise("trigger") if sampled is not None else F.lit("trigger")
+    w = Window.partitionBy("a", "b", "kind")
+    r = both.withColumn("kind", kind).withColumn("rn", F.row_number().over(w.orderBy("n", "src", "dst", "topic")) - 1).withColumn("links", F.count(F.lit(1)).over(w))
+    return r.where(F.col("rn") == F.expr("links div 2")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "links", F.col("n").alias("median_n"))
+
+
+def session_list(vertices: DataFrame, sessions: DataFrame, least: int = 5) -> DataFrame:
+    """Vertices per session and scope (at least `least`), with session times, newest first, unknown times last."""
+    n = vertices.groupBy("session_id", "scope").agg(F.count(F.lit(1)).alias("vertices")).where(F.col("vertices") >= least)
+    return n.join(sessions, "session_id", "left").orderBy(F.col("started").desc_nulls_last(), "session_id", "scope")

@@ -184,9 +184,9 @@ def j30_match_boundaries(spark, d):
     return md.match_boundaries(g)
 
 
-@query(sql("v_span v_runtime", "SELECT DISTINCT pid, tid FROM v_runtime r WHERE NOT EXISTS (SELECT 1 FROM v_span s WHERE s.vpid = r.pid AND s.vtid = r.tid)"))
+@query(sql("v_span v_runtime", "SELECT DISTINCT pid, tid FROM v_runtime r WHERE NOT EXISTS (SELECT 1 FROM v_span s WHERE s.vpid = r.pid AND s.vtid = r.tid AND lvl > 9)"))
 def j26_unowned_threads(spark, d):
-    return md.unowned_threads(v_runtime(spark, d), v_span(spark, d))
+    return md.unowned_threads(v_runtime(spark, d), v_span(spark, d).where("lvl > 9"))
 
 
 @query(sql("v_gpu", "SELECT DISTINCT pid FROM v_gpu"))
@@ -220,7 +220,7 @@ def h1_mark_phases(spark, d):
     return md.mark_phases(fn, st.fire_bounds(t))
 
 
-@query(sql("v_edge v_vertex", _PS + """, k AS (SELECT node, entity, topic, CASE WHEN ascii(right(entity, 1)) % 3 = 0 THEN 'tmr' ELSE 'sub' END AS kind FROM pub), m AS (SELECT node, topic FROM k WHERE kind = 'sub' GROUP BY ALL HAVING count(DISTINCT entity) >= 2),
+@query(sql("v_edge v_vertex", _PS + """, k AS (SELECT 'n' || ascii(topic[8]) % 2 AS node, entity, topic, CASE WHEN ascii(right(entity, 1)) % 3 = 0 THEN 'tmr' ELSE 'sub' END AS kind FROM pub), m AS (SELECT node, topic FROM k WHERE kind = 'sub' GROUP BY ALL HAVING count(DISTINCT entity) >= 2),
   at_ AS (SELECT k.* FROM k JOIN m USING (node, topic)), c AS (SELECT node, topic, entity, 'completer' AS role FROM at_ WHERE kind = 'sub'), o AS (SELECT node, topic, entity, 'timeout' AS role FROM at_ WHERE kind = 'tmr'),
   ty AS (SELECT DISTINCT node, entity, kind, ascii(right(entity, 1)) % 2 AS mt FROM k), it AS (SELECT DISTINCT c.node, c.topic, mt FROM c JOIN ty ON c.entity = ty.entity),
   mem AS (SELECT ty.node, it.topic, ty.entity, 'member' AS role FROM ty JOIN it ON ty.node = it.node AND ty.mt = it.mt WHERE ty.kind = 'sub' AND (ty.node, ty.entity) NOT IN (SELECT (node, entity) FROM c))
@@ -228,7 +228,7 @@ def h1_mark_phases(spark, d):
 def h2_detect_joins(spark, d):
     pub, _ = _pubsub(spark, d)
     last = F.ascii(F.right("entity", F.lit(1)))
-    k = pub.distinct().withColumn("kind", F.when(last % 3 == 0, "tmr").otherwise("sub"))
+    k = pub.distinct().withColumn("node", F.concat(F.lit("n"), F.ascii(F.substring("topic", 8, 1)) % 2)).withColumn("kind", F.when(last % 3 == 0, "tmr").otherwise("sub"))
     types = k.select("node", "entity", "kind", (last % 2).alias("msg_type")).distinct()
     return md.detect_joins(k, types)
 
