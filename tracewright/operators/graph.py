@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.shipping import ship_package
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df written to and read from the folder in spark.checkpoint.dir, so a loop's lineage stays short."""
@@ -149,6 +151,7 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
 
     The adjacency is shipped to the tasks, so the number of edges is checked first; larger graphs are refused.
     """
+    ship_package(edges.sparkSession)
     links = edges.select("src", "dst").where("src <> dst").distinct()
     rows = links.limit(most_edges + 1).collect()
     if len(rows) > most_edges:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tracewright.operators.temporal import asof, asof_last, interval_owner, nearest_tolerance
+from tracewright.shipping import ship_package
 
 
 def _one(events: DataFrame, event: str, /, **columns: str) -> DataFrame:
@@ -274,6 +275,7 @@ def _lcm(values: pd.Series) -> int:
 
 def hyperperiod(periods: DataFrame, key: str = "executor") -> DataFrame:
     """Least common multiple of the distinct periods of each executor, ascending, stopped once above one hour (capped)."""
+    ship_package(periods.sparkSession)
     few = periods.where("period_ns > 0").select(key, "period_ns").distinct()
     return few.groupBy(key).agg(_lcm("period_ns").alias("hyperperiod_ns")).withColumn("capped", F.col("hyperperiod_ns") > 3_600_000_000_000)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.shipping import ship_package
+
 
 def typed_dag(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (inv, idx, pe, name, stream) and edges (inv, src, dst, kind) of each invocation.
@@ -94,6 +96,7 @@ def skeleton(seqs: DataFrame, key: str, least: int = 1) -> DataFrame:
 
     Sequences are made distinct first, so a group holds each shape once; groups run in parallel.
     """
+    ship_package(seqs.sparkSession)
     distinct = seqs.where(F.size("tokens") >= least).select(F.col(key).cast("string").alias("key"), "tokens").distinct()
     return distinct.groupBy("key").applyInPandas(_fold, "key string, skeleton array<string>, sequences long")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tracewright.shipping import ship_package
 from tracewright.sources.readers import LINE, fields
 
 
@@ -72,6 +73,7 @@ class PairNested(StatefulProcessor):
 
 def stream_pair(events: DataFrame, delay: str = "10 minutes", ttl_ns: int = 365 * 86_400_000_000_000) -> DataFrame:
     """Nested spans of a stream of trace events (id, ts_ns, vpid, vtid, cb, event); rows may be late by `delay`, open starts are forgotten after ttl_ns."""
+    ship_package(events.sparkSession)
     marks = events.where(F.col("event").isin("callback_start", "callback_end")).withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000")))
     return marks.withWatermark("ts", delay).groupBy("vpid", "vtid").transformWithStateInPandas(PairNested(ttl_ns), SPAN_SCHEMA, "Append", "EventTime")
 
