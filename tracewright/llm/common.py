@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.shipping import ship_package
+
 #: Rows of whole texts that go to Python at a time.
 BATCH_ROWS = 2_000
 #: Rows of (id) that may be broadcast; beyond it the same join runs as a shuffle join.
@@ -49,7 +51,11 @@ def materialise(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
 
 
 def light_batches(spark: SparkSession) -> None:
-    """Let batches of whole texts hold BATCH_ROWS rows at most, so that memory follows the texts, not Spark's default of 10,000."""
+    """Make Python stages over whole texts ready: the package is on the executors, and batches hold BATCH_ROWS rows at most.
+
+    Memory then follows the texts, not Spark's default of 10,000 rows.
+    """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
