@@ -148,6 +148,33 @@ def test_recall_is_measured(spark):
     assert all(c.recall >= decontaminate.TARGET for c in decontaminate.build(items))
 
 
+def test_long_items_are_found_with_all_allowed_edits(spark):
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(4000)}"
+    items = [[word() for _ in range(n)] for n in (100, 130, 150, 200, 250, 300, 400, 600, 800, 1000)]
+    items.append(["la"] * 300)
+    rows, edits = [], {}
+    for k, item in enumerate(items[:-1]):
+        for copy in range(6):
+            text = list(item)
+            for _ in range(decontaminate.allowed(len(item))):
+                at, kind = r.randrange(len(text)), r.randrange(3)
+                text[at : at + (kind != 1)] = [word()] * (kind != 2)
+            lead = [word() for _ in range(copy * 20)]
+            edits[len(rows)] = k, plain_distance(item, [*lead, *text])
+            rows.append((len(rows), " ".join([*lead, *text, *[word() for _ in range(r.randrange(60))]])))
+    far = list(items[4])
+    far[::4] = [f"z{x}" for x in range(len(far[::4]))]  # 63 of 250 words, 50 are allowed
+    rows += [(900, " ".join(far)), (901, "la " * 2000), (902, " ".join(word() for _ in range(3000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.contaminated(docs, bench).collect()}
+    long = {(d, k) for d, (k, _) in edits.items() if len(items[k]) >= 200}
+    assert long <= set(got) and len(set(got) & {(d, k) for d, (k, _) in edits.items()}) >= 0.95 * len(edits)
+    assert all(got[d, k]["edits"] == edits[d][1] for d, k in long)
+    assert {x for x in got if x[0] >= 900} == {(901, 10)} and got[901, 10]["edits"] == 0 and got[901, 10]["first_word"] == 0
+
+
 def test_ftrl_learns_and_temperature_calibrates():
     r = np.random.default_rng(0)
     y = r.integers(0, 3, 600)
