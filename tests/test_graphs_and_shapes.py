@@ -1,7 +1,9 @@
 """Graph loops, the model's rules and shape operators on hand-written tables."""
 
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as sc
@@ -118,3 +120,48 @@ def test_scalars(spark):
     ).first()
     assert tuple(r) == ("deep::scope::kern", "/a", "/a/b", 500, r["g"], "1/y", None, "..." + "a" * 57, "/go", "2.0 KiB", "1.50 ms", "a_b", None, "k5")
     assert r["g"] == (281506400436224 >> 24) & 0xFFFFFF
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables")
+def test_edge_views_hold_all_line_items_and_paths(spark):
+    from tracewright.plans import bindings, graphs
+
+    d = "/root/testdata/sf0.001"
+    line = bindings.read(spark, d, "lineitem")
+    assert bindings.v_edge(spark, d).agg(F.sum("n")).first()[0] == line.count()
+    assert bindings.v_hop(spark, d).agg(F.sum("n")).first()[0] == line.count() - line.select("l_orderkey").distinct().count()
+    longest = line.groupBy("l_orderkey").count().agg(F.max("count")).first()[0] - 1
+    assert graphs.g5_task_graphs(spark, d).agg(F.max("depth")).first()[0] == longest > 1
+    assert {r["role"] for r in graphs.h10_dataflow_role(spark, d).select("role").distinct().collect()} >= {"source", "relay", "sink"}
+    links = {(r["src"], r["dst"]) for r in bindings.v_hop(spark, d).collect()}
+    want = brute_betweenness(links)
+    got = {r["id"]: r["betweenness"] for r in graphs.g11_betweenness(spark, d).collect()}
+    assert got.keys() == want.keys() and max(want.values()) > 0 and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def brute_betweenness(links):
+    """For each middle node, the share of the shortest paths between all pairs of others that pass it, by path counts between all pairs."""
+    nodes = sorted({x for e in links for x in e})
+    out = {x: sorted({b for a, b in links if a == x}) for x in nodes}
+    dist, paths = {}, {}
+    for s in nodes:
+        dist[s], paths[s], front = {s: 0}, {s: 1}, [s]
+        while front:
+            count = {}
+            for v in front:
+                for w in out[v]:
+                    if w not in dist[s]:
+                        count[w] = count.get(w, 0) + paths[s][v]
+            for w in count:
+                dist[s][w], paths[s][w] = dist[s][front[0]] + 1, count[w]
+            front = list(count)
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for v in dist[s]:
+            if v == s:
+                continue
+            for t in dist[v]:
+                if t not in (s, v) and dist[s].get(t) == dist[s][v] + dist[v][t]:
+                    total[v] += paths[s][v] * paths[v][t] / paths[s][t]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}

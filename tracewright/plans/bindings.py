@@ -43,9 +43,9 @@ def v_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_trace(spark, sf_dir).where("event = 'sync'").selectExpr("id", "vpid AS pid", "vpid * 4 + id % 4 AS stream", "ts_ns AS t", "1 + id % 4 AS sync_type")
 
 
-def v_edge(spark: SparkSession, sf_dir: str, quantity: int = 40) -> DataFrame:
-    """Customer -> supplier by brand, from heavily discounted large line items."""
-    line = read(spark, sf_dir, "lineitem").where(f"l_discount = 0.10 AND l_tax = 0.08 AND l_quantity >= {quantity}")
+def v_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer -> supplier by brand, from all line items; no path has two edges."""
+    line = read(spark, sf_dir, "lineitem")
     orders, part = read(spark, sf_dir, "orders"), read(spark, sf_dir, "part")
     return (
         line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(part, line["l_partkey"] == part["p_partkey"])
@@ -74,6 +74,17 @@ def v_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier at a place of an order -> supplier at the next place, by token: an acyclic graph with paths as long as orders."""
+    over = "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)"
+    line = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "concat(l_returnflag, l_linestatus) AS topic", f"row_number() {over} AS pos", f"lead(l_suppkey) {over} AS following")
+    return (
+        line.where("following IS NOT NULL")
+        .groupBy(F.expr("concat('S:', l_suppkey, '@', pos)").alias("src"), F.expr("concat('S:', following, '@', pos + 1)").alias("dst"), "topic")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def v_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").selectExpr("page_id", "regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS name")
 
@@ -98,7 +109,7 @@ v_span AS (SELECT id AS span_id, vpid, vtid, cb, ts_ns AS t0, t2 AS t1, CAST(lvl
   t + 1000 + CAST(round(value * 1e6) AS BIGINT) AS t_end FROM v_runtime WHERE corr % 5 < 3)""",
     "v_sync": "v_sync AS (SELECT id, vpid AS pid, vpid * 4 + id % 4 AS stream, ts_ns AS t, 1 + id % 4 AS sync_type FROM v_trace WHERE event = 'sync')",
     "v_edge": """v_edge AS (SELECT 'NC:' || o_custkey AS src, 'NS:' || l_suppkey AS dst, p_brand AS topic, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN part ON l_partkey = p_partkey WHERE l_discount = 0.10 AND l_tax = 0.08 AND l_quantity >= 40 GROUP BY ALL)""",
+  JOIN part ON l_partkey = p_partkey GROUP BY ALL)""",
     "v_vertex": """v_vertex AS (SELECT 'CN:' || r_regionkey AS id, 'CN' AS type, CAST(NULL AS VARCHAR) AS parent, r_name AS label FROM region
   UNION ALL SELECT 'EX:' || n_nationkey, 'EX', 'CN:' || n_regionkey, n_name FROM nation
   UNION ALL SELECT 'NC:' || c_custkey, 'N', 'EX:' || c_nationkey, c_name FROM customer
@@ -106,6 +117,8 @@ v_span AS (SELECT id AS span_id, vpid, vtid, cb, ts_ns AS t0, t2 AS t1, CAST(lvl
   UNION ALL SELECT 'E:' || o_orderkey, 'E', 'NC:' || o_custkey, o_orderstatus FROM orders)""",
     "v_call": """v_call AS (SELECT l_orderkey AS inv, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos,
   l_returnflag || l_linestatus AS token, l_suppkey % 4 AS stream, l_extendedprice AS cost FROM lineitem)""",
+    "v_hop": """v_hop AS (SELECT 'S:' || l_suppkey || '@' || pos AS src, 'S:' || following || '@' || (pos + 1) AS dst, topic, count(*) AS n FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS topic, row_number() OVER w AS pos, lead(l_suppkey) OVER w AS following
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) WHERE following IS NOT NULL GROUP BY ALL)""",
     "v_topic": "v_topic AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS name FROM pages)",
 }
 _NEEDS = {"v_span": ["v_trace"], "v_runtime": ["v_trace"], "v_gpu": ["v_trace", "v_runtime"], "v_sync": ["v_trace"]}

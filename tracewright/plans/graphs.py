@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as sc
 from tracewright.operators import graph as gr
-from tracewright.plans.bindings import read, sql, v_edge, v_topic, v_trace, v_vertex
+from tracewright.plans.bindings import read, sql, v_edge, v_hop, v_topic, v_trace, v_vertex
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,28 +21,28 @@ def query(oracle: str | None = None):
     return add
 
 
-_COMP = """, b AS (SELECT src AS a, dst AS b FROM v_edge UNION SELECT dst, src FROM v_edge), reach(node, seen) AS (SELECT a, a FROM b UNION SELECT b.b, reach.seen FROM reach JOIN b ON b.a = reach.node),
+_COMP = """, b AS (SELECT src AS a, dst AS b FROM v_hop UNION SELECT dst, src FROM v_hop), reach(node, seen) AS (SELECT a, a FROM b UNION SELECT b.b, reach.seen FROM reach JOIN b ON b.a = reach.node),
   comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
-_SRC = ", srcs AS (SELECT DISTINCT src AS id FROM v_edge WHERE src NOT IN (SELECT dst FROM v_edge)), snks AS (SELECT DISTINCT dst AS id FROM v_edge WHERE dst NOT IN (SELECT src FROM v_edge))"
-_DEPTH = ", walk(id, d) AS (SELECT id, 0 FROM srcs UNION SELECT e.dst, d + 1 FROM walk JOIN v_edge e ON e.src = walk.id WHERE d < 64)"
+_SRC = ", srcs AS (SELECT DISTINCT src AS id FROM v_hop WHERE src NOT IN (SELECT dst FROM v_hop)), snks AS (SELECT DISTINCT dst AS id FROM v_hop WHERE dst NOT IN (SELECT src FROM v_hop))"
+_DEPTH = ", walk(id, d) AS (SELECT id, 0 FROM srcs UNION SELECT e.dst, d + 1 FROM walk JOIN v_hop e ON e.src = walk.id WHERE d < 64)"
 
 
-@query(sql("v_edge", _COMP + " SELECT node, component FROM comp"))
+@query(sql("v_hop", _COMP + " SELECT node, component FROM comp"))
 def g4_components(spark, d):
-    return gr.components(v_edge(spark, d))
+    return gr.components(v_hop(spark, d))
 
 
-@query(sql("v_edge", _COMP + _SRC + _DEPTH + """, l AS (SELECT id, max(d) AS d FROM walk GROUP BY id), e AS (SELECT component, count(*) AS edges FROM (SELECT DISTINCT src, dst FROM v_edge) JOIN comp ON src = node GROUP BY component)
+@query(sql("v_hop", _COMP + _SRC + _DEPTH + """, l AS (SELECT id, max(d) AS d FROM walk GROUP BY id), e AS (SELECT component, count(*) AS edges FROM (SELECT DISTINCT src, dst FROM v_hop) JOIN comp ON src = node GROUP BY component)
   SELECT c.component, count(*) AS nodes, count(s.id) AS roots, count(k.id) AS sinks, CAST(coalesce(max(l.d), 0) AS INT) AS depth, any_value(e.edges) AS edges
   FROM comp c JOIN e USING (component) LEFT JOIN srcs s ON c.node = s.id LEFT JOIN snks k ON c.node = k.id LEFT JOIN l ON c.node = l.id GROUP BY c.component"""))
 def g5_task_graphs(spark, d):
-    return gr.task_graphs(v_edge(spark, d))
+    return gr.task_graphs(v_hop(spark, d))
 
 
-@query(sql("v_edge", _COMP + """, n AS (SELECT component, count(*) AS nodes FROM comp GROUP BY component)
-  SELECT component, any_value(nodes) AS nodes, count(*) AS edges, count(DISTINCT topic) AS topics, CAST(sum(n) AS BIGINT) AS weight FROM v_edge JOIN comp ON src = node JOIN n USING (component) GROUP BY component"""))
+@query(sql("v_hop", _COMP + """, n AS (SELECT component, count(*) AS nodes FROM comp GROUP BY component)
+  SELECT component, any_value(nodes) AS nodes, count(*) AS edges, count(DISTINCT topic) AS topics, CAST(sum(n) AS BIGINT) AS weight FROM v_hop JOIN comp ON src = node JOIN n USING (component) GROUP BY component"""))
 def g6_component_stats(spark, d):
-    e = v_edge(spark, d)
+    e = v_hop(spark, d)
     return gr.component_stats(e, gr.components(e))
 
 
@@ -52,14 +52,14 @@ def g9_degree(spark, d):
     return gr.degree(v_edge(spark, d))
 
 
-@query(sql("v_edge", _SRC + _DEPTH + " , n AS (SELECT src AS id FROM v_edge UNION SELECT dst FROM v_edge) SELECT n.id, CAST(coalesce(min(d), -1) AS INT) AS depth FROM n LEFT JOIN walk ON n.id = walk.id GROUP BY n.id"))
+@query(sql("v_hop", _SRC + _DEPTH + " , n AS (SELECT src AS id FROM v_hop UNION SELECT dst FROM v_hop) SELECT n.id, CAST(coalesce(min(d), -1) AS INT) AS depth FROM n LEFT JOIN walk ON n.id = walk.id GROUP BY n.id"))
 def g10_bfs_depth(spark, d):
-    return gr.bfs_depth(v_edge(spark, d))
+    return gr.bfs_depth(v_hop(spark, d))
 
 
 @query()
 def g11_betweenness(spark, d):
-    return gr.betweenness(v_edge(spark, d))
+    return gr.betweenness(v_hop(spark, d))
 
 
 @query(sql("v_vertex", """, c AS (SELECT parent AS m, count(*) AS c FROM v_vertex WHERE type = 'E' GROUP BY parent), p AS (SELECT v.parent AS root, count(*) AS children, sum(coalesce(c, 0)) AS g, max(coalesce(c, 0)) AS w FROM v_vertex v LEFT JOIN c ON v.id = c.m WHERE v.type = 'N' GROUP BY v.parent)
@@ -68,9 +68,9 @@ def g12_subtree_sizes(spark, d):
     return gr.subtree_sizes(v_vertex(spark, d), "EX", "N", "E")
 
 
-@query(sql("v_edge", _SRC + " SELECT id, 'source' AS kind FROM srcs UNION ALL SELECT id, 'sink' FROM snks"))
+@query(sql("v_hop", _SRC + " SELECT id, 'source' AS kind FROM srcs UNION ALL SELECT id, 'sink' FROM snks"))
 def g13_sources_sinks(spark, d):
-    e = v_edge(spark, d)
+    e = v_hop(spark, d)
     return gr.sources(e).withColumn("kind", F.lit("source")).unionByName(gr.sinks(e).withColumn("kind", F.lit("sink")))
 
 
@@ -103,17 +103,17 @@ def a32_graph_summary(spark, d):
     return gr.graph_summary(v_vertex(spark, d))
 
 
-@query(sql("v_edge", """, o AS (SELECT src AS id, array_to_string(list_sort(list_distinct(list(topic))), ',') AS out_topics FROM v_edge GROUP BY src), i AS (SELECT dst AS id, array_to_string(list_sort(list_distinct(list(topic))), ',') AS in_topics FROM v_edge GROUP BY dst)
+@query(sql("v_hop", """, o AS (SELECT src AS id, array_to_string(list_sort(list_distinct(list(topic))), ',') AS out_topics FROM v_hop GROUP BY src), i AS (SELECT dst AS id, array_to_string(list_sort(list_distinct(list(topic))), ',') AS in_topics FROM v_hop GROUP BY dst)
   SELECT coalesce(o.id, i.id) AS id, coalesce(out_topics, '') AS out_topics, coalesce(in_topics, '') AS in_topics, CASE WHEN o.id IS NOT NULL AND i.id IS NOT NULL THEN 'relay' WHEN o.id IS NOT NULL THEN 'source' ELSE 'sink' END AS role FROM o FULL JOIN i ON o.id = i.id"""))
 def h10_dataflow_role(spark, d):
-    return gr.dataflow_role(v_edge(spark, d))
+    return gr.dataflow_role(v_hop(spark, d))
 
 
-@query(sql("v_edge", _SRC + _DEPTH + """, n AS (SELECT src AS id FROM v_edge UNION SELECT dst FROM v_edge), b AS (SELECT n.id, coalesce(min(d), -1) AS depth FROM n LEFT JOIN walk ON n.id = walk.id GROUP BY n.id),
-  g AS (SELECT id, count(*) AS total FROM (SELECT src AS id FROM v_edge UNION ALL SELECT dst FROM v_edge) GROUP BY id)
+@query(sql("v_hop", _SRC + _DEPTH + """, n AS (SELECT src AS id FROM v_hop UNION SELECT dst FROM v_hop), b AS (SELECT n.id, coalesce(min(d), -1) AS depth FROM n LEFT JOIN walk ON n.id = walk.id GROUP BY n.id),
+  g AS (SELECT id, count(*) AS total FROM (SELECT src AS id FROM v_hop UNION ALL SELECT dst FROM v_hop) GROUP BY id)
   SELECT id, CAST(depth AS INT) AS depth, total, CAST(row_number() OVER (ORDER BY CASE WHEN depth < 0 THEN 999 ELSE depth END, total DESC, id) AS INT) AS rn FROM b JOIN g USING (id)"""))
 def l3_staircase_order(spark, d):
-    return gr.staircase_order(v_edge(spark, d))
+    return gr.staircase_order(v_hop(spark, d))
 
 
 @query(sql("v_vertex", ", t(id, depth) AS (SELECT id, 0 FROM v_vertex WHERE id = 'CN:1' UNION ALL SELECT v.id, depth + 1 FROM t JOIN v_vertex v ON v.parent = t.id WHERE depth < 2) SELECT id, CAST(depth AS INT) AS depth FROM t"))
