@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewright.llm import decontaminate, language_id, ngram_join, toxicity
+from tracewright.llm import decontaminate, language_id, ngram_join, toxicity, url_filter
 from tracewright.llm.components import components
 from tracewright.llm.ftrl import Sparse, fit, softmax, temperature
 from tracewright.llm.words import ALNUM, BLANK, shingles, words
@@ -245,3 +245,17 @@ def test_pipeline_stages(spark, docs, tmp_path):
     left = {r["doc_id"] for r in at.collect()}
     assert 1 in left and not left & {2, 3, 4, 6, 7, 8, 12}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_url_rules_match_only_where_their_words_fetch_them(spark):
+    urls = ["http://ad.shop.test/", "http://ads.shop.test/", "http://a.test/x/ad/y", "http://a.test/ads/y", "http://a.test/x?utm_source=1", "http://a.test/x;sessionid=2",
+            "http://a.test/login", "http://a.test/cart?x", "http://a.test/calendar/2020", "http://a.test/f.exe", "http://a.test/f.zip?q", "http://a.test/add/ad", "http://b.test/dexter"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, [*url_filter.HOST_RULES, ("block", "b.test", "/de")]).collect()}
+    for k, url in enumerate(urls[:-1]):
+        fits = sorted(n for n, _, p in url_filter.PATTERN_RULES if re.search(p, url[7:]))
+        assert (got[k]["pattern"], got[k]["verdict"]) == ((fits[0], "block") if fits else (None, "allow"))
+        for n, tokens, p in url_filter.PATTERN_RULES:
+            words = re.split("[^a-z0-9]+", url[7:].lower())
+            assert not re.search(p, url[7:]) or all(set(t.split("|")) & set(words) for t in tokens)
+    assert {got[k]["pattern"] for k in got} >= {n for n, _, _ in url_filter.PATTERN_RULES} and got[12]["rule"] == "b.test/de"

@@ -18,6 +18,7 @@ HOST_RULES = [
     ("allow", "org", "/fr/"),
 ]
 #: The method's own rules, asked where no host rule fits: (name, literal tokens, pattern over host, path and query).
+#: A match must hold every token as a whole word; of a token with '|', one of the words between.
 PATTERN_RULES = [
     ("tracking", ["utm", "source"], r"[?&]utm_source="),
     ("session", ["sessionid"], r"[?&;]sessionid="),
@@ -26,7 +27,7 @@ PATTERN_RULES = [
     ("calendar", ["calendar"], r"/calendar/[0-9]{4}"),
     ("download", ["exe"], r"\.exe(\?|$)"),
     ("archive", ["zip"], r"\.zip(\?|$)"),
-    ("ads", ["ads"], r"^ads?\.|/ads?/"),
+    ("ads", ["ad|ads"], r"^ads?\.|/ads?/"),
 ]
 _RULE = "array<struct<size:int,name:string,verdict:string,kind:string,pattern:string>>"
 
@@ -47,7 +48,8 @@ def _compiled(host_rules, pattern_rules) -> list[dict]:
     rules = []
     for verdict, host, path in host_rules:
         pattern = rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(path)}"
-        words = re.findall("[a-z0-9]+", host.lower()) + re.findall("[a-z0-9]+", path.lower())
+        # A path fits by its start, so its last word may go on in the URL.
+        words = re.findall("[a-z0-9]+", host.lower()) + re.findall("[a-z0-9]+(?=[^a-z0-9])", path.lower())
         rules.append({"size": len(host + path), "name": host + path, "verdict": verdict, "kind": "host", "pattern": pattern, "words": words})
     for name, words, pattern in pattern_rules:
         rules.append({"size": 0, "name": name, "verdict": "block", "kind": "pattern", "pattern": pattern, "words": words})
@@ -58,7 +60,7 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     """One row per row of pages: page_id, host, path, rule, verdict, pattern.
 
     How often each rule word occurs is counted over all URLs; every rule is filed under its rarest
-    word. A URL's words fetch the rules filed under them and only those run their expression. The
+    word, or under each of the words that stand for it. A URL's words fetch the rules filed under them and only those run their expression. The
     counts that reach the driver are one number per rule word; the rule index is part of the plan,
     so judging needs no shuffle. The longest host rule that fits wins (ties: by text); else the
     first fitting pattern (by name) blocks; else the verdict is allow.
@@ -70,7 +72,7 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     parts = pages.select("page_id", host.alias("host"), path.alias("path"), F.concat(host, full).alias("subject"))
     parts = parts.withColumn("words", F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+")))
     rules = _compiled(host_rules, pattern_rules)
-    vocabulary = sorted({w for r in rules for w in r["words"]})
+    vocabulary = sorted({w for r in rules for words in r["words"] for w in words.split("|")})
     seen = (
         parts.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))).alias("word"))
         .groupBy("word").count().collect()
@@ -78,8 +80,9 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     counts = {r["word"]: r["count"] for r in seen}
     index: dict[str, list[dict]] = {}
     for r in rules:
-        rarest = min(r["words"], key=lambda w: (counts.get(w, 0), w))
-        index.setdefault(rarest, []).append({k: v for k, v in r.items() if k != "words"})
+        rarest = min(r["words"], key=lambda w: (sum(counts.get(x, 0) for x in w.split("|")), w))
+        for word in rarest.split("|"):
+            index.setdefault(word, []).append({k: v for k, v in r.items() if k != "words"})
     filed = F.from_json(F.lit(json.dumps(index)), f"map<string,{_RULE}>")
     candidates = F.flatten(
         F.transform(
