@@ -125,3 +125,10 @@ def test_url_verdicts(spark):
     assert got == [(k, *c[1:]) for k, c in enumerate(cases)]
     assert url_filter.judge_urls(pages).count() == 2 * len(cases)
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    rows = [(1, "a b"), (2, "a b"), (2, "only here"), (3, "x  y"), (3, "x y"), (4, "p"), (4, "q"), (None, "only here"), (None, "z"), (None, "z")]
+    left = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(r["doc_id"], " ".join(r["text"].split())) for r in left]
+    assert len(got) == len(set(got)) and set(got) == {(1, "a b"), (2, "only here"), (3, "x y"), (4, "p"), (4, "q"), (None, "z")}

@@ -45,21 +45,26 @@ def exact_duplicates(docs: DataFrame, content_hash: Callable[[Column], Column] =
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that repeat an earlier text; the columns stay as they were.
 
-    Of rows with equal text the one with the smallest doc_id stays. Rows that repeat doc_id and text
-    are reduced to one; only if there are such rows is the text shuffled for that. Rows with a null
+    Of rows with equal text the one with the smallest doc_id stays. Rows that repeat doc_id and
+    normalised text are reduced to one, and rows of one doc_id with other texts are judged by their own
+    text; only if a doc_id is repeated is the text shuffled for that. Rows with a null
     doc_id go unless no number has their text, and then one stays.
     """
     verdicts = materialise(exact_duplicates(docs).select("doc_id", "keep_id", "kept", "text_sha256"), "dedup", compact=True)
-    losers = verdicts.where("not kept").select("doc_id").where("doc_id is not null").distinct()
-    out = anti_by_id(docs, losers, "doc_id")
+    losers = verdicts.where("not kept and doc_id is not null")
+    sha = F.sha2(normalised(F.col("text")), 256)
+    repeated = verdicts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        lost = losers.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__lost")).distinct()
+        out = docs.join(lost, (F.col("doc_id") == F.col("__id")) & (sha == F.col("__lost")), "left_anti")
+    else:
+        out = anti_by_id(docs, losers.select("doc_id").distinct(), "doc_id")
     kept = verdicts.where("kept")
     if kept.where("doc_id is null").limit(1).count() or verdicts.where("doc_id is null").limit(1).count():
-        sha = F.sha2(normalised(F.col("text")), 256)
         named = kept.where("doc_id is not null").select(F.col("text_sha256").alias("__sha")).distinct()
         unnamed = out.where("doc_id is null").join(named, sha == F.col("__sha"), "left_anti").withColumn("__sha", sha)
         out = out.where("doc_id is not null").unionByName(unnamed.dropDuplicates(["__sha"]).drop("__sha"))
-    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    return out.withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha") if repeated else out
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
