@@ -165,3 +165,11 @@ def brute_betweenness(links):
                     total[v] += paths[s][v] * paths[v][t] / paths[s][t]
     n = len(nodes)
     return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_depths_of_a_chain_of_100(spark):
+    name = lambda k: f"n{k:03d}"
+    e = spark.createDataFrame([(name(k), name(k + 1), "t", 1) for k in range(99)], EDGE).coalesce(1)
+    want = {name(k): k for k in range(100)}
+    assert {r["id"]: r["depth"] for r in graph.bfs_depth(e).collect()} == want
+    assert {r["id"]: r["depth"] for r in graph.longest_depth(e).collect()} == want

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,13 +74,13 @@ def sinks(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
-def bfs_depth(edges: DataFrame, roots: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+def bfs_depth(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable."""
     links = edges.select("src", "dst").distinct()
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     front = written((roots if roots is not None else sources(links)).select("id").distinct().withColumn("depth", F.lit(0)), "front")
     seen = front
-    for k in range(1, rounds):
+    for k in count(1):
         step = links.join(front, links["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         front = written(step.withColumn("depth", F.lit(k)), "front")
         if not front.limit(1).count():
@@ -88,13 +89,13 @@ def bfs_depth(edges: DataFrame, roots: DataFrame | None = None, rounds: int = 64
     return nodes.join(seen, "id", "left").na.fill(-1, ["depth"])
 
 
-def longest_depth(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def longest_depth(edges: DataFrame) -> DataFrame:
     """Longest path (edges) from a node without incoming edges, found by repeated peeling; nodes on or behind cycles keep what
     their already peeled predecessors give (0 without any)."""
     left = written(edges.select("src", "dst").where("src <> dst").distinct(), "left")
     nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
     depth = written(nodes.withColumn("depth", F.lit(0)), "depth")
-    for _ in range(rounds):
+    while True:
         free = sources(left)
         gone = left.join(free, left["src"] == free["id"], "left_semi")
         if not gone.limit(1).count():
