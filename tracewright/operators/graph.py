@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from itertools import count
 
@@ -12,40 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.scale import FEW_ROWS, running_sum, salted_join, written
 from tracewright.shipping import ship_package
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written to and read from the folder in spark.checkpoint.dir, so a loop's lineage stays short."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracewright.work.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("tracewright.work.dir", base)
-    path = os.path.join(base, f"{tag}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of weakly connected components: the least node, by alternating star contractions."""
-    links = written(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
-    seen = None
+    """(node, component) of weakly connected components of (src, dst): the least node, by alternating star contractions.
+
+    Large-star and small-star steps alternate until no link changes; the number of rounds grows with the
+    logarithm of a component's size. Every step is a grouped minimum (pre-aggregated) and a join back in which
+    the rows of a hub are dealt to many tasks. Each round is written to the shared folder; only a row count and a
+    checksum reach the driver. Self-links name single nodes; links with a null end are ignored.
+    """
+    sums = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    links = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links", compact=True)
+    seen = links.agg(*sums).first()
     while True:
+        many = seen[0]
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both, least, "u", total=2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large, "large") if many > FEW_ROWS else large
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = written(small.where("u <> v").distinct(), "stars")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = salted_join(large, low, "u", total=many).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        links = written(small.where("u <> v").distinct(), "stars", compact=True)
+        now = links.agg(*sums).first()
         if now == seen:
             break
         seen = now
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    found = found.unionByName(roots)
-    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct().join(found.select("node"), "node", "left_anti")
+    found = found.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    loops = ends.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct().join(found.select("node"), "node", "left_anti")
     return found.unionByName(loops)
 
 

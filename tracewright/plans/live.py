@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.operators.graph import written
+from tracewright.operators.scale import written
 from tracewright.plans.bindings import sql, v_trace
 from tracewright.sources.readers import parse_trace
 from tracewright.sources.sinks import export_spans
