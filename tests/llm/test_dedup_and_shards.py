@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 import zlib
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tracewright.llm import exact_dedup, hilbert_shards, license_scan, url_filter
@@ -77,34 +79,78 @@ def test_hilbert_index_is_a_curve(spark):
     assert all(sum(abs(p - q) for p, q in zip(by[k], by[k + 1])) == 1 for k in range(511))
 
 
-def test_hilbert_shards_law(docs, nothing):
-    got = hilbert_shards.hilbert_shards(docs, 5).collect()
-    assert len(got) == docs.count()
-    counts = {s: [r["slot"] for r in got if r["shard"] == s] for s in range(5)}
+def check_shards(rows, got, shards):
+    """The law, gapless slots, the digest columns, the order along the curve and groups that are parted at cuts only."""
+    assert len(got) == len(rows)
+    counts = {s: [r["slot"] for r in got if r["shard"] == s] for s in range(shards)}
     assert max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in counts.values())
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"]}
-    for r in got:
-        if r["doc_id"]:
-            raw = texts[r["doc_id"]].encode()
-            assert (r["size"], r["text_crc32"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), None)
+    raw = lambda t: (t or "").encode()
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, len(raw(t)) + 16, zlib.crc32(raw(t))) for i, t, *_ in rows)
     order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in got)
+    for crc in {r["text_crc32"] for r in got}:
+        places = [k for k, r in enumerate(order) if r["text_crc32"] == crc]
+        assert places == list(range(places[0], places[0] + len(places)))
+
+
+def test_hilbert_shards_law(docs, nothing):
+    got = hilbert_shards.hilbert_shards(docs, 5).collect()
+    assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    check_shards([(r["doc_id"], r["text"]) for r in docs.collect()], got, 5)
     assert hilbert_shards.hilbert_shards(nothing).count() == 0
 
 
-def test_write_shards(spark, docs, tmp_path):
-    one = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    hilbert_shards.write_shards(one, str(tmp_path / "out"), 4)
+def table_of_groups(spark, rows=3000):
+    r = random.Random(2)
+    texts = [("t%d " % k) * r.randrange(1, 90) for k in range(rows // 3)]
+    data = [(r.randrange(rows), r.choice(texts), r.choice(["de", "en", "fr", "es", None]), f"site{r.randrange(300):03d}", k) for k in range(rows)]
+    data += [(7, "hot text", r.choice(["de", "en"]), "x", k) for k in range(rows // 2)]
+    return data, spark.createDataFrame(data, "doc_id long, text string, lang string, source string, shard int")
+
+
+def test_equal_texts_stay_together_and_cells_are_ranges_of_names(spark, monkeypatch):
+    data, table = table_of_groups(spark)
+    got = hilbert_shards.hilbert_shards(table, 9).collect()
+    check_shards(data, got, 9)
+    # The cuts by hand: names sorted, cut where the rows before them reach a new 32nd.
+    names = sorted((s or "") for _, _, _, s, _ in data)
+    want = sorted({names.index(n) * 32 // len(names): n for n in sorted(set(names))}.values())[:-1]
+    meta = table.select("source")
+    assert hilbert_shards._name_cuts(meta, "source", 32) == want
+    monkeypatch.setattr(hilbert_shards, "FEW_NAMES", 3)
+    assert hilbert_shards._name_cuts(meta, "source", 32) == want
+
+
+def test_write_shards_keeps_rows_and_prunes(spark, tmp_path):
+    data, table = table_of_groups(spark)
+    name = hilbert_shards.write_shards(table, str(tmp_path / "out"), 40)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == one.count() and back.select("shard").distinct().count() == 4
+    assert name == "shard_" and back.select(name).distinct().count() == 40
+    assert sorted(map(str, back.select(table.columns).collect())) == sorted(map(str, table.collect()))
+    per = back.groupBy(name).count().collect()
+    assert max(r["count"] for r in per) - min(r["count"] for r in per) <= 1
+    r = random.Random(4)
+    own = [(k, f"t{k} " * r.randrange(1, 90), r.choice(["de", "en", "fr", "es"]), f"site{r.randrange(300):03d}") for k in range(3000)]
+    hilbert_shards.write_shards(spark.createDataFrame(own, "doc_id long, text string, lang string, source string"), str(tmp_path / "own"), 40)
+    opened = {}
+    for what, low, high in (("source", "site100", "site120"), ("lang", "fr", "fr"), ("size", 20, 40)):
+        hit = total = 0
+        for f in (tmp_path / "own").rglob("*.parquet"):
+            rows = pq.read_table(f, columns=["lang", "source", "text"]).to_pylist()
+            values = [len(r["text"].encode()) + 16 if what == "size" else (r[what] or "") for r in rows]
+            total += 1
+            hit += min(values) <= high and max(values) >= low
+        opened[what] = hit / total
+    # A sort by one column would leave the others at 1.0.
+    assert all(x < 0.6 for x in opened.values()), opened
 
 
 def test_license_scan_places(docs, nothing):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
     for r in docs.collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
-        starts = [k for _, _, p, base in license_scan.TEMPLATES if base for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        starts = [k for t in license_scan.TEMPLATES if t.base for k in range(len(words)) if words[k : k + len(t.key.split())] == t.key.split()]
         g = got[r["doc_id"]]
         if r["doc_id"] is not None:
             assert (g["n_words"], g["n_base"], g["first_word"], g["last_word"]) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
@@ -113,6 +159,60 @@ def test_license_scan_places(docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+def brute_scan(text, templates):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, base, starts, score = set(), set(), [], 0.0
+    for t in templates:
+        key, line = t.key.split(), t.text.split()
+        found = [k for k in range(len(words)) if words[k : k + len(key)] == key]
+        if found:
+            labels.add(t.label)
+            at = found[0] - t.before()
+            score = max(score, sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(line)) / len(line))
+            if t.base:
+                base.add(t.label)
+                starts += found
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def test_license_scan_against_a_plain_scan(spark):
+    r = random.Random(5)
+    many = list(license_scan.TEMPLATES)
+    for k in range(86):
+        line = [r.choice(["the", "of", "license", f"w{r.randrange(400)}"]) for _ in range(r.randrange(3, 60))]
+        at = r.randrange(len(line) - 1)
+        many.append(license_scan.Template(f"t{k % 30}", " ".join(line), " ".join(line[at : at + r.randrange(1, 9)])))
+    rows = []
+    for d in range(150):
+        text = [r.choice(["the", "of", "license", "MIT", "x1", f"w{r.randrange(400)}"]) for _ in range(r.randrange(0, 60))]
+        for _ in range(r.randrange(4)):
+            line = r.choice(many).text.split()
+            if r.random() < 0.5:
+                line[r.randrange(len(line))] = "changed"
+            text[r.randrange(len(text) + 1) : 0] = line
+        rows.append((d, ", ".join(text).title() if d % 2 else " ".join(text), "clash"))
+    rows += [(500, None, "c"), (500, "", "c"), (None, "All Rights Reserved", "c"), (501, "under the mit license " * 20000, "c"), (501, "under the mit license " * 20000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, labels string").repartition(3)
+    for templates in (license_scan.TEMPLATES, many):
+        got = sorted((tuple(x) for x in license_scan.scan_licenses(docs, templates).collect()), key=str)
+        want = sorted(((i, *brute_scan(t, templates)) for i, t, _ in rows), key=str)
+        assert [g[:-1] for g in got] == [w[:-1] for w in want]
+        assert all(abs(g[-1] - w[-1]) < 1e-9 for g, w in zip(got, want))
+
+
+def test_url_rules_as_a_table_judge_alike(spark):
+    r = random.Random(7)
+    hosts = ["a.example.net", "b.net", "EXAMPLE.com", "m.org", "ads.site.test", "x.test"]
+    urls = [f"http://{r.choice(hosts)}{r.choice(['/en/x', '/de/', '/fr/a', '/login', '/x/ad/y', '/f.exe', ''])}{r.choice(['', '?utm_source=1', '#z'])}" for _ in range(200)]
+    urls += [None, "", "no scheme", "http://a.test/" + "long/" * 100000 + "login", "http://b.net/" + "y" * 200000]
+    pages = spark.createDataFrame([(k // 2, u, "clash") for k, u in enumerate(urls * 2)], "page_id long, url string, host string")
+    more = [*url_filter.HOST_RULES, *[("block", f"h{k}.test", "/") for k in range(300)]]
+    for rules in (url_filter.HOST_RULES, more):
+        a, b = (sorted((tuple(x) for x in url_filter.judge_urls(pages, rules, plan_rules=n).collect()), key=str) for n in (10**6, 0))
+        assert a == b and len(a) == len(urls) * 2 and {x[4] for x in a} == {"allow", "block"}
+    assert url_filter.judge_urls(pages, [], []).where("verdict <> 'allow'").count() == 0
+
+
 def test_url_verdicts(spark):
     cases = [
         ("https://a.example.net/en/x", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://b.net/", "b.net", "/", "net/", "block"), ("http://b.net", "b.net", "", None, "allow"),

@@ -1,12 +1,13 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, language_id, ngram_join, toxicity, url_filter
-from tracewright.llm.components import components
 from tracewright.llm.ftrl import Sparse, fit, softmax, temperature
 from tracewright.llm.words import ALNUM, BLANK, shingles, words
 
@@ -73,6 +74,44 @@ def test_ngram_components_against_all_pairs(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("how", [{"bits": 5}, {"list_rows": 3}, {"bits": 3, "list_rows": 2}])
+def test_ngram_components_with_clashing_sums_and_dealt_lists(spark, how):
+    r = random.Random(11)
+    rows, base = [], [f"b{k}" for k in range(11)]
+    for i in range(150):
+        t = list(base)
+        t[r.randrange(11)] = f"x{r.randrange(40)}"
+        t[r.randrange(11)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(t if i % 2 else [*t, *[f"l{k}" for k in range(40)], *[f"m{r.randrange(9)}" for _ in range(3)]])))
+    rows += [(1000 + k, "a b c" if k % 2 else "") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for width, percent in ((1, 80), (3, 90)):
+        got = ngram_join.ngram_components(docs, width, percent, **how).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows, width, percent)
+
+
+def test_salted_join_equals_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.operators.scale import salted_join
+
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, 7).when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 900).alias("k"), "id")
+    side = spark.range(800).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        assert sorted(salted_join(rows, side, "k", how=how).collect(), key=str) == sorted(rows.join(side, "k", how).collect(), key=str)
+
+
+def test_near_copies_are_judged_by_row(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (5, a + " end"), (5, b), (6, b + " end"), (7, a), (7, a.upper()), (8, None), (8, ""), (None, a), (None, a), (9, b.title() + " x y"), (9, "only here")]
+    docs = spark.createDataFrame([(*r, {"k": "v"}) for r in rows], "doc_id long, text string, extra map<string,string>").repartition(2)
+    got = ngram_join.drop_near_copies(docs)
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert got.columns == docs.columns and left == sorted([(1, a), (5, b), (8, None), (8, ""), (None, a), (None, a), (9, "only here")], key=str)
+    twice = spark.createDataFrame([(3, a), (3, a), (3, a + " end"), (4, b)], "doc_id long, text string")
+    assert len(ngram_join.drop_near_copies(twice).collect()) == 2
+
+
 def test_ngram_edge_cases(docs, nothing):
     got = ngram_join.ngram_components(docs).collect()
     assert len(got) == docs.count()
@@ -98,7 +137,7 @@ def test_light_sets_share_enough_subsets():
 
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (8, 7), (20, 20), (1, 5)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(links).collect()}
+    got = {r["node"]: r["component"] for r in ngram_join.components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20}
 
 
@@ -142,6 +181,31 @@ def test_decontamination_against_all_pairs(spark, nothing):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_row_in_many_blocks(spark, docs, monkeypatch):
+    r = random.Random(21)
+    items = [(k // 2, " ".join(f"i{k}w{j}" for j in range(14))) for k in range(24)]  # two texts for each item id
+    bench = spark.createDataFrame([*items, (0, items[0][1])], "item_id long, text string")
+    rows, want = [], []
+    for d in range(60):
+        k = r.randrange(24)
+        text = " ".join(f"z{r.randrange(9999)}" for _ in range(d * 40))
+        bad = d % 3 == 0
+        rows.append((None if d % 10 == 0 else d % 7, f"{text} {items[k][1]} {items[k ^ 1][1]}" if bad else text, "clash"))
+        want += [(rows[-1][0], k // 2)] if bad else []
+    rows += [rows[0], (1, None, "clash"), (1, "", "clash"), (2, "long " * 200000, "clash")]
+    want.append(want[0])
+    table = spark.createDataFrame(rows, "doc_id long, text string, item_id string").repartition(3)
+    for block, blocks in ((decontaminate.BLOCK_BYTES, 8), (200, 2)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate, "PASS_BLOCKS", blocks)
+        got = [(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(table, bench).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        left = decontaminate.drop_contaminated(table, bench)
+        assert left.columns == table.columns
+        assert sorted((tuple(x) for x in left.collect()), key=str) == sorted((x for x in rows if not x[1] or " i" not in x[1]), key=str)
+    assert decontaminate.drop_contaminated(docs, bench).count() == docs.count()
+
+
 def test_recall_is_measured(spark):
     r = np.random.default_rng(1)
     items = [r.integers(1, 2**62, n).astype(np.uint64) for n in (15, 20, 30, 40, 55) * 10]
@@ -230,6 +294,93 @@ def test_toxicity_chain(spark, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_chain_equals_a_plain_chain(spark):
+    """The chain from Spark tasks against the same chain fitted in a row with dense probabilities, on three categories."""
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 40, 12)) for _ in range(200)]
+    labels = np.stack([[3 in b for b in rows], [3 in b and 5 in b for b in rows], [7 in b or 5 in b for b in rows]], 1).astype(int)
+    chain = toxicity.train_chain(spark, rows, labels, ["a", "b", "c"])
+    size, earlier, plain = toxicity.BUCKETS + 4, [[] for _ in rows], []
+    for k in range(3):
+        x = [(np.append(b, toxicity.BUCKETS + np.arange(1 + k)).astype(np.int32), np.array([1.0] * (len(b) + 1) + e, np.float32)) for b, e in zip(rows, earlier)]
+        plain.append(toxicity._fit(Sparse.of(x), labels[:, k], size))
+        for f in range(toxicity.FOLDS):
+            inside = [i for i in range(200) if i % toxicity.FOLDS != f]
+            w = toxicity._fit(Sparse.of([x[i] for i in inside]), labels[inside, k], size)
+            for i in range(f, 200, toxicity.FOLDS):
+                earlier[i] = [*earlier[i], 1 / (1 + np.exp(-(x[i][1] @ w[x[i][0]])))]
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(chain.weights, plain)) and any(w[toxicity.BUCKETS + 1] for w in plain[1:])
+
+
+def test_toxicity_edges(spark):
+    text = ["nice calm words here"] * 40 + ["vile scum words here"] * 40
+    rows = [(i, t, 1) for i, t in enumerate(text)] + [(3, "vile scum", 2), (3, "nice calm words here", 3), (None, None, 4), (90, "scum " * 300000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p_toxic int")
+    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(80)] + [(5, 1, 0), (5, 1, 1), (6, None, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= x["p_toxic"] <= 1 for x in got)
+    assert {x["doc_id"] for x in toxicity.toxic_documents(docs, labels).collect()} >= set(range(40, 80)) | {90}
+
+
+def test_language_model_equals_dense_algebra(spark):
+    """Counts, TF-IDF, probabilities and temperature recomputed with plain dictionaries on the labelled rows."""
+    import zlib
+    from collections import Counter
+    from math import exp, log, sqrt
+
+    r = random.Random(8)
+    alphabet = {"aa": "abcd", "bb": "cdef", "cc": "éüab"}
+    rows = [(i, " ".join("".join(r.choice(alphabet[g]) for _ in range(r.randrange(2, 9))) for _ in range(20)), g) for i in range(300) for g in [r.choice("abc") * 2]]
+    rows += [(i, t, g) for i, t, g in rows[:5]] + [(900, "a" * 300000, "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit("clash"))
+    model = language_id.train(docs)
+    learn = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def grams(t):
+        code = lambda g, n: int(language_id.mix(np.array([g], np.uint64), n)[0] >> np.uint64(49))
+        t = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in t.lower())
+        out = Counter()
+        for n in language_id.LENGTHS:
+            for k in range(len(t) - n + 1):
+                h = 0
+                for c in t[k : k + n]:
+                    h = (h * 1_114_113 + ord(c)) % 2**64
+                out[code(h, n)] += 1
+        return out
+
+    few = [t for t in learn if len(t) < 1000]
+    df = Counter(g for t in few for g in grams(t))
+    df.update(grams("a" * 3000).keys() if len(few) < len(learn) else [])
+    assert all(abs(model.idf[g] - (log((1 + len(learn)) / (1 + n)) + 1)) < 1e-9 for g, n in df.items())
+    got = {(x["doc_id"]): (x["lang_pred"], x["score"]) for x in language_id.identify_languages(docs).collect()}
+    for i, t, _ in rows[:60]:
+        v = {g: (1 + log(n)) * model.idf[g] for g, n in grams(t).items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        z = [sum(x / norm * model.weights[g, k] for g, x in v.items()) / model.temperature for k in range(3)]
+        p = [exp(x - max(z)) / sum(exp(y - max(z)) for y in z) for x in z]
+        assert got[i][0] == model.languages[int(np.argmax(p))] and abs(got[i][1] - max(p)) < 1e-5
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_language_scores_are_calibrated_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    held = [x for x in language_id.identify_languages(docs).collect() if x["held_out"] and x["lang_pred"] != "und" and truth[x["doc_id"]]]
+    right = np.array([truth[x["doc_id"]] == x["lang_pred"] for x in held])
+    score = np.array([x["score"] for x in held])
+    assert len(held) > 150 and right.mean() >= 0.97 and abs(score.mean() - right.mean()) < 0.05
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no tables")
+def test_toxicity_on_labels_that_were_not_learned_from(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    rest = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id % 4 = 3").collect()}
+    flagged = {x["doc_id"] for x in toxicity.toxic_documents(docs, labels.where("doc_id % 4 <> 3")).collect()}
+    bad = {i for i, t in rest.items() if t == 1}
+    assert len(bad) > 50 and len(bad & flagged) >= 0.7 * len(bad) and len(flagged & (rest.keys() - bad)) <= 0.03 * len(rest)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -243,6 +394,10 @@ def test_pipeline_stages(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / name))
         at = spark.read.parquet(str(tmp_path / name))
     left = {r["doc_id"] for r in at.collect()}
+    twice = data.where("doc_id = 5").unionByName(data.where("doc_id IN (1, 4, 17)").withColumn("doc_id", F.lit(5).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        twice = stage(spark, twice, str(tmp_path)).cache()
+    assert {r["doc_id"] for r in twice.collect()} == {5} and twice.count() == 3  # 1 and 4 are near copies, the others stay
     assert 1 in left and not left & {2, 3, 4, 6, 7, 8, 12}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.scale import new_path, salted_join, work_folder
+from tracewright.operators.scale import written as materialise
 from tracewright.shipping import ship_package
 
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "anti_by_id", "body", "light_batches", "materialise", "new_path", "offsets", "salted_join", "semi_by_id", "table", "work_folder"]
+
 #: Rows of whole texts that go to Python at a time.
 BATCH_ROWS = 2_000
 #: Rows of (id) that may be broadcast; beyond it the same join runs as a shuffle join.
@@ -20,40 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where that is unset (local tests) a temporary folder of this machine is taken and
-    remembered in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tracewright.work.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("tracewright.work.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost executors.
-
-    compact deals narrow tables (ids, links) to two files per core, however many partitions the last shuffle had.
-    """
-    spark = df.sparkSession
-    if compact:
-        df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def light_batches(spark: SparkSession) -> None:
     """Make Python stages over whole texts ready: the package is on the executors, and batches hold BATCH_ROWS rows at most.
 
-    Memory then follows the texts, not Spark's default of 10,000 rows.
+    Memory then follows the texts, not Spark's default of 10,000 rows. The setting is read when a plan runs, so it
+    stays in the session; a smaller one of the user is kept.
     """
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -76,3 +48,10 @@ def anti_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not in ids, null keys included; broadcast as in semi_by_id."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
+
+
+def offsets(parts: DataFrame, size: str, name: str) -> DataFrame:
+    """(part, name, total): the sum of size over earlier parts, and over all; parts has one row per file part, so one window holds it."""
+    w = Window.orderBy("part")
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.select("part", before.cast("bigint").alias(name), F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))

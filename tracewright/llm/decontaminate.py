@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import anti_by_id, light_batches, materialise, table
+from tracewright.llm.common import light_batches, table
 from tracewright.llm.words import mix, words
 
 #: Share of an item's words that may be edited (floor of the product).
@@ -23,8 +23,10 @@ SAMPLED, REPETITIONS = 3, 48
 SEED = 11
 #: Items of one size class have sizes within this ratio.
 RATIO = 1.3
-#: Bytes of benchmark text that are broadcast at a time; a larger benchmark is searched in blocks.
+#: Bytes of benchmark text in a block of items (items are dealt to blocks by a hash of their id).
 BLOCK_BYTES = 16_000_000
+#: Blocks that one pass over the documents searches; with the bytes of a block this bounds what is broadcast at once.
+PASS_BLOCKS = 8
 #: Places of equal grams that are expanded at a time, and cells of the texts that are compared at a time.
 PLACES, CELLS = 2_000_000, 400_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, first_word bigint, item_words int"
@@ -307,25 +309,62 @@ class Searcher:
             yield r, i, d, place
 
 
+def _found(searchers: list[Searcher], column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item id, edits, first word, item words) of a column of texts: the best place of each item id in each row."""
+    for w in words(column):
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for s in searchers if len(w.hashes) else []:
+            for row, i, edits, place in s.hits(w.hashes, w.counts):
+                key = w.first + row, int(s.ids[i])
+                best[key] = min(best.get(key, (edits, place, len(s.items[i]))), (edits, place, len(s.items[i])))
+        for (row, item), (edits, place, size) in best.items():
+            yield row, item, edits, place, size
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s: Searcher = shared.value
+        searchers = [b.value for b in shared]
         for batch in batches:
-            out = []
-            for w in words(batch.column(1)):
-                if len(w.hashes):
-                    out += [(w.first + r, i, d, p) for r, i, d, p in s.hits(w.hashes, w.counts)]
+            out = list(_found(searchers, batch.column(1)))
             if out:
-                row, item, edits, place = (np.array(x, np.int64) for x in zip(*out))
-                sizes = np.array([len(s.items[i]) for i in item], np.int32)
+                row, item, edits, place, sizes = (np.array(x, np.int64) for x in zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(s.ids[item]), pa.array(edits.astype(np.int32)), pa.array(place), pa.array(sizes)],
+                    [batch.column(0).take(pa.array(row)), pa.array(item), pa.array(edits.astype(np.int32)), pa.array(place), pa.array(sizes.astype(np.int32))],
                     names=["doc_id", "item_id", "edits", "first_word", "item_words"],
                 )
 
     return run
 
 
+def _clean(shared):
+    """Whole rows whose text holds no item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searchers = [b.value for b in shared]
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            keep[[hit[0] for hit in _found(searchers, batch.column(batch.schema.names.index("text")))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator[list]:
+    """Broadcast searchers, PASS_BLOCKS of them at most for one pass over the documents; an item id is in one block only."""
+    spark = docs.sparkSession
+    light_batches(spark)
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text")).where("text is not null and item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(size // BLOCK_BYTES) + 1
+    for first in range(0, blocks, PASS_BLOCKS):
+        shared = []
+        for k in range(first, min(first + PASS_BLOCKS, blocks)):
+            block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").toPandas()
+            split = [(i, x) for i, t in zip(block["item_id"], block["text"]) for w in words(pa.array([t])) if len(x := w.hashes)]
+            shared.append(spark.sparkContext.broadcast(Searcher(np.array([i for i, _ in split], np.int64), [x for _, x in split])))
+        yield shared
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, first_word, item_words): items found in documents.
 
@@ -335,34 +374,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repetitions is set for each size class by measuring recall on edited items; each candidate is
     verified by the exact distance. Size classes that would need more than REPETITIONS (items of more than
     some hundred words) are found by the unchanged runs of three words that must be left, as in
-    Searcher.regions, which misses none. The benchmark is broadcast in blocks of BLOCK_BYTES at most
-    (one pass over the documents for each block), so its size may grow.
+    Searcher.regions, which misses none. The benchmark is broadcast in blocks of about BLOCK_BYTES; a pass over
+    the documents searches PASS_BLOCKS of them while it holds a batch's hashed words, so its size may grow.
 
     Null, empty or word-less texts and items match nothing. A null doc_id is reported as null; repeated rows
-    are reported as often as they occur. Other columns are ignored.
+    are reported as often as they occur. An item_id with several texts is reported once for a row, at the best place of any
+    of them. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text")).where("text is not null and item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    parts = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").toPandas()
-        split = [(i, x) for i, t in zip(block["item_id"], block["text"]) for w in words(pa.array([t])) if len(x := w.hashes)]
-        shared = spark.sparkContext.broadcast(Searcher(np.array([i for i, _ in split], np.int64), [x for _, x in split]))
-        parts.append(rows.mapInArrow(_search(shared), SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(shared), SCHEMA) for shared in _passes(docs, benchmark)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark item; columns unchanged."""
-    ids = materialise(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "contaminated", compact=True)
-    return anti_by_id(docs, ids, "doc_id").select(docs.columns)
+    """docs without the rows whose text holds a benchmark item; columns unchanged.
+
+    Each row is judged by its own text, whatever its doc_id: of rows with one doc_id only the contaminated ones go, and a
+    contaminated row with a null doc_id goes too. Rows with null text stay.
+    """
+    return reduce(lambda left, shared: left.mapInArrow(_clean(shared), docs.schema), _passes(docs, benchmark), docs)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import body, materialise, table
+from tracewright.llm.common import body, materialise, offsets, salted_join, table
+from tracewright.operators.scale import running_sum
 
 SHARDS = 40
 BITS = 5
+FEW_NAMES = 10_000
 
 
 def hilbert_index(dims: list[Column], bits: int) -> Column:
@@ -54,69 +56,114 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.transform(bound, interleave)[0]
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def _level(col: str, cuts: list) -> Column:
+    """Number of the cell of an ascending list of cuts (2**bits - 1 at most) that a value falls into."""
+    kind = "array<string>" if cuts and isinstance(cuts[0], str) else "array<long>"
+    return F.size(F.filter(F.lit(cuts).cast(kind), lambda c: c < F.col(col)))
+
+
+def _size_cuts(meta: DataFrame, cells: int) -> list[int]:
+    return meta.agg(F.percentile_approx("size", [i / cells for i in range(1, cells)], 10_000).alias("cuts")).first()["cuts"] or []
+
+
+def _name_cuts(meta: DataFrame, col: str, cells: int) -> list[str]:
+    """Names that end a cell if all names are sorted and cut where their rows sum to a new share of 1 / cells.
+
+    Names are counted first. Up to FEW_NAMES counts are summed on the driver; the running sums of more are range partitioned, and
+    only the last name of each cell reaches the driver.
+    """
+    names = meta.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
+    few = names.limit(FEW_NAMES + 1).collect()
+    if len(few) <= FEW_NAMES:
+        total, before, ends = sum(r["rows"] for r in few), 0, {}
+        for r in sorted(few):
+            ends[before * cells // total] = r[col]
+            before += r["rows"]
+        return sorted(ends.values())[:-1]
+    ranked = running_sum(names, [], [col], "rows").withColumn("cell", F.expr(f"cast((before * {cells}) div total as int)"))
+    return sorted(r["last"] for r in ranked.groupBy("cell").agg(F.max(col).alias("last")).collect())[:-1]
+
+
+def _metadata(docs: DataFrame, more: list[Column]) -> DataFrame:
     text = body("text")
     return docs.select(
-        "doc_id",
+        F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.md5(F.encode(text, "UTF-8")).alias("text_md5"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
+        *more,
+    )
+
+
+def _ordered(docs: DataFrame, bits: int, whole_rows: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Rows along the curve with (part, pos), the rows before each part, and their number; with whole_rows also the columns of docs as one struct."""
+    meta = materialise(_metadata(docs, []), "shard-meta")
+    cells, total = 1 << bits, meta.count()
+    # A group of equal texts takes its lang and source from its first row; only groups whose rows differ there need it.
+    names = F.struct("lang", "source")
+    mixed = (
+        meta.groupBy("text_md5").agg(F.min(F.struct("doc_id", "lang", "source")).alias("first"), F.min(names).alias("lo"), F.max(names).alias("hi"))
+        .where("lo <> hi").select("text_md5", F.col("first.lang").alias("group_lang"), F.col("first.source").alias("group_source"))
+    )
+    rows = _metadata(docs, [F.struct(*[F.col(c) for c in docs.columns]).alias("row")]) if whole_rows else meta
+    rows = salted_join(rows, mixed, "text_md5", how="left", total=total, counted=meta)
+    rows = rows.withColumn("lang", F.coalesce("group_lang", "lang")).withColumn("source", F.coalesce("group_source", "source"))
+    dims = [_level("lang", _name_cuts(meta, "lang", cells)), _level("source", _name_cuts(meta, "source", cells)), _level("size", _size_cuts(meta, cells))]
+    keyed = rows.select("doc_id", "size", "text_crc32", "text_md5", hilbert_index(dims, bits).alias("hilbert"), *(["row"] if whole_rows else []))
+    order = ["hilbert", "text_md5", "doc_id"]
+    ranked = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranked = materialise(
+        ranked.select("*", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).drop("at", "text_md5"),
+        "shard-sorted",
     )
+    before = offsets(ranked.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "rows", "base")
+    return ranked, before.select("part", "base"), total
+
+
+def _placed(ranked: DataFrame, before: DataFrame, total: int, shards: int) -> DataFrame:
+    """ranked with shard and slot: the sorted run is cut where rank * shards / total reaches a new number. before has one row per file part."""
+    n = max(total, 1)
+    out = ranked.join(F.broadcast(before), "part").withColumn("rank", F.col("base") + F.col("pos"))
+    out = out.withColumn("shard", F.expr(f"cast((rank * {shards}) div {n} as int)"))
+    return out.withColumn("slot", F.expr(f"rank - (cast(shard as long) * {n} + {shards - 1}) div {shards}"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert, for every row of docs.
 
-    Three axes are quantised to 2**bits cells: size by equal-depth cuts taken over all rows, lang and
-    source by hash. Rows are sorted by (curve index, text_crc32, doc_id), so equal texts with equal metadata
-    are neighbours, and the sorted run is cut into shards whose row counts differ by one at most
-    (law `rows`). The global rank is local position + rows of earlier partitions: only one count
-    per partition is gathered. Texts are read once and never shuffled.
+    Three axes are quantised to 2**bits cells of equal depth over all rows: size by its quantiles, lang and
+    source by the order of their names, so a cell is a range of names. Rows are sorted by (curve index, md5 of
+    the text, doc_id), and the sorted run is cut into shards whose row counts differ by one at most (law
+    `rows`). Equal texts take the lang and source of the first of them (smallest doc_id), so they have one place on the
+    curve and are neighbours: a group is parted only where the law's cut falls inside it.
+    The global rank is local position + rows of earlier file parts, which are joined as a table of one row per
+    part. Texts are read once and never shuffled.
 
     Null text counts as empty, null lang or source as an empty name; a null doc_id sorts first;
-    repeated rows get slots of their own. An empty table gives an empty result.
+    repeated rows get slots of their own. Other columns are ignored. An empty table gives an empty result.
     """
-    meta = materialise(metadata(docs), "shard-meta")
-    cells = 1 << bits
-    cuts = meta.agg(F.percentile_approx("size", [i / cells for i in range(1, cells)], 10_000).alias("cuts")).first()["cuts"] or []
-    level = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col("size")))
-    code = lambda c: F.pmod(F.crc32(F.encode(F.col(c), "UTF-8")), F.lit(cells)).cast("int")
-    keyed = meta.select("doc_id", "size", "text_crc32", hilbert_index([code("lang"), code("source"), level], bits).alias("hilbert"))
-    order = ["hilbert", "text_crc32", "doc_id", "size"]
-    ranked = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    ranked = materialise(
-        ranked.select("*", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).drop("at"),
-        "shard-sorted",
-    )
-    # One row per partition reaches the driver, in ascending order of the curve.
-    before, total = {}, 0
-    for part, rows in sorted(map(tuple, ranked.groupBy("part").count().collect())):
-        before[part], total = total, total + rows
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")) if before else F.lit(0)
-    rank = base.cast("long") + F.col("pos")
-    n = max(total, 1)
-    shard = F.expr(f"cast((rank * {shards}) div {n} as int)")
-    return (
-        ranked.select("*", rank.alias("rank"))
-        .select("*", shard.alias("shard"))
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-            (F.col("rank") - F.expr(f"(cast(shard as long) * {n} + {shards - 1}) div {shards}")).alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"), "hilbert",
-        )
+    return _placed(*_ordered(docs, bits, False), shards).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert"
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write docs as one folder per shard, rows in curve order inside each file.
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> str:
+    """Write all columns of docs as one folder per shard, rows in curve order inside each file; the folder column's name is returned.
 
-    doc_id must be unique here. Each shard's files hold a narrow range of every axis, so footers
-    prune scans on lang, source and size together.
+    The rows themselves are sorted and cut as in hilbert_shards (written twice, shuffled once), so repeated and null
+    doc_ids are kept as they are. Each task writes the run it holds, so a large shard is the work of several tasks and has
+    several files. A file holds a narrow range of every axis, so footers prune scans on lang, source and size together. The
+    folder column is `shard`, with underscores added where docs has that column.
     """
-    placed = hilbert_shards(docs, shards).select(F.col("doc_id").alias("__id"), "shard", "slot")
-    out = docs.join(placed, docs["doc_id"] == placed["__id"]).drop("__id")
-    out.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    ranked, before, total = _ordered(docs, bits, True)
+    out = _placed(ranked, before, total, shards).select(F.col("shard").alias("__shard"), "part", "pos", "row.*")
+    out.drop("part", "pos").withColumnRenamed("__shard", name).write.partitionBy(name).parquet(path)
+    return name
 
 
 def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

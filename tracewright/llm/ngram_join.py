@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, light_batches, materialise, semi_by_id, table
-from tracewright.llm.components import components
+from tracewright.llm.common import BROADCAST_ROWS, anti_by_id, light_batches, materialise, salted_join, semi_by_id, table
 from tracewright.llm.words import BLANK, mix, shingles, words
+from tracewright.operators.graph import components as graph_components
 
 #: Tokens that are counted together in a task before frequent ones are passed on.
 COUNT_TOKENS = 2_000_000
@@ -21,6 +23,10 @@ COUNT_TOKENS = 2_000_000
 FREQUENT_TOKENS = 400_000
 #: Rows of one list above which it is dealt out to several tasks.
 LIST_ROWS = 4_000
+#: A salted subset list's number is lower by SALT for each salt; subsets are smaller than SALT.
+SALT = 1_000
+#: Most first sums that different sets may share; with 64 bits none are expected below some billion sets.
+CLASHES = 100_000
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -49,6 +55,17 @@ def light_bound(percent: int, list_rows: float) -> int:
 _SIGNED = lambda a: pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
+def _sums(s: np.ndarray, bits: int) -> tuple[np.uint64, np.uint64]:
+    """Two sums of a set's tokens; the first one cut to `bits` bits (64, less only to force clashes in tests)."""
+    return mix(s, 1).sum(dtype=np.uint64) & np.uint64((1 << bits) - 1), mix(s, 2).sum(dtype=np.uint64)
+
+
+def _set_id(s: np.ndarray, bits: int, clashes: set[int]) -> np.uint64:
+    """A set's id: its first sum, or the second one where different sets share the first."""
+    a, b = _sums(s, bits)
+    return b if int(a) in clashes else a
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """Tokens per bucket (256 buckets, 255 at most). Between two sets the counts differ by no more in all than the sets do."""
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
@@ -67,7 +84,7 @@ def _close(percent: int):
     return run
 
 
-def _survey(width: int, letters):
+def _survey(width: int, letters, bits: int):
     """Rows (0, doc_id, n, set hash, second set hash) of documents and (1, token, count) of tokens met twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +104,13 @@ def _survey(width: int, letters):
             a, b, n, sketches = [], [], [], []
             for w in words(batch.column(1), letters):
                 for _, s, _ in shingles(w, width):
-                    a.append(mix(s, 1).sum(dtype=np.uint64))
-                    b.append(mix(s, 2).sum(dtype=np.uint64))
+                    first, second = _sums(s, bits)
+                    a.append(first)
+                    b.append(second)
                     n.append(len(s))
                     sketches.append(_sketch(s))
-                    if len(s) and a[-1] not in seen:
-                        seen.add(a[-1])
+                    if len(s) and second not in seen:
+                        seen.add(second)
                         held.append(s)
                         size += len(s)
                 if size >= COUNT_TOKENS:
@@ -109,13 +127,20 @@ def _survey(width: int, letters):
 _SURVEY = ["kind", "id", "n", "cid", "check", "sketch"]
 
 
-def _entries(width: int, letters, percent: int, light: int, frequent):
+def _salted(df: np.ndarray, cid: np.uint64, list_rows: int) -> np.ndarray:
+    """The salt + 1 of lists whose tokens occur df times, 0 where a list needs none."""
+    parts = df // list_rows + 1
+    return np.where(parts > 1, (cid % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
+
+
+def _entries(width: int, letters, percent: int, light: int, frequent, bits: int, clashes: set[int], list_rows: int):
     """List rows of each distinct set: prefix tokens of heavy sets, subset hashes of light ones.
 
-    A row is (token, list, cid, place): list is 0, the salt + 1 of a frequent token, or minus the size of
-    a subset; place holds the set's size and, below, the token's position in the set's order. The order puts frequent
-    tokens last and, before them, long ones first: long words are rare words, and the order must only
-    depend on the token.
+    A row is (token, list, cid, place). A token list has list 0, or the salt + 1 if its token is frequent;
+    a subset list has minus the subset's size, less SALT for each salt: it can hold no more sets than its least
+    frequent token, so only subsets of frequent tokens are salted. place holds the set's size and, below,
+    the token's position in the set's order. The order puts frequent tokens last and, before them, long ones
+    first: long words are rare words, and the order must only depend on the token.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,26 +154,28 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
                     n = len(s)
                     if not n:
                         continue
-                    cid = mix(s, 1).sum(dtype=np.uint64)
+                    cid = _set_id(s, bits, clashes)
                     if cid in seen:
                         continue
                     if len(seen) < 500_000:
                         seen.add(cid)
+                    at = np.minimum(np.searchsorted(names, s), max(len(names) - 1, 0))
+                    df = np.where(names[at] == s, counts[at], 0) if len(names) else np.zeros(n, np.int64)
                     if n <= bridge:
                         m = mix(s, 3)
                         total = m.sum(dtype=np.uint64)
                         for k in deletions(n, light, percent):
-                            less = [m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), k)] if k else [np.uint64(0)]
+                            gone = list(combinations(range(n), k))
+                            less = [m[list(c)].sum(dtype=np.uint64) for c in gone] if k else [np.uint64(0)]
                             key = mix(total - np.array(less, np.uint64), 1000 + n - k)
-                            out.append((key, np.full(len(key), k - n), cid, np.full(len(key), n << 32)))
+                            salt = np.zeros(len(key), np.int64)
+                            if np.partition(df, min(k, n - 1))[min(k, n - 1)] >= list_rows:
+                                salt = _salted(np.array([np.delete(df, c).min(initial=df.max()) for c in gone]), cid, list_rows)
+                            out.append((key, k - n - SALT * salt, cid, np.full(len(key), n << 32)))
                     if n > light:
                         length = n - -(-percent * n // 100) + 1
-                        at = np.minimum(np.searchsorted(names, s), max(len(names) - 1, 0))
-                        df = np.where(names[at] == s, counts[at], 0) if len(names) else np.zeros(n, np.int64)
                         order = np.lexsort((s, -long, df))[:length]
-                        salts = df[order] // LIST_ROWS + 1
-                        salt = np.where(salts > 1, (cid % salts.astype(np.uint64)).astype(np.int64) + 1, 0)
-                        out.append((s[order], salt, cid, (n << 32) + np.arange(length)))
+                        out.append((s[order], _salted(df[order], cid, list_rows), cid, (n << 32) + np.arange(length)))
                 if out:
                     cids = np.repeat(np.array([x[2] for x in out], np.uint64), [len(x[0]) for x in out])
                     join = lambda i: np.concatenate([x[i] for x in out])  # noqa: B023, E731
@@ -157,19 +184,35 @@ def _entries(width: int, letters, percent: int, light: int, frequent):
     return run
 
 
-def _sets(width: int, letters):
+def _sets(width: int, letters, bits: int, clashes: set[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(0), letters):
                 sets = [s for _, s, _ in shingles(w, width) if len(s)]
                 if sets:
                     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    cids = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], np.uint64)
+                    cids = np.array([_set_id(s, bits, clashes) for s in sets], np.uint64)
                     yield pa.RecordBatch.from_arrays([_SIGNED(cids), pa.ListArray.from_arrays(pa.array(ends), _SIGNED(np.concatenate(sets)))], names=["cid", "tokens"])
 
     return run
 
 
+def _with_ids(width: int, letters, bits: int, clashes: set[int]):
+    """Whole rows with the id of their text's set, null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, some = np.zeros(len(batch), np.uint64), np.zeros(len(batch), bool)
+            for w in words(batch.column(batch.schema.names.index("text")), letters):
+                for row, s, _ in shingles(w, width):
+                    if len(s):
+                        cids[row], some[row] = _set_id(s, bits, clashes), True
+            ids = pa.array(cids.view(np.int64), mask=~some)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "__set"])
+
+    return run
+
+
 def _reaches(a: Column, b: Column, common: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
@@ -181,25 +224,36 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & _reaches(n, m, left, percent)
 
 
-def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, width: int, letters, percent: int, tag: str) -> DataFrame:
+def _band(n: str, percent: int) -> Column:
+    """Number of a size band; the sizes of two sets that link are in one band or in bands side by side."""
+    return F.floor(F.log(F.col(n).cast("double")) / max(1.001 * log(100 / percent), 1e-3)).cast("int")
+
+
+def components(links: DataFrame) -> DataFrame:
+    return graph_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, sets_of, percent: int, tag: str) -> DataFrame:
     """Those of the pairs (a, b) whose sets reach the similarity; counted on the whole sets.
 
     Pairs whose token counts per bucket differ by more than the similarity allows go first. Only documents
-    that stand in one of the other pairs are read and hashed again.
+    that stand in one of the other pairs are read and hashed again. The pairs of a centre with very many members are dealt
+    to many tasks, each of which gets the centre's sketch or set.
     """
+    pairs = materialise(pairs, f"{tag}-candidates", compact=True)
+    total = pairs.count()
     sketch = lambda end, n, s: first_doc.select(F.col("cid").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
-    sketched = pairs.join(sketch("a", "n", "left"), "a").join(sketch("b", "m", "right"), "b").select("a", "b", "n", "m", "left", "right")
+    both = lambda left, right: salted_join(salted_join(pairs, left, "a", total=total), right, "b", total=total, counted=pairs)
+    sketched = both(sketch("a", "n", "left"), sketch("b", "m", "right")).select("a", "b", "n", "m", "left", "right")
     pairs = materialise(sketched.mapInArrow(_close(percent), "a bigint, b bigint"), f"{tag}-pairs", compact=True)
+    total = pairs.count()
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed", compact=True)
-    sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(_sets(width, letters), "cid bigint, tokens array<bigint>")
+    sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(sets_of, "cid bigint, tokens array<bigint>")
     sets = materialise(sets, f"{tag}-sets")
-    both = (
-        pairs.join(sets.select(F.col("cid").alias("b"), F.col("tokens").alias("right")), "b")
-        .join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("left")), "a")
-        .select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"), F.size(F.array_intersect("left", "right")).alias("common"))
-    )
-    links = both.where(_reaches(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b").distinct()
+    counted = both(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("right")))
+    counted = counted.select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"), F.size(F.array_intersect("left", "right")).alias("common"))
+    links = counted.where(_reaches(F.col("n"), F.col("m"), F.col("common"), percent)).select("a", "b").distinct()
     return materialise(links, f"{tag}-links", compact=True)
 
 
@@ -220,102 +274,144 @@ def _frequent_tokens(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return names[order], df[order], sum(s for _, s in rare) / max(1, sum(c for c, _ in rare))
 
 
-def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters=BLANK) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+@dataclass
+class Sets:
+    """What a join leaves behind: rows (doc_id, n, cid) and (cid, component, component_id) of classes, and how to name the set of a text."""
 
-    A document's set holds its distinct word shingles; documents whose sets have a Jaccard similarity of
-    at least percent / 100 are linked, and component_id is the smallest doc_id reachable by links.
+    members: DataFrame
+    classes: DataFrame
+    with_ids: Callable
 
-    1. One pass hashes the shingles to 64 bits, folds equal sets into one class (two 64-bit sums)
-       and finds tokens that are frequent in the corpus.
-    2. A second pass emits list rows. Light sets (size up to a bound where subset enumeration is
-       cheaper than scanning, from the measured list size) emit the hash of each fixed-size subset
-       through which a link can run. Heavy sets emit their prefix tokens, frequent tokens last.
-    3. Lists with one set are dropped. In every other list all sets are compared with one centre only
-       (the least disturbed one); components of those links join what belongs together, so a group of k
-       near copies costs k comparisons. In subset lists the centre is enough. In token lists
-       pairs that are still in different components are compared too, if sizes and positions allow a link.
-    4. Every candidate is verified by intersecting the whole sets. Lists of frequent tokens are
-       dealt out by salt; joins on ids are left to Spark's skew handling.
 
-    Equality of shingles is equality of 64-bit hashes. Null or blank text has an empty set: n_shingles
-    0, component_id its own doc_id. Rows with a null doc_id take no part in links and get their
-    n_shingles and a null component. Repeated rows are returned as often as they occur. Other columns of
-    docs are ignored; an empty table gives an empty result.
-    """
+def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_rows: int = LIST_ROWS) -> Sets:
+    """See ngram_components."""
     spark = docs.sparkSession
     light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    survey = materialise(rows.mapInArrow(_survey(width, letters), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
-    members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "check")
-    names, df, list_rows = _frequent_tokens(survey)
-    light = light_bound(percent, list_rows)
+    survey = materialise(rows.mapInArrow(_survey(width, letters, bits), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
+    members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "check", "sketch")
+    shared = members.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("cid").limit(CLASHES + 1).collect()
+    if len(shared) > CLASHES:
+        raise ValueError(f"more than {CLASHES} set sums are shared by different sets")
+    clashes = {r["cid"] & ((1 << 64) - 1) for r in shared}
+    if shared:
+        two = F.broadcast(spark.createDataFrame(shared, "cid bigint").withColumn("two", F.lit(True)))
+        members = members.join(two, "cid", "left").withColumn("cid", F.when(F.col("two"), F.col("check")).otherwise(F.col("cid"))).drop("two")
+    names, df, seen_rows = _frequent_tokens(survey)
+    light = light_bound(percent, seen_rows)
     frequent = spark.sparkContext.broadcast((names, df))
 
     entries = rows.where("doc_id is not null").select("text").mapInArrow(
-        _entries(width, letters, percent, light, frequent), "token bigint, list int, cid bigint, place bigint"
+        _entries(width, letters, percent, light, frequent, bits, clashes, list_rows), "token bigint, list int, cid bigint, place bigint"
     )
     # Lists of two or more sets, each row with the list's centre: the smallest set of a subset list, else the set with most left after pos.
     n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     rank = F.struct(F.when(F.col("list") < 0, n).otherwise(pos - n).alias("rank"), F.col("cid").alias("cid"), n.alias("n"), pos.alias("pos"))
     w = Window.partitionBy("token", "list")
+    salted = (F.col("list") > 0) | (F.col("list") <= -SALT)
     listed = (
         entries.withColumn("centre", F.min(rank).over(w)).withColumn("far", F.max("cid").over(w)).withColumn("near", F.min("cid").over(w))
-        .where("near <> far or list > 0").select("token", "list", "cid", n.alias("n"), pos.alias("pos"), "centre")
+        .where((F.col("near") != F.col("far")) | salted).select("token", "list", "cid", n.alias("n"), pos.alias("pos"), "centre")
         .distinct()  # copies met in different tasks; the rows of a list are together already
     )
     listed = materialise(listed, "lists")
-    whole = listed.where("list > 0").groupBy(F.col("token").alias("salted")).agg(F.min("centre").alias("head"))
-    listed = listed.join(whole, (F.col("token") == F.col("salted")) & (F.col("list") > 0), "left").withColumn("centre", F.coalesce("head", "centre")).drop("head", "salted")
-    named = survey.where("kind = 0 AND id IS NOT NULL").groupBy("cid").agg(F.min(F.struct(F.col("id").alias("doc_id"), "n", "sketch")).alias("r"))
+    # The parts of a list that was dealt out take one centre; such lists belong to frequent tokens, so they are few.
+    whole = listed.where(salted).groupBy(F.col("token").alias("dealt")).agg(F.min("centre").alias("head"))
+    whole = F.broadcast(whole) if whole.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else whole
+    listed = listed.join(whole, (F.col("token") == F.col("dealt")) & salted, "left").withColumn("centre", F.coalesce("head", "centre")).drop("head", "dealt")
+    named = members.where("doc_id IS NOT NULL").groupBy("cid").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("r"))
     first_doc = materialise(named.select("cid", "r.*"), "classes", compact=True)
 
-    near = F.when(F.col("x.list") < 0, _reaches(F.col("x.n"), F.col("x.centre.n"), -F.col("x.list"), percent)).otherwise(
+    near = F.when(F.col("x.list") < 0, _reaches(F.col("x.n"), F.col("x.centre.n"), F.pmod(-F.col("x.list"), F.lit(SALT)), percent)).otherwise(
         (100 * F.least("x.n", "x.centre.n") >= percent * F.greatest("x.n", "x.centre.n"))
         & _reaches(F.col("x.n"), F.col("x.centre.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("x.centre.n") - F.col("x.centre.pos")), percent)
     )
     stars = listed.alias("x").where("x.cid <> x.centre.cid").where(near).select(F.least("x.cid", "x.centre.cid").alias("a"), F.greatest("x.cid", "x.centre.cid").alias("b")).distinct()
-    links = _verified(rows, first_doc, stars, width, letters, percent, "star")
+    sets_of = _sets(width, letters, bits, clashes)
+    links = _verified(rows, first_doc, stars, sets_of, percent, "star")
     grouped = materialise(components(links), "groups", compact=True)
 
     # Token lists that still hold sets of different components.
     open_ = listed.where("list >= 0").select("token", "cid", "n", "pos", F.col("centre.cid").alias("centre"))
     open_ = open_.join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    open_ = materialise(open_, "open")
     mixed = (
         open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        .where("lo <> hi and rows > 2").select("token", "rows")
+        .where("lo <> hi and rows > 2").select("token", (F.col("rows") / list_rows).cast("int").alias("more"))
     )
-    open_ = materialise(open_.join(mixed, "token").withColumn("parts", (F.col("rows") / LIST_ROWS).cast("int") + 1), "open")
-    left = open_.withColumn("part", F.pmod("cid", F.col("parts")))
+    open_ = salted_join(open_, mixed, "token").withColumn("parts", F.col("more") + 1).withColumn("band", _band("n", percent))
+    # The smaller set of a pair stands in the other's size band or the one below; so far sizes never meet.
+    left = open_.withColumn("part", F.pmod("cid", F.col("parts"))).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     right = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
     rest = (
         left.alias("x").join(
             right.alias("y"),
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.cid") < F.col("y.cid"))
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.band") == F.col("y.band")) & (F.struct("x.n", "x.cid") < F.struct("y.n", "y.cid"))
             & (F.col("x.component") != F.col("y.component")) & (F.col("x.cid") != F.col("x.centre")) & (F.col("y.cid") != F.col("x.centre"))
             & _may_link("x", "y", percent),
-        ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+        ).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     )
-    more = _verified(rows, first_doc, rest, width, letters, percent, "more")
+    more = _verified(rows, first_doc, rest, sets_of, percent, "more")
     if more.limit(1).count():
         star = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
         grouped = materialise(components(star.unionByName(more)), "groups", compact=True)
 
     classes = first_doc.select("cid", "doc_id").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = classes.join(smallest, "component").select("cid", "component_id")
-    return members.join(by_class, "cid", "left").select(
+    first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("component_id"), F.col("cid").alias("kept"))).alias("first"))
+    by_class = classes.select("cid", "component").join(first, "component").select("cid", "first.component_id", "first.kept")
+    return Sets(members.select("doc_id", "n", "cid"), by_class, _with_ids(width, letters, bits, clashes))
+
+
+def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters=BLANK, bits: int = 64, list_rows: int = LIST_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    A document's set holds its distinct word shingles; documents whose sets have a Jaccard similarity of
+    at least percent / 100 are linked, and component_id is the smallest doc_id reachable by links.
+
+    1. One pass hashes the shingles to 64 bits, folds equal sets into one class and finds tokens that
+       are frequent in the corpus. A class is named by a 64-bit sum of its tokens; where sets with
+       different second sums share it, by the second sum.
+    2. A second pass emits list rows. Light sets (size up to a bound where subset enumeration is
+       cheaper than scanning, from the measured list size) emit the hash of each fixed-size subset
+       through which a link can run. Heavy sets emit their prefix tokens, frequent tokens last.
+    3. Lists with one set are dropped. In every other list all sets are compared with one centre only
+       (the least disturbed one); components of those links join what belongs together, so a group of k
+       near copies costs k comparisons. In subset lists the centre is enough. In token lists
+       pairs that are still in different components are compared too, if they are in one size band or in bands side by
+       side and their positions allow a link.
+    4. Every candidate is verified by intersecting the whole sets. Lists of frequent tokens are
+       dealt out by salt; so are the pairs of a centre that has very many.
+
+    Equality of shingles is equality of 64-bit hashes. Null or blank text has an empty set: n_shingles
+    0, component_id its own doc_id. Rows with a null doc_id take no part in links and get their
+    n_shingles and a null component. Rows of one doc_id with different texts are classes of their own and are
+    each returned with their own component. Repeated rows are returned as often as they occur. Other columns of
+    docs are ignored; an empty table gives an empty result. bits narrows the first sum and list_rows the parts of dealt lists, for tests.
+    """
+    sets = _joined(docs, width, percent, letters, bits, list_rows)
+    return salted_join(sets.members, sets.classes, "cid", how="left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component (the one with the smallest doc_id); columns unchanged."""
-    found = materialise(ngram_components(docs, width, percent), "near-copies", compact=True)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    few = losers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti").select(docs.columns)
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, letters=BLANK, bits: int = 64) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id (of that, the first class); columns unchanged.
+
+    Rows, not ids, are judged: where one doc_id stands on several texts, each text stays or goes with its own
+    component, and rows with equal doc_id and equal set are reduced to one. Rows without words stay, as do rows with a null doc_id.
+    """
+    sets = _joined(docs, width, percent, letters, bits)
+    verdicts = salted_join(sets.members.where("n > 0 AND doc_id IS NOT NULL"), sets.classes, "cid").select("doc_id", "cid", ((F.col("doc_id") != F.col("component_id")) | (F.col("cid") != F.col("kept"))).alias("lost"))
+    verdicts = materialise(verdicts, "near-copies", compact=True)
+    losers = verdicts.where("lost")
+    if not verdicts.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return anti_by_id(docs, losers.select("doc_id"), "doc_id").select(docs.columns)
+    named = docs.mapInArrow(sets.with_ids, StructType([*docs.schema.fields, StructField("__set", LongType())]))
+    lost = losers.select(F.col("doc_id").alias("__doc"), F.col("cid").alias("__lost")).distinct()
+    left = named.join(lost, (F.col("doc_id") == F.col("__doc")) & (F.col("__set") == F.col("__lost")), "left_anti")
+    free = F.col("__set").isNull() | F.col("doc_id").isNull()
+    return left.where(free).unionByName(left.where(~free).dropDuplicates(["doc_id", "__set"])).select(docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

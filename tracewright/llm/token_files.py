@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import light_batches, new_path, table
+from tracewright.llm.common import light_batches, new_path, offsets, table
 from tracewright.llm.tokens import TOKENIZER, encoded
 
 SCHEMA = "doc_id bigint, n_tokens bigint, local_start bigint, part int, tokens array<int>"
@@ -39,9 +39,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", row_group_mb: int = 32, page_rows: int = 1000) -> None:
     """Tokenise every whole text and write (doc_id, n_tokens, local_start, part, tokens) in ascending doc_id order.
 
-    Texts are range partitioned by doc_id and sorted inside each partition (rows with one doc_id by
-    text), then tokenised in that order, so each file is a run of the whole order and knows where
-    each document starts in it. Ids have a small alphabet, so dictionary pages with bit-packed
+    Texts are range partitioned and sorted by doc_id (rows with one doc_id by a hash of the text, equal ones
+    by their place in the input, so very many rows with one doc_id are cut too), then tokenised in that order, so each file is a run
+    of the whole order and knows where each document starts in it. Ids have a small alphabet, so dictionary pages with bit-packed
     references are the default; `delta` writes delta binary packed pages instead. Row groups are of
     row_group_mb, pages of page_rows rows; the writer adds column and offset indexes, so a filter on
     doc_id reads few pages and a metadata query never touches the token pages.
@@ -51,8 +51,9 @@ def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", row_g
     """
     light_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    writer = ordered.mapInArrow(_encode, SCHEMA).write.option("compression", "zstd")
+    order = ["doc_id", F.xxhash64("text"), "__at"]
+    ordered = rows.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = ordered.select("doc_id", "text").mapInArrow(_encode, SCHEMA).write.option("compression", "zstd")
     settings = {"parquet.block.size": str(row_group_mb << 20), "parquet.page.row.count.limit": str(page_rows)} | ENCODINGS[encoding]
     for k, v in settings.items():
         writer = writer.option(k, v)
@@ -62,17 +63,12 @@ def write_tokens(docs: DataFrame, path: str, encoding: str = "dictionary", row_g
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files of write_tokens: doc_id, start (ids of all documents before), n_tokens, tokens.
 
-    One number per file part is gathered to turn local starts into global ones. Filters on doc_id
+    The tokens of earlier file parts are joined as a table of one row per part. Filters on doc_id
     and column selections reach the scan.
     """
     files = spark.read.schema(SCHEMA).parquet(path)
-    sums = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    before, total = [], 0
-    for part, n in sums:
-        before += [F.lit(part), F.lit(total).cast("bigint")]
-        total += n
-    base = F.element_at(F.create_map(*before), F.col("part")) if before else F.lit(0).cast("bigint")
-    return files.select("doc_id", (base + F.col("local_start")).alias("start"), "n_tokens", "tokens")
+    before = offsets(files.groupBy("part").agg(F.sum("n_tokens").alias("n")), "n", "base").select("part", "base")
+    return files.join(F.broadcast(before), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "tokens")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,47 +65,73 @@ def _probabilities(x: Sparse, w: np.ndarray) -> np.ndarray:
     return softmax(np.stack([np.zeros(len(x.bounds) - 1), x.times(w[:, None])[:, 0]], 1))[:, 1]
 
 
-def train_chain(rows: list[np.ndarray], labels: np.ndarray, categories: list[str]) -> Chain:
-    """A chain for labels (rows x categories). Later models are trained on out-of-fold probabilities of earlier ones."""
+def _fold_fits(shared, size: int):
+    """Fits of the folds named by the rows: for a fold, the unseen probabilities of its rows; for number FOLDS, the weights from all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = shared.value
+        fold = np.arange(len(y)) % FOLDS
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                if f == FOLDS:
+                    w = _fit(x, y, size)
+                    at = np.flatnonzero(w)
+                    values = w[at]
+                else:
+                    at = np.flatnonzero(fold == f)
+                    inside = np.flatnonzero(fold != f)
+                    values = _probabilities(x.take(at), _fit(x.take(inside), y[inside], size))
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([values], pa.list_(pa.float64()))], names=["fold", "at", "value"])
+
+    return run
+
+
+def train_chain(spark: SparkSession, rows: list[np.ndarray], labels: np.ndarray, categories: list[str]) -> Chain:
+    """A chain for labels (rows x categories). Later models are trained on out-of-fold probabilities of earlier ones.
+
+    The bounded sample is broadcast; each fold and the fit on all rows is one task. The folds of a category run side by side,
+    categories one after the other.
+    """
     chain, size = Chain(categories, []), BUCKETS + 1 + len(categories)
-    fold = np.arange(len(rows)) % FOLDS
     df = np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=BUCKETS)
     rows = [b[df[b] >= LEAST_ROWS] for b in rows]
     earlier = np.zeros((len(rows), 0))
     for k in range(len(categories)):
-        x = Sparse.of([chain.row(b, e.tolist()) for b, e in zip(rows, earlier)])
-        y = labels[:, k]
-        chain.weights.append(_fit(x, y, size))
-        if k + 1 < len(categories):
-            unseen = np.zeros(len(rows))
-            for f in range(FOLDS):
-                inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                unseen[outside] = _probabilities(x.take(outside), _fit(x.take(inside), y[inside], size))
-            earlier = np.column_stack([earlier, unseen])
+        shared = spark.sparkContext.broadcast((Sparse.of([chain.row(b, e.tolist()) for b, e in zip(rows, earlier)]), labels[:, k]))
+        first = FOLDS if k + 1 == len(categories) else 0
+        fits = spark.range(first, FOLDS + 1, 1, FOLDS + 1 - first).mapInArrow(_fold_fits(shared, size), "fold bigint, at array<int>, value array<double>").toArrow().to_pydict()
+        weights, unseen = np.zeros(size), np.zeros(len(rows))
+        for f, at, value in zip(fits["fold"], fits["at"], fits["value"]):
+            (weights if f == FOLDS else unseen)[at] = value
+        chain.weights.append(weights)
+        earlier = np.column_stack([earlier, unseen])
+        shared.unpersist()
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, conditions: dict[str, str] = CONDITIONS) -> Chain:
     """A chain from labelled documents: a hash of doc_id picks TRAIN_ROWS of them at most.
 
-    The ids of the sample are few, so their texts are fetched with a checked broadcast.
+    The ids of the sample are few, so their texts are fetched with a checked broadcast. Where a doc_id has several labels
+    or texts, the least label and the least set of buckets are learned from.
     """
     light_batches(docs.sparkSession)
     names = list(conditions)
     truth = labels.where("doc_id is not null").select("doc_id", *[F.expr(c).cast("int").alias(n) for n, c in conditions.items()])
     for n in names:
         truth = truth.where(F.col(n).isNotNull())
+    truth = truth.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("l")).select("doc_id", "l.*")
     count = truth.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = truth.where(draw <= 0.9 * TRAIN_ROWS / max(count, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).toPandas().drop_duplicates("doc_id")
+    few = truth.where(draw <= 0.9 * TRAIN_ROWS / max(count, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).toPandas()
     if not len(few):
         return Chain(names, [np.zeros(BUCKETS + 1 + len(names)) for _ in names])
     spark = docs.sparkSession
     ids = spark.createDataFrame([(int(i),) for i in few["doc_id"]], "doc_id bigint")
     sample = semi_by_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id")
-    hashed = sample.mapInArrow(_hashed, "doc_id bigint, buckets array<int>").toPandas().drop_duplicates("doc_id")
+    hashed = sample.mapInArrow(_hashed, "doc_id bigint, buckets array<int>").groupBy("doc_id").agg(F.min("buckets").alias("buckets")).toPandas()
     both = few.merge(hashed, on="doc_id").sort_values("doc_id", ignore_index=True)
-    return train_chain([np.asarray(b, np.int32) for b in both["buckets"]], both[names].to_numpy(), names)
+    return train_chain(spark, [np.asarray(b, np.int32) for b in both["buckets"]], both[names].to_numpy(), names)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

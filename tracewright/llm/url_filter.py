@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import BROADCAST_ROWS, table
 
 #: Fixed by the contract: (verdict, host, path).
 HOST_RULES = [
@@ -29,7 +30,9 @@ PATTERN_RULES = [
     ("archive", ["zip"], r"\.zip(\?|$)"),
     ("ads", ["ad|ads"], r"^ads?\.|/ads?/"),
 ]
-_RULE = "array<struct<size:int,name:string,verdict:string,kind:string,pattern:string>>"
+_RULE = "struct<word:string,size:int,name:string,verdict:string,kind:string,pattern:string>"
+#: Rules that may be part of the plan.
+PLAN_RULES = 2_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column, Column]:
@@ -56,44 +59,63 @@ def _compiled(host_rules, pattern_rules) -> list[dict]:
     return rules
 
 
-def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
+def _filed(rules: list[dict], counts: dict[str, int]) -> list[tuple[str, dict]]:
+    """(word, rule): each rule under its rarest word, or under each of the words that stand for it."""
+    out = []
+    for r in rules:
+        rarest = min(r["words"], key=lambda w: (sum(counts.get(x, 0) for x in w.split("|")), w))
+        out += [(word, {k: v for k, v in r.items() if k != "words"}) for word in rarest.split("|")]
+    return out
+
+
+def _fetched(words: Column, filed: list[tuple[str, dict]]) -> Column:
+    """The rules that a URL's words fetch, from an index in the plan: a word's crc32 names its slot, so a look-up does not depend on the number of rules."""
+    slots: list = [[] for _ in range(max(16, 4 * len(filed)))]
+    for word, rule in filed:
+        slots[zlib.crc32(word.encode()) % len(slots)].append({"word": word} | rule)
+    index = F.from_json(F.lit(json.dumps({"v": slots})), f"v array<array<{_RULE}>>")["v"]
+    fetch = lambda w: F.get(index, (F.crc32(w.cast("binary")) % len(slots)).cast("int"))
+    return F.flatten(F.transform(words, lambda w: F.filter(fetch(w), lambda r: r["word"] == w)))
+
+
+def judge_urls(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, plan_rules: int = PLAN_RULES) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, pattern.
 
     How often each rule word occurs is counted over all URLs; every rule is filed under its rarest
-    word, or under each of the words that stand for it. A URL's words fetch the rules filed under them and only those run their expression. The
-    counts that reach the driver are one number per rule word; the rule index is part of the plan,
-    so judging needs no shuffle. The longest host rule that fits wins (ties: by text); else the
+    word, or under each of the words that stand for it. A URL's words fetch the rules filed under them and only those run their
+    expression. Up to plan_rules rules the index is part of the plan and judging needs no shuffle; more rules are a table, joined
+    with the words of all URLs (broadcast only if it has at most BROADCAST_ROWS rows), and each URL's fits are gathered again.
+    Of the counts one number per rule word reaches the driver, where the rules are. The longest host rule that fits wins (ties: by text); else the
     first fitting pattern (by name) blocks; else the verdict is allow.
 
     A null or malformed url has empty host and path and verdict allow. Repeated rows are judged one by
-    one. Columns of pages other than page_id and url are ignored.
+    one; very long URLs are searched whole. Columns of pages other than page_id and url are ignored.
     """
+    spark = pages.sparkSession
     host, path, full = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"), F.concat(host, full).alias("subject"))
     parts = parts.withColumn("words", F.array_distinct(F.split(F.lower("subject"), "[^a-z0-9]+")))
     rules = _compiled(host_rules, pattern_rules)
     vocabulary = sorted({w for r in rules for words in r["words"] for w in words.split("|")})
-    seen = (
-        parts.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))).alias("word"))
-        .groupBy("word").count().collect()
-    ) if vocabulary else []
-    counts = {r["word"]: r["count"] for r in seen}
-    index: dict[str, list[dict]] = {}
-    for r in rules:
-        rarest = min(r["words"], key=lambda w: (sum(counts.get(x, 0) for x in w.split("|")), w))
-        for word in rarest.split("|"):
-            index.setdefault(word, []).append({k: v for k, v in r.items() if k != "words"})
-    filed = F.from_json(F.lit(json.dumps(index)), f"map<string,{_RULE}>")
-    candidates = F.flatten(
-        F.transform(
-            F.filter("words", lambda w: F.map_contains_key(filed, w)),
-            lambda w: F.element_at(filed, w),
-        )
-    )
-    fits = parts.withColumn("fits", F.filter(candidates, lambda r: F.regexp_like("subject", r["pattern"])))
-    hosts = F.array_max(F.filter("fits", lambda r: r["kind"] == "host"))
-    pattern = F.array_min(F.transform(F.filter("fits", lambda r: r["kind"] == "pattern"), lambda r: r["name"]))
-    return fits.select("page_id", "host", "path", hosts.alias("best"), pattern.alias("hit")).select(
+    seen = parts.select(F.explode("words").alias("word"))
+    if len(rules) <= plan_rules:
+        seen = parts.select(F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>"))).alias("word")) if vocabulary else None
+    else:
+        seen = seen.join(spark.createDataFrame([(w,) for w in vocabulary], "word string"), "word", "left_semi")
+    filed = _filed(rules, {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()} if seen is not None else {})
+    if len(rules) <= plan_rules:
+        fits = parts.withColumn("fits", F.filter(_fetched(F.col("words"), filed), lambda r: F.regexp_like("subject", r["pattern"])))
+        best = F.array_max(F.transform(F.filter("fits", lambda r: r["kind"] == "host"), lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+        pattern = F.array_min(F.transform(F.filter("fits", lambda r: r["kind"] == "pattern"), lambda r: r["name"]))
+        judged = fits.select("page_id", "host", "path", best.alias("best"), pattern.alias("hit"))
+    else:
+        index = spark.createDataFrame([(w, r["size"], r["name"], r["verdict"], r["kind"], r["pattern"]) for w, r in filed], "word string, size int, name string, verdict string, kind string, pattern string")
+        index = F.broadcast(index) if len(filed) <= BROADCAST_ROWS else index
+        rows = parts.withColumn("row", F.monotonically_increasing_id())
+        fits = rows.select("row", "subject", F.explode("words").alias("word")).join(index, "word").where(F.regexp_like("subject", F.col("pattern")))
+        fits = fits.groupBy("row").agg(F.max(F.when(F.col("kind") == "host", F.struct("size", "name", "verdict"))).alias("best"), F.min(F.when(F.col("kind") == "pattern", F.col("name"))).alias("hit"))
+        judged = rows.join(fits, "row", "left").select("page_id", "host", "path", "best", "hit")
+    return judged.select(
         "page_id", "host", "path",
         F.col("best.name").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(F.col("hit").isNotNull(), "block").otherwise("allow")).alias("verdict"),
