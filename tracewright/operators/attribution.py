@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.temporal import asof, interval_owner
+from tracewright.operators.scale import written
+from tracewright.operators.temporal import asof, chunk_for, interval_owner
 
 #: What a sync of each type releases.
 OWN_STREAM, ALL_STREAMS, WAIT = (1, 3), 4, 2
@@ -26,7 +27,11 @@ def owners(runtime: DataFrame, spans: DataFrame) -> DataFrame:
 
 def stream_claims(runtime: DataFrame, spans: DataFrame, activity: DataFrame) -> DataFrame:
     """(pid, stream, t, span_id): a span claims, from its start, each stream that its own thread's calls touch."""
-    own = owners(runtime, spans).where("span_id IS NOT NULL").select("pid", "corr", "span_id", "t0")
+    return _claims(owners(runtime, spans), activity)
+
+
+def _claims(owned: DataFrame, activity: DataFrame) -> DataFrame:
+    own = owned.where("span_id IS NOT NULL").select("pid", "corr", "span_id", "t0")
     touched = own.join(activity.select("pid", "corr", "stream"), ["pid", "corr"])
     return touched.select("pid", "stream", F.col("t0").alias("t"), "span_id").distinct()
 
@@ -44,16 +49,18 @@ def attribute_runtime(runtime: DataFrame, spans: DataFrame, activity: DataFrame,
 
     time: the innermost span of the call's own thread. stream: else the latest claim on the call's
     stream at or before t, unless (sync_aware) a release lies at or after the claim and at or before t:
-    post-release. residual: no claim. gpu_only keeps the calls that started an activity.
+    post-release. residual: no claim. gpu_only keeps the calls that started an activity. Owners are found once and written.
     """
-    called = correlate(owners(runtime, spans), activity)
+    owned = written(owners(runtime, spans), "owned")
+    called = correlate(owned, activity)
     called = called.where("stream IS NOT NULL") if gpu_only else called
-    claims = stream_claims(runtime, spans, activity).withColumnRenamed("span_id", "id")
+    claims = _claims(owned, activity).withColumnRenamed("span_id", "id")
     points = called.select("corr", "pid", "stream", "t", "span_id")
-    claimed = asof(points, claims, ["pid", "stream"], ["id"])
-    claimed = claimed.withColumnRenamed("r_t", "claim_t").withColumnRenamed("r_id", "claimant")
     freed = releases(sync, activity).withColumn("id", F.lit(0).cast("bigint"))
-    out = asof(claimed, freed, ["pid", "stream"])
+    chunk = chunk_for(["pid", "stream"], points, claims, freed)
+    claimed = asof(points, claims, ["pid", "stream"], ["id"], chunk_ns=chunk)
+    claimed = claimed.withColumnRenamed("r_t", "claim_t").withColumnRenamed("r_id", "claimant")
+    out = asof(claimed, freed, ["pid", "stream"], chunk_ns=chunk)
     void = F.col("r_t") >= F.col("claim_t") if sync_aware else F.lit(False)
     rule = F.when(F.col("span_id").isNotNull(), "time").when(F.col("claimant").isNull(), "residual").when(F.coalesce(void, F.lit(False)), "post_release").otherwise("stream")
     return out.select("corr", "pid", "t", rule.alias("rule"), F.coalesce("span_id", F.when(rule == "stream", F.col("claimant"))).alias("span_id"))
@@ -82,18 +89,42 @@ def stream_precedence(sync: DataFrame, activity: DataFrame) -> DataFrame:
 
 def residual_summary(attributed: DataFrame, runtime: DataFrame, bins: int = 10) -> DataFrame:
     """Residual calls per name and time bin (equal bins from the first to the last; the last is closed)."""
-    rest = attributed.where("rule = 'residual'").select("pid", "corr", "t").join(runtime.select("pid", "corr", "api_name", "tid"), ["pid", "corr"])
-    ends = rest.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    lo, hi = ends.first() or (0, 0)
+    rest = _residual(attributed, runtime)
+    lo, hi = rest.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first() or (0, 0)
     lo, hi = lo or 0, hi or 0
     at = F.least(F.lit(bins - 1), F.expr(f"(t - {lo}) * {bins} div {max(hi - lo, 1)}")).cast("int")
     return rest.groupBy("api_name", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tid").alias("threads"))
 
 
+def _residual(attributed: DataFrame, runtime: DataFrame) -> DataFrame:
+    return attributed.where("rule = 'residual'").select("pid", "corr", "t").join(runtime.select("pid", "corr", "api_name", "tid"), ["pid", "corr"])
+
+
+def residual_tops(attributed: DataFrame, runtime: DataFrame, k: int = 15) -> DataFrame:
+    """The k most frequent names of residual calls (what = api) and all their threads (what = tid), with their number."""
+    rest = _residual(attributed, runtime)
+    names = rest.groupBy(F.col("api_name").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(k)
+    threads = rest.groupBy(F.col("tid").cast("string").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return names.withColumn("what", F.lit("api")).unionByName(threads.withColumn("what", F.lit("tid")))
+
+
 def coverage(runtime: DataFrame, spans: DataFrame, least_ns: int, shifts: list[int]) -> DataFrame:
-    """Share of calls that lie in a long span of their thread after shifting the clock by each candidate."""
+    """Share of calls that lie in a long span of their thread after shifting the clock by each candidate; `best` marks the least shift of the largest share."""
     s = spans.where(F.col("t1") - F.col("t0") >= least_ns)
     moved = runtime.select("corr", "pid", "tid", F.explode(F.array(*[F.lit(x).cast("bigint") for x in shifts])).alias("shift"), "t")
     moved = moved.withColumn("t", F.col("t") + F.col("shift")).withColumn("point", F.struct("corr", "shift"))
     held = interval_owner(moved.withColumnRenamed("corr", "c"), s.select("span_id", F.col("vpid").alias("pid"), F.col("vtid").alias("tid"), "t0", "t1"), ["pid", "tid"], "point")
-    return held.groupBy("shift").agg(F.count(F.lit(1)).alias("calls"), F.count("span_id").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("calls"), 6))
+    shares = held.groupBy("shift").agg(F.count(F.lit(1)).alias("calls"), F.count("span_id").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("calls"), 6))
+    best = shares.agg(F.max(F.struct("covered", -F.col("shift"))).alias("b")).select((-F.col("b.col2")).alias("best_shift"))
+    return shares.join(F.broadcast(best)).select("shift", "calls", "covered", "share", (F.col("shift") == F.col("best_shift")).alias("best"))
+
+
+def call_places(runtime: DataFrame, spans: DataFrame) -> DataFrame:
+    """Where each call lies: inside a span of its thread, before the first, after the last, in a gap, or on a thread without spans."""
+    per = spans.groupBy(F.col("vpid").alias("pid"), F.col("vtid").alias("tid")).agg(F.min("t0").alias("first"), F.max("t1").alias("last"))
+    out = owners(runtime, spans).drop("t0").join(per, ["pid", "tid"], "left")
+    place = (
+        F.when(F.col("first").isNull(), "no_callback_thread").when(F.col("span_id").isNotNull(), "inside")
+        .when(F.col("t") < F.col("first"), "before").when(F.col("t") > F.col("last"), "after").otherwise("gap")
+    )
+    return out.select("corr", "pid", "tid", "t", "span_id", place.alias("place"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.scale import FEW_ROWS, running_sum, salted_join, written
-from tracewright.shipping import ship_package
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,17 +21,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     sums = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    links = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links", compact=True)
+    links = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
     seen = links.agg(*sums).first()
     while True:
         many = seen[0]
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = salted_join(both, least, "u", total=2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large") if many > FEW_ROWS else large
+        large = written(large, "large", rows=2 * many) if many > FEW_ROWS else large
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, low, "u", total=many).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = written(small.where("u <> v").distinct(), "stars", compact=True)
+        links = written(small.where("u <> v").distinct(), "stars", compact=True, rows=2 * many)
         now = links.agg(*sums).first()
         if now == seen:
             break
@@ -44,6 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     return found.unionByName(loops)
 
 
+def grouping_edges(edges: DataFrame, infra: bool = False) -> DataFrame:
+    """The edges that put functions into one task: never state links, infra ones only on request. edges: src, dst, edge_class, ..."""
+    return edges.where(F.col("edge_class") != "state") if infra else edges.where(~F.col("edge_class").isin("state", "infra"))
+
+
 def component_stats(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Nodes, edges, distinct topics and total weight of each component."""
     nodes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
@@ -51,6 +54,19 @@ def component_stats(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return nodes.join(links, "component")
 
 
+def component_classes(edges: DataFrame, parts: DataFrame, external: DataFrame, least: int = 2) -> DataFrame:
+    """Components of `least` nodes or more: nodes, real nodes, edges by class, external sources and sinks. external: id of nodes outside the traced system."""
+    ext = external.select(F.col("id").alias("node"), F.lit(1).alias("ext"))
+    both = edges.join(parts.select(F.col("node").alias("src"), "component"), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other")
+    n = lambda c: F.count(F.when(F.col("edge_class") == c, 1))
+    links = both.groupBy("component").agg(F.count(F.lit(1)).alias("edges"), n("infra").alias("infra_edges"), n("state").alias("state_edges"))
+    ends = both.select("component", F.col("src").alias("node"), F.lit("src").alias("end")).unionByName(both.select("component", F.col("dst").alias("node"), F.lit("dst").alias("end"))).distinct().join(ext, "node")
+    outer = ends.groupBy("component").agg(F.count(F.when(F.col("end") == "src", 1)).alias("ext_sources"), F.count(F.when(F.col("end") == "dst", 1)).alias("ext_sinks"))
+    nodes = parts.join(ext, "node", "left").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), (F.count(F.lit(1)) - F.count("ext")).alias("real_nodes")).where(F.col("nodes") >= least)
+    out = nodes.join(links, "component", "left").join(outer, "component", "left").na.fill(0)
+    return out.withColumn("data_edges", F.col("edges") - F.col("infra_edges") - F.col("state_edges"))
+
+
 def degree(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """in, out and total degree; with vertices, those without edges count 0."""
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
@@ -71,7 +87,7 @@ def sinks(edges: DataFrame) -> DataFrame:
 
 def bfs_depth(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable."""
-    links = edges.select("src", "dst").distinct()
+    links = written(edges.select("src", "dst").distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     front = written((roots if roots is not None else sources(links)).select("id").distinct().withColumn("depth", F.lit(0)), "front")
     seen = front
@@ -91,75 +107,63 @@ def longest_depth(edges: DataFrame) -> DataFrame:
     nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
     depth = written(nodes.withColumn("depth", F.lit(0)), "depth")
     while True:
-        free = sources(left)
-        gone = left.join(free, left["src"] == free["id"], "left_semi")
-        if not gone.limit(1).count():
+        free = written(sources(left), "free")
+        if not free.limit(1).count():
             break
+        gone = left.join(free, left["src"] == free["id"], "left_semi")
         more = gone.join(depth, gone["src"] == depth["id"]).groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("more"))
         depth = written(depth.join(more, "id", "left").select("id", F.greatest("depth", F.coalesce("more", F.lit(0))).alias("depth")), "depth")
         left = written(left.join(free, left["src"] == free["id"], "left_anti"), "left")
     return depth
 
 
-def task_graphs(edges: DataFrame) -> DataFrame:
-    """One row per component: nodes, edges, roots, sinks, longest depth."""
+def task_graphs(edges: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """One row per component: nodes, edges, roots, sinks, longest depth; with functions (id, etype, executor, fires) also timer roots, fires and the sorted executors."""
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     parts = written(components(edges), "parts")
     depth = longest_depth(edges)
     flag = lambda df, name: df.select(F.col("id").alias("node"), F.lit(1).alias(name))
     rows = parts.join(depth.withColumnRenamed("id", "node"), "node", "left").join(flag(sources(edges), "root"), "node", "left").join(flag(sinks(edges), "sink"), "node", "left")
-    per = rows.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.count("root").alias("roots"), F.count("sink").alias("sinks"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+    more = []
+    if functions is not None:
+        rows = rows.join(functions.select(F.col("id").alias("node"), "etype", "executor", "fires"), "node", "left")
+        more = [
+            F.count(F.when((F.col("root") == 1) & (F.col("etype") == "tmr"), 1)).alias("timer_roots"), F.coalesce(F.sum("fires"), F.lit(0)).alias("fires"),
+            F.array_join(F.array_sort(F.collect_set(F.col("executor").cast("string"))), ",").alias("executors"),
+        ]
+    per = rows.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.count("root").alias("roots"), F.count("sink").alias("sinks"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), *more)
     links = edges.select("src", "dst").distinct().join(parts, F.col("src") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
     return per.join(links, "component")
 
 
-def _betweenness(adjacency: dict[str, list[str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            total: dict[str, float] = {}
-            for source in batch["id"]:
-                order, parents, paths, dist = [], {source: []}, {source: 1.0}, {source: 0}
-                queue = [source]
-                while queue:
-                    nxt = []
-                    for v in queue:
-                        order.append(v)
-                        for w in adjacency.get(v, ()):
-                            if w not in dist:
-                                dist[w], paths[w], parents[w] = dist[v] + 1, 0.0, []
-                                nxt.append(w)
-                            if dist[w] == dist[v] + 1:
-                                paths[w] += paths[v]
-                                parents[w].append(v)
-                    queue = nxt
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != source:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    return run
-
-
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """Normalised betweenness of directed shortest paths: shortest-path counts are accumulated per source, sources in parallel.
-
-    The adjacency is shipped to the tasks, so the number of edges is checked first; larger graphs are refused.
+def betweenness(edges: DataFrame) -> DataFrame:
+    """Normalised betweenness of directed shortest paths, all sources at once, level by level with joins and grouped sums.
+
+    Forward: rows (s, id, paths) of the nodes at each distance from each source. Backward: what each node passes on to those
+    before it. Every level is written; the rows of a level are at most the pairs (source, node at that distance).
     """
-    ship_package(edges.sparkSession)
-    links = edges.select("src", "dst").where("src <> dst").distinct()
-    rows = links.limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
-    adjacency: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        adjacency.setdefault(r["src"], []).append(r["dst"])
-    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    n = len({x for r in rows for x in r})
+    links = written(edges.select("src", "dst").where("src <> dst").distinct(), "links")
+    nodes = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), "nodes")
+    levels = [written(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")]
+    seen = levels[0].select("s", "id")
+    while True:
+        step = levels[-1].join(links, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        step = written(step.join(seen, ["s", "id"], "left_anti"), "level")
+        if not step.limit(1).count():
+            break
+        levels.append(step)
+        seen = written(seen.unionByName(step.select("s", "id")), "seen")
+    passed = levels[-1].select("s", "id", "paths", F.lit(0.0).alias("share"))
+    total = None
+    for before in reversed(levels[:-1]):
+        total = passed.select("id", "share") if total is None else total.unionByName(passed.select("id", "share"))
+        back = passed.select("s", F.col("id").alias("dst"), (F.lit(1.0) + F.col("share")).alias("gain"), F.col("paths").alias("their")).join(links, "dst")
+        up = before.join(back.select("s", F.col("src").alias("id"), "gain", "their"), ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("their") * F.col("gain")).alias("share"))
+        passed = written(before.join(up, ["s", "id"], "left").select("s", "id", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "passed")
+    shares = total.groupBy("id").agg(F.sum("share").alias("sum")) if total is not None else nodes.select("id", F.lit(0.0).alias("sum"))
+    n = nodes.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    shares = nodes.mapInPandas(_betweenness(adjacency), "id string, part double").groupBy("id").agg(F.sum("part").alias("s"))
-    return nodes.join(shares, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.0)) * scale, 9).alias("betweenness"))
+    return nodes.join(shares, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 9).alias("betweenness"))
 
 
 def rollup_edges(edges: DataFrame, parent: DataFrame, keep_self: bool = False) -> DataFrame:
@@ -196,6 +200,16 @@ def subtree_sizes(vertices: DataFrame, root: str, middle: str, leaf: str) -> Dat
     return vertices.where(F.col("type") == root).select(F.col("id").alias("root")).join(per, "root", "left").na.fill(0)
 
 
+def node_summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per node (type N): entities, functions, sorted topics it sends and receives, and entities without a function."""
+    e = vertices.where("type = 'E'").select(F.col("id").alias("entity"), F.col("parent").alias("node"))
+    f = vertices.where("type = 'F'").groupBy(F.col("parent").alias("entity")).agg(F.count(F.lit(1)).alias("functions"))
+    per = e.join(f, "entity", "left").groupBy("node").agg(F.count(F.lit(1)).alias("entities"), F.coalesce(F.sum("functions"), F.lit(0)).alias("functions"), F.count(F.when(F.col("functions").isNull(), 1)).alias("unbound"))
+    ends = edges.select(F.col("src").alias("entity"), "topic").unionByName(edges.select(F.col("dst").alias("entity"), "topic")).join(e, "entity")
+    topics = ends.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
+    return vertices.where("type = 'N'").select(F.col("id").alias("node")).join(per, "node", "left").join(topics, "node", "left").na.fill(0).na.fill("", ["topics"])
+
+
 def graph_summary(vertices: DataFrame) -> DataFrame:
     """Vertices by type, with the total."""
     return vertices.rollup("type").agg(F.count(F.lit(1)).alias("vertices"), F.count("parent").alias("contained")).withColumn("type", F.coalesce("type", F.lit("all")))
@@ -213,14 +227,16 @@ def dataflow_role(edges: DataFrame, vertices: DataFrame | None = None) -> DataFr
     return both.withColumn("role", F.when(o & i, "relay").when(o, "source").when(i, "sink").otherwise("isolated"))
 
 
-def staircase_order(edges: DataFrame) -> DataFrame:
-    """Rows ordered for display: depth (-1 last), then degree descending, then id; rn is dense over the whole table.
+def staircase_order(edges: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """Rows in display order: depth (-1 last), then role (id, role; sources, relays, sinks, isolated), degree descending, id; rn counts over the whole table.
 
-    The order is for a drawing of at most a few thousand vertices; it is a sort plus one numbering.
+    The numbers are a running sum over a range partitioned sort.
     """
     rows = bfs_depth(edges).join(degree(edges), "id")
-    key = F.when(F.col("depth") < 0, 999).otherwise(F.col("depth"))
-    return rows.withColumn("rn", F.row_number().over(Window.orderBy(key, F.col("total").desc(), "id"))).select("id", "depth", "total", "rn")
+    rows = rows.join(roles.select("id", "role"), "id", "left") if roles is not None else rows.withColumn("role", F.lit(None).cast("string"))
+    place = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ("source", "relay", "sink", "isolated")]), F.col("role")), F.lit(0))
+    keyed = rows.select("id", "depth", "total", F.lit(1).alias("one"), F.when(F.col("depth") < 0, 999).otherwise(F.col("depth")).alias("k1"), place.alias("k2"), (-F.col("total")).alias("k3"))
+    return running_sum(keyed.drop("total").withColumn("degree", -F.col("k3")), [], ["k1", "k2", "k3", "id"], "one").select("id", "depth", F.col("degree").alias("total"), (F.col("before") + 1).cast("int").alias("rn"))
 
 
 def subtree(vertices: DataFrame, root: str, depth: int) -> DataFrame:
@@ -259,11 +275,39 @@ def remove_dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("src") == F.col("k"), "left_semi").join(ids, F.col("dst") == F.col("k"), "left_semi")
 
 
+def mutation_log(current: DataFrame, changes: DataFrame, actor: str, key: str = "id") -> DataFrame:
+    """(id, op, actor, note, diff) of changes (op, id, note, columns): diff holds `column: old -> new` of what a set changes; the log outlives the graph."""
+    cols = [c for c in current.columns if c != key]
+    both = changes.alias("b").join(current.alias("a"), key, "left")
+    parts = [F.when(F.col(f"b.{c}").isNotNull() & ~F.col(f"b.{c}").eqNullSafe(F.col(f"a.{c}")), F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"a.{c}").cast("string"), F.lit("")), F.lit(" -> "), F.col(f"b.{c}").cast("string"))) for c in cols]
+    return both.select(key, "op", F.lit(actor).alias("actor"), "note", F.when(F.col("op") == "set", F.concat_ws("; ", *parts)).otherwise("").alias("diff"))
+
+
 def remap(edges: DataFrame, role: str) -> DataFrame:
     """Ids prefixed by a role, so graphs of several roles can be united."""
     return edges.withColumns({c: F.concat(F.lit(f"{role}/"), c) for c in ("src", "dst")})
 
 
+def compose(graphs: dict[str, tuple[DataFrame, DataFrame]], boundary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One graph of several roles: ids prefixed by their role, a container vertex for each role, external vertices that a boundary link replaces
+    gone with their edges, the links themselves added, and the number of links between containers.
+
+    graphs: role -> (vertices with id, type, parent, label; edges with src, dst, topic). boundary: src_role, src, dst_role, dst, topic, as from match_boundaries.
+    """
+    vertices = reduce(DataFrame.unionByName, [
+        v.select(F.concat(F.lit(f"{r}/"), "id").alias("id"), "type", F.coalesce(F.concat(F.lit(f"{r}/"), "parent"), F.lit(f"CN:{r}")).alias("parent"), "label")
+        .unionByName(v.sparkSession.range(1).select(F.lit(f"CN:{r}").alias("id"), F.lit("CN").alias("type"), F.lit(None).cast("string").alias("parent"), F.lit(r).alias("label")))
+        for r, (v, _) in graphs.items()
+    ])
+    edges = reduce(DataFrame.unionByName, [remap(e.select("src", "dst", "topic"), r).withColumn("rel", F.lit("comm")) for r, (_, e) in graphs.items()])
+    gone = boundary.select(F.concat("src_role", F.lit("/ext:sink:"), "topic").alias("id")).unionByName(boundary.select(F.concat("dst_role", F.lit("/ext:src:"), "topic").alias("id"))).distinct()
+    kept = vertices.join(gone, "id", "left_anti")
+    edges = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    links = boundary.select(F.concat_ws("/", "src_role", "src").alias("src"), F.concat_ws("/", "dst_role", "dst").alias("dst"), "topic", F.lit("comm").alias("rel"))
+    rolled = boundary.groupBy(F.concat(F.lit("CN:"), "src_role").alias("src"), F.concat(F.lit("CN:"), "dst_role").alias("dst")).agg(F.count(F.lit(1)).cast("string").alias("topic")).withColumn("rel", F.lit("containers"))
+    return kept, edges.unionByName(links).unionByName(rolled.select("src", "dst", "topic", "rel"))
+
+
 def namespace_neighbours(edges: DataFrame, space: DataFrame, name: str) -> DataFrame:
     """Nodes of a namespace and their one-step neighbours, the latter flagged foreign."""
     inside = space.where(F.col("namespace") == name).select("id")
@@ -284,9 +328,55 @@ def component_graph(edges: DataFrame, space: DataFrame, sampled: DataFrame | Non
     if sampled is not None:
         both = both.join(sampled.select(F.col("id").alias("dst"), F.lit(True).alias("deposit")), "dst", "left")
     kind = F.when(F.col("deposit"), "sampled").otherwise("trigger") if sampled is not None else F.lit("trigger")
-    w = Window.partitionBy("a", "b", "kind")
-    r = both.withColumn("kind", kind).withColumn("rn", F.row_number().over(w.orderBy("n", "src", "dst", "topic")) - 1).withColumn("links", F.count(F.lit(1)).over(w))
-    return r.where(F.col("rn") == F.expr("links div 2")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", "links", F.col("n").alias("median_n"))
+    counts = both.withColumn("kind", kind).groupBy("a", "b", "kind", "n").agg(F.count(F.lit(1)).alias("c"))
+    at = F.expr("total div 2")
+    middle = running_sum(counts, ["a", "b", "kind"], ["n"], "c").where((F.col("before") <= at) & (at < F.col("before") + F.col("c")))
+    return middle.select(F.col("a").alias("src"), F.col("b").alias("dst"), "kind", F.col("total").alias("links"), F.col("n").alias("median_n"))
+
+
+#: Flow measures of edges that component_links takes the median of.
+FLOWS = ["hop_p50", "hop_p90", "age_p50", "age_p90"]
+
+
+def component_links(edges: DataFrame, functions: DataFrame) -> DataFrame:
+    """Links between components by kind: edges, topics, flows, and the median (element n // 2) of each flow measure over the edges that have it.
+
+    edges: src, dst, topic, nature, edge_class, flow_n and FLOWS (nullable). functions: id, component (null for external ones,
+    which count as ext:in and ext:out). kind is infra or state by class, join by nature, else data; a data edge into a function that other
+    functions of its node read by state links is sampled, and its age is the median age of those links. Edges inside a component are left out.
+    """
+    of = lambda end, name: functions.select(F.col("id").alias(end), F.col("component").alias(name), F.lit(True).alias(f"{name}_known"))
+    both = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a IS NOT NULL OR b IS NOT NULL")
+    both = both.withColumn("a", F.coalesce("a", F.lit("ext:in"))).withColumn("b", F.coalesce("b", F.lit("ext:out"))).where("a <> b")
+    state = edges.where("nature = 'state'")
+    held = _middle(state.where("age_p50 IS NOT NULL"), ["src"], "age_p50").select(F.col("src").alias("dst"), F.col("age_p50").alias("held_age"))
+    read = state.select(F.col("src").alias("dst")).distinct().withColumn("read", F.lit(True))
+    kind = F.when(F.col("edge_class").isin("infra", "state"), F.col("edge_class")).when(F.col("nature") == "join", "join").when(F.col("read"), "sampled").otherwise("data")
+    both = both.join(read, "dst", "left").join(held, "dst", "left").withColumn("kind", kind)
+    sampled = F.col("kind") == "sampled"
+    both = both.withColumns({"age_p50": F.when(sampled, F.col("held_age")).otherwise(F.col("age_p50")), "age_p90": F.when(sampled, F.col("held_age")).otherwise(F.col("age_p90")), "flow_n": F.when(sampled, F.coalesce("flow_n", F.lit(1))).otherwise(F.col("flow_n"))})
+    both = written(both.select("a", "b", "kind", "topic", "flow_n", *FLOWS), "links")
+    sums = both.groupBy("a", "b", "kind").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("topic").alias("topics"), F.coalesce(F.sum("flow_n"), F.lit(0)).alias("flows"))
+    long = both.select("a", "b", "kind", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("bigint").alias("v")) for m in FLOWS])).alias("x")).select("a", "b", "kind", "x.m", "x.v").where("v IS NOT NULL")
+    wide = _middle(long, ["a", "b", "kind", "m"], "v").groupBy("a", "b", "kind").agg(*[F.max(F.when(F.col("m") == m, F.col("v"))).alias(m) for m in FLOWS])
+    return sums.join(wide, ["a", "b", "kind"], "left").withColumnsRenamed({"a": "src", "b": "dst"})
+
+
+def _middle(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Element n // 2 of each group's sorted values."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    at = F.expr("total div 2")
+    return running_sum(counts, keys, [value], "c").where((F.col("before") <= at) & (at < F.col("before") + F.col("c"))).select(*keys, value)
+
+
+#: Components that touch everything and say nothing about the flow of data.
+CROSSCUT = ["/system", "/adapi", "/default_adapi", "/viz", "/", "/pointcloud_container"]
+
+
+def hide_crosscut(components_: DataFrame, links: DataFrame, infra: bool = False, names: list[str] = CROSSCUT) -> tuple[DataFrame, DataFrame]:
+    """Components (name) and links (src, dst, kind) without the cross-cutting ones; infra links only on request."""
+    left = links.where(~F.col("src").isin(names) & ~F.col("dst").isin(names))
+    return components_.where(~F.col("name").isin(names)), left if infra else left.where("kind <> 'infra'")
 
 
 def session_list(vertices: DataFrame, sessions: DataFrame, least: int = 5) -> DataFrame:

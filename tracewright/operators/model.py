@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import gcd
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tracewright.operators.temporal import asof, asof_last, interval_owner, nearest_tolerance
+from tracewright.functions.scalars import action_name, action_role
+from tracewright.operators.temporal import asof, asof_last, asof_tolerance, contained, interval_owner, nearest_tolerance
 from tracewright.shipping import ship_package
 
 
@@ -100,27 +102,34 @@ def attribute_links(links: DataFrame, entities: DataFrame, by_topic: DataFrame |
     alias = alias.groupBy("session_id", "vpid", "cb").agg(F.min_by("entity", F.struct("pos", "entity")).alias("entity"))
     out = links.join(alias, ["session_id", "vpid", "cb"], "left")
     if by_topic is not None:
-        out = out.join(by_topic.select("session_id", "node", "name", F.col("entity").alias("fallback")), ["session_id", "node", "name"], "left").withColumn("entity", F.coalesce("entity", "fallback")).drop("fallback")
+        by_topic = by_topic.groupBy("session_id", "node", "name").agg(F.min("entity").alias("fallback"))
+        out = out.join(by_topic, ["session_id", "node", "name"], "left").withColumn("entity", F.coalesce("entity", "fallback")).drop("fallback")
     return out.groupBy("session_id", "entity", "name").agg(F.count(F.lit(1)).alias("links"))
 
 
 def attribute_by_active(publishes: DataFrame, spans: DataFrame) -> DataFrame:
     """Publishes with the open callback of their thread, else the earliest still open callback of their process."""
     own = interval_owner(publishes, spans, ["vpid", "vtid"])
-    s = spans.select("span_id", F.col("t0").alias("start"), "t1", "vpid")
     lost = own.where("span_id IS NULL").select("id", "vpid", "t")
-    other = lost.join(s, "vpid").where("t BETWEEN start AND t1").groupBy("id").agg(F.min(F.struct("start", "span_id")).alias("b")).select("id", F.col("b.span_id").alias("any_span"))
+    other = contained(lost, spans.select("span_id", "t0", "t1", "vpid"), ["vpid"]).groupBy("id").agg(F.min(F.struct("t0", "span_id")).alias("b")).select("id", F.col("b.span_id").alias("any_span"))
     out = own.join(other, "id", "left")
     return out.select("id", "vpid", "vtid", "t", F.coalesce("span_id", "any_span").alias("span_id"), F.when(F.col("span_id").isNotNull(), "thread").when(F.col("any_span").isNotNull(), "process").otherwise("none").alias("rule"))
 
 
 def match_topics(pub: DataFrame, sub: DataFrame) -> DataFrame:
-    """Every publishing entity with every subscribing entity of the topic; pairs of one node are flagged."""
+    """Every publishing entity with every subscribing entity of the topic; pairs of one node are flagged. See with_topic_data for type and rate."""
     p = pub.select(F.col("node").alias("src_node"), F.col("entity").alias("src"), "topic").distinct()
     s = sub.select(F.col("node").alias("dst_node"), F.col("entity").alias("dst"), "topic").distinct()
     return p.join(s, "topic").withColumn("intra_node", F.col("src_node") == F.col("dst_node"))
 
 
+def with_topic_data(edges: DataFrame, info: DataFrame, rates: DataFrame) -> DataFrame:
+    """Edges (topic, ...) with the topic's message type and average rate, null where unknown. info: topic, type; rates: topic, average_rate."""
+    t = info.groupBy("topic").agg(F.min("type").alias("msg_type"))
+    r = rates.groupBy("topic").agg(F.max("average_rate").alias("avg_rate_hz"))
+    return edges.join(t, "topic", "left").join(r, "topic", "left")
+
+
 def match_services(clients: DataFrame, servers: DataFrame) -> DataFrame:
     """A request and a response edge for each client and server of a service."""
     pairs = clients.select(F.col("entity").alias("src"), "service").distinct().join(servers.select(F.col("entity").alias("dst"), "service").distinct(), "service")
@@ -136,12 +145,12 @@ def external_boundary(pub: DataFrame, sub: DataFrame) -> DataFrame:
     return into.unionByName(out)
 
 
-def propagate_functions(edges: DataFrame, functions: DataFrame) -> DataFrame:
-    """Entity edges as function edges: main to main; a response goes to the continuation, or to main if there is none."""
+def propagate_functions(edges: DataFrame, functions: DataFrame, more: list[str] = ()) -> DataFrame:
+    """Entity edges as function edges: main to main; a response goes to the continuation, or to main if there is none. more: columns to carry along."""
     f = functions.groupBy("entity").agg(F.min(F.when(F.col("part") == "main", F.col("function"))).alias("main"), F.min(F.when(F.col("part") == "continuation", F.col("function"))).alias("cont"))
     a, b = f.select(F.col("entity").alias("src"), F.col("main").alias("src_fn")), f.select(F.col("entity").alias("dst"), F.col("main").alias("dst_main"), "cont")
     to = F.when(F.col("part") == "response", F.coalesce("cont", "dst_main")).otherwise(F.col("dst_main"))
-    return edges.join(a, "src").join(b, "dst").select(F.col("src_fn").alias("src"), to.alias("dst"), "topic", "part")
+    return edges.join(a, "src").join(b, "dst").select(F.col("src_fn").alias("src"), to.alias("dst"), "topic", "part", *more)
 
 
 def split_callbacks(functions: DataFrame, clients: DataFrame) -> DataFrame:
@@ -219,7 +228,8 @@ def detect_joins(publishes: DataFrame, types: DataFrame) -> DataFrame:
     at = publishes.join(multi, ["node", "topic"])
     completers = at.where("kind = 'sub'").select("node", "topic", "entity", F.lit("completer").alias("role"))
     timeouts = at.where("kind = 'tmr'").select("node", "topic", "entity", F.lit("timeout").alias("role"))
-    input_types = completers.join(types.select("entity", "msg_type").distinct(), "entity").select("node", "topic", "msg_type").distinct()
+    # Only the first topic by name is reported, so one topic per node and type is enough.
+    input_types = completers.join(types.select("entity", "msg_type").distinct(), "entity").groupBy("node", "msg_type").agg(F.min("topic").alias("topic"))
     subs = types.where("kind = 'sub'").select("node", "entity", "msg_type")
     members = subs.join(input_types, ["node", "msg_type"]).join(completers.select("node", "entity"), ["node", "entity"], "left_anti").select("node", "topic", "entity", F.lit("member").alias("role"))
     return completers.unionByName(members).unionByName(timeouts).groupBy("node", "entity", "role").agg(F.min("topic").alias("join_group"))
@@ -249,6 +259,88 @@ def measure_flows(takes: DataFrame, publishes: DataFrame, spans: DataFrame, tole
     return hop.unionByName(age)
 
 
+def local_hops(starts: DataFrame, publishes: DataFrame, edges: DataFrame, tolerance: int) -> DataFrame:
+    """Hop latency inside a process: each start of a receiving function with the latest publish of the sending one at or before it.
+
+    starts: id, cb, t; publishes: id, topic, cb, t; edges: topic, src, dst (callbacks) that no take was seen for. Rows topic, src, dst, id, value.
+    """
+    left = edges.select("topic", "src", "dst").distinct().join(starts.select("id", F.col("cb").alias("dst"), "t"), "dst")
+    return asof_tolerance(left, publishes.select("id", "topic", F.col("cb").alias("src"), "t"), ["topic", "src"], tolerance).select("topic", "src", "dst", "id", (F.col("t") - F.col("r_t")).alias("value"))
+
+
+def polled_ages(takes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Age of the data that a callback reads by itself: take less source time, where the take lies in the span of another callback.
+
+    takes: id, vpid, vtid, t, cb (of the subscription), topic, ref (source time). Rows topic, sub_cb, reader, id, value; negative ages and missing source times are left out.
+    """
+    inside = interval_owner(takes.withColumnRenamed("cb", "sub_cb"), spans, ["vpid", "vtid"]).where("span_id IS NOT NULL").join(spans.select("span_id", F.col("cb").alias("reader")), "span_id")
+    return inside.where("reader <> sub_cb AND ref IS NOT NULL AND t >= ref").select("topic", "sub_cb", "reader", "id", (F.col("t") - F.col("ref")).alias("value"))
+
+
+def state_ages(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """Age of held data along state links (src, dst callbacks): each start of the reader less the last start of the writer strictly before it."""
+    left = links.select("src", "dst").distinct().join(starts.select("id", F.col("cb").alias("dst"), "t"), "dst")
+    found = asof_last(left, starts.select("id", F.col("cb").alias("src"), "t"), ["src"])
+    return found.where("r_t IS NOT NULL").select("src", "dst", "id", F.col("age").alias("value"))
+
+
+def detect_actions(entities: DataFrame) -> DataFrame:
+    """entities (label, ...) with action and role where the label is part of an action, else null."""
+    return entities.withColumn("action", action_name(F.col("label"))).withColumn("role", F.when(F.col("action").isNotNull(), action_role(F.col("label"))))
+
+
+def complete_actions(labels: DataFrame) -> DataFrame:
+    """(action, services, topics, complete): an action is complete with its three services and two topics."""
+    roles = detect_actions(labels).where("action IS NOT NULL").groupBy("action").agg(F.collect_set("role").alias("r"))
+    n = lambda *names: F.size(F.array_intersect("r", F.array(*[F.lit(x) for x in names])))
+    return roles.select("action", n("goal", "cancel", "result").alias("services"), n("feedback", "status").alias("topics")).withColumn("complete", (F.col("services") == 3) & (F.col("topics") == 2))
+
+
+def filter_functions(functions: DataFrame, phases: list[str], keep: Column, external: str = "show", drop_external: Column | None = None) -> DataFrame:
+    """Functions (phase, ptype, ...) of allowed phases whose node passes the filter. External ones count as data; they are hidden on
+    request, and otherwise dropped only by a pattern of their own."""
+    ext = F.coalesce(F.col("ptype") == "ext", F.lit(False))
+    rows = functions.withColumn("phase", F.when(ext, "data").otherwise(F.coalesce("phase", F.lit("unknown"))))
+    rows = rows.where(F.col("phase").isin(phases)).where(F.when(ext, F.lit(external != "hide")).otherwise(F.coalesce(keep, F.lit(False))))
+    return rows.where(~ext | ~F.coalesce(drop_external, F.lit(False))) if drop_external is not None else rows
+
+
+def exclude_killed(events: DataFrame, kills: DataFrame) -> DataFrame:
+    """Events of processes that the kill log (killed_pid) does not name."""
+    return events.join(kills.where("killed_pid IS NOT NULL").select(F.col("killed_pid").alias("vpid")).distinct(), "vpid", "left_anti")
+
+
+def scope_filter(df: DataFrame, session: str | None = None, container: str | None = None) -> DataFrame:
+    """Rows of a session and a container; None leaves a filter out."""
+    out = df if session is None else df.where(F.col("session_id") == session)
+    return out if container is None else out.where(F.col("container") == container)
+
+
+#: Entities that only serve control.
+CONTROL_PATTERNS = ["/parameter_events", "/rosout", "/_supported_types"]
+
+
+def strip_control(functions: DataFrame, edges: DataFrame, patterns: list[str] = CONTROL_PATTERNS) -> tuple[DataFrame, DataFrame]:
+    """Functions (id, entity) whose entity holds no control pattern, and the edges both of whose ends are left."""
+    hit = F.coalesce(reduce(lambda a, p: a | F.col("entity").contains(p), patterns, F.lit(False)), F.lit(False))
+    left = functions.where(~hit)
+    ids = left.select(F.col("id").alias("k")).distinct()
+    return left, edges.join(ids, F.col("src") == F.col("k"), "left_semi").join(ids, F.col("dst") == F.col("k"), "left_semi")
+
+
+def is_boilerplate(kind: Column, label: Column) -> Column:
+    """Entities about parameters and functions of the parameter service."""
+    entity = (kind == "E") & F.lower(label).contains("parameter")
+    function = (kind == "F") & (label.contains("ParameterService") | label.contains("TimeSource::param_event"))
+    return F.coalesce(entity | function, F.lit(False))
+
+
+def common_members(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, common): the sorted members that both tables have for a key. a, b: key, member."""
+    both = a.select(key, "member").distinct().join(b.select(key, "member").distinct(), [key, "member"], "left_semi")
+    return both.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("member")), ",").alias("common"))
+
+
 def service_round_trip(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests with their response by (client, sequence number) and the time between."""
     return requests.join(responses.select("client", "seq", F.col("t").alias("t_response")), ["client", "seq"]).withColumn("round_trip", F.col("t_response") - F.col("t"))
@@ -281,9 +373,10 @@ def hyperperiod(periods: DataFrame, key: str = "executor") -> DataFrame:
 
 
 def taskset(functions: DataFrame, stats: DataFrame, roles: DataFrame) -> DataFrame:
-    """One row per function: source class, period, execution statistics, delivery and join role."""
+    """One row per function: source class, period, execution statistics, delivery and join role. A function of several groups takes the first by name."""
     source = F.when(F.col("period_ns") > 0, "periodic").otherwise("aperiodic")
-    return functions.join(stats, "cb", "left").join(roles.select("entity", "role", "join_group"), "entity", "left").withColumn("class", source).na.fill(0, ["n", "mean", "p50", "p99", "max"])
+    first = roles.groupBy("entity").agg(F.min(F.struct("join_group", "role")).alias("r")).select("entity", "r.role", "r.join_group")
+    return functions.join(stats, "cb", "left").join(first, "entity", "left").withColumn("class", source).na.fill(0, ["n", "mean", "p50", "p99", "max"])
 
 
 def callback_groups(groups: DataFrame) -> DataFrame:
@@ -292,6 +385,12 @@ def callback_groups(groups: DataFrame) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("vpid").orderBy(F.col("groups").desc(), "executor"))).withColumn("primary", F.col("rank") == 1)
 
 
+def group_of_entities(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """entity with its callback group and the group's executor: the first group by name on ties. groups: vpid, executor, group; members: vpid, group, entity."""
+    pairs = members.join(groups.select("vpid", "executor", "group").distinct(), ["vpid", "group"])
+    return pairs.groupBy("vpid", "entity").agg(F.min(F.struct("group", "executor")).alias("g")).select("vpid", "entity", "g.group", "g.executor")
+
+
 def publisher_coverage(inits: DataFrame, links: DataFrame, fires: DataFrame) -> DataFrame:
     """Publishers by handle: GAP without a link though the process fires, low with few links, else ok."""
     n = links.groupBy("vpid", "handle").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("cb").alias("callbacks"))
@@ -322,7 +421,7 @@ def causal_feed(links: DataFrame, handles: DataFrame, edges: DataFrame) -> DataF
 
 def span_labels(spans: DataFrame, labels: DataFrame, topics: DataFrame) -> DataFrame:
     """Label of each span: the graph's, else the raw topic of its callback, else the callback id."""
-    g = labels.select("cb", "label").dropDuplicates(["cb"])
+    g = labels.groupBy("cb").agg(F.min("label").alias("label"))
     t = topics.groupBy("cb").agg(F.min("topic").alias("topic"))
     return spans.join(g, "cb", "left").join(t, "cb", "left").withColumn("label", F.coalesce("label", "topic", "cb")).drop("topic")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.scale import running_sum
+
 START, END = "callback_start", "callback_end"
 
 
@@ -80,9 +82,10 @@ def empirical_period(spans: DataFrame, least: int = 5, *keys: str) -> DataFrame:
     """Median gap (element n // 2 of the sorted gaps) where there are more than `least` arrivals."""
     keys = keys or ("cb",)
     gaps = inter_arrival(spans, *keys).where("gap IS NOT NULL")
-    w = Window.partitionBy(*keys)
-    ranked = gaps.withColumn("rn", F.row_number().over(w.orderBy("gap", "span_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return ranked.where((F.col("rn") - 1 == F.expr("n div 2")) & (F.col("n") >= least)).select(*keys, F.col("gap").alias("period_ns"), (F.col("n") + 1).alias("arrivals"))
+    counts = gaps.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("c"))
+    at = F.expr("total div 2")
+    middle = running_sum(counts, list(keys), ["gap"], "c").where((F.col("before") <= at) & (at < F.col("before") + F.col("c")) & (F.col("total") >= least))
+    return middle.select(*keys, F.col("gap").alias("period_ns"), (F.col("total") + 1).alias("arrivals"))
 
 
 def sync_gap_periods(trace: DataFrame, gap_ns: int, *keys: str) -> DataFrame:
@@ -107,7 +110,12 @@ def window_counts(points: DataFrame, width_ns: int, anchor_ns: int, *keys: str)
     first and last window, so mean and deviation come from sums alone.
     """
     bucket = F.expr(f"floor((t - {anchor_ns}) / {width_ns})").cast("bigint")
-    filled = points.withColumn("bucket", bucket).groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    return bucket_stats(points.withColumn("bucket", bucket), *keys)
+
+
+def bucket_stats(points: DataFrame, *keys: str) -> DataFrame:
+    """Statistics of the rows per bucket of each key, see window_counts."""
+    filled = points.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
     stats = filled.groupBy(*keys).agg(
         (F.max("bucket") - F.min("bucket") + 1).alias("n"), F.count(F.lit(1)).alias("filled"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min("c").alias("low"), F.max("c").alias("max_count"),
     )

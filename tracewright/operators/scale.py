@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A join of fewer rows than FEW_ROWS is left as it is.
 FEW_ROWS = 2_000
+#: Narrow rows that one file may hold.
+SMALL_ROWS = 100_000
 #: A key is hot if it has more than HOT_ROWS rows and more than one HOT_KEYS-th of all, so there are at most HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 100, 20_000
 
@@ -34,13 +36,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
+def written(df: DataFrame, tag: str, compact: bool = False, rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors. The caller's folder is not cleared.
 
-    compact deals narrow tables (ids, links) to two files per core, however many partitions the last shuffle had.
+    compact deals narrow tables (ids, links) to two files per core, however many partitions the last shuffle had; with a
+    bound on their number, rows, to one file for each SMALL_ROWS.
     """
     spark = df.sparkSession
-    if compact:
+    if rows is not None and rows < 8 * SMALL_ROWS:
+        df = df.coalesce(rows // SMALL_ROWS + 1)
+    elif compact:
         df = df.repartition(max(8, 2 * spark.sparkContext.defaultParallelism))
     path = new_path(spark, tag)
     df.write.parquet(path)
@@ -50,7 +55,7 @@ def written(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
 def salted_join(rows: DataFrame, side: DataFrame, *keys: str, how: str = "inner", total: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with side (few rows per key); the rows of a hot key are dealt to many tasks, each of which gets the key's side rows.
 
-    Keys are counted in counted (default: rows), which should be a written table. Only hot keys and their counts reach the driver, HOT_KEYS at most.
+    Keys are counted in counted (default: rows), which should be a written table. Only the hot keys are broadcast, HOT_KEYS at most.
     """
     counted = rows if counted is None else counted
     total = counted.count() if total is None else total
@@ -58,11 +63,10 @@ def salted_join(rows: DataFrame, side: DataFrame, *keys: str, how: str = "inner"
         return rows.join(side, list(keys), how)
     limit = max(HOT_ROWS, total // HOT_KEYS)
     counts = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
-    hot = counts.select(*keys, ((F.col("__n") / limit).cast("int") + 1).alias("__parts")).where(reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True))).collect()
-    if not hot:
+    hot = counts.select(*keys, ((F.col("__n") / limit).cast("int") + 1).alias("__parts")).where(reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.lit(True)))
+    if not hot.limit(1).count():
         return rows.join(side, list(keys), how)
-    schema = counted.select(*keys).schema.add("__parts", "integer")
-    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, schema))
+    parts = F.broadcast(hot)
     left = rows.join(parts, list(keys), "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
     right = side.join(parts, list(keys), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [*keys, "__part"], how).drop("__part")

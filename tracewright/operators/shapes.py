@@ -9,22 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.scalars import copy_direction
+from tracewright.operators.scale import running_sum, written
 from tracewright.shipping import ship_package
 
 
+def correlated(calls: DataFrame, activity: DataFrame) -> DataFrame:
+    """Calls (inv, pos, token, corr, cost) with the processing element, name and stream of the activity they started: kernel before copy before fill.
+
+    activity: corr, kind (kernel, memcpy, memset), stream, name (of kernels), copy_kind, bytes, duration. Kernels and fills run on SM, copies on CE.
+    """
+    rank = F.when(F.col("kind") == "kernel", 0).when(F.col("kind") == "memcpy", 1).otherwise(2)
+    best = activity.groupBy("corr").agg(F.min_by(F.struct("kind", "stream", "name", "copy_kind", "bytes", "duration"), F.struct(rank, "stream", "name")).alias("a"))
+    kind = F.col("a.kind")
+    name = F.when(kind == "kernel", F.coalesce("a.name", F.lit("<anon>"))).when(kind == "memcpy", F.concat(F.lit("memcpy_"), copy_direction(F.coalesce("a.copy_kind", F.lit(0))))).when(kind == "memset", "memset_fill")
+    pe = F.when(kind == "memcpy", "CE").when(kind.isNotNull(), "SM")
+    return calls.join(best, "corr", "left").select(*calls.columns, pe.alias("gpu_pe"), name.alias("gpu_name"), F.when(kind.isNotNull(), F.coalesce("a.stream", F.lit(0))).alias("stream"), F.col("a.bytes").alias("bytes"), F.col("a.duration").alias("duration"))
+
+
 def typed_dag(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (inv, idx, pe, name, stream) and edges (inv, src, dst, kind) of each invocation.
 
-    Every call is a CPU node; a call with a stream also launches an accelerator node right after it. Edges: cpu_order
-    along the CPU nodes, launch from a call to its node, stream_fifo along a stream.
+    Every call is a CPU node; a call with a stream also launches an accelerator node right after it, of the element and name that
+    correlated() gives (SM and the call's token without these columns). Edges: cpu_order along the CPU nodes, launch from a call to its
+    node, stream_fifo along a stream.
     """
-    both = calls.select("inv", "pos", "token", "stream", F.explode(F.when(F.col("stream").isNull(), F.array(F.lit("CPU"))).otherwise(F.array(F.lit("CPU"), F.lit("SM")))).alias("pe"))
-    nodes = both.withColumn("idx", F.row_number().over(Window.partitionBy("inv").orderBy("pos", "pe")) - 1).select("inv", "idx", "pe", F.col("token").alias("name"), F.when(F.col("pe") == "SM", F.col("stream")).alias("stream"), "pos")
+    pe, name = (F.col(c) if c in calls.columns else F.lit(d) for c, d in (("gpu_pe", "SM"), ("gpu_name", None)))
+    cpu = F.struct(F.lit(0).alias("o"), F.lit("CPU").alias("pe"), F.col("token").alias("name"))
+    gpu = F.struct(F.lit(1).alias("o"), pe.alias("pe"), F.coalesce(name, F.col("token")).alias("name"))
+    both = calls.select("inv", "pos", "stream", F.explode(F.when(F.col("stream").isNull(), F.array(cpu)).otherwise(F.array(cpu, gpu))).alias("x")).select("inv", "pos", "stream", "x.*")
+    nodes = both.withColumn("idx", F.row_number().over(Window.partitionBy("inv").orderBy("pos", "o")) - 1).select("inv", "idx", "pe", "name", F.when(F.col("o") == 1, F.col("stream")).alias("stream"), "o")
     before = lambda *keys: F.lag("idx").over(Window.partitionBy("inv", *keys).orderBy("idx"))
-    cpu = nodes.where("pe = 'CPU'").withColumn("src", before()).select("inv", "src", F.col("idx").alias("dst"), F.lit("cpu_order").alias("kind"))
-    launch = nodes.where("pe = 'SM'").select("inv", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"), F.lit("launch").alias("kind"))
-    fifo = nodes.where("pe = 'SM'").withColumn("src", before("stream")).select("inv", "src", F.col("idx").alias("dst"), F.lit("stream_fifo").alias("kind"))
-    return nodes.drop("pos"), cpu.unionByName(launch).unionByName(fifo).where("src IS NOT NULL")
+    order = nodes.where("o = 0").withColumn("src", before()).select("inv", "src", F.col("idx").alias("dst"), F.lit("cpu_order").alias("kind"))
+    launch = nodes.where("o = 1").select("inv", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"), F.lit("launch").alias("kind"))
+    fifo = nodes.where("o = 1").withColumn("src", before("stream")).select("inv", "src", F.col("idx").alias("dst"), F.lit("stream_fifo").alias("kind"))
+    return nodes.drop("o"), order.unionByName(launch).unionByName(fifo).where("src IS NOT NULL")
+
+
+def dag_signature(nodes: DataFrame, edges: DataFrame, digits: int = 16) -> DataFrame:
+    """inv, sig: a hash of the ordered (element, name) pairs and the sorted edges of each graph."""
+    listed = lambda df, item, *by: df.groupBy("inv").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, item.alias("t")))), lambda x: x["t"]), ",").alias("t"))
+    a = listed(nodes, F.concat_ws(":", "pe", "name"), "idx").withColumnRenamed("t", "nodes")
+    b = listed(edges, F.concat_ws("-", "src", "dst", "kind"), "src", "dst", "kind").withColumnRenamed("t", "edges")
+    return a.join(b, "inv", "left").select("inv", F.substring(F.sha1(F.concat("nodes", F.lit("|"), F.coalesce("edges", F.lit("")))), 1, digits).alias("sig"))
+
+
+def invocations_by_owner(calls: DataFrame, attributed: DataFrame) -> DataFrame:
+    """Calls grouped by the span that owns them: inv (span), pos (1, 2, ... in time), corr, token. calls: corr, t, token; attributed: corr, span_id."""
+    own = calls.join(attributed.where("span_id IS NOT NULL").select("corr", F.col("span_id").alias("inv")), "corr")
+    return own.withColumn("pos", F.row_number().over(Window.partitionBy("inv").orderBy("t", "corr")))
 
 
 def sequences(calls: DataFrame, cut: int = 20) -> DataFrame:
@@ -34,6 +67,13 @@ def sequences(calls: DataFrame, cut: int = 20) -> DataFrame:
     return listed.select("inv", tokens.alias("tokens"), F.size("rows").alias("n"), F.substring(F.sha1(F.array_join(tokens, ",")), 1, 16).alias("sig"), F.array_size(F.array_distinct(F.transform("rows", lambda r: r["stream"]))).alias("streams"))
 
 
+def node_sequences(nodes: DataFrame, cut: int = 20) -> DataFrame:
+    """inv, cpu, every: the names of the CPU nodes, and of all nodes, in order; accelerator names are cut."""
+    name = F.when(F.col("pe") == "CPU", F.col("name")).otherwise(F.substring("name", 1, cut))
+    rows = nodes.groupBy("inv").agg(F.array_sort(F.collect_list(F.struct("idx", "pe", name.alias("name")))).alias("rows"))
+    return rows.select("inv", F.transform(F.filter("rows", lambda r: r["pe"] == "CPU"), lambda r: r["name"]).alias("cpu"), F.transform("rows", lambda r: r["name"]).alias("every"))
+
+
 def shape_table(seqs: DataFrame) -> DataFrame:
     """Invocations per signature, with the first invocation as template."""
     return seqs.groupBy("sig").agg(F.count(F.lit(1)).alias("invocations"), F.min("inv").alias("template"), F.max("n").alias("n"), F.array_join(F.min_by("tokens", "inv"), ",").alias("tokens"))
@@ -50,6 +90,67 @@ def shape_features(calls: DataFrame, top_k: int = 20) -> DataFrame:
     return calls.groupBy("inv").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("stream").alias("streams"), *[F.sum((F.col("token") == w).cast("int")).alias(f"t_{w}") for w in words])
 
 
+def dag_features(nodes: DataFrame, edges: DataFrame, top_k: int = 20) -> DataFrame:
+    """Thirteen counts per graph (nodes by element, edges by kind, copies by direction, streams, depth and branching) and the most frequent CPU names."""
+    n = lambda c: F.count(F.when(c, 1))
+    pe, name = F.col("pe"), F.col("name")
+    words = [r["name"] for r in nodes.where("pe = 'CPU'").groupBy("name").count().orderBy(F.col("count").desc(), "name").limit(top_k).collect()]
+    copy = (pe == "CE") & name.startswith("memcpy_")
+    a = nodes.groupBy("inv").agg(
+        n(pe == "CPU").alias("n_cpu"), n(pe == "SM").alias("n_sm"), n(pe == "CE").alias("n_ce"), F.count(F.lit(1)).alias("total"),
+        n(copy & (name == "memcpy_H2D")).alias("h2d"), n(copy & (name == "memcpy_D2H")).alias("d2h"), n(copy & ~name.isin("memcpy_H2D", "memcpy_D2H")).alias("other_copies"),
+        F.count_distinct("stream").alias("n_streams"), *[n((pe == "CPU") & (name == w)).alias(f"t_{w}") for w in words],
+    )
+    kind = F.col("kind")
+    b = edges.groupBy("inv").agg(n(kind == "launch").alias("e_launch"), n(kind == "stream_fifo").alias("e_fifo"), n(kind == "cpu_order").alias("e_order"), n(kind == "cpu_order").alias("depth"))
+    branch = edges.where("kind = 'launch'").groupBy("inv", "src").agg(F.count(F.lit(1)).alias("d")).groupBy("inv").agg(F.max("d").alias("branch"))
+    return a.join(b, "inv", "left").join(branch, "inv", "left").na.fill(0)
+
+
+#: Calls that tell the start of a program: (part of the name, number from which it counts or None for each, weight).
+INIT_SIGNALS = [
+    ("cuInit", 1, 100), ("cuLibraryLoadData", 1, 100), ("cuDevicePrimaryCtxRetain", 1, 100), ("cuCtxCreate", 1, 100), ("cudaGetDeviceProperties", 1, 20), ("cuModuleGetLoadingMode", 1, 20),
+    ("cuModuleLoadFatBinary", 1, 10), ("cuLibraryUnload", 1, 10), ("cuGetProcAddress", 100, 50), ("cudaMalloc", None, 5), ("cudaStreamCreate", None, 3), ("cudaEventCreate", None, 1), ("cudaEventCreateWithFlags", None, 1),
+]
+
+
+def signal_score(names: Column, signals: list[tuple[str, int | None, int]] = INIT_SIGNALS) -> Column:
+    """Sum of weights: per occurrence, or once where a name part occurs often enough."""
+    count = lambda t: F.size(F.filter(names, lambda n: n.contains(t)))
+    parts = [count(t) * w if least is None else F.when(count(t) >= least, w).otherwise(0) for t, least, w in signals]
+    return sum(parts[1:], parts[0])
+
+
+def shape_stats(nodes: DataFrame, shapes: DataFrame, signals: list[tuple[str, int | None, int]] = INIT_SIGNALS) -> DataFrame:
+    """Per key and signature: invocations, first and last time, and of its first invocation the nodes by element, copies by direction, and init score.
+
+    shapes: key, inv, sig, t0, t1.
+    """
+    per = shapes.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("count"), F.min("t0").alias("first_t"), F.max("t1").alias("last_t"), F.min_by("inv", F.struct("t0", "inv")).alias("inv"))
+    n = lambda c: F.count(F.when(c, 1))
+    pe, name = F.col("pe"), F.col("name")
+    of = nodes.join(per.select("inv").distinct(), "inv", "left_semi").groupBy("inv").agg(
+        n(pe == "CPU").alias("n_cpu"), n(pe == "SM").alias("n_sm"), n(pe == "CE").alias("n_ce"), n(name == "memcpy_H2D").alias("h2d"), n(name == "memcpy_D2H").alias("d2h"),
+        n((pe == "CE") & name.startswith("memcpy_") & ~name.isin("memcpy_H2D", "memcpy_D2H")).alias("other_copies"), signal_score(F.collect_list(F.when(pe == "CPU", name)), signals).alias("init_score"),
+    )
+    return per.join(of, "inv").drop("inv")
+
+
+def process_report(attributed: DataFrame, waits: DataFrame, order: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(pid, what, key, n, share): calls by rule with their share, waits per stream, ordered stream pairs and invocations per shape of each process.
+
+    attributed: pid, rule; waits: pid, stream, sync_type; order: pid, stream, before_stream; shapes: pid, sig.
+    """
+    total = Window.partitionBy("pid")
+    rows = attributed.groupBy("pid", F.col("rule").alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(total), 6)).withColumn("what", F.lit("rule"))
+    for what, df, key in (
+        ("wait", waits.where("sync_type = 2"), F.col("stream").cast("string")), ("sync_type", waits, F.col("sync_type").cast("string")),
+        ("order", order.where("before_stream IS NOT NULL"), F.concat_ws("->", "before_stream", "stream")), ("shape", shapes, F.col("sig")),
+    ):
+        rows = rows.unionByName(df.groupBy("pid", key.alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.lit(None).cast("double")).withColumn("what", F.lit(what)))
+    return rows.select("pid", "what", "key", "n", "share")
+
+
 def pca(features: DataFrame, k: int = 2) -> DataFrame:
     """Invocations on the first k principal axes of standardised features (signs are arbitrary); one aggregation and one projection."""
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -101,27 +202,37 @@ def skeleton(seqs: DataFrame, key: str, least: int = 1) -> DataFrame:
     return distinct.groupBy("key").applyInPandas(_fold, "key string, skeleton array<string>, sequences long")
 
 
-def _runs(tokens: Column, length: int) -> Column:
+def _runs(tokens: Column, length: Column | int) -> Column:
+    """All runs of a length in order."""
+    length = F.lit(length) if isinstance(length, int) else length
     size = F.size(tokens) - length + 1
     return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.slice(tokens, i, length))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def common_block(seqs: DataFrame, key: str) -> DataFrame:
-    """The longest contiguous run that all distinct sequences of a key hold; the first one in the shortest sequence on ties.
+    """The longest contiguous run that all distinct sequences of a key hold; the first one in the shortest sequence on ties. Keys without one have no row.
 
-    All keys are searched at once: lengths are tried by a shared binary search, each round is one n-gram count.
+    All keys are searched at once: each bisects the length of its own shortest sequence (a run held by all has shorter ones), and a round is one count
+    of runs of the length that each key tries. Rounds grow with the logarithm of the shortest sequence.
     """
-    distinct = seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct()
-    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("short"), F.min_by("tokens", F.struct(F.size("tokens"), "tokens")).alias("first"))
-    top = total.agg(F.max("short")).first()[0] or 0
-    found = None
-    for length in range(1, top + 1):
-        grams = distinct.join(total.where(F.col("short") >= length).select("key", "all"), "key").select("key", "all", "tokens", F.explode(F.array_distinct(_runs(F.col("tokens"), length))).alias("run"))
-        hits = grams.groupBy("key", "all", "run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") == F.col("all")).select("key", "run")
-        at = hits.join(total.select("key", "first"), "key").withColumn("at", F.array_position(_runs(F.col("first"), length), F.col("run")))
-        best = at.groupBy("key").agg(F.min_by("run", "at").alias("run")).withColumn("length", F.lit(length))
-        found = best if found is None else found.unionByName(best)
-    return found.groupBy("key").agg(F.max("length").alias("length"), F.array_join(F.max_by("run", "length"), ",").alias("block"))
+    distinct = written(seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct(), "sequences")
+    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("high"), F.min_by("tokens", F.struct(F.size("tokens"), "tokens")).alias("first"))
+    state = written(total.select("key", "all", "first", F.lit(0).alias("low"), "high", F.array().cast("array<string>").alias("run")), "bisect")
+    while state.where("low < high").limit(1).count():
+        tried = state.where("low < high").withColumn("length", F.expr("(low + high + 1) div 2"))
+        grams = distinct.join(tried.select("key", "all", "length"), "key").select("key", "all", F.explode(F.array_distinct(_runs(F.col("tokens"), F.col("length")))).alias("run"))
+        hits = grams.groupBy("key", "all", "run").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", "run")
+        at = hits.join(tried.select("key", "first", "length"), "key").withColumn("at", F.array_position(_runs(F.col("first"), F.col("length")), F.col("run")))
+        best = at.groupBy("key").agg(F.min_by("run", "at").alias("found"))
+        moved = state.withColumn("length", F.expr("(low + high + 1) div 2")).join(best, "key", "left")
+        held = F.col("found").isNotNull() & (F.col("low") < F.col("high"))
+        state = written(
+            moved.select(
+                "key", "all", "first", F.when(held, F.col("length")).otherwise(F.col("low")).alias("low"),
+                F.when(~held & (F.col("low") < F.col("high")), F.col("length") - 1).otherwise(F.col("high")).alias("high"), F.when(held, F.col("found")).otherwise(F.col("run")).alias("run"),
+            ), "bisect",
+        )
+    return state.where("low > 0").select("key", F.col("low").alias("length"), F.array_join("run", ",").alias("block"))
 
 
 def align(tokens: Column, skeleton_: Column) -> Column:
@@ -152,6 +263,26 @@ def insertion_trie(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("after", "prefix").agg(F.count(F.lit(1)).alias("passes"), F.sum("ends").alias("ends")).withColumn("end_share", F.round(F.col("ends") / F.col("passes"), 6))
 
 
+def weighted_trie(blocks: DataFrame) -> DataFrame:
+    """The trie of blocks (after, block, weight, class): per prefix the weight that passes and ends, the share that ends, the share of the prefix before
+    that enters it, and the weight by class as `class:weight` in order of class."""
+    cut = blocks.select("after", "block", "weight", "class", F.explode(F.sequence(F.lit(0), F.size("block"))).alias("k"))
+    name = lambda k: F.array_join(F.slice("block", 1, k), ",")
+    rows = cut.select("after", "k", name(F.col("k")).alias("prefix"), F.when(F.col("k") > 0, name(F.greatest(F.col("k") - 1, F.lit(0)))).alias("before"), "weight", "class", (F.col("k") == F.size("block")).cast("int").alias("ends"))
+    mix = rows.groupBy("after", "k", "prefix", "before", "class").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("ends")).alias("e"))
+    per = mix.groupBy("after", "k", "prefix", "before").agg(F.sum("w").alias("passes"), F.sum("e").alias("ends"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "w"))), lambda x: F.concat_ws(":", x["class"], x["w"])), ",").alias("classes"))
+    up = per.select("after", (F.col("k") + 1).alias("k"), F.col("prefix").alias("before"), F.col("passes").alias("from"))
+    out = per.where("k > 0").join(up, ["after", "k", "before"])
+    return out.select("after", "prefix", "passes", "ends", "classes", F.round(F.col("ends") / F.col("passes"), 6).alias("end_share"), F.round(F.col("passes") / F.col("from"), 6).alias("enter_share"))
+
+
+def majority_insertions(blocks: DataFrame, k: int = 15) -> DataFrame:
+    """The k blocks of the largest weight, with the class that has most of it (the first by name on ties). blocks: block, weight, class."""
+    mix = blocks.groupBy(F.array_join("block", ",").alias("block"), "class").agg(F.sum("weight").alias("w"))
+    per = mix.groupBy("block").agg(F.sum("w").alias("n"), F.min_by("class", F.struct(-F.col("w"), F.col("class"))).alias("majority"))
+    return per.orderBy(F.col("n").desc(), "block").limit(k)
+
+
 def top_insertions(blocks: DataFrame, k: int = 15) -> DataFrame:
     return blocks.groupBy(F.array_join("block", ",").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("after").alias("first_after")).orderBy(F.col("n").desc(), "block").limit(k)
 
@@ -162,26 +293,48 @@ def position_in(tokens: Column, part: list[str]) -> Column:
 
 
 def token_stats(calls: DataFrame) -> DataFrame:
-    """Per token: calls, cost least / median (element n // 2) / largest, streams."""
-    w = Window.partitionBy("token")
-    r = calls.withColumn("rn", F.row_number().over(w.orderBy("cost")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.groupBy("token").agg(F.max("n").alias("n"), F.min("cost").alias("c_min"), F.max(F.when(F.col("rn") == F.expr("n div 2"), F.col("cost"))).alias("c_median"), F.max("cost").alias("c_max"), F.count_distinct("stream").alias("streams"))
+    """Per token: calls, cost least / median (element n // 2) / largest, streams. Costs are counted first and ranked over range partitions."""
+    at = F.expr("total div 2")
+    counts = running_sum(calls.groupBy("token", "cost").agg(F.count(F.lit(1)).alias("c")), ["token"], ["cost"], "c")
+    per = counts.groupBy("token").agg(F.max("total").alias("n"), F.min("cost").alias("c_min"), F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("c")), F.col("cost"))).alias("c_median"), F.max("cost").alias("c_max"))
+    return per.join(calls.groupBy("token").agg(F.count_distinct("stream").alias("streams")), "token")
+
+
+def activity_stats(activity: DataFrame) -> DataFrame:
+    """Per activity name: n, duration least / median / largest, median bytes and the throughput of the medians (null without bytes or time). activity: name, duration, bytes."""
+    def middle(value: str) -> DataFrame:
+        counts = activity.where(F.col(value).isNotNull()).groupBy("name", value).agg(F.count(F.lit(1)).alias("c"))
+        at = F.expr("total div 2")
+        return running_sum(counts, ["name"], [value], "c").where((F.col("before") <= at) & (at < F.col("before") + F.col("c"))).select("name", F.col(value).alias(f"{value}_median"))
+
+    per = activity.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("duration").alias("d_min"), F.max("duration").alias("d_max"))
+    out = per.join(middle("duration"), "name", "left").join(middle("bytes"), "name", "left")
+    return out.withColumn("throughput", F.col("bytes_median") / (F.nullif("duration_median", F.lit(0)) / F.lit(1e9)))
 
 
-def classify_periods(seqs: DataFrame, least: int = 3) -> DataFrame:
-    """STEADY: the dominant signature; COALESCED: the dominant sequence repeated whole; TAIL: a proper prefix of it of `least` tokens or more; else UNKNOWN.
+def classify_periods(seqs: DataFrame, least: int = 10, late: int = 3, early: int = 3, init: int = 100, warm: int = 20, share: float = 0.95) -> DataFrame:
+    """Phase of each period of a key. seqs: key, inv (its place in time), tokens, sig, and score (of initialisation; 0 without that column).
 
-    seqs: key, inv, tokens, sig. The dominant signature is the most frequent one of a key (least signature on ties).
+    INIT: score of `init` or more. STEADY: the dominant signature, the most frequent among periods with a score below `warm` (the earliest on ties).
+    COALESCED(n): the dominant sequence n times over. TAIL: among the last `late`, shorter than the dominant sequence, of `least` tokens
+    or more, `share` of which match it from the start while the rest are sync calls. WARMUP: among the first `early` with a score of `warm` or more. Else UNKNOWN.
     """
-    counts = seqs.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("c"), F.first("tokens").alias("main"))
-    best = counts.groupBy("key").agg(F.max_by(F.struct("sig", "main"), F.struct("c", F.col("sig"))).alias("b")).select("key", F.col("b.sig").alias("main_sig"), F.col("b.main").alias("main"))
+    rows = seqs if "score" in seqs.columns else seqs.withColumn("score", F.lit(0))
+    counts = rows.where(F.col("score") < warm).groupBy("key", "sig").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("inv", "tokens")).alias("r"))
+    best = counts.groupBy("key").agg(F.min_by(F.struct("sig", F.col("r.tokens").alias("main")), F.struct(-F.col("c"), F.col("r.inv"))).alias("b")).select("key", F.col("b.sig").alias("main_sig"), F.col("b.main").alias("main"))
+    rows = running_sum(rows.withColumn("one", F.lit(1)), ["key"], ["inv"], "one")  # before: periods ahead of this one; total: of the key
+    n, m = F.size("tokens"), F.size("main")
+    match = F.coalesce(F.array_position(F.zip_with(F.col("tokens"), F.slice("main", 1, n), lambda a, b: a.eqNullSafe(b)), F.lit(False)) - 1, F.lit(-1))
+    match = F.when(match < 0, n).otherwise(match)
+    rest_sync = F.forall(F.slice("tokens", match.cast("int") + 1, F.greatest(n, F.lit(1))), lambda t: t.contains("Synchronize"))
     times = F.expr("size(tokens) div greatest(size(main), 1)")
-    return seqs.join(best, "key").select(
-        "key", "inv", "sig",
-        F.when(F.col("sig") == F.col("main_sig"), "STEADY")
-        .when((times >= 2) & (F.col("tokens") == F.flatten(F.array_repeat("main", times.cast("int")))), F.concat(F.lit("COALESCED("), times, F.lit(")")))
-        .when((F.size("tokens") >= least) & (F.col("tokens") == F.slice("main", 1, F.size("tokens"))), "TAIL").otherwise("UNKNOWN").alias("phase"),
+    phase = (
+        F.when(F.col("score") >= init, "INIT").when(F.col("sig") == F.col("main_sig"), "STEADY")
+        .when((n > m) & (n % m == 0) & (F.col("tokens") == F.flatten(F.array_repeat("main", times.cast("int")))), F.concat(F.lit("COALESCED("), times, F.lit(")")))
+        .when((F.col("total") - F.col("before") <= late) & (n >= least) & (n < m) & (match >= share * n) & rest_sync, "TAIL")
+        .when((F.col("score") >= warm) & (F.col("before") < early), "WARMUP").otherwise("UNKNOWN")
     )
+    return rows.join(best, "key", "left").select("key", "inv", "sig", phase.alias("phase"))
 
 
 def classify_shapes(stats: DataFrame, axes: list[str], sigma: float = 2.0, tail: float = 0.05) -> DataFrame:

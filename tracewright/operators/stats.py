@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.model import hyperperiod
+from tracewright.operators.pairing import bucket_stats
+from tracewright.operators.scale import running_sum
+from tracewright.operators.temporal import interval_owner, interval_semi
+
 
 def count_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
@@ -25,9 +30,12 @@ def thread_mix(trace: DataFrame, threads: int = 10, events: int = 10) -> DataFra
 
 
 def ranked(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """df with rn (0-based rank of value in its group) and n (group size)."""
-    w = Window.partitionBy(*keys)
-    return df.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    """(keys, value, c, lo, n): each distinct value of a group with its number, the 0-based rank of the first of them, and the group's size.
+
+    Values are counted first; ranks are running sums over range partitions, so a group with very many values is not one task. Null values are left out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    return running_sum(counts, list(keys), [value], "c").select(*keys, value, "c", F.col("before").alias("lo"), F.col("total").alias("n"))
 
 
 def rank_low(p: float) -> Column:
@@ -35,26 +43,29 @@ def rank_low(p: float) -> Column:
     return F.floor(F.lit(p) * (F.col("n") - 1))
 
 
+def holds(i: Column) -> Column:
+    """Whether a row of ranked() holds the element at a 0-based index."""
+    return (F.col("lo") <= i) & (i < F.col("lo") + F.col("c"))
+
+
 def quantile_low(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """The element at int(p * (n - 1)) of each group's sorted values; exact, no interpolation."""
-    return ranked(df, value, *keys).where(F.col("rn") == rank_low(p)).select(*keys, F.col(value).alias("q"), "n")
+    return ranked(df, value, *keys).where(holds(rank_low(p))).select(*keys, F.col(value).alias("q"), "n")
 
 
 def exec_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, floor mean, sorted[n // 2], sorted[min(n - 1, int(.99 n))], max of each group."""
-    r = ranked(df, value, *keys)
-    at = lambda i: F.max(F.when(F.col("rn") == i, F.col(value)))
-    return r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"sum({value}) div count(*)").alias("mean"), at(F.expr("n div 2")).alias("p50"),
+    at = lambda i: F.max(F.when(holds(i), F.col(value)))
+    return ranked(df, value, *keys).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.expr(f"sum({value} * c) div sum(c)").alias("mean"), at(F.expr("n div 2")).alias("p50"),
         at(F.least(F.col("n") - 1, F.floor(F.lit(0.99) * F.col("n")))).alias("p99"), F.max(value).alias("max"),
     )
 
 
 def flow_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, p50, p90 (element int(p * (n - 1))) and max of hop latencies or ages."""
-    r = ranked(df, value, *keys)
-    at = lambda i: F.max(F.when(F.col("rn") == i, F.col(value)))
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), at(rank_low(0.5)).alias("p50"), at(rank_low(0.9)).alias("p90"), F.max(value).alias("max"))
+    at = lambda i: F.max(F.when(holds(i), F.col(value)))
+    return ranked(df, value, *keys).groupBy(*keys).agg(F.max("n").alias("n"), at(rank_low(0.5)).alias("p50"), at(rank_low(0.9)).alias("p90"), F.max(value).alias("max"))
 
 
 def fire_bounds(trace: DataFrame) -> DataFrame:
@@ -110,3 +121,45 @@ def axis_stats(shapes: DataFrame, axis: str, *keys: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.round(F.avg(axis), 3).alias("mean"), F.round(F.stddev_pop(axis), 3).alias("std"), F.first("median").alias("median"),
         F.percentile("dev", 0.5).alias("mad"), F.min(axis).alias("min"), F.max(axis).alias("max"),
     )
+
+
+def share_of_total(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows per key, and the number of all rows beside them."""
+    per = count_by(df, *keys)
+    return per.join(F.broadcast(per.agg(F.sum("n").alias("total"))))
+
+
+def roles_of_windows(spans: DataFrame, outputs: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """Spans of the given callbacks (cb) with their role: completer if an output of their thread lies inside, else deposit_only."""
+    mine = spans.join(callbacks.select("cb").distinct(), "cb", "left_semi")
+    ends = interval_semi(mine, outputs, ["vpid", "vtid"]).select("span_id", F.lit("completer").alias("role"))
+    return mine.join(ends, "span_id", "left").na.fill("deposit_only", ["role"])
+
+
+def exec_by_role(spans: DataFrame, outputs: DataFrame, callbacks: DataFrame) -> DataFrame:
+    """n, p50, p90, max (ns) of the spans of each callback by role."""
+    return flow_stats(roles_of_windows(spans, outputs, callbacks).withColumn("value", F.col("t1") - F.col("t0")), "value", "cb", "role")
+
+
+def completer_distribution(outputs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Outputs per owning callback (the innermost span of their thread); those without one are counted under a null callback."""
+    own = interval_owner(outputs.select("id", "t", "vpid", "vtid"), spans, ["vpid", "vtid"]).select("id", "span_id")
+    return own.join(spans.select("span_id", "cb"), "span_id", "left").groupBy("cb").agg(F.count(F.lit(1)).alias("outputs"))
+
+
+def callback_window_stats(fires: DataFrame, tasks: DataFrame, session_end_ns: int) -> DataFrame:
+    """Fires per window of each callback, for windows of its executor's hyperperiod and of the session's.
+
+    fires: cb, t. tasks: cb, executor, period_source, period_ns. Windows of an executor start at the first fire of any of its
+    nominal timers, those of the session at the first of all; hyperperiods are the least common multiples of the nominal periods. Only
+    fires in [anchor, session end) count; windows from the first to the last with a fire. One row per (cb, scope).
+    """
+    nominal = tasks.where("period_source = 'tmr-nominal'")
+    span = fires.join(nominal.select("cb", "executor"), "cb")
+    anchors = span.groupBy("executor").agg(F.min("t").alias("anchor")).join(hyperperiod(nominal), "executor")
+    whole = span.agg(F.min("t").alias("anchor")).join(hyperperiod(nominal.withColumn("all", F.lit(0)), "all")).select("anchor", "hyperperiod_ns")
+    owned = fires.join(tasks.select("cb", "executor").distinct(), "cb")
+    per = owned.join(anchors.select("executor", "anchor", "hyperperiod_ns"), "executor").withColumn("scope", F.lit("executor"))
+    both = per.unionByName(owned.join(F.broadcast(whole)).withColumn("scope", F.lit("session")))
+    inside = both.where((F.col("t") >= F.col("anchor")) & (F.col("t") < session_end_ns)).withColumn("bucket", F.expr("(t - anchor) div hyperperiod_ns"))
+    return bucket_stats(inside, "cb", "scope", "hyperperiod_ns")

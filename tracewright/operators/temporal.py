@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Window partitions are cut into time chunks of this many ns, so one busy key is shared by many tasks.
-CHUNK = 3_600_000_000_000 * 24
+from tracewright.operators.scale import written
+
+#: A key with more rows than this is cut into time chunks of about so many, which several tasks share.
+KEY_ROWS = 2_000_000
+
+
+def chunk_for(keys: list[str], *tables: DataFrame, key_rows: int = KEY_ROWS) -> int:
+    """ns of a time chunk in which the busiest key of the tables has about key_rows rows; 0 if it has no more in all. One count is made."""
+    rows = reduce(DataFrame.unionByName, [t.select(*keys, "t") for t in tables])
+    n, first, last = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).agg(F.max("n"), F.min("a"), F.max("b")).first()
+    return max(1, (last - first) * key_rows // n) if n and n > key_rows else 0
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str] = (), strict: bool = False, forward: bool = False, chunk_ns: int = CHUNK) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str] = (), strict: bool = False, forward: bool = False, chunk_ns: int | None = None) -> DataFrame:
     """left with r_t (and r_<payload>) of the last right row at or before left.t; strict: before; forward: the first at or after.
 
-    Both sides need keys, t and id (the tie break). The union is windowed per (keys, time chunk);
-    what an earlier chunk leaves behind is carried over by a second window over one row per chunk, so a
-    key with very many rows is not one task.
+    Both sides need keys, t and id (the tie break). The union is windowed per key. If a key has very many rows (chunk_ns, by
+    default from chunk_for), it is windowed per (keys, time chunk), and what an earlier chunk leaves behind is carried over by a second window
+    over one row per chunk, so a busy key is not one task.
     """
+    chunk_ns = chunk_for(keys, left, right) if chunk_ns is None else chunk_ns
     sign = -1 if forward else 1
     value = F.struct(F.col("t").alias("t"), *[F.col(p).alias(p) for p in payload])
-    chunk = F.expr(f"floor(t / {chunk_ns})").cast("bigint") * sign
+    chunk = F.expr(f"floor(t / {chunk_ns})").cast("bigint") * sign if chunk_ns else F.lit(0)
     cols = left.columns
     side = (1 if strict else 0)
     both = left.withColumn("__v", F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)).withColumn("__s", F.lit(1 - side)).withColumn("__id", F.lit(0).cast("bigint"))
@@ -27,6 +39,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], payload: list[str]
     order = [F.col("t") * sign, "__s", F.col("__id") * sign]
     w = Window.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumn("__r", F.last("__v", ignorenulls=True).over(w)).where("__left")
+    if not chunk_ns:
+        return here.select(*cols, F.col("__r.t").alias("r_t"), *[F.col(f"__r.{p}").alias(f"r_{p}") for p in payload])
     tail = rows.where("not __left").groupBy(*keys, "__c").agg(F.max_by("__v", F.struct(*[x if not isinstance(x, str) else F.col(x) for x in order])).alias("__tail"))
     chunks = here.select(*keys, "__c").distinct().unionByName(tail.select(*keys, "__c")).distinct().join(tail, [*keys, "__c"], "left")
     carry = chunks.withColumn("__carry", F.last("__tail", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "__c", "__carry")
@@ -64,12 +78,13 @@ def next_start(points: DataFrame, spans: DataFrame, keys: list[str], tolerance:
 FINEST = 1 << 20
 
 
-def _contained(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+def contained(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """(point, span) rows with t0 <= t <= t1. Each span is filed under at most two buckets of its own level.
 
     The level is the first whose buckets are as wide as the span, so long spans do not multiply; a point
     looks into one bucket of each level that occurs (a few numbers that are gathered first).
     """
+    spans = written(spans, "spans")
     level = F.greatest(F.lit(0), F.ceil(F.log2((F.col("t1") - F.col("t0") + 1) / F.lit(float(FINEST))) / 3)).cast("int")
     width = lambda c: F.lit(FINEST).cast("bigint") * F.pow(F.lit(8.0), c).cast("bigint")
     filed = spans.where("t1 >= t0").withColumn("level", level).withColumn("w", width(F.col("level")))
@@ -82,19 +97,19 @@ def _contained(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFram
 
 def interval_owner(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str = "id") -> DataFrame:
     """points with the span_id and t0 of the innermost span of their key that holds t (both ends count): the latest start, then the largest id."""
-    best = _contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.max(F.struct("t0", "span_id")).alias("best"))
+    best = contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.max(F.struct("t0", "span_id")).alias("best"))
     return points.join(best, point_id, "left").withColumn("span_id", F.col("best.span_id")).withColumn("t0", F.col("best.t0")).drop("best")
 
 
 def interval_overlaps(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str = "id") -> DataFrame:
     """How many spans hold each point: point id, overlaps."""
-    n = _contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.count(F.lit(1)).alias("overlaps"))
+    n = contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.count(F.lit(1)).alias("overlaps"))
     return points.join(n, point_id, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("bigint"))
 
 
 def interval_semi(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """Spans that hold at least one point."""
-    held = _contained(points.select("t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).select("span_id").distinct()
+    held = contained(points.select("t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).select("span_id").distinct()
     return spans.join(held, "span_id", "left_semi")
 
 

@@ -74,6 +74,18 @@ def v_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_pub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, in the node of their nation, publish one topic for each of their orders."""
+    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).selectExpr("concat('EX:', c_nationkey) AS node", "concat('NC:', c_custkey) AS entity", "concat('O:', o_orderkey) AS topic")
+
+
+def v_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, in the node of their nation, take the topics of the orders with their line items."""
+    line, supplier = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier")
+    return line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).selectExpr("concat('EX:', s_nationkey) AS node", "concat('NS:', s_suppkey) AS entity", "concat('O:', l_orderkey) AS topic").distinct()
+
+
 def v_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier at a place of an order -> supplier at the next place, by token: an acyclic graph with paths as long as orders."""
     over = "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)"
@@ -117,6 +129,8 @@ v_span AS (SELECT id AS span_id, vpid, vtid, cb, ts_ns AS t0, t2 AS t1, CAST(lvl
   UNION ALL SELECT 'E:' || o_orderkey, 'E', 'NC:' || o_custkey, o_orderstatus FROM orders)""",
     "v_call": """v_call AS (SELECT l_orderkey AS inv, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS pos,
   l_returnflag || l_linestatus AS token, l_suppkey % 4 AS stream, l_extendedprice AS cost FROM lineitem)""",
+    "v_pub": "v_pub AS (SELECT 'EX:' || c_nationkey AS node, 'NC:' || c_custkey AS entity, 'O:' || o_orderkey AS topic FROM orders JOIN customer ON o_custkey = c_custkey)",
+    "v_sub": "v_sub AS (SELECT DISTINCT 'EX:' || s_nationkey AS node, 'NS:' || s_suppkey AS entity, 'O:' || l_orderkey AS topic FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)",
     "v_hop": """v_hop AS (SELECT 'S:' || l_suppkey || '@' || pos AS src, 'S:' || following || '@' || (pos + 1) AS dst, topic, count(*) AS n FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS topic, row_number() OVER w AS pos, lead(l_suppkey) OVER w AS following
   FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice)) WHERE following IS NOT NULL GROUP BY ALL)""",
     "v_topic": "v_topic AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS name FROM pages)",

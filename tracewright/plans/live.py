@@ -26,15 +26,20 @@ def query(oracle: str | None = None):
     return add
 
 
-def _through(spark: SparkSession, build, source: DataFrame) -> DataFrame:
+def through(spark: SparkSession, build, source: DataFrame, state_store: str | None = None) -> DataFrame:
     """Write source as files, stream them through build to a parquet sink until all is read, and read the sink."""
     table = written(source, "stream-in")
     base = table.inputFiles()[0].rsplit("/", 1)[0]
     live = spark.readStream.schema(table.schema).parquet(base)
     out = f"{base}-out-{uuid.uuid4().hex}"
     result = build(live)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if state_store:
+        spark.conf.set(key, state_store)
     q = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
+    spark.conf.set(key, before)
     return spark.read.schema(result.schema).parquet(out)
 
 
@@ -42,7 +47,7 @@ def _through(spark: SparkSession, build, source: DataFrame) -> DataFrame:
   WHERE floor(ts_ns / 86400000000000) < (SELECT max(floor(ts_ns / 86400000000000)) FROM v_trace) GROUP BY ALL"""))
 def x3_stream_rates(spark, d):
     """Days that the watermark has closed."""
-    return _through(spark, lambda s: streams.stream_rates(s, "1 day"), v_trace(spark, d).select("id", "ts_ns", "event"))
+    return through(spark, lambda s: streams.stream_rates(s, "1 day"), v_trace(spark, d).select("id", "ts_ns", "event"))
 
 
 @query(sql("v_trace", """, g AS (SELECT vpid, ts_ns, CASE WHEN ts_ns - lag(ts_ns) OVER w >= 7200000000000 THEN 1 ELSE 0 END AS b FROM v_trace WINDOW w AS (PARTITION BY vpid ORDER BY ts_ns, id)),
@@ -50,7 +55,7 @@ def x3_stream_rates(spark, d):
   SELECT vpid, start_us, end_us, n FROM r WHERE end_us <= (SELECT max(ts_ns) // 1000 - 600000000 FROM v_trace)"""))
 def x4_stream_sessions(spark, d):
     """Sessions that the watermark has closed."""
-    return _through(spark, lambda s: streams.stream_sessions(s, "2 hours", "vpid"), v_trace(spark, d).select("id", "ts_ns", "vpid"))
+    return through(spark, lambda s: streams.stream_sessions(s, "2 hours", "vpid"), v_trace(spark, d).select("id", "ts_ns", "vpid"))
 
 
 @query(sql("v_trace", "SELECT id, ts_ns, event, vpid, vtid, coalesce(cb, '') AS cb, CAST(id % 8 AS INT) AS cpu FROM v_trace"))

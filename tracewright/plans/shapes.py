@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import build as bd
 from tracewright.operators import model as md
 from tracewright.operators import shapes as sh
 from tracewright.operators import stats as st
-from tracewright.plans.bindings import sql, v_call, v_edge, v_gpu, v_runtime, v_span, v_trace, v_vertex
+from tracewright.plans.bindings import read, sql, v_call, v_gpu, v_pub, v_runtime, v_span, v_sub, v_trace, v_vertex
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,7 +33,7 @@ def d1_dag_nodes(spark, d):
     return sh.typed_dag(v_call(spark, d))[0].na.fill(-1, ["stream"])
 
 
-@query(sql("v_call", _NODES + """, e AS (SELECT inv, lag(idx) OVER (PARTITION BY inv ORDER BY idx) AS src, idx AS dst, 'cpu_order' AS kind FROM nodes WHERE pe = 'CPU' UNION ALL SELECT inv, idx - 1, idx, 'launch' FROM nodes WHERE pe = 'SM'
+@query(sql("v_call", _NODES.replace("nodes AS (", "nodes AS MATERIALIZED (") + """, e AS (SELECT inv, lag(idx) OVER (PARTITION BY inv ORDER BY idx) AS src, idx AS dst, 'cpu_order' AS kind FROM nodes WHERE pe = 'CPU' UNION ALL SELECT inv, idx - 1, idx, 'launch' FROM nodes WHERE pe = 'SM'
   UNION ALL SELECT inv, lag(idx) OVER (PARTITION BY inv, stream ORDER BY idx), idx, 'stream_fifo' FROM nodes WHERE pe = 'SM') SELECT inv, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, kind FROM e WHERE src IS NOT NULL"""))
 def d1_dag_edges(spark, d):
     return sh.typed_dag(v_call(spark, d))[1]
@@ -83,9 +84,13 @@ def d5_skeleton(spark, d):
     return sh.skeleton(s, "key").withColumn("skeleton", F.array_join("skeleton", ","))
 
 
-@query()
+@query(sql("v_call", _SEQ + """, k AS (SELECT DISTINCT inv // 3 AS key, tokens FROM seqs), t AS (SELECT key, count(*) AS c, min(struct_pack(n := len(tokens), t := tokens)).t AS first FROM k GROUP BY key),
+  g AS (SELECT DISTINCT key, tokens, tokens[i:i + l - 1] AS run, l FROM (SELECT key, tokens, l, unnest(range(1, len(tokens) - l + 2)) AS i FROM (SELECT key, tokens, unnest(range(1, len(tokens) + 1)) AS l FROM k))),
+  h AS (SELECT g.key, run, l FROM g JOIN t USING (key) GROUP BY g.key, run, l, c HAVING count(*) = c), m AS (SELECT key, max(l) AS l FROM h GROUP BY key),
+  p AS (SELECT h.key, h.l, h.run, (SELECT min(i) FROM range(1, len(first) + 1) r(i) WHERE first[i:i + h.l - 1] = h.run) AS pl FROM h JOIN m USING (key, l) JOIN t USING (key))
+  SELECT CAST(key AS VARCHAR) AS key, CAST(max(l) AS INT) AS length, array_to_string(arg_min(run, pl), ',') AS block FROM p GROUP BY key"""))
 def d6_common_block(spark, d):
-    s = sh.sequences(v_call(spark, d)).where("n >= 3").withColumn("key", F.col("inv") % 500)
+    s = sh.sequences(v_call(spark, d)).withColumn("key", F.expr("inv div 3"))
     return sh.common_block(s, "key")
 
 
@@ -121,12 +126,20 @@ def d11_substring(spark, d):
     return sh.sequences(v_call(spark, d)).select("inv", sh.position_in(F.col("tokens"), ["NO", "RF"]).alias("at"))
 
 
-@query(sql("v_call", _SEQ + """, k AS (SELECT inv % 7 AS key, inv, tokens, sig FROM seqs), c AS (SELECT key, sig, count(*) AS c, any_value(tokens) AS main FROM k GROUP BY ALL), b AS (SELECT key, max(struct_pack(c := c, sig := sig)).sig AS main_sig FROM c GROUP BY key),
-  m AS (SELECT b.key, main_sig, main FROM b JOIN c ON b.key = c.key AND main_sig = c.sig)
-  SELECT k.key, inv, k.sig, CASE WHEN k.sig = main_sig THEN 'STEADY' WHEN len(tokens) // len(main) >= 2 AND array_to_string(tokens, ',') = repeat(array_to_string(main, ',') || ',', CAST(len(tokens) // len(main) - 1 AS BIGINT)) || array_to_string(main, ',') THEN 'COALESCED(' || len(tokens) // len(main) || ')'
-    WHEN len(tokens) >= 3 AND tokens = main[1:len(tokens)] THEN 'TAIL' ELSE 'UNKNOWN' END AS phase FROM k JOIN m USING (key)"""))
+#: Scores that make all phases appear in the tables: a call of AF counts 25, NO and RF together in great number 100.
+_SIGNALS = [("AF", None, 25), ("RO", 3, 100)]
+
+
+@query(sql("v_call", _SEQ + """, k AS (SELECT inv % 1000 AS key, inv, tokens, sig, 25 * len(list_filter(tokens, lambda t: t = 'AF')) + CASE WHEN len(list_filter(tokens, lambda t: t = 'RO')) >= 3 THEN 100 ELSE 0 END AS score,
+    row_number() OVER (PARTITION BY inv % 1000 ORDER BY inv) - 1 AS idx, count(*) OVER (PARTITION BY inv % 1000) AS total FROM seqs),
+  c AS (SELECT key, sig, count(*) AS c, min(inv) AS f, arg_min(tokens, inv) AS main FROM k WHERE score < 20 GROUP BY ALL), b AS (SELECT key, arg_min(struct_pack(sig := sig, main := main), struct_pack(c := -c, f := f)) AS b FROM c GROUP BY key),
+  j AS (SELECT k.*, b.b.sig AS main_sig, b.b.main AS main, len(tokens) AS n, len(b.b.main) AS m FROM k LEFT JOIN b USING (key)),
+  x AS (SELECT *, coalesce((SELECT min(i) - 1 FROM range(1, n + 1) r(i) WHERE tokens[i] IS DISTINCT FROM main[i]), n) AS match FROM j)
+  SELECT key, inv, sig, CASE WHEN score >= 100 THEN 'INIT' WHEN sig = main_sig THEN 'STEADY' WHEN n > m AND n % m = 0 AND array_to_string(tokens, ',') = repeat(array_to_string(main, ',') || ',', CAST(n // m - 1 AS BIGINT)) || array_to_string(main, ',') THEN 'COALESCED(' || n // m || ')'
+    WHEN total - idx <= 3 AND n >= 2 AND n < m AND match >= 0.95 * n THEN 'TAIL' WHEN score >= 20 AND idx < 3 THEN 'WARMUP' ELSE 'UNKNOWN' END AS phase FROM x"""))
 def h8_classify_periods(spark, d):
-    return sh.classify_periods(sh.sequences(v_call(spark, d)).withColumn("key", F.col("inv") % 7))
+    s = sh.sequences(v_call(spark, d)).withColumn("key", F.col("inv") % 1000).withColumn("score", sh.signal_score(F.col("tokens"), _SIGNALS))
+    return sh.classify_periods(s, least=2)
 
 
 @query(sql("v_call", _SEQ + """, s AS (SELECT inv % 7 AS key, sig, count(*) AS c, min(inv) AS f, max(inv) AS l, max(n) AS n FROM seqs GROUP BY ALL), p AS (SELECT key, min(f) AS t0, max(l) AS t1, max(struct_pack(c := c, s := sig)).s AS main, median(n) AS m, avg(n) AS a, stddev_pop(n) AS sd FROM s GROUP BY key),
@@ -142,41 +155,46 @@ def h9_classify_shapes(spark, d):
 
 
 def _pubsub(spark, d):
-    e, v = v_edge(spark, d), v_vertex(spark, d).select("id", F.col("parent").alias("node"))
-    pub = e.select(F.col("src").alias("id"), "topic").join(v, "id").select("node", F.col("id").alias("entity"), "topic")
-    sub = e.select(F.col("dst").alias("id"), "topic").join(v, "id").select("node", F.col("id").alias("entity"), "topic")
-    return pub, sub
+    return v_pub(spark, d), v_sub(spark, d)
 
 
-_PS = """, pub AS (SELECT DISTINCT v.parent AS node, src AS entity, topic FROM v_edge JOIN v_vertex v ON src = v.id), sub AS (SELECT DISTINCT v.parent AS node, dst AS entity, topic FROM v_edge JOIN v_vertex v ON dst = v.id)"""
+_PS = ", pub AS (SELECT * FROM v_pub), sub AS (SELECT * FROM v_sub)"
 
 
-@query(sql("v_edge v_vertex", _PS + " SELECT topic, pub.node AS src_node, pub.entity AS src, sub.node AS dst_node, sub.entity AS dst, pub.node = sub.node AS intra_node FROM pub JOIN sub USING (topic)"))
+@query(sql("v_pub v_sub", _PS + " SELECT topic, pub.node AS src_node, pub.entity AS src, sub.node AS dst_node, sub.entity AS dst, pub.node = sub.node AS intra_node FROM pub JOIN sub USING (topic)"))
 def j20_match_topics(spark, d):
     return md.match_topics(*_pubsub(spark, d))
 
 
-@query(sql("v_edge v_vertex", _PS + ", p AS (SELECT DISTINCT pub.entity AS a, sub.entity AS b, topic AS service FROM pub JOIN sub USING (topic)) SELECT service, a AS src, b AS dst, 'request' AS part, 'dep' AS nature FROM p UNION ALL SELECT service, b, a, 'response', 'dep' FROM p"))
+@query(sql("v_pub v_sub", _PS + """, i AS (SELECT 'O:' || o_orderkey AS topic, o_orderpriority AS msg_type FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT 'O:' || o_orderkey AS topic, max(CAST(o_totalprice AS DOUBLE)) AS avg_rate_hz FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1)
+  SELECT topic, pub.entity AS src, sub.entity AS dst, coalesce(msg_type, '') AS msg_type, coalesce(avg_rate_hz, -1) AS avg_rate_hz FROM pub JOIN sub USING (topic) LEFT JOIN i USING (topic) LEFT JOIN r USING (topic)"""))
+def j20_topic_data(spark, d):
+    o = read(spark, d, "orders").selectExpr("concat('O:', o_orderkey) AS topic", "o_orderpriority AS type", "cast(o_totalprice AS double) AS average_rate", "o_orderkey")
+    out = md.with_topic_data(md.match_topics(*_pubsub(spark, d)).select("topic", "src", "dst"), o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 5 <> 0"))
+    return out.na.fill("", ["msg_type"]).na.fill(-1, ["avg_rate_hz"])
+
+
+@query(sql("v_pub v_sub", _PS + ", p AS (SELECT DISTINCT pub.entity AS a, sub.entity AS b, topic AS service FROM pub JOIN sub USING (topic)) SELECT service, a AS src, b AS dst, 'request' AS part, 'dep' AS nature FROM p UNION ALL SELECT service, b, a, 'response', 'dep' FROM p"))
 def j21_match_services(spark, d):
     pub, sub = _pubsub(spark, d)
     return md.match_services(pub.withColumnRenamed("topic", "service"), sub.withColumnRenamed("topic", "service"))
 
 
-@query(sql("v_edge v_vertex", _PS + """, p AS (SELECT DISTINCT entity, topic FROM pub WHERE topic < 'Brand#4'), s AS (SELECT DISTINCT entity, topic FROM sub WHERE topic >= 'Brand#2')
+@query(sql("v_pub v_sub", _PS + """, p AS (SELECT DISTINCT entity, topic FROM pub WHERE topic < 'O:6'), s AS (SELECT DISTINCT entity, topic FROM sub WHERE topic >= 'O:3')
   SELECT 'ext:src:' || topic AS src, entity AS dst, topic FROM s ANTI JOIN p USING (topic) UNION ALL SELECT entity, 'ext:sink:' || topic, topic FROM p ANTI JOIN s USING (topic)"""))
 def j22_external_boundary(spark, d):
     pub, sub = _pubsub(spark, d)
-    return md.external_boundary(pub.where("topic < 'Brand#4'"), sub.where("topic >= 'Brand#2'"))
+    return md.external_boundary(pub.where("topic < 'O:6'"), sub.where("topic >= 'O:3'"))
 
 
-@query(sql("v_edge v_vertex", _PS + """, e AS (SELECT 'n' AS node, topic AS g, entity FROM pub), o AS (SELECT 'n' AS node, topic AS g, entity FROM sub) SELECT DISTINCT e.node, e.g AS "group", e.entity AS src, o.entity AS dst FROM e JOIN o ON e.g = o.g WHERE e.entity <> o.entity"""))
+@query(sql("v_pub v_sub", _PS + """ SELECT DISTINCT 'n' AS node, pub.topic AS "group", pub.entity AS src, sub.entity AS dst FROM pub JOIN sub USING (topic) WHERE pub.entity <> sub.entity"""))
 def j24_group_links(spark, d):
     pub, sub = _pubsub(spark, d)
     at = lambda x: x.select(F.lit("n").alias("node"), F.col("topic").alias("group"), "entity")
     return md.group_links(at(pub), at(sub))
 
 
-@query(sql("v_edge v_vertex", _PS + """, g AS (SELECT ascii(right(entity, 1)) % 2 AS role, entity, topic, 'pub' AS dir FROM pub UNION SELECT ascii(right(entity, 1)) % 2, entity, topic, 'sub' FROM sub)
+@query(sql("v_pub v_sub", _PS + """, g AS (SELECT ascii(right(entity, 1)) % 2 AS role, entity, topic, 'pub' AS dir FROM pub UNION SELECT ascii(right(entity, 1)) % 2, entity, topic, 'sub' FROM sub)
   SELECT DISTINCT a.topic, a.role AS src_role, a.entity AS src, b.role AS dst_role, b.entity AS dst FROM g a JOIN g b ON a.topic = b.topic AND a.dir = 'pub' AND b.dir = 'sub' AND a.role <> b.role"""))
 def j30_match_boundaries(spark, d):
     pub, sub = _pubsub(spark, d)
@@ -184,9 +202,27 @@ def j30_match_boundaries(spark, d):
     return md.match_boundaries(g)
 
 
-@query(sql("v_span v_runtime", "SELECT DISTINCT pid, tid FROM v_runtime r WHERE NOT EXISTS (SELECT 1 FROM v_span s WHERE s.vpid = r.pid AND s.vtid = r.tid AND lvl > 9)"))
+@query(sql("v_pub v_sub v_vertex", _PS + """, e AS (SELECT DISTINCT id AS entity, parent AS node FROM v_vertex WHERE type = 'N'), x AS (SELECT e.entity, e.node, v.parent AS executor FROM e JOIN v_vertex v ON e.node = v.id),
+  l2 AS (SELECT p.entity AS src, s.entity AS dst, 'msg' AS nature, topic, CAST(NULL AS VARCHAR) AS direction FROM (SELECT DISTINCT * FROM pub) p JOIN sub s USING (topic)),
+  a AS (SELECT l2.*, a.node AS an, a.executor AS ax, b.node AS bn, b.executor AS bx, a.node = b.node AS intra_node FROM l2 JOIN x a ON l2.src = a.entity JOIN x b ON l2.dst = b.entity),
+  l1 AS (SELECT an, bn, ax, bx, count(*) AS n, string_agg(DISTINCT topic, ',' ORDER BY topic) AS topic FROM a WHERE an <> bn GROUP BY ALL)
+  SELECT src, dst, 'L2' AS level, nature, md5(topic) AS topic, direction, intra_node, 1 AS n FROM a UNION ALL SELECT src || '/f', dst || '/f', 'L3', nature, md5(topic), direction, intra_node, 1 FROM a
+  UNION ALL SELECT an, bn, 'L1', NULL, md5(topic), NULL, false, n FROM l1 UNION ALL SELECT ax, bx, 'L0', NULL, NULL, NULL, false, CAST(sum(n) AS BIGINT) FROM l1 WHERE ax <> bx GROUP BY ax, bx"""))
+def g3_comm_edges(spark, d):
+    pub, sub = _pubsub(spark, d)
+    v = v_vertex(spark, d).select("id", "type", "parent")
+    e = v.where("type = 'N'").select(F.col("id").alias("entity"), F.col("parent").alias("node"))
+    nodes = e.join(v.select(F.col("id").alias("node"), F.col("parent").alias("executor")), "node")
+    none = pub.limit(0).withColumnRenamed("topic", "service")
+    functions = e.select("entity", F.concat("entity", F.lit("/f")).alias("function"), F.lit("main").alias("part"))
+    return bd.comm_edges(pub, sub, none, none, functions, nodes).withColumn("topic", F.md5("topic"))
+
+
+@query(sql("v_span v_runtime", "SELECT DISTINCT (pid + 1) % 8 AS pid, tid FROM v_runtime r WHERE NOT EXISTS (SELECT 1 FROM v_span s WHERE s.vpid = (r.pid + 1) % 8 AND s.vtid = r.tid) UNION SELECT DISTINCT pid, tid FROM v_runtime r WHERE NOT EXISTS (SELECT 1 FROM v_span s WHERE s.vpid = r.pid AND s.vtid = r.tid)"))
 def j26_unowned_threads(spark, d):
-    return md.unowned_threads(v_runtime(spark, d), v_span(spark, d).where("lvl > 9"))
+    r = v_runtime(spark, d).select("pid", "tid")
+    # A second set of calls, moved to the next process, comes from threads that start no callback there.
+    return md.unowned_threads(r.unionByName(r.withColumn("pid", (F.col("pid") + 1) % 8)), v_span(spark, d))
 
 
 @query(sql("v_gpu", "SELECT DISTINCT pid FROM v_gpu"))
@@ -220,16 +256,17 @@ def h1_mark_phases(spark, d):
     return md.mark_phases(fn, st.fire_bounds(t))
 
 
-@query(sql("v_edge v_vertex", _PS + """, k AS (SELECT 'n' || ascii(topic[8]) % 2 AS node, entity, topic, CASE WHEN ascii(right(entity, 1)) % 3 = 0 THEN 'tmr' ELSE 'sub' END AS kind FROM pub), m AS (SELECT node, topic FROM k WHERE kind = 'sub' GROUP BY ALL HAVING count(DISTINCT entity) >= 2),
+@query(sql("v_pub v_sub", _PS + """, k AS (SELECT 'n' || ascii(right(topic, 1)) % 2 AS node, entity, topic, CASE WHEN ascii(right(entity, 1)) % 3 = 0 THEN 'tmr' ELSE 'sub' END AS kind FROM sub), m AS (SELECT node, topic FROM k WHERE kind = 'sub' GROUP BY ALL HAVING count(DISTINCT entity) >= 2),
   at_ AS (SELECT k.* FROM k JOIN m USING (node, topic)), c AS (SELECT node, topic, entity, 'completer' AS role FROM at_ WHERE kind = 'sub'), o AS (SELECT node, topic, entity, 'timeout' AS role FROM at_ WHERE kind = 'tmr'),
-  ty AS (SELECT DISTINCT node, entity, kind, ascii(right(entity, 1)) % 2 AS mt FROM k), it AS (SELECT DISTINCT c.node, c.topic, mt FROM c JOIN ty ON c.entity = ty.entity),
-  mem AS (SELECT ty.node, it.topic, ty.entity, 'member' AS role FROM ty JOIN it ON ty.node = it.node AND ty.mt = it.mt WHERE ty.kind = 'sub' AND (ty.node, ty.entity) NOT IN (SELECT (node, entity) FROM c))
+  ty AS (SELECT DISTINCT node, entity, kind, ascii(right(entity, 1)) % 2 AS mt FROM k UNION SELECT DISTINCT 'n' || ascii(right(topic, 1)) % 2, entity, 'sub', ascii(right(entity, 1)) % 2 FROM pub), it AS (SELECT DISTINCT c.node, c.topic, mt FROM c JOIN (SELECT DISTINCT entity, mt FROM ty) ty ON c.entity = ty.entity),
+  im AS (SELECT node, mt, min(topic) AS topic FROM it GROUP BY ALL),
+  mem AS (SELECT ty.node, im.topic, ty.entity, 'member' AS role FROM ty JOIN im ON ty.node = im.node AND ty.mt = im.mt WHERE ty.kind = 'sub' AND (ty.node, ty.entity) NOT IN (SELECT (node, entity) FROM c))
   SELECT node, entity, role, min(topic) AS join_group FROM (SELECT * FROM c UNION ALL SELECT * FROM o UNION ALL SELECT * FROM mem) GROUP BY ALL"""))
 def h2_detect_joins(spark, d):
-    pub, _ = _pubsub(spark, d)
-    last = F.ascii(F.right("entity", F.lit(1)))
-    k = pub.distinct().withColumn("node", F.concat(F.lit("n"), F.ascii(F.substring("topic", 8, 1)) % 2)).withColumn("kind", F.when(last % 3 == 0, "tmr").otherwise("sub"))
-    types = k.select("node", "entity", "kind", (last % 2).alias("msg_type")).distinct()
+    pub, sub = _pubsub(spark, d)
+    last, node = F.ascii(F.right("entity", F.lit(1))), F.concat(F.lit("n"), F.ascii(F.right("topic", F.lit(1))) % 2)
+    k = sub.withColumn("node", node).withColumn("kind", F.when(last % 3 == 0, "tmr").otherwise("sub"))
+    types = k.select("node", "entity", "kind", (last % 2).alias("msg_type")).unionByName(pub.select(node.alias("node"), "entity", F.lit("sub").alias("kind"), (last % 2).alias("msg_type"))).distinct()
     return md.detect_joins(k, types)
 
 

@@ -218,12 +218,64 @@ def a24_residual_summary(spark, d):
 
 
 @query(sql("v_span v_runtime", f""", s AS (SELECT * FROM v_span WHERE t1 - t0 >= {6 * HOUR}), m AS (SELECT corr, pid, tid, unnest([{-HOUR}, 0, {HOUR}]) AS shift, t FROM v_runtime),
-  h AS (SELECT shift, EXISTS (SELECT 1 FROM s WHERE s.vpid = m.pid AND s.vtid = m.tid AND m.t + m.shift BETWEEN s.t0 AND s.t1) AS held FROM m)
-  SELECT shift, count(*) AS calls, count(*) FILTER (held) AS covered, round(covered / calls, 6) AS share FROM h GROUP BY shift"""))
+  h AS (SELECT shift, EXISTS (SELECT 1 FROM s WHERE s.vpid = m.pid AND s.vtid = m.tid AND m.t + m.shift BETWEEN s.t0 AND s.t1) AS held FROM m),
+  c AS (SELECT shift, count(*) AS calls, count(*) FILTER (held) AS covered FROM h GROUP BY shift)
+  SELECT shift, calls, covered, round(covered / calls, 6) AS share, shift = first_value(shift) OVER (ORDER BY covered DESC, shift) AS best FROM c"""))
 def a34_coverage(spark, d):
     return at.coverage(v_runtime(spark, d), v_span(spark, d), 6 * HOUR, [-HOUR, 0, HOUR])
 
 
+@query(sql("v_span v_gpu v_sync", _ATTR + """, r AS (SELECT v.api_name, v.tid FROM att a JOIN v_runtime v ON a.corr = v.corr WHERE rule = 'residual')
+  (SELECT api_name AS key, count(*) AS n, 'api' AS what FROM r GROUP BY api_name ORDER BY n DESC, api_name LIMIT 15) UNION ALL SELECT CAST(tid AS VARCHAR), count(*), 'tid' FROM r GROUP BY tid"""))
+def a24_residual_tops(spark, d):
+    return at.residual_tops(_attributed(spark, d), v_runtime(spark, d))
+
+
+@query(sql("v_span v_runtime", """, w AS (SELECT vpid, vtid, min(t0) AS a, max(t1) AS b FROM v_span GROUP BY ALL), r AS (SELECT corr, CASE WHEN corr % 7 = 0 THEN pid + 1 ELSE pid END AS pid, tid, t FROM v_runtime),
+  o AS (SELECT r.corr, arg_max(s.span_id, struct_pack(a := s.t0, b := s.span_id)) AS o FROM r JOIN v_span s ON r.pid = s.vpid AND r.tid = s.vtid AND r.t BETWEEN s.t0 AND s.t1 GROUP BY r.corr)
+  SELECT r.*, coalesce(o, -1) AS span_id, CASE WHEN a IS NULL THEN 'no_callback_thread' WHEN o IS NOT NULL THEN 'inside' WHEN t < a THEN 'before' WHEN t > b THEN 'after' ELSE 'gap' END AS place FROM r LEFT JOIN w ON r.pid = w.vpid AND r.tid = w.vtid LEFT JOIN o ON r.corr = o.corr"""))
+def a34_call_places(spark, d):
+    r = v_runtime(spark, d).select("corr", F.when(F.col("corr") % 7 == 0, F.col("pid") + 1).otherwise(F.col("pid")).alias("pid"), "tid", "t")
+    return _whole(at.call_places(r, v_span(spark, d)), "span_id")
+
+
+@query(sql("v_span", """, p AS (SELECT id, vpid, vtid, ts_ns AS t FROM v_trace WHERE event = 'publish'), o AS (SELECT p.id, arg_max(s.cb, struct_pack(a := s.t0, b := s.span_id)) AS cb FROM p JOIN v_span s ON p.vpid = s.vpid AND p.vtid = s.vtid AND p.t BETWEEN s.t0 AND s.t1 GROUP BY p.id)
+  SELECT coalesce(cb, '') AS cb, count(*) AS outputs FROM p LEFT JOIN o USING (id) GROUP BY 1"""))
+def a30_completer_distribution(spark, d):
+    return st.completer_distribution(_points(spark, d, "publish"), v_span(spark, d)).na.fill("", ["cb"])
+
+
+@query(sql("v_span", """, m AS (SELECT * FROM v_span WHERE CAST(cb AS INT) % 2 = 0), x AS (SELECT cb, t1 - t0 AS v, CASE WHEN EXISTS (SELECT 1 FROM v_trace p WHERE p.event = 'publish' AND p.vpid = m.vpid AND p.vtid = m.vtid AND p.ts_ns BETWEEN m.t0 AND m.t1) THEN 'completer' ELSE 'deposit_only' END AS role FROM m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY cb, role ORDER BY v) - 1 AS rn, count(*) OVER (PARTITION BY cb, role) AS n FROM x)
+  SELECT cb, role, any_value(n) AS n, max(v) FILTER (rn = floor(0.5 * (n - 1))) AS p50, max(v) FILTER (rn = floor(0.9 * (n - 1))) AS p90, max(v) AS max FROM r GROUP BY cb, role"""))
+def a30_exec_by_role(spark, d):
+    cbs = v_trace(spark, d).where("cast(cb AS int) % 2 = 0").select("cb")
+    return st.exec_by_role(v_span(spark, d), _points(spark, d, "publish"), cbs)
+
+
+_TASKS = "SELECT DISTINCT cb, CAST(cb AS INT) % 4 AS executor, CASE WHEN CAST(cb AS INT) % 3 = 0 THEN 'tmr-nominal' ELSE 'measured' END AS period_source, (1 + CAST(cb AS INT) % 6) * 7200000000000 AS period_ns FROM v_trace WHERE cb IS NOT NULL"
+
+
+@query(sql("v_trace", f""", k AS ({_TASKS}), f AS (SELECT cb, ts_ns AS t FROM v_trace WHERE event = 'callback_start' AND cb IS NOT NULL), z AS (SELECT max(ts_ns) AS z FROM v_trace),
+  nom AS (SELECT * FROM k WHERE period_source = 'tmr-nominal'), hyp AS (SELECT executor, list_sort(list(DISTINCT period_ns)) AS p FROM nom GROUP BY executor),
+  he AS (SELECT executor, CAST(list_reduce(p, lambda a, b: CASE WHEN a > 3600000000000 THEN a ELSE lcm(a, b) END) AS BIGINT) AS h FROM hyp), hs AS (SELECT list_sort(list(DISTINCT period_ns))[1] AS h FROM nom),
+  ae AS (SELECT executor, min(t) AS a FROM f JOIN nom USING (cb) GROUP BY executor), asess AS (SELECT min(t) AS a FROM f JOIN nom USING (cb)),
+  both_ AS (SELECT cb, 'executor' AS scope, h, a, t FROM f JOIN k USING (cb) JOIN he USING (executor) JOIN ae USING (executor) UNION ALL SELECT cb, 'session', h, a, t FROM f JOIN k USING (cb), hs, asess),
+  c AS (SELECT cb, scope, h, (t - a) // h AS b, count(*) AS c FROM both_, z WHERE t >= a AND t < z GROUP BY ALL), s AS (SELECT cb, scope, h, max(b) - min(b) + 1 AS n, count(*) AS k, CAST(sum(c) AS BIGINT) AS total, sum(c * c) AS q, min(c) AS lo, max(c) AS max_count FROM c GROUP BY ALL)
+  SELECT cb, scope, h AS hyperperiod_ns, CAST(n AS BIGINT) AS n, total, CASE WHEN k < n THEN 0 ELSE lo END AS min_count, max_count, round(total / n, 3) AS mean, round(sqrt(greatest(0.0, q / n - (total / n) * (total / n))), 3) AS std FROM s"""))
+def w10_callback_window_stats(spark, d):
+    t = v_trace(spark, d).where("cb IS NOT NULL")
+    k = F.col("cb").cast("int")
+    tasks = t.select("cb", (k % 4).alias("executor"), F.when(k % 3 == 0, "tmr-nominal").otherwise("measured").alias("period_source"), ((1 + k % 6) * 7_200_000_000_000).cast("bigint").alias("period_ns")).distinct()
+    end = v_trace(spark, d).agg(F.max("ts_ns")).first()[0] or 0
+    return st.callback_window_stats(t.where("event = 'callback_start'").select("cb", F.col("ts_ns").alias("t")), tasks, end)
+
+
+@query(sql("v_gpu", "SELECT kind, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM v_gpu GROUP BY kind"))
+def a36_count_vs_total(spark, d):
+    return st.share_of_total(v_gpu(spark, d), "kind")
+
+
 @query(sql("v_trace", "SELECT event, count(*) AS n FROM v_trace GROUP BY event"))
 def a1_event_histogram(spark, d):
     return st.count_by(v_trace(spark, d), "event")

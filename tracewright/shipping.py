@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,13 +12,12 @@ _ROOT = Path(__file__).resolve().parents[1]
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send the package to the executors, unless they find it by PYTHONPATH or the working folder."""
-    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == _ROOT:
+    """Send the package to the executors, once per application: what the driver can import says nothing about them."""
+    if spark.conf.get("tracewright.shipped", None) == spark.sparkContext.applicationId:
         return
-    name = f"tracewright-{os.getpid()}.zip"
-    if name not in spark.sparkContext._python_includes:
-        path = Path(tempfile.mkdtemp(prefix="tracewright-")) / name
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted((_ROOT / "tracewright").rglob("*.py")):
-                z.write(p, p.relative_to(_ROOT))
-        spark.sparkContext.addPyFile(str(path))
+    path = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright-package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((_ROOT / "tracewright").rglob("*.py")):
+            z.write(p, p.relative_to(_ROOT))
+    spark.sparkContext.addPyFile(str(path))
+    spark.conf.set("tracewright.shipped", spark.sparkContext.applicationId)

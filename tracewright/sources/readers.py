@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.scale import written
+
 #: Fixed form of a trace line: [HH:MM:SS.nnnnnnnnn] (+d) host event: { cpu }, { proc }, { payload }.
 LINE = r"^\[(\d{2}):(\d{2}):(\d{2})\.(\d{9})\] \([^)]*\) (\S+) ([^:\s]+:?[^:\s]*): \{([^}]*)\}, \{([^}]*)\}(?:, \{(.*)\})?\s*$"
 PAIR = r'(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|\[(?:[^\[\]]|\[\d+\])*\]|[^,{}\[\]]+)'
@@ -18,34 +20,60 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
+def named(text: Column, key: str, value: str) -> Column:
+    """The value of one `key = value` pair, null without it."""
+    return F.nullif(F.regexp_extract(text, rf"(?:^|[ ,]){key}\s*=\s*{value}", 1), F.lit(""))
+
+
 def fields(text: Column) -> Column:
     """Map of the `key = value` pairs of a payload: quotes go, blanks go; arrays keep their elements joined by commas and win over scalars of the same key."""
-    keys, values = F.regexp_extract_all(text, F.lit(PAIR), 1), F.regexp_extract_all(text, F.lit(PAIR), 2)
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), F.trim(v).alias("value")))
+    pairs = F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.locate("=", p) + 1)).alias("value")))
     is_array = lambda p: p["value"].startswith("[")
     ordered = F.concat(F.filter(pairs, is_array), F.filter(pairs, lambda p: ~is_array(p)))
     seen = F.aggregate(ordered, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["key"] == p["key"]), acc).otherwise(F.concat(acc, F.array(p))))
     clean = lambda v: F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).when(v.startswith("["), F.regexp_replace(v, r"\[\d+\]\s*=|[\[\]\s]", "")).otherwise(v)
-    return F.map_from_entries(F.transform(seen, lambda p: F.struct(p["key"], clean(p["value"]))))
+    once = lambda ps: F.map_from_entries(F.transform(ps, lambda p: F.struct(p["key"], clean(p["value"]))))
+    return once(F.when(F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs), pairs).otherwise(seen))
+
+
+#: Lines of a file that one task looks at for midnights.
+CHUNK_LINES = 1_000_000
+
+
+def _midnights(times: DataFrame) -> DataFrame:
+    """(file, turns): the sorted places where the time of day falls by more than 12 hours. times: file, at, tod.
+
+    Files are cut into chunks of lines; the border of two chunks is seen from the last time of the earlier one, so a large file is the work of many tasks.
+    """
+    falls = lambda before: before - F.col("tod") > DAY // 2
+    rows = times.withColumn("chunk", F.expr(f"at div {CHUNK_LINES}"))
+    inside = rows.withColumn("before", F.lag("tod").over(Window.partitionBy("file", "chunk").orderBy("at"))).where(falls(F.col("before"))).select("file", "at")
+    ends = rows.groupBy("file", "chunk").agg(F.min(F.struct("at", "tod")).alias("first"), F.max(F.struct("at", "tod")).alias("last"))
+    border = ends.withColumn("before", F.lag("last.tod").over(Window.partitionBy("file").orderBy("chunk"))).select("file", "first.at", "first.tod", "before").where(falls(F.col("before"))).select("file", "at")
+    return inside.unionByName(border).groupBy("file").agg(F.array_sort(F.collect_list("at")).alias("turns"))
 
 
 def parse_trace(text: DataFrame, session_id: str, date: str, zone: str = "UTC") -> DataFrame:
     """Trace events of lines (value, file, at); lines of another form are dropped.
 
-    Times are times of day; where one falls by more than 12 hours in file order, a day is added.
+    Times are times of day; where one falls by more than 12 hours in file order, a day is added to the rest of the file. A first pass
+    over the times alone finds these places (a few per file); the events themselves are parsed without a shuffle, each line matched once.
     """
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    rows = text.where(F.col("value").rlike(LINE))
+    cells = F.split(F.regexp_replace("value", LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7\u0001$8\u0001$9"), "\u0001")
+    part = lambda i: F.get("cells", F.lit(i - 1))
     tod = ((part(1).cast("bigint") * 60 + part(2).cast("bigint")) * 60 + part(3).cast("bigint")) * 1_000_000_000 + part(4).cast("bigint")
-    rows = rows.withColumn("tod", tod).withColumn("host", part(5)).withColumn("event", part(6)).withColumn("cpu", fields(part(7))).withColumn("proc", fields(part(8))).withColumn("payload", fields(part(9)))
-    w = Window.partitionBy("file").orderBy("at")
-    rows = rows.withColumn("turn", (F.lag("tod").over(w) - F.col("tod") > DAY // 2).cast("int"))
-    rows = rows.withColumn("days", F.coalesce(F.sum("turn").over(w), F.lit(0)))
+    rows = text.where(F.col("value").startswith("[")).withColumn("cells", cells).where(F.size("cells") == 9).withColumn("tod", tod)
+    turns = written(_midnights(rows.select("file", "at", "tod")), "midnights")
+    if turns.limit(1).count():
+        rows = rows.join(turns, "file", "left").withColumn("days", F.coalesce(F.size(F.filter("turns", lambda t: t <= F.col("at"))), F.lit(0)))
+        rows = rows.withColumn("days", F.greatest("days", F.lit(0)))
+    else:
+        rows = rows.withColumn("days", F.lit(0))
     start = F.unix_micros(F.to_utc_timestamp(F.lit(f"{date} 00:00:00").cast("timestamp_ltz"), zone)) * 1000
     return rows.select(
-        F.col("at").alias("id"), F.lit(session_id).alias("session_id"), (start + F.col("tod") + F.col("days") * DAY).cast("bigint").alias("ts_ns"), "event",
-        F.try_element_at("cpu", F.lit("cpu_id")).cast("smallint").alias("cpu_id"), F.try_element_at("proc", F.lit("vpid")).cast("int").alias("vpid"), F.try_element_at("proc", F.lit("vtid")).cast("int").alias("vtid"),
-        F.col("host").alias("host_name"), F.try_element_at("proc", F.lit("procname")).alias("procname"), "payload",
+        F.col("at").alias("id"), F.lit(session_id).alias("session_id"), (start + F.col("tod") + F.col("days") * DAY).cast("bigint").alias("ts_ns"), part(6).alias("event"),
+        named(part(7), "cpu_id", r"(\d+)").cast("smallint").alias("cpu_id"), named(part(8), "vpid", r"(-?\d+)").cast("int").alias("vpid"), named(part(8), "vtid", r"(-?\d+)").cast("int").alias("vtid"),
+        part(5).alias("host_name"), named(part(8), "procname", '"([^"]*)"').alias("procname"), fields(part(9)).alias("payload"),
     )
 
 
@@ -74,6 +102,41 @@ def read_activity(rows: DataFrame, strings: DataFrame | None, session_start_ns:
     return out.drop("start", "end")
 
 
+#: Activity tables and the columns that only they have.
+ACTIVITY_COLUMNS = {
+    "kernel": ["grid_x", "grid_y", "grid_z", "block_x", "block_y", "block_z", "registers_per_thread", "static_smem_bytes", "dynamic_smem_bytes"], "memcpy": ["bytes", "copy_kind"],
+    "memset": ["bytes", "value", "mem_kind"], "sync": ["sync_type", "event_id", "event_sync_id"], "runtime": ["return_value", "callchain_id", "event_class"], "overhead": ["overhead_kind"], "mem_usage": ["bytes", "address", "operation"],
+}
+
+
+def read_activities(kind: str, rows: DataFrame, strings: DataFrame, session_start_ns: int) -> DataFrame:
+    """One activity table by kind: ts_ns, duration_ns, decoded ids, the kind's own columns (null where the export lacks them) and its name looked up by name_id."""
+    out = read_activity(rows, strings if "name_id" in rows.columns else None, session_start_ns, "name_id")
+    own = [F.col(c) if c in out.columns else F.lit(None).cast("bigint").alias(c) for c in ACTIVITY_COLUMNS[kind]]
+    known = [c for c in ("corr", "stream", "pid", "tid") if c in out.columns]
+    name = [F.col("name_id_text").alias("name")] if "name_id_text" in out.columns else []
+    return out.select(F.lit(kind).alias("kind"), "ts_ns", "duration_ns", *known, *name, *own)
+
+
+def static_metadata(rows: DataFrame, session_id: str, known: list[str]) -> DataFrame:
+    """A static table of a session (devices, contexts, streams, environment, dictionaries): known columns typed as they come, all others as text in the map `extras`."""
+    rest = [c for c in rows.columns if c not in known]
+    pairs = [x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]
+    extras = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    return rows.select(F.lit(session_id).alias("session_id"), *[F.col(c) for c in known if c in rows.columns], extras.alias("extras"))
+
+
+def series_of_templates(filters: DataFrame, tables: dict[str, DataFrame], most: int = 50) -> DataFrame:
+    """(instance, kind, ms, value) series: each (instance, kind, table, column, filter) of telemetry_series read from its table, in order of instance; `most` series at most."""
+    todo = filters.orderBy("instance", "kind", "table", "column").limit(most).collect()
+    out = None
+    for r in todo:
+        part = query_series(tables[r["table"]].where(r["filter"]), r["column"], "ts_ns").select(F.lit(r["instance"]).alias("instance"), F.lit(r["kind"]).alias("kind"), "ms", "value")
+        out = part if out is None else out.unionByName(part)
+    spark = filters.sparkSession
+    return out if out is not None else spark.createDataFrame([], "instance string, kind string, ms bigint, value double")
+
+
 def read_callchains(frames: DataFrame, session_start_ns: int) -> DataFrame:
     """Stack frames with a symbol (else the address in hex) and a pseudo time that keeps their order."""
     return frames.select("callchain_id", "depth", F.coalesce("symbol", F.concat(F.lit("0x"), F.lower(F.hex("ip")))).alias("symbol"), (F.lit(session_start_ns) + F.col("callchain_id") * 1000 + F.col("depth")).alias("ts_ns"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewright.shipping import ship_package
-from tracewright.sources.readers import LINE, fields
+from tracewright.sources.readers import LINE, named, fields
 
 
 def stream_ingest(lines: DataFrame, session_id: str, day_start_ns: int) -> DataFrame:
@@ -18,7 +18,7 @@ def stream_ingest(lines: DataFrame, session_id: str, day_start_ns: int) -> DataF
     part = lambda i: F.regexp_extract("value", LINE, i)
     tod = ((part(1).cast("bigint") * 60 + part(2).cast("bigint")) * 60 + part(3).cast("bigint")) * 1_000_000_000 + part(4).cast("bigint")
     return lines.where(F.col("value").rlike(LINE)).select(
-        F.lit(session_id).alias("session_id"), (F.lit(day_start_ns) + tod).alias("ts_ns"), part(6).alias("event"), fields(part(8))["vpid"].cast("int").alias("vpid"), fields(part(8))["vtid"].cast("int").alias("vtid"), fields(part(9)).alias("payload")
+        F.lit(session_id).alias("session_id"), (F.lit(day_start_ns) + tod).alias("ts_ns"), part(6).alias("event"), named(part(8), "vpid", r"(-?\d+)").cast("int").alias("vpid"), named(part(8), "vtid", r"(-?\d+)").cast("int").alias("vtid"), fields(part(9)).alias("payload")
     )
 
 
