@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from tracewright.operators.scale import new_path, salted_join, work_folder
 from tracewright.operators.scale import written as materialise
 from tracewright.shipping import ship_package
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "anti_by_id", "body", "light_batches", "materialise", "new_path", "offsets", "salted_join", "semi_by_id", "table", "work_folder"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "anti_by_id", "body", "light_batches", "materialise", "new_path", "offsets", "released", "salted_join", "semi_by_id", "table", "work_folder"]
 
 #: Rows of whole texts that go to Python at a time.
 BATCH_ROWS = 2_000
@@ -33,6 +37,21 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def released(run):
+    """A map over batches whose worker gives freed memory back to the system at its end: workers are reused, and what one stage freed would count beside the next."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def body(col: str = "text"):
     """A text column where null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

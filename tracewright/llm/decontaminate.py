@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import light_batches, table
+from tracewright.llm.common import light_batches, released, table
 from tracewright.llm.words import mix, words
 
 #: Share of an item's words that may be edited (floor of the product).
@@ -382,7 +382,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of them. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(shared), SCHEMA) for shared in _passes(docs, benchmark)])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(released(_search(shared)), SCHEMA) for shared in _passes(docs, benchmark)])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Each row is judged by its own text, whatever its doc_id: of rows with one doc_id only the contaminated ones go, and a
     contaminated row with a null doc_id goes too. Rows with null text stay.
     """
-    return reduce(lambda left, shared: left.mapInArrow(_clean(shared), docs.schema), _passes(docs, benchmark), docs)
+    return reduce(lambda left, shared: left.mapInArrow(released(_clean(shared)), docs.schema), _passes(docs, benchmark), docs)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

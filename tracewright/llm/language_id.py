@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import light_batches, table
+from tracewright.llm.common import light_batches, released, table
 from tracewright.llm.ftrl import Sparse, fit, softmax, temperature
 from tracewright.llm.words import mix
 
@@ -104,7 +104,7 @@ def train(docs: DataFrame) -> Model:
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 1)))
-    found = {r["gram"]: r["df"] for r in rows.select("text").mapInArrow(_document_frequencies, "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
+    found = {r["gram"]: r["df"] for r in rows.select("text").mapInArrow(released(_document_frequencies), "gram bigint, df bigint").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
     df, total = np.zeros(BUCKETS), found.pop(-1, 0)
     df[list(found)] = list(found.values())
     model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS, len(languages))))
@@ -150,7 +150,7 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), held_out().alias("held_out"))
-    return rows.mapInArrow(_predicted(shared), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(_predicted(shared)), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def _accepted(shared):
@@ -166,7 +166,7 @@ def _accepted(shared):
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """docs without those whose language the model cannot tell (no letter, or score below LEAST_SCORE)."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_accepted(shared), docs.schema)
+    return docs.mapInArrow(released(_accepted(shared)), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

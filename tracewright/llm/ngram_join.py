@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tracewright.llm.common import BROADCAST_ROWS, anti_by_id, light_batches, materialise, salted_join, semi_by_id, table
+from tracewright.llm.common import BROADCAST_ROWS, anti_by_id, light_batches, materialise, released, salted_join, semi_by_id, table
 from tracewright.llm.words import BLANK, mix, shingles, words
 from tracewright.operators.graph import components as graph_components
 
@@ -245,7 +245,7 @@ def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, sets_of,
     sketch = lambda end, n, s: first_doc.select(F.col("cid").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
     both = lambda left, right: salted_join(salted_join(pairs, left, "a", total=total), right, "b", total=total, counted=pairs)
     sketched = both(sketch("a", "n", "left"), sketch("b", "m", "right")).select("a", "b", "n", "m", "left", "right")
-    pairs = materialise(sketched.mapInArrow(_close(percent), "a bigint, b bigint"), f"{tag}-pairs", compact=True)
+    pairs = materialise(sketched.mapInArrow(released(_close(percent)), "a bigint, b bigint"), f"{tag}-pairs", compact=True)
     total = pairs.count()
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed", compact=True)
@@ -288,7 +288,7 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
     spark = docs.sparkSession
     light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    survey = materialise(rows.mapInArrow(_survey(width, letters, bits), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
+    survey = materialise(rows.mapInArrow(released(_survey(width, letters, bits)), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
     members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "check", "sketch")
     shared = members.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("cid").limit(CLASHES + 1).collect()
     if len(shared) > CLASHES:
@@ -302,7 +302,7 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
     frequent = spark.sparkContext.broadcast((names, df))
 
     entries = rows.where("doc_id is not null").select("text").mapInArrow(
-        _entries(width, letters, percent, light, frequent, bits, clashes, list_rows), "token bigint, list int, cid bigint, place bigint"
+        released(_entries(width, letters, percent, light, frequent, bits, clashes, list_rows)), "token bigint, list int, cid bigint, place bigint"
     )
     # Lists of two or more sets, each row with the list's centre: the smallest set of a subset list, else the set with most left after pos.
     n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
@@ -327,7 +327,7 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
         & _reaches(F.col("x.n"), F.col("x.centre.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("x.centre.n") - F.col("x.centre.pos")), percent)
     )
     stars = listed.alias("x").where("x.cid <> x.centre.cid").where(near).select(F.least("x.cid", "x.centre.cid").alias("a"), F.greatest("x.cid", "x.centre.cid").alias("b")).distinct()
-    sets_of = _sets(width, letters, bits, clashes)
+    sets_of = released(_sets(width, letters, bits, clashes))
     links = _verified(rows, first_doc, stars, sets_of, percent, "star")
     grouped = materialise(components(links), "groups", compact=True)
 

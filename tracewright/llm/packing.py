@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm.common import light_batches, table
+from tracewright.llm.common import light_batches, released, table
 from tracewright.llm.tokens import encoded
 
 SEQUENCE = 2048
@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     repeated rows are documents of their own. Other columns are ignored. An empty table has no pieces.
     """
     light_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(_packed, SCHEMA)
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]).mapInArrow(released(_packed), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
