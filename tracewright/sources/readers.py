@@ -29,11 +29,16 @@ def fields(text: Column) -> Column:
     """Map of the `key = value` pairs of a payload: quotes go, blanks go; arrays keep their elements joined by commas and win over scalars of the same key."""
     pairs = F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substr(p, F.locate("=", p) + 1)).alias("value")))
     is_array = lambda p: p["value"].startswith("[")
-    ordered = F.concat(F.filter(pairs, is_array), F.filter(pairs, lambda p: ~is_array(p)))
-    seen = F.aggregate(ordered, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["key"] == p["key"]), acc).otherwise(F.concat(acc, F.array(p))))
     clean = lambda v: F.when(v.startswith('"'), F.substring(v, 2, F.length(v) - 2)).when(v.startswith("["), F.regexp_replace(v, r"\[\d+\]\s*=|[\[\]\s]", "")).otherwise(v)
     once = lambda ps: F.map_from_entries(F.transform(ps, lambda p: F.struct(p["key"], clean(p["value"]))))
-    return once(F.when(F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs), pairs).otherwise(seen))
+
+    def first_of_each(ps: Column) -> Column:
+        ordered = F.concat(F.filter(ps, is_array), F.filter(ps, lambda p: ~is_array(p)))
+        return F.aggregate(ordered, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.when(F.exists(acc, lambda a: a["key"] == p["key"]), acc).otherwise(F.concat(acc, F.array(p))))
+
+    distinct = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["key"]))) == F.size(ps)
+    # The pairs are bound once by a one-element transform, so the expression is not matched again for each use.
+    return F.transform(F.array(pairs), lambda ps: once(F.when(distinct(ps), ps).otherwise(first_of_each(ps))))[0]
 
 
 #: Lines of a file that one task looks at for midnights.
@@ -62,7 +67,7 @@ def parse_trace(text: DataFrame, session_id: str, date: str, zone: str = "UTC")
     cells = F.split(F.regexp_replace("value", LINE, "$1\u0001$2\u0001$3\u0001$4\u0001$5\u0001$6\u0001$7\u0001$8\u0001$9"), "\u0001")
     part = lambda i: F.get("cells", F.lit(i - 1))
     tod = ((part(1).cast("bigint") * 60 + part(2).cast("bigint")) * 60 + part(3).cast("bigint")) * 1_000_000_000 + part(4).cast("bigint")
-    rows = text.where(F.col("value").startswith("[")).withColumn("cells", cells).where(F.size("cells") == 9).withColumn("tod", tod)
+    rows = text.where(F.col("value").startswith("[")).select("*", F.explode(F.array(cells)).alias("cells")).where(F.size("cells") == 9).withColumn("tod", tod)
     turns = written(_midnights(rows.select("file", "at", "tod")), "midnights")
     if turns.limit(1).count():
         rows = rows.join(turns, "file", "left").withColumn("days", F.coalesce(F.size(F.filter("turns", lambda t: t <= F.col("at"))), F.lit(0)))
