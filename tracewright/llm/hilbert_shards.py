@@ -79,9 +79,14 @@ def _name_cuts(meta: DataFrame, col: str, cells: int) -> list[str]:
         for r in sorted(few):
             ends[before * cells // total] = r[col]
             before += r["rows"]
-        return sorted(ends.values())[:-1]
+        return _spread(ends, cells)
     ranked = running_sum(names, [], [col], "rows").withColumn("cell", F.expr(f"cast((before * {cells}) div total as int)"))
-    return sorted(r["last"] for r in ranked.groupBy("cell").agg(F.max(col).alias("last")).collect())[:-1]
+    return _spread({r["cell"]: r["last"] for r in ranked.groupBy("cell").agg(F.max(col).alias("last")).collect()}, cells)
+
+
+def _spread(ends: dict[int, str], cells: int) -> list[str]:
+    """The last name before each cell from the second on, so that a name's cell is the number of cuts below it; ends: last name by cell."""
+    return [max(n for c, n in ends.items() if c < k) for k in range(1, cells)] if ends else []
 
 
 def _metadata(docs: DataFrame, more: list[Column]) -> DataFrame:
