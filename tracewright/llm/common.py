@@ -16,7 +16,7 @@ from tracewright.shipping import ship_package
 __all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "anti_by_id", "body", "light_batches", "materialise", "new_path", "offsets", "released", "salted_join", "semi_by_id", "table", "work_folder"]
 
 #: Rows of whole texts that go to Python at a time.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 #: Rows of (id) that may be broadcast; beyond it the same join runs as a shuffle join.
 BROADCAST_ROWS = 1_000_000
 

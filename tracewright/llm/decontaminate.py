@@ -29,6 +29,8 @@ BLOCK_BYTES = 16_000_000
 PASS_BLOCKS = 8
 #: Places of equal grams that are expanded at a time, and cells of the texts that are compared at a time.
 PLACES, CELLS = 2_000_000, 400_000
+#: Bytes of text whose windows are hashed at a time; smaller slices pay the work of each repetition more often.
+SLICE_BYTES = 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, first_word bigint, item_words int"
 
 
@@ -311,7 +313,7 @@ class Searcher:
 
 def _found(searchers: list[Searcher], column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item id, edits, first word, item words) of a column of texts: the best place of each item id in each row."""
-    for w in words(column):
+    for w in words(column, slice_bytes=SLICE_BYTES):
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for s in searchers if len(w.hashes) else []:
             for row, i, edits, place in s.hits(w.hashes, w.counts):

@@ -17,9 +17,9 @@ from tracewright.llm.words import CASED, Words, words
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct chunks that one Python worker remembers; then it starts afresh.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 500_000
 #: Bytes of text that are prepared at a time.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: Chunks between two separators in one call of the tokenizer.
 RUN = 500
 #: Where this is found, a stop or comma may belong to a longer run of signs and stays where it is.

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time (a longer text is taken whole).
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +54,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _room(size: int) -> int:
-    return 1 << max(20, int(size).bit_length())
+    return 1 << max(18, int(size).bit_length())
 
 
 @dataclass
@@ -82,7 +82,7 @@ class Words:
         return mix((self.sums[ends] - self.sums[self.starts]) * _powers(_room(len(self.data)))[1][self.starts], size)
 
 
-def words(column: pa.Array, letters=ALNUM) -> Iterator[Words]:
+def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
     """Slices of a column of texts with the hash of each word; null counts as empty.
 
     A word's hash is the sum of byte number times power of position, shifted to position 0 by the inverse
@@ -94,7 +94,7 @@ def words(column: pa.Array, letters=ALNUM) -> Iterator[Words]:
     raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] and column.buffers()[2].size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + slice_bytes, "right")) - 1)
         bounds = offsets[first : last + 1] - offsets[first]
         data = raw[offsets[first] : offsets[last]]
         size = len(data)
