@@ -320,6 +320,8 @@ def test_toxicity_edges(spark):
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= x["p_toxic"] <= 1 for x in got)
     assert {x["doc_id"] for x in toxicity.toxic_documents(docs, labels).collect()} >= set(range(40, 80)) | {90}
+    nobody = labels.withColumn("doc_id", F.col("doc_id") + 1000)  # labels of documents that are not there
+    assert {x["p_toxic"] for x in toxicity.toxicity(docs, nobody).collect()} == {0.5}
 
 
 def test_language_model_equals_dense_algebra(spark):

@@ -61,6 +61,19 @@ def _fit(x: Sparse, y: np.ndarray, size: int) -> np.ndarray:
     return w[:, 1] - w[:, 0]
 
 
+def _with_earlier(flat: np.ndarray, bounds: np.ndarray, earlier: np.ndarray) -> Sparse:
+    """The rows of buckets, each followed by the bias and the probabilities of earlier categories; made in place, since the driver holds it."""
+    more = 1 + earlier.shape[1]
+    ends = bounds + more * np.arange(len(bounds))
+    last = (ends[1:, None] - more + np.arange(more)).ravel()
+    features, values, own = np.empty(ends[-1], np.int32), np.ones(ends[-1], np.float32), np.ones(ends[-1], bool)
+    own[last] = False
+    features[own] = flat
+    features[last] = np.tile(BUCKETS + np.arange(more), len(earlier))
+    values[last] = np.column_stack([np.ones(len(earlier)), earlier]).ravel()
+    return Sparse(features, values, ends)
+
+
 def _probabilities(x: Sparse, w: np.ndarray) -> np.ndarray:
     return softmax(np.stack([np.zeros(len(x.bounds) - 1), x.times(w[:, None])[:, 0]], 1))[:, 1]
 
@@ -93,11 +106,12 @@ def train_chain(spark: SparkSession, rows: list[np.ndarray], labels: np.ndarray,
     categories one after the other.
     """
     chain, size = Chain(categories, []), BUCKETS + 1 + len(categories)
-    df = np.bincount(np.concatenate([np.empty(0, np.int64), *rows]), minlength=BUCKETS)
-    rows = [b[df[b] >= LEAST_ROWS] for b in rows]
+    flat = np.concatenate([np.empty(0, np.int32), *rows], dtype=np.int32, casting="unsafe")
+    used = np.bincount(flat, minlength=BUCKETS)[flat] >= LEAST_ROWS
+    flat, bounds = flat[used], np.concatenate([[0], np.cumsum(used)])[np.cumsum([0, *map(len, rows)])]
     earlier = np.zeros((len(rows), 0))
     for k in range(len(categories)):
-        shared = spark.sparkContext.broadcast((Sparse.of([chain.row(b, e.tolist()) for b, e in zip(rows, earlier)]), labels[:, k]))
+        shared = spark.sparkContext.broadcast((_with_earlier(flat, bounds, earlier), labels[:, k]))
         first = FOLDS if k + 1 == len(categories) else 0
         fits = spark.range(first, FOLDS + 1, 1, FOLDS + 1 - first).mapInArrow(_fold_fits(shared, size), "fold bigint, at array<int>, value array<double>").toArrow().to_pydict()
         weights, unseen = np.zeros(size), np.zeros(len(rows))
@@ -105,7 +119,8 @@ def train_chain(spark: SparkSession, rows: list[np.ndarray], labels: np.ndarray,
             (weights if f == FOLDS else unseen)[at] = value
         chain.weights.append(weights)
         earlier = np.column_stack([earlier, unseen])
-        shared.unpersist()
+        shared.destroy()
+        del shared
     return chain
 
 
@@ -123,15 +138,25 @@ def train(docs: DataFrame, labels: DataFrame, conditions: dict[str, str] = CONDI
     truth = truth.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("l")).select("doc_id", "l.*")
     count = truth.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = truth.where(draw <= 0.9 * TRAIN_ROWS / max(count, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).toPandas()
-    if not len(few):
+    few = truth.where(draw <= 0.9 * TRAIN_ROWS / max(count, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
+    if not few:
         return Chain(names, [np.zeros(BUCKETS + 1 + len(names)) for _ in names])
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(int(i),) for i in few["doc_id"]], "doc_id bigint")
+    ids = spark.createDataFrame([(int(r["doc_id"]),) for r in few], "doc_id bigint")
     sample = semi_by_id(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ids, "doc_id")
-    hashed = sample.mapInArrow(_hashed, "doc_id bigint, buckets array<int>").groupBy("doc_id").agg(F.min("buckets").alias("buckets")).toPandas()
-    both = few.merge(hashed, on="doc_id").sort_values("doc_id", ignore_index=True)
-    return train_chain(spark, [np.asarray(b, np.int32) for b in both["buckets"]], both[names].to_numpy(), names)
+    hashed = sample.mapInArrow(_hashed, "doc_id bigint, buckets array<int>").groupBy("doc_id").agg(F.min("buckets").alias("buckets")).toArrow()
+    where = {i: n for n, i in enumerate(hashed["doc_id"].to_pylist())}
+    known = sorted((r for r in few if r["doc_id"] in where), key=lambda r: r["doc_id"])
+    flat, ends = _lists(hashed["buckets"])
+    rows = [flat[ends[where[r["doc_id"]]] : ends[where[r["doc_id"]] + 1]] for r in known]
+    return train_chain(spark, rows, np.array([[r[n] for n in names] for r in known], np.int64).reshape(-1, len(names)), names)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a column of lists without nulls."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
