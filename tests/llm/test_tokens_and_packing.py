@@ -1,3 +1,4 @@
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,6 +28,31 @@ def test_ids_equal_the_library(texts):
     assert [n for _, s in parts for n in s.tolist()] == [len(ids(t)) for t in texts]
 
 
+def same(texts):
+    parts = list(encoder(TOKENIZER).encode(texts))
+    want = [ids(t) for t in texts]
+    assert [n for _, s in parts for n in s.tolist()] == [len(w) for w in want]
+    assert [i for p, _ in parts for i in p.tolist()] == [i for w in want for i in w]
+
+
+def test_ids_of_letters_that_normalising_changes():
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and (unicodedata.normalize("NFC", c) != c or c.lower() != c or ord(c) < 0x250)]
+    assert {"\u0130", "\u095b", "\u095c", "\u09dc", "\u0a33", "\ufb1d"} <= set(letters)
+    for start in range(0, len(letters), 200):
+        some = letters[start : start + 200]
+        same([" ".join(f"x{c}{sign}b {c}{sign}" for c in some) + "." for sign in (", ", ". ", ".\n", ",\n")])
+    marks = [chr(m) for m in range(0x300, 0x370)]
+    same([" ".join(f"{a}{m}, {a}{m}b" for m in marks) for a in "AHJTWYZi1"])
+    same(["KİŞİ, bu", "चीज़, यह", "बाड़. है", "a\x1c, b", "a\x1f. b", "a\u00a0, b", "a\u0085. b", "1, 2. 3.\n", "a_, b", "é, ÷, b"])
+
+
+def test_ids_of_words_whose_letters_cancel_out():
+    for size in (512, 1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        same([f"{word} two {other}", other, word])
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(spark, docs, nothing, tmp_path, encoding):
     path = str(tmp_path / encoding)

@@ -22,20 +22,21 @@ CACHE_CHUNKS = 500_000
 SLICE_BYTES = 1_000_000
 #: Chunks between two separators in one call of the tokenizer.
 RUN = 500
-#: Where this is found, a stop or comma may belong to a longer run of signs and stays where it is.
-_SIGNS = re.compile(r"[.,](?<=(?:[^\w\s]|_).)")
+#: A stop or comma between a letter or digit and a blank. Only letters that normalising leaves as they are count: ASCII, and the
+#: two-byte ones from sharp s to y with diaeresis (the sign in their midst left out); elsewhere the sign may join a mark.
+_SIGN = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+#: First bytes of combining marks, with which a capital may stand that has no composed form where the small letter has one.
+_MARKS = re.compile(rb"[\xcc\xcd]")
 
 
 def loosened(text: str) -> bytes:
     """The text in other words with equal ids: A-Z lower-cased, a lone stop or comma set apart.
 
     The tokenizer lower-cases anyway and makes a word of its own of each run of signs, so only the
-    number of distinct chunks changes. Texts that could name special tokens keep their case.
+    number of distinct chunks changes. Texts that could name special tokens, or hold combining marks, keep their case.
     """
-    if not _SIGNS.search(text):
-        text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").replace(",\n", " ,\n")
-    raw = text.encode("utf-8", "replace")
-    return raw if b"<|" in raw else raw.lower()
+    raw = _SIGN.sub(rb" \1", text.encode("utf-8", "replace"))
+    return raw if b"<|" in raw or _MARKS.search(raw) else raw.lower()
 
 
 class ChunkEncoder:

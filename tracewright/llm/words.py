@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,12 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def _letters(delimiter, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: whether it belongs to words, and its random number; with fold, A-Z count as a-z."""
+    """For each byte: whether it belongs to words, and the byte it counts as; with fold, A-Z count as a-z."""
     is_word = np.array([not delimiter(b) for b in range(256)])
-    numbers = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
+    counts_as = np.arange(256, dtype=np.uint8)
     if fold:
-        numbers[65:91] = numbers[97:123]
-    return is_word, numbers
+        counts_as[65:91] = counts_as[97:123]
+    return is_word, counts_as
 
 
 #: Words of letters, digits and all non-ASCII characters.
@@ -39,22 +39,29 @@ ALNUM = _letters(lambda b: b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b <
 #: Words between ASCII white space.
 BLANK = _letters(lambda b: b == 32 or 9 <= b <= 13)
 CASED = _letters(lambda b: b == 32 or 9 <= b <= 13, fold=False)
-_SECOND = np.random.default_rng(8).integers(0, 2**64, 256, np.uint64)
+#: Longer words are hashed one by one.
+LONG_BYTES = 256
+_KEPT = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
-@cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0xA0761D6478BD642F
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: eight bytes at a time are added to a state that is scrambled in between.
 
-
-def _room(size: int) -> int:
-    return 1 << max(18, int(size).bit_length())
+    data has eight bytes more than the runs. No sum over positions is taken, so no arrangement of letters cancels out.
+    """
+    eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    h = sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    rows = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES))
+    at, left, state = starts[rows], sizes[rows], h[rows]
+    while len(rows):
+        state = mix(state ^ (eight[at] & _KEPT[np.minimum(left, 8)]), seed)
+        h[rows] = state
+        more = left > 8
+        rows, at, left, state = rows[more], at[more] + 8, left[more] - 8, state[more]
+    for i in np.flatnonzero(sizes > LONG_BYTES).tolist():
+        run = data[starts[i] : starts[i] + sizes[i]].tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 @dataclass
@@ -64,31 +71,25 @@ class Words:
     first: int
     hashes: np.ndarray  # of all words in turn
     counts: np.ndarray  # words of each row
-    data: np.ndarray  # the bytes of the texts
+    data: np.ndarray  # the bytes of the texts as they are compared, and eight more
     starts: np.ndarray  # where words begin in data
     ends: np.ndarray
-    sums: np.ndarray  # running sum of byte number times power
 
     def second(self) -> np.ndarray:
-        """Other hashes of the same words, with the case of letters; where both agree, words agree."""
-        up, down = _powers(_room(len(self.data)))
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_SECOND[self.data] * up[: len(self.data)], out=sums[1:])
-        return (sums[self.ends] - sums[self.starts]) * down[self.starts]
+        """Other hashes of the same words; together they are 128 bits."""
+        return _hashed(self.data, self.starts, self.ends - self.starts, 2)
 
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first bytes, size at most."""
-        ends = np.minimum(self.starts + size, self.ends)
-        return mix((self.sums[ends] - self.sums[self.starts]) * _powers(_room(len(self.data)))[1][self.starts], size)
+        return mix(_hashed(self.data, self.starts, np.minimum(self.ends - self.starts, size), 3), size)
 
 
 def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
     """Slices of a column of texts with the hash of each word; null counts as empty.
 
-    A word's hash is the sum of byte number times power of position, shifted to position 0 by the inverse
-    power, so it needs two look-ups and one running sum per byte and no loop over words.
+    Hashing walks over all words eight bytes at a time, so its loop is as long as the longest word, not the text.
     """
-    is_word, numbers = letters
+    is_word, counts_as = letters
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] and column.buffers()[2].size else np.zeros(0, np.uint8)
@@ -106,12 +107,11 @@ def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES) -> It
         opens[edge] |= inside[1:-1][edge]
         closes[edge - 1] |= inside[1:-1][edge - 1]
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-        up, down = _powers(_room(size))
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(numbers[data] * up[:size], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        known = np.zeros(size + 8, np.uint8)
+        known[:size] = counts_as[data]
+        h = _hashed(known, starts, ends - starts, 1)
         counts = np.diff(np.searchsorted(starts, bounds))
-        yield Words(first, h, counts, data, starts, ends, sums)
+        yield Words(first, h, counts, known, starts, ends)
         first = last
 
 
