@@ -74,7 +74,7 @@ def test_ngram_components_against_all_pairs(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, width, percent)
 
 
-@pytest.mark.parametrize("how", [{"bits": 5}, {"list_rows": 3}, {"bits": 3, "list_rows": 2}])
+@pytest.mark.parametrize("how", [{"bits": 5}, {"list_rows": 3}, {"bits": 3, "list_rows": 2}, {"list_rows": 20, "frequent_tokens": 10}])
 def test_ngram_components_with_clashing_sums_and_dealt_lists(spark, how):
     r = random.Random(11)
     rows, base = [], [f"b{k}" for k in range(11)]
@@ -90,6 +90,17 @@ def test_ngram_components_with_clashing_sums_and_dealt_lists(spark, how):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows, width, percent)
 
 
+def test_words_whose_letters_cancel_out_differ():
+    for size in (64, 128, 256, 512, 1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+        other = word.translate(str.maketrans("ab", "ba"))
+        for letters in (ALNUM, BLANK):
+            (w,) = words(pa.array([f"{word} {other} {word[:-1]} {word}b"]), letters)
+            assert len(set(w.hashes.tolist())) == len(set(w.second().tolist())) == 4 and not set(w.hashes.tolist()) & set(w.second().tolist())
+            a, b = (next(shingles(next(words(pa.array([f"{x} two three four"]), letters)), 3))[1] for x in (word, other))
+            assert len(set(a.tolist()) & set(b.tolist())) == 1
+
+
 def test_salted_join_equals_a_join(spark):
     from pyspark.sql import functions as F
 

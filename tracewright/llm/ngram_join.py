@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracewright.llm.common import BROADCAST_ROWS, anti_by_id, light_batches, materialise, released, salted_join, semi_by_id, table
 from tracewright.llm.words import BLANK, mix, shingles, words
@@ -19,14 +19,12 @@ from tracewright.operators.graph import components as graph_components
 
 #: Tokens that are counted together in a task before frequent ones are passed on.
 COUNT_TOKENS = 2_000_000
-#: Most tokens in the table of frequent tokens (16 bytes each); it is checked before it is broadcast.
+#: Tokens in the broadcast table of frequent tokens (16 bytes each). Where more have long lists, those lists are counted and dealt out by a join.
 FREQUENT_TOKENS = 400_000
 #: Rows of one list above which it is dealt out to several tasks.
 LIST_ROWS = 4_000
 #: A salted subset list's number is lower by SALT for each salt; subsets are smaller than SALT.
 SALT = 1_000
-#: Most first sums that different sets may share; with 64 bits none are expected below some billion sets.
-CLASHES = 100_000
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -55,15 +53,9 @@ def light_bound(percent: int, list_rows: float) -> int:
 _SIGNED = lambda a: pa.array(np.ascontiguousarray(a, np.uint64).view(np.int64))
 
 
-def _sums(s: np.ndarray, bits: int) -> tuple[np.uint64, np.uint64]:
-    """Two sums of a set's tokens; the first one cut to `bits` bits (64, less only to force clashes in tests)."""
-    return mix(s, 1).sum(dtype=np.uint64) & np.uint64((1 << bits) - 1), mix(s, 2).sum(dtype=np.uint64)
-
-
-def _set_id(s: np.ndarray, bits: int, clashes: set[int]) -> np.uint64:
-    """A set's id: its first sum, or the second one where different sets share the first."""
-    a, b = _sums(s, bits)
-    return b if int(a) in clashes else a
+def _set_id(s: np.ndarray, bits: int) -> bytes:
+    """A set's id: two 64-bit sums of its tokens; the first one cut to `bits` bits (less than 64 only to force equal ones in tests)."""
+    return (int(mix(s, 1).sum(dtype=np.uint64)) & ((1 << bits) - 1)).to_bytes(8, "big") + int(mix(s, 2).sum(dtype=np.uint64)).to_bytes(8, "big")
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -85,7 +77,7 @@ def _close(percent: int):
 
 
 def _survey(width: int, letters, bits: int):
-    """Rows (0, doc_id, n, set hash, second set hash) of documents and (1, token, count) of tokens met twice."""
+    """Rows (0, doc_id, n, set id) of documents and (1, token, count) of tokens met twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -98,42 +90,41 @@ def _survey(width: int, letters, bits: int):
                 held, size, seen = [], 0, set()
                 if len(n):
                     z = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(z + 1), _SIGNED(token), pa.array(n), pa.array(z), pa.array(z), pa.nulls(len(z), pa.binary())], names=_SURVEY)
+                    yield pa.RecordBatch.from_arrays([pa.array(z + 1), _SIGNED(token), pa.array(n), pa.nulls(len(z), pa.binary()), pa.nulls(len(z), pa.binary())], names=_SURVEY)
 
         for batch in batches:
-            a, b, n, sketches = [], [], [], []
+            names, n, sketches = [], [], []
             for w in words(batch.column(1), letters):
                 for _, s, _ in shingles(w, width):
-                    first, second = _sums(s, bits)
-                    a.append(first)
-                    b.append(second)
+                    cid = _set_id(s, bits)
+                    names.append(cid)
                     n.append(len(s))
                     sketches.append(_sketch(s))
-                    if len(s) and second not in seen:
-                        seen.add(second)
+                    if len(s) and cid not in seen:
+                        seen.add(cid)
                         held.append(s)
                         size += len(s)
                 if size >= COUNT_TOKENS:
                     yield from tokens()
             if n:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(n), np.int64)), batch.column(0), pa.array(n, pa.int64()), _SIGNED(np.array(a, np.uint64)), _SIGNED(np.array(b, np.uint64)), pa.array(sketches, pa.binary())], names=_SURVEY
+                    [pa.array(np.zeros(len(n), np.int64)), batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary())], names=_SURVEY
                 )
         yield from tokens()
 
     return run
 
 
-_SURVEY = ["kind", "id", "n", "cid", "check", "sketch"]
+_SURVEY = ["kind", "id", "n", "cid", "sketch"]
 
 
-def _salted(df: np.ndarray, cid: np.uint64, list_rows: int) -> np.ndarray:
+def _salted(df: np.ndarray, cid: bytes, list_rows: int) -> np.ndarray:
     """The salt + 1 of lists whose tokens occur df times, 0 where a list needs none."""
     parts = df // list_rows + 1
-    return np.where(parts > 1, (cid % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
+    return np.where(parts > 1, (np.uint64(int.from_bytes(cid[8:], "big")) % parts.astype(np.uint64)).astype(np.int64) + 1, 0)
 
 
-def _entries(width: int, letters, percent: int, light: int, frequent, bits: int, clashes: set[int], list_rows: int):
+def _entries(width: int, letters, percent: int, light: int, frequent, bits: int, list_rows: int):
     """List rows of each distinct set: prefix tokens of heavy sets, subset hashes of light ones.
 
     A row is (token, list, cid, place). A token list has list 0, or the salt + 1 if its token is frequent;
@@ -145,7 +136,7 @@ def _entries(width: int, letters, percent: int, light: int, frequent, bits: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = frequent.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         bridge = 100 * light // percent  # the largest set that can meet a light one
         for batch in batches:
             for w in words(batch.column(0), letters):
@@ -154,7 +145,7 @@ def _entries(width: int, letters, percent: int, light: int, frequent, bits: int,
                     n = len(s)
                     if not n:
                         continue
-                    cid = _set_id(s, bits, clashes)
+                    cid = _set_id(s, bits)
                     if cid in seen:
                         continue
                     if len(seen) < 500_000:
@@ -177,38 +168,37 @@ def _entries(width: int, letters, percent: int, light: int, frequent, bits: int,
                         order = np.lexsort((s, -long, df))[:length]
                         out.append((s[order], _salted(df[order], cid, list_rows), cid, (n << 32) + np.arange(length)))
                 if out:
-                    cids = np.repeat(np.array([x[2] for x in out], np.uint64), [len(x[0]) for x in out])
+                    cids = pa.array([x[2] for x in out], pa.binary()).take(pa.array(np.repeat(np.arange(len(out)), [len(x[0]) for x in out])))
                     join = lambda i: np.concatenate([x[i] for x in out])  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([_SIGNED(join(0)), pa.array(join(1).astype(np.int32)), _SIGNED(cids), pa.array(join(3).astype(np.int64))], names=["token", "list", "cid", "place"])
+                    yield pa.RecordBatch.from_arrays([_SIGNED(join(0)), pa.array(join(1).astype(np.int64)), cids, pa.array(join(3).astype(np.int64))], names=["token", "list", "cid", "place"])
 
     return run
 
 
-def _sets(width: int, letters, bits: int, clashes: set[int]):
+def _sets(width: int, letters, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(0), letters):
                 sets = [s for _, s, _ in shingles(w, width) if len(s)]
                 if sets:
                     ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    cids = np.array([_set_id(s, bits, clashes) for s in sets], np.uint64)
-                    yield pa.RecordBatch.from_arrays([_SIGNED(cids), pa.ListArray.from_arrays(pa.array(ends), _SIGNED(np.concatenate(sets)))], names=["cid", "tokens"])
+                    cids = pa.array([_set_id(s, bits) for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([cids, pa.ListArray.from_arrays(pa.array(ends), _SIGNED(np.concatenate(sets)))], names=["cid", "tokens"])
 
     return run
 
 
-def _with_ids(width: int, letters, bits: int, clashes: set[int]):
+def _with_ids(width: int, letters, bits: int):
     """Whole rows with the id of their text's set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, some = np.zeros(len(batch), np.uint64), np.zeros(len(batch), bool)
+            cids: list[bytes | None] = [None] * len(batch)
             for w in words(batch.column(batch.schema.names.index("text")), letters):
                 for row, s, _ in shingles(w, width):
                     if len(s):
-                        cids[row], some[row] = _set_id(s, bits, clashes), True
-            ids = pa.array(cids.view(np.int64), mask=~some)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "__set"])
+                        cids[row] = _set_id(s, bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cids, pa.binary())], names=[*batch.schema.names, "__set"])
 
     return run
 
@@ -245,11 +235,11 @@ def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, sets_of,
     sketch = lambda end, n, s: first_doc.select(F.col("cid").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
     both = lambda left, right: salted_join(salted_join(pairs, left, "a", total=total), right, "b", total=total, counted=pairs)
     sketched = both(sketch("a", "n", "left"), sketch("b", "m", "right")).select("a", "b", "n", "m", "left", "right")
-    pairs = materialise(sketched.mapInArrow(released(_close(percent)), "a bigint, b bigint"), f"{tag}-pairs", compact=True)
+    pairs = materialise(sketched.mapInArrow(released(_close(percent)), "a binary, b binary"), f"{tag}-pairs", compact=True)
     total = pairs.count()
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     needed = materialise(first_doc.join(ids, "cid", "left_semi").select("doc_id"), f"{tag}-needed", compact=True)
-    sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(sets_of, "cid bigint, tokens array<bigint>")
+    sets = semi_by_id(rows, needed, "doc_id").select("text").mapInArrow(sets_of, "cid binary, tokens array<bigint>")
     sets = materialise(sets, f"{tag}-sets")
     counted = both(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("left")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("right")))
     counted = counted.select("a", "b", F.size("left").alias("n"), F.size("right").alias("m"), F.size(F.array_intersect("left", "right")).alias("common"))
@@ -257,11 +247,11 @@ def _verified(rows: DataFrame, first_doc: DataFrame, pairs: DataFrame, sets_of,
     return materialise(links, f"{tag}-links", compact=True)
 
 
-def _frequent_tokens(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The most frequent tokens with counts (FREQUENT_TOKENS at most), and the list size as a token sees it."""
+def _frequent_tokens(survey: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """The most frequent tokens with counts (`most` at most), the list size as a token sees it, and the count from which on a token is in the table."""
     counts = materialise(survey.where("kind = 1").groupBy("id").agg(F.sum("n").alias("df")), "token-counts", compact=True)
     by_power = sorted((r["p"], r["c"], r["s"]) for r in counts.groupBy(F.floor(F.log2("df")).alias("p")).agg(F.count(F.lit(1)).alias("c"), F.sum("df").alias("s")).collect())
-    least, room = 64, FREQUENT_TOKENS
+    least, room = 64, most
     for p, c, _ in reversed(by_power):
         room -= c
         if room < 0:
@@ -271,7 +261,19 @@ def _frequent_tokens(survey: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     names, df = top["id"].to_numpy(np.int64).view(np.uint64), top["df"].to_numpy(np.int64)
     order = np.argsort(names)
     rare = [(c, s) for p, c, s in by_power if 2**p < least]
-    return names[order], df[order], sum(s for _, s in rare) / max(1, sum(c for c, _ in rare))
+    return names[order], df[order], sum(s for _, s in rare) / max(1, sum(c for c, _ in rare)), least
+
+
+def _dealt(entries: DataFrame, list_rows: int) -> DataFrame:
+    """List rows where every list with more than list_rows rows that is still whole is dealt out by salt; the counts are a joined table, broadcast only if small."""
+    entries = materialise(entries, "entries")
+    whole = (F.col("list") <= 0) & (F.col("list") > -SALT)
+    long = entries.where(whole).groupBy("token", "list").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > list_rows)
+    long = materialise(long.select("token", "list", F.floor(F.col("rows") / list_rows + 1).alias("parts")), "long-lists", compact=True)
+    long = F.broadcast(long) if long.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else long
+    salt = F.pmod(F.xxhash64("cid"), F.col("parts")) + 1
+    dealt = F.when(F.col("parts").isNull(), F.col("list")).when(F.col("list") < 0, F.col("list") - SALT * salt).otherwise(salt)
+    return entries.join(long, ["token", "list"], "left").select("token", dealt.alias("list"), "cid", "place")
 
 
 @dataclass
@@ -283,27 +285,22 @@ class Sets:
     with_ids: Callable
 
 
-def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_rows: int = LIST_ROWS) -> Sets:
+def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_rows: int = LIST_ROWS, frequent_tokens: int = FREQUENT_TOKENS) -> Sets:
     """See ngram_components."""
     spark = docs.sparkSession
     light_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    survey = materialise(rows.mapInArrow(released(_survey(width, letters, bits)), "kind bigint, id bigint, n bigint, cid bigint, check bigint, sketch binary"), "survey")
-    members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "check", "sketch")
-    shared = members.groupBy("cid").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("cid").limit(CLASHES + 1).collect()
-    if len(shared) > CLASHES:
-        raise ValueError(f"more than {CLASHES} set sums are shared by different sets")
-    clashes = {r["cid"] & ((1 << 64) - 1) for r in shared}
-    if shared:
-        two = F.broadcast(spark.createDataFrame(shared, "cid bigint").withColumn("two", F.lit(True)))
-        members = members.join(two, "cid", "left").withColumn("cid", F.when(F.col("two"), F.col("check")).otherwise(F.col("cid"))).drop("two")
-    names, df, seen_rows = _frequent_tokens(survey)
+    survey = materialise(rows.mapInArrow(released(_survey(width, letters, bits)), "kind bigint, id bigint, n bigint, cid binary, sketch binary"), "survey")
+    members = survey.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "cid", "sketch")
+    names, df, seen_rows, least = _frequent_tokens(survey, frequent_tokens)
     light = light_bound(percent, seen_rows)
     frequent = spark.sparkContext.broadcast((names, df))
 
     entries = rows.where("doc_id is not null").select("text").mapInArrow(
-        released(_entries(width, letters, percent, light, frequent, bits, clashes, list_rows)), "token bigint, list int, cid bigint, place bigint"
+        released(_entries(width, letters, percent, light, frequent, bits, list_rows)), "token bigint, list bigint, cid binary, place bigint"
     )
+    if least > list_rows:  # tokens outside the table may have long lists
+        entries = _dealt(entries, list_rows)
     # Lists of two or more sets, each row with the list's centre: the smallest set of a subset list, else the set with most left after pos.
     n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     rank = F.struct(F.when(F.col("list") < 0, n).otherwise(pos - n).alias("rank"), F.col("cid").alias("cid"), n.alias("n"), pos.alias("pos"))
@@ -327,7 +324,7 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
         & _reaches(F.col("x.n"), F.col("x.centre.n"), F.least(F.col("x.n") - F.col("x.pos"), F.col("x.centre.n") - F.col("x.centre.pos")), percent)
     )
     stars = listed.alias("x").where("x.cid <> x.centre.cid").where(near).select(F.least("x.cid", "x.centre.cid").alias("a"), F.greatest("x.cid", "x.centre.cid").alias("b")).distinct()
-    sets_of = released(_sets(width, letters, bits, clashes))
+    sets_of = released(_sets(width, letters, bits))
     links = _verified(rows, first_doc, stars, sets_of, percent, "star")
     grouped = materialise(components(links), "groups", compact=True)
 
@@ -341,7 +338,7 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
     )
     open_ = salted_join(open_, mixed, "token").withColumn("parts", F.col("more") + 1).withColumn("band", _band("n", percent))
     # The smaller set of a pair stands in the other's size band or the one below; so far sizes never meet.
-    left = open_.withColumn("part", F.pmod("cid", F.col("parts"))).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    left = open_.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts"))).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     right = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
     rest = (
         left.alias("x").join(
@@ -359,18 +356,17 @@ def _joined(docs: DataFrame, width: int, percent: int, letters, bits: int, list_
     classes = first_doc.select("cid", "doc_id").join(grouped.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     first = classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("component_id"), F.col("cid").alias("kept"))).alias("first"))
     by_class = classes.select("cid", "component").join(first, "component").select("cid", "first.component_id", "first.kept")
-    return Sets(members.select("doc_id", "n", "cid"), by_class, _with_ids(width, letters, bits, clashes))
+    return Sets(members.select("doc_id", "n", "cid"), by_class, _with_ids(width, letters, bits))
 
 
-def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters=BLANK, bits: int = 64, list_rows: int = LIST_ROWS) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters=BLANK, bits: int = 64, list_rows: int = LIST_ROWS, frequent_tokens: int = FREQUENT_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     A document's set holds its distinct word shingles; documents whose sets have a Jaccard similarity of
     at least percent / 100 are linked, and component_id is the smallest doc_id reachable by links.
 
     1. One pass hashes the shingles to 64 bits, folds equal sets into one class and finds tokens that
-       are frequent in the corpus. A class is named by a 64-bit sum of its tokens; where sets with
-       different second sums share it, by the second sum.
+       are frequent in the corpus. A class is named by two 64-bit sums of its tokens.
     2. A second pass emits list rows. Light sets (size up to a bound where subset enumeration is
        cheaper than scanning, from the measured list size) emit the hash of each fixed-size subset
        through which a link can run. Heavy sets emit their prefix tokens, frequent tokens last.
@@ -386,9 +382,10 @@ def ngram_components(docs: DataFrame, width: int = 3, percent: int = 90, letters
     0, component_id its own doc_id. Rows with a null doc_id take no part in links and get their
     n_shingles and a null component. Rows of one doc_id with different texts are classes of their own and are
     each returned with their own component. Repeated rows are returned as often as they occur. Other columns of
-    docs are ignored; an empty table gives an empty result. bits narrows the first sum and list_rows the parts of dealt lists, for tests.
+    docs are ignored; an empty table gives an empty result. bits narrows the first sum, list_rows the parts of dealt lists and frequent_tokens
+    the broadcast table, for tests; lists of frequent tokens outside that table are counted and dealt out by a join.
     """
-    sets = _joined(docs, width, percent, letters, bits, list_rows)
+    sets = _joined(docs, width, percent, letters, bits, list_rows, frequent_tokens)
     return salted_join(sets.members, sets.classes, "cid", how="left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -407,7 +404,7 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, letters
     losers = verdicts.where("lost")
     if not verdicts.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return anti_by_id(docs, losers.select("doc_id"), "doc_id").select(docs.columns)
-    named = docs.mapInArrow(sets.with_ids, StructType([*docs.schema.fields, StructField("__set", LongType())]))
+    named = docs.mapInArrow(sets.with_ids, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
     lost = losers.select(F.col("doc_id").alias("__doc"), F.col("cid").alias("__lost")).distinct()
     left = named.join(lost, (F.col("doc_id") == F.col("__doc")) & (F.col("__set") == F.col("__lost")), "left_anti")
     free = F.col("__set").isNull() | F.col("doc_id").isNull()
