@@ -31,11 +31,27 @@ def test_pair_nested_is_a_stack(spark, seed):
         elif e == "callback_end" and stack:
             want.append((stack[-1][0], stack.pop()[1], t))
     df = spark.createDataFrame(rows, SCHEMA)
-    for parts in (1, 7):
-        got = pairing.pair_nested(df.repartition(parts)).select("span_id", "t0", "t1").collect()
+    for parts, chunk in ((1, None), (7, None), (3, 5), (2, 40), (1, 90)):
+        got = pairing.pair_nested(df.repartition(parts), chunk).select("span_id", "t0", "t1").collect()
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_long_threads_are_cut_into_chunks(spark):
+    r = random.Random(8)
+    rows = [(i, r.randrange(10**6), 1 if i % 10 else None, None if i % 17 == 0 else 1, str(r.randrange(3)), r.choice(["callback_start"] * 3 + ["callback_end"] * 3 + ["sync", "take"])) for i in range(1500)]
+    deep = [(5000 + i, 10**7 + i, 2, 2, "c", "callback_start" if i < 300 else "callback_end") for i in range(700)]
+    df = spark.createDataFrame(rows + deep, SCHEMA).repartition(3)
+    for f, more in ((pairing.pair_nested, ()), (pairing.pair_adjacent, ()), (pairing.pair_by_key, ()), (pairing.pair_thread_last, ()), (pairing.pair_single, ("1",))):
+        want = sorted(map(tuple, f(df, *more).collect()), key=str)
+        for chunk in (20, 400):
+            assert sorted(map(tuple, f(df, *more, chunk_rows=chunk).collect()), key=str) == want
+    want = sorted(map(tuple, pairing.sync_gap_periods(df, 500, "vtid").select("id", "period").collect()))
+    assert sorted(map(tuple, pairing.sync_gap_periods(df, 500, "vtid", chunk_rows=50).select("id", "period").collect())) == want
+    plan = pairing.pair_nested(df, 100)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [w.rsplit("], [", 2)[-2:] for w in plan.split("\n") if "Window [" in w]
+    assert windows and all("__chunk" in by or "lvl" in by or "__chunk" in order for by, order in windows)  # whole threads: summaries and level ends only
+
+
 def test_pairing_variants(spark):
     marks = [(1, 10, "a", "s"), (2, 20, "b", "s"), (3, 30, "b", "e"), (4, 40, "a", "e"), (5, 40, "a", "e"), (6, 50, "a", "s"), (7, 50, "a", "e")]
     df = spark.createDataFrame([(i, t, 1, 1, cb, "callback_start" if e == "s" else "callback_end") for i, t, cb, e in marks], SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.scale import running_sum
+from tracewright.operators.scale import ordered, running_sum
 
 START, END = "callback_start", "callback_end"
 
@@ -18,49 +18,74 @@ def _span(df: DataFrame, *more: str) -> DataFrame:
     return df.selectExpr("id AS span_id", "vpid", "vtid", "cb", "ts_ns AS t0", "t2 AS t1", *more)
 
 
-def pair_adjacent(trace: DataFrame) -> DataFrame:
-    """A start whose next mark on the thread is an end (by thread alone, as threads are unique on a host)."""
-    w = Window.partitionBy("vtid").orderBy("ts_ns", "id")
-    nxt = _marks(trace).withColumn("e2", F.lead("event").over(w)).withColumn("t2", F.lead("ts_ns").over(w))
-    return _span(nxt.where((F.col("event") == START) & (F.col("e2") == END)))
+ORDER = ["ts_ns", "id"]
 
 
-def pair_nested(trace: DataFrame) -> DataFrame:
+def pair_nested(trace: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Stack pairing: an end closes the innermost open start of its (process, thread); an end with nothing open is ignored.
 
-    The depth is the running sum of +1 / -1 less its running minimum below zero, so a start and the
-    end that closes it have one level and are neighbours there: windows only, one shuffle.
+    Parallel bracket matching. The depth is the running sum of +1 / -1 less its running minimum below zero, so a start and the
+    end that closes it have one level and are neighbours there.
+
+    1. A thread with more than chunk_rows marks is cut into chunks (see scale.ordered). Each is summed on its own
+       and summarised by its total and its least prefix, which say how many ends and starts it leaves open.
+    2. A prefix scan over the summaries gives the sum and the minimum with which each chunk begins, hence all levels.
+    3. Marks that are neighbours at their level of a chunk are matched there. Across chunks only the first and the
+       last mark of each level of a chunk can match: these are put in order per level.
     """
-    w = Window.partitionBy("vpid", "vtid").orderBy("ts_ns", "id").rowsBetween(Window.unboundedPreceding, 0)
-    level = Window.partitionBy("vpid", "vtid", "lvl").orderBy("ts_ns", "id")
-    step = F.when(F.col("event") == START, 1).otherwise(-1)
-    depth = _marks(trace).withColumn("s", F.sum(step).over(w))
-    depth = depth.withColumn("d", F.col("s") - F.least(F.lit(0), F.min("s").over(w)))
-    depth = depth.withColumn("lvl", F.when(F.col("event") == START, F.col("d")).otherwise(F.col("d") + 1))
-    nxt = depth.withColumn("e2", F.lead("event").over(level)).withColumn("t2", F.lead("ts_ns").over(level))
-    return _span(nxt.where((F.col("event") == START) & (F.col("e2") == END)), "lvl")
-
-
-def _pair_last(trace: DataFrame, *keys: str) -> DataFrame:
-    """An end takes the last start before it in its partition if no other mark lies between; keyed variants differ in keys only."""
-    w = Window.partitionBy(*keys).orderBy("ts_ns", "id")
-    nxt = _marks(trace).withColumn("e2", F.lead("event").over(w)).withColumn("t2", F.lead("ts_ns").over(w))
+    keys = ["vpid", "vtid"]
+    marks = _marks(trace).select("id", "ts_ns", *keys, "cb", "event").withColumn("step", F.when(F.col("event") == START, 1).otherwise(-1))
+    at = ordered(marks, keys, ORDER, chunk_rows)
+    here = at.window().rowsBetween(Window.unboundedPreceding, 0)
+    depth = at.rows.withColumn("s", F.sum("step").over(here))
+    depth = depth.withColumn("low", F.min("s").over(here))
+    if not at.whole:
+        ends = depth.groupBy(*keys, "__chunk").agg(F.sum("step").alias("total"), F.min("low").alias("least"))
+        by = Window.partitionBy(*keys).orderBy("__chunk")
+        before = by.rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("sum_before", F.coalesce(F.sum("total").over(before), F.lit(0)))
+        ends = ends.withColumn("low_before", F.coalesce(F.min(F.col("sum_before") + F.col("least")).over(before), F.lit(0)))
+        depth = at.joined(depth, ends.select(*keys, "__chunk", "sum_before", "low_before"))
+        depth = depth.withColumn("s", F.col("s") + F.col("sum_before")).withColumn("low", F.least("low_before", F.col("low") + F.col("sum_before")))
+    d = F.col("s") - F.least(F.lit(0), "low")
+    level = F.when(F.col("event") == START, d).otherwise(d + 1).alias("lvl")
+    rows = depth.select("id", "ts_ns", *keys, "cb", "event", "__chunk", level)
+    w = at.window("lvl")
+    rows = rows.withColumn("e2", F.lead("event").over(w)).withColumn("t2", F.lead("ts_ns").over(w))
+    inside = rows.where((F.col("event") == START) & (F.col("e2") == END))
+    if at.whole:
+        return _span(inside, "lvl")
+    edge = rows.withColumn("first", F.lag("event").over(w).isNull()).where((F.col("first") & (F.col("event") == END)) | (F.col("e2").isNull() & (F.col("event") == START)))
+    across = Window.partitionBy(*keys, "lvl").orderBy(*ORDER)
+    edge = edge.withColumn("e2", F.lead("event").over(across)).withColumn("t2", F.lead("ts_ns").over(across))
+    return _span(inside.unionByName(edge.where((F.col("event") == START) & (F.col("e2") == END)).drop("first")), "lvl")
+
+
+def _pair_last(trace: DataFrame, *keys: str, chunk_rows: int | None = None) -> DataFrame:
+    """A start whose next mark in its partition is an end; keyed variants differ in keys only."""
+    marks = _marks(trace).select("id", "ts_ns", "vpid", "vtid", "cb", "event")
+    nxt = ordered(marks, list(keys), ORDER, chunk_rows).with_next(e2="event", t2="ts_ns")
     return _span(nxt.where((F.col("event") == START) & (F.col("e2") == END)))
 
 
-def pair_by_key(trace: DataFrame) -> DataFrame:
+def pair_adjacent(trace: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """A start whose next mark on the thread is an end (by thread alone, as threads are unique on a host)."""
+    return _pair_last(trace, "vtid", chunk_rows=chunk_rows)
+
+
+def pair_by_key(trace: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Per (process, thread, callback): an end takes the last start; the start is used once."""
-    return _pair_last(trace, "vpid", "vtid", "cb")
+    return _pair_last(trace, "vpid", "vtid", "cb", chunk_rows=chunk_rows)
 
 
-def pair_thread_last(trace: DataFrame) -> DataFrame:
+def pair_thread_last(trace: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Per (process, thread): a later start overwrites; the callback is the start's."""
-    return _pair_last(trace, "vpid", "vtid")
+    return _pair_last(trace, "vpid", "vtid", chunk_rows=chunk_rows)
 
 
-def pair_single(trace: DataFrame, cb: str) -> DataFrame:
+def pair_single(trace: DataFrame, cb: str, chunk_rows: int | None = None) -> DataFrame:
     """The spans of one callback over all threads."""
-    return _pair_last(trace.where(F.col("cb") == cb), "cb")
+    return _pair_last(trace.where(F.col("cb") == cb), "cb", chunk_rows=chunk_rows)
 
 
 def span_stats(spans: DataFrame, *keys: str) -> DataFrame:
@@ -88,13 +113,12 @@ def empirical_period(spans: DataFrame, least: int = 5, *keys: str) -> DataFrame:
     return middle.select(*keys, F.col("gap").alias("period_ns"), (F.col("total") + 1).alias("arrivals"))
 
 
-def sync_gap_periods(trace: DataFrame, gap_ns: int, *keys: str) -> DataFrame:
+def sync_gap_periods(trace: DataFrame, gap_ns: int, *keys: str, chunk_rows: int | None = None) -> DataFrame:
     """Number the periods of a thread: a sync followed by a gap above gap_ns closes one; what follows belongs to the next."""
-    w = Window.partitionBy(*keys).orderBy("ts_ns", "id")
-    closes = ((F.col("event") == "sync") & (F.lead("ts_ns").over(w) - F.col("ts_ns") > gap_ns)).cast("int")
-    flagged = trace.withColumn("closes", F.coalesce(closes, F.lit(0)))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return flagged.withColumn("period", F.coalesce(F.sum("closes").over(before), F.lit(0)).cast("bigint")).drop("closes")
+    at = ordered(trace, list(keys), ORDER, chunk_rows)
+    closes = ((F.col("event") == "sync") & (F.col("t2") - F.col("ts_ns") > gap_ns)).cast("int")
+    flagged = at.with_next(t2="ts_ns").withColumn("closes", F.coalesce(closes, F.lit(0)))
+    return at.with_sum(flagged, "closes", "period").withColumn("period", F.col("period").cast("bigint")).drop("closes", "t2", "__chunk")
 
 
 def productive(periods: DataFrame, operations: list[str], least: int, *keys: str) -> DataFrame:

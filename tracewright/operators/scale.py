@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 FEW_ROWS = 2_000
 #: Narrow rows that one file may hold.
 SMALL_ROWS = 100_000
+#: Rows of one key that a window sorts in one task; keys with more are cut into chunks.
+CHUNK_ROWS = 2_000_000
 #: A key is hot if it has more than HOT_ROWS rows and more than one HOT_KEYS-th of all, so there are at most HOT_KEYS hot keys.
 HOT_ROWS, HOT_KEYS = 100, 20_000
 
@@ -94,3 +97,56 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column | str], weigh
     rows = ranged.withColumn("__here", F.coalesce(F.sum(weight).over(here), F.lit(0)))
     same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.col("__part") == F.col("__at"))
     return rows.join(sums, same).select(*df.columns, (F.col("__before") + F.col("__here")).alias("before"), "total")
+
+
+@dataclass
+class Ordered:
+    """Rows of keys in an order that no two rows of a key share, cut into chunks so that no window has to hold a whole key.
+
+    What crosses chunks goes through one summary row for each (key, chunk).
+    """
+
+    rows: DataFrame  # with __chunk
+    keys: list[str]
+    order: list[str]
+    whole: bool  # every key is one chunk
+
+    def window(self, *more: str):
+        return Window.partitionBy(*self.keys, "__chunk", *more).orderBy(*self.order)
+
+    def joined(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
+        """rows with the columns of a summary (keys, __chunk, ...) of their chunk."""
+        named = summary.select(*[F.col(c).alias(f"__of_{c}") for c in (*self.keys, "__chunk")], *[c for c in summary.columns if c not in (*self.keys, "__chunk")])
+        same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"__of_{k}")), self.keys, F.col("__chunk") == F.col("__of___chunk"))
+        return rows.join(named, same, "left").drop(*[f"__of_{c}" for c in (*self.keys, "__chunk")])
+
+    def with_next(self, **columns: str) -> DataFrame:
+        """rows with columns of the next row of the key; name=column."""
+        value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+        near = self.rows.withColumn("__near", F.lead(value).over(self.window()))
+        if not self.whole:
+            first = self.rows.groupBy(*self.keys, "__chunk").agg(F.min(F.struct(*self.order, value.alias("__value"))).alias("__first"))
+            far = first.select(*self.keys, "__chunk", F.lead("__first.__value").over(Window.partitionBy(*self.keys).orderBy("__chunk")).alias("__far"))
+            near = self.joined(near, far).withColumn("__near", F.coalesce("__near", "__far")).drop("__far")
+        return near.select(*self.rows.columns, *[F.col(f"__near.{n}").alias(n) for n in columns])
+
+    def with_sum(self, rows: DataFrame, weight: str, name: str) -> DataFrame:
+        """rows (of this order) with the sum of weight over the earlier rows of the key."""
+        here = F.coalesce(F.sum(weight).over(self.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn(name, here)
+        if self.whole:
+            return rows
+        total = rows.groupBy(*self.keys, "__chunk").agg(F.sum(weight).alias("__total"))
+        before = F.coalesce(F.sum("__total").over(Window.partitionBy(*self.keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = self.joined(rows, total.select(*self.keys, "__chunk", before.alias("__before")))
+        return rows.withColumn(name, F.col(name) + F.col("__before")).drop("__before")
+
+
+def ordered(df: DataFrame, keys: list[str], order: list[str], chunk_rows: int | None = None) -> Ordered:
+    """df in chunks: one for each key if none has more than chunk_rows rows (one count), else range partitions by (keys, order), written."""
+    limit = CHUNK_ROWS if chunk_rows is None else chunk_rows
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (most[0] or 0) <= limit:
+        return Ordered(df.withColumn("__chunk", F.lit(0)), keys, order, True)
+    cut = df.repartitionByRange(-(-most[1] // limit), *keys, *order).withColumn("__chunk", F.spark_partition_id())
+    return Ordered(written(cut, "chunks"), keys, order, False)
