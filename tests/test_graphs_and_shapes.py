@@ -173,3 +173,54 @@ def test_depths_of_a_chain_of_100(spark):
     want = {name(k): k for k in range(100)}
     assert {r["id"]: r["depth"] for r in graph.bfs_depth(e).collect()} == want
     assert {r["id"]: r["depth"] for r in graph.longest_depth(e).collect()} == want
+
+
+def plain_depths(links):
+    """Breadth-first depth from nodes without incoming links, and the depth by peeling."""
+    nodes = {x for e in links for x in e}
+    near = {x: 0 for x in nodes if all(b != x for _, b in links)}
+    front = list(near)
+    while front:
+        step = {b: near[a] + 1 for a, b in links if a in front and b not in near}
+        near |= step
+        front = list(step)
+    links = {(a, b) for a, b in links if a != b}
+    far, left = dict.fromkeys({x for e in links for x in e}, 0), set(links)
+    while free := {a for a, _ in left} - {b for _, b in left}:
+        for a, b in left:
+            if a in free:
+                far[b] = max(far[b], far[a] + 1)
+        left = {(a, b) for a, b in left if a not in free}
+    return {x: near.get(x, -1) for x in nodes}, far
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depths_and_betweenness_of_random_graphs_with_chains_and_rings(spark, seed):
+    r = random.Random(seed)
+    links = {(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(28)}
+    for c in range(8):  # chains between random nodes, some from or to nothing
+        chain = [f"n{r.randrange(30)}"] * r.randrange(2) + [f"c{c}-{k}" for k in range(r.choice([1, 3, 9]))] + [f"n{r.randrange(30)}"] * r.randrange(2)
+        links |= set(zip(chain, chain[1:]))
+    links |= {("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("s0", "s1"), ("s1", "s2"), ("s2", "s0"), ("s1", "end"), ("only", "pair"), ("self", "self")}
+    e = spark.createDataFrame([(a, b, "t", 1) for a, b in sorted(links)], EDGE)
+    near, far = plain_depths(links)
+    assert {x["id"]: x["depth"] for x in graph.bfs_depth(e).collect()} == near
+    assert {x["id"]: x["depth"] for x in graph.longest_depth(e).collect()} == far
+    want = brute_betweenness({(a, b) for a, b in links if a != b})
+    for pairs in (10**6, 800):
+        got = {x["id"]: x["betweenness"] for x in graph.betweenness(e, pairs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_a_chain_of_10000_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "written", lambda df, tag, *a, f=graph.written, **k: rounds.append(tag) or f(df, tag, *a, **k))
+    ids = list(range(10_000))
+    random.Random(3).shuffle(ids)
+    e = spark.createDataFrame([(f"{ids[k]:05d}", f"{ids[k + 1]:05d}", "t", 1) for k in range(9_999)], EDGE)
+    for f in (graph.bfs_depth, graph.longest_depth):
+        rounds.clear()
+        got = {x["id"]: x["depth"] for x in f(e).collect()}
+        assert got == {f"{i:05d}": k for k, i in enumerate(ids)} and len(rounds) < 26, rounds  # 15 doublings and a few others
+    rounds.clear()
+    assert {x["component"] for x in graph.components(e).collect()} == {"00000"} and len(rounds) < 40, rounds

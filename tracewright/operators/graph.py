@@ -3,43 +3,53 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.scale import FEW_ROWS, running_sum, salted_join, written
+from tracewright.operators.scale import running_sum, salted_join, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of weakly connected components of (src, dst): the least node, by alternating star contractions.
+    """(node, component) of weakly connected components of (src, dst): the least node, by hooking and contraction.
 
-    Large-star and small-star steps alternate until no link changes; the number of rounds grows with the
-    logarithm of a component's size. Every step is a grouped minimum (pre-aggregated) and a join back in which
-    the rows of a hub are dealt to many tasks. Each round is written to the shared folder; only a row count and a
-    checksum reach the driver. Self-links name single nodes; links with a null end are ignored.
+    Each node hooks to its least neighbour, pointers are doubled until they name local minima, and the links are taken between
+    those; every round at least halves the nodes that still have links. Hooking is a grouped minimum (pre-aggregated), and in
+    the joins back the rows of a hub are dealt to many tasks. Each round is written to the shared folder; only counts reach
+    the driver. Self-links name single nodes; links with a null end are ignored.
     """
-    sums = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
-    links = written(ends.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
-    seen = links.agg(*sums).first()
-    while True:
-        many = seen[0]
+    pair = [F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")]
+    links = written(ends.select(*pair).where("u <> v").distinct(), "links")
+    found = None
+    while many := links.count():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both, least, "u", total=2 * many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large", rows=2 * many) if many > FEW_ROWS else large
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, low, "u", total=many).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links = written(small.where("u <> v").distinct(), "stars", compact=True, rows=2 * many)
-        now = links.agg(*sums).first()
-        if now == seen:
-            break
-        seen = now
-    found = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    loops = ends.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct().join(found.select("node"), "node", "left_anti")
-    return found.unionByName(loops)
+        roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root"))
+        roots = doubled(written(roots, "hooks", rows=2 * many))
+        nodes = roots.count()
+        found = roots if found is None else salted_join(found, roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", how="left").select("node", F.coalesce("next", "root").alias("root"))
+        found = written(found, "found", compact=True)
+        name = lambda old, new: roots.select(F.col("node").alias(old), F.col("root").alias(new))  # noqa: B023, E731
+        moved = salted_join(links, name("u", "src"), "u", total=max(many, nodes))
+        moved = salted_join(moved, name("v", "dst"), "v", total=max(many, nodes), counted=links)
+        links = written(moved.where("src <> dst").select(*pair).distinct(), "links", rows=many)
+    loops = ends.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
+    if found is None:
+        return loops
+    found = found.select("node", F.col("root").alias("component"))
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+
+
+def doubled(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, root) without a cycle but for roots that point to themselves, doubled until each names the end of its path; log rounds."""
+    many = pointers.count()
+    while True:
+        up = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        step = salted_join(pointers, up, "root", total=many).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+        step = written(step, "pointers", rows=many)
+        pointers = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            return pointers
 
 
 def grouping_edges(edges: DataFrame, infra: bool = False) -> DataFrame:
@@ -85,36 +95,72 @@ def sinks(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")
 
 
+def contracted(links: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Links (src, dst, w) with chains made one link of their length, and the nodes inside chains as (id, head, far).
+
+    Inside are nodes with one link in and one out that are not in keep (id). Their pointers to the node before are doubled until
+    they name the chain's head, so rounds grow with the logarithm of a chain. A ring without any other node has no head and
+    is left out of both.
+    """
+    ends = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("head")).where("n = 1")
+    inner = ends.join(links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("m")).where("m = 1"), "id").select("id", "head", F.lit(1).cast("bigint").alias("far"))
+    inner = written(inner if keep is None else inner.join(keep.select("id"), "id", "left_anti"), "inner")
+    many = inner.count()
+    if not many:
+        return links.withColumn("w", F.lit(1).cast("bigint")), None
+    for _ in range(many.bit_length() + 1):
+        up = inner.select(F.col("id").alias("head"), F.col("head").alias("before"), F.col("far").alias("more"))
+        step = salted_join(inner, up, "head", how="left", total=many)
+        step = written(step.select("id", F.coalesce("before", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("before").isNotNull().alias("moved")), "inner", rows=many)
+        inner = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            break
+    inner = inner.join(inner.select(F.col("id").alias("head")), "head", "left_anti").select("id", "head", "far")  # rings keep moving
+    outer = links.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti")
+    named = outer.join(inner.select(F.col("id").alias("src"), "head", "far"), "src", "left")
+    return named.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("far", F.lit(0)) + 1).alias("w")), inner
+
+
 def bfs_depth(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable."""
-    links = written(edges.select("src", "dst").distinct(), "links")
+    """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable. Chains are contracted first; each round writes the nodes that came nearer."""
+    links = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
-    front = written((roots if roots is not None else sources(links)).select("id").distinct().withColumn("depth", F.lit(0)), "front")
-    seen = front
-    for k in count(1):
-        step = links.join(front, links["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        front = written(step.withColumn("depth", F.lit(k)), "front")
-        if not front.limit(1).count():
-            break
-        seen = written(seen.unionByName(front), "seen")
-    return nodes.join(seen, "id", "left").na.fill(-1, ["depth"])
+    start = written((roots if roots is not None else sources(links)).select("id").distinct(), "roots")
+    short, inner = contracted(links.where("src <> dst"), start)
+    short = written(short.groupBy("src", "dst").agg(F.min("w").alias("w")), "short")
+    state = written(start.select("id", F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("fresh")), "depths")
+    while state.where("fresh").limit(1).count():
+        step = short.join(state.where("fresh").select(F.col("id").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("near"))
+        nearer = F.coalesce(F.col("near") < F.coalesce("depth", "near") + F.col("depth").isNull().cast("int"), F.lit(False))
+        state = written(state.select("id", "depth").join(step, "id", "full_outer").select("id", F.least("depth", "near").alias("depth"), nearer.alias("fresh")), "depths")
+    found = state.select("id", "depth")
+    if inner is not None:
+        found = found.unionByName(inner.join(found.select(F.col("id").alias("head"), "depth"), "head").select("id", (F.col("depth") + F.col("far")).alias("depth")))
+    return nodes.join(found, "id", "left").select("id", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"))
 
 
 def longest_depth(edges: DataFrame) -> DataFrame:
     """Longest path (edges) from a node without incoming edges, found by repeated peeling; nodes on or behind cycles keep what
-    their already peeled predecessors give (0 without any)."""
-    left = written(edges.select("src", "dst").where("src <> dst").distinct(), "left")
-    nodes = left.select(F.col("src").alias("id")).union(left.select("dst")).distinct()
-    depth = written(nodes.withColumn("depth", F.lit(0)), "depth")
-    while True:
-        free = written(sources(left), "free")
-        if not free.limit(1).count():
-            break
-        gone = left.join(free, left["src"] == free["id"], "left_semi")
-        more = gone.join(depth, gone["src"] == depth["id"]).groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("more"))
-        depth = written(depth.join(more, "id", "left").select("id", F.greatest("depth", F.coalesce("more", F.lit(0))).alias("depth")), "depth")
-        left = written(left.join(free, left["src"] == free["id"], "left_anti"), "left")
-    return depth
+    their already peeled predecessors give (0 without any).
+
+    Chains are contracted first. A round takes away the nodes that wait for none; nodes hold how many links they wait for, so a
+    round writes the nodes only, once.
+    """
+    links = written(edges.select("src", "dst").where("src <> dst").distinct(), "links")
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    short, inner = contracted(links)
+    short = written(short.groupBy("src", "dst").agg(F.max("w").alias("w")), "short")
+    ends = short.select(F.col("src").alias("id"), F.lit(0).alias("n")).unionByName(short.select(F.col("dst").alias("id"), F.lit(1).alias("n")))
+    state = written(ends.groupBy("id").agg(F.sum("n").alias("waits")).select("id", "waits", F.lit(0).cast("bigint").alias("depth"), (F.col("waits") == 0).alias("fresh")), "peeled")
+    while state.where("fresh").limit(1).count():
+        step = short.join(state.where("fresh").select(F.col("id").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"), F.max(F.col("depth") + F.col("w")).alias("far"))
+        left = F.col("waits") - F.coalesce("gone", F.lit(0))
+        state = written(state.drop("fresh").join(step, "id", "left").select("id", left.alias("waits"), F.greatest("depth", F.coalesce("far", F.lit(0))).alias("depth"), ((left == 0) & (F.col("waits") > 0)).alias("fresh")), "peeled")
+    found = state.select("id", "depth")
+    if inner is not None:
+        heads = state.where("waits = 0").select(F.col("id").alias("head"), "depth")
+        found = found.unionByName(inner.join(heads, "head").select("id", (F.col("depth") + F.col("far")).alias("depth")))
+    return nodes.join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
 
 
 def task_graphs(edges: DataFrame, functions: DataFrame | None = None) -> DataFrame:
@@ -136,32 +182,57 @@ def task_graphs(edges: DataFrame, functions: DataFrame | None = None) -> DataFra
     return per.join(links, "component")
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """Normalised betweenness of directed shortest paths, all sources at once, level by level with joins and grouped sums.
+def betweenness(edges: DataFrame, pairs: int = 20_000_000) -> DataFrame:
+    """Normalised betweenness of directed shortest paths: leaves folded away, then sources in batches, level by level.
+
+    A node whose only link comes in (a leaf sink) is a target of weight 1 more at the node before it; a node whose only link
+    goes out (a leaf source) is a source of weight 1 more at the node behind it, on all of whose paths that node lies. Of the
+    nodes that are left, as many are sources at a time as keep the rows (source, node) of a batch within `pairs`.
 
     Forward: rows (s, id, paths) of the nodes at each distance from each source. Backward: what each node passes on to those
-    before it. Every level is written; the rows of a level are at most the pairs (source, node at that distance).
+    before it. Every level is written; a level is met with the earlier ones of its batch, none is copied.
     """
     links = written(edges.select("src", "dst").where("src <> dst").distinct(), "links")
     nodes = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct(), "nodes")
-    levels = [written(nodes.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")]
-    seen = levels[0].select("s", "id")
-    while True:
-        step = levels[-1].join(links, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        step = written(step.join(seen, ["s", "id"], "left_anti"), "level")
-        if not step.limit(1).count():
-            break
-        levels.append(step)
-        seen = written(seen.unionByName(step.select("s", "id")), "seen")
-    passed = levels[-1].select("s", "id", "paths", F.lit(0.0).alias("share"))
-    total = None
-    for before in reversed(levels[:-1]):
-        total = passed.select("id", "share") if total is None else total.unionByName(passed.select("id", "share"))
-        back = passed.select("s", F.col("id").alias("dst"), (F.lit(1.0) + F.col("share")).alias("gain"), F.col("paths").alias("their")).join(links, "dst")
-        up = before.join(back.select("s", F.col("src").alias("id"), "gain", "their"), ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("their") * F.col("gain")).alias("share"))
-        passed = written(before.join(up, ["s", "id"], "left").select("s", "id", "paths", F.coalesce("share", F.lit(0.0)).alias("share")), "passed")
-    shares = total.groupBy("id").agg(F.sum("share").alias("sum")) if total is not None else nodes.select("id", F.lit(0.0).alias("sum"))
     n = nodes.count()
+    number = lambda df, of, name: df.groupBy(F.col(of).alias("id")).agg(F.count(F.lit(1)).alias(name))
+    degree_ = nodes.join(number(links, "src", "out"), "id", "left").join(number(links, "dst", "into"), "id", "left").na.fill(0)
+    sink = written(degree_.where("out = 0 AND into = 1").select("id"), "leaf-sinks")
+    into = links.join(sink, links["dst"] == sink["id"], "left_anti")
+    source = written(degree_.where("into = 0 AND out = 1").select("id"), "leaf-sources")
+    core = written(into.join(source, into["src"] == source["id"], "left_anti"), "core")
+    ends = links.join(sink, links["dst"] == sink["id"], "left_semi").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("ends"))
+    starts = into.join(source, into["src"] == source["id"], "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("starts"))
+    kept = nodes.join(sink, "id", "left_anti").join(source.join(ends.select("id"), "id", "left_anti"), "id", "left_anti")
+    kept = written(kept.join(ends, "id", "left").join(starts, "id", "left").na.fill(0).withColumn("batch", F.lit(0)), "kept")
+    many = kept.count()
+    batches = max(1, -(-many * many // pairs))
+    kept = written(kept.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "kept") if batches > 1 else kept
+    sums = []
+    for b in range(batches):
+        levels = [written(kept.where(F.col("batch") == b).select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")), "level")]
+        while levels[-1].limit(1).count():
+            step = levels[-1].join(core, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+            seen = reduce(DataFrame.unionByName, [level.select("s", "id") for level in levels])
+            levels.append(written(step.join(seen, ["s", "id"], "left_anti"), "level"))
+        weights = kept.select("id", "ends")
+        passed, total = None, []
+        for before in reversed(levels[:-1]):
+            rows = before.join(weights, "id").withColumn("share", F.col("ends").cast("double"))  # to the leaf sinks behind it
+            if passed is not None:
+                back = passed.select("s", F.col("id").alias("dst"), (F.lit(1.0) + F.col("share")).alias("gain"), F.col("paths").alias("their")).join(core, "dst")
+                up = back.select("s", F.col("src").alias("id"), "gain", "their").join(before, ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("paths") / F.col("their") * F.col("gain")).alias("more"))
+                rows = rows.join(up, ["s", "id"], "left").withColumn("share", F.col("share") + F.coalesce("more", F.lit(0.0)))
+            passed = written(rows.select("s", "id", "paths", "share"), "passed")
+            total.append(passed)
+        if not total:
+            continue
+        shares = reduce(DataFrame.unionByName, total).join(kept.select(F.col("id").alias("s"), "starts"), "s")
+        # A source does not lie between its own paths, but between those of the leaf sources before it.
+        weight = F.when(F.col("s") == F.col("id"), F.col("starts")).otherwise(F.col("starts") + 1)
+        sums.append(written(shares.groupBy("id").agg(F.sum(F.col("share") * weight).alias("sum")), "shares"))
+    sums = sums or [nodes.select("id", F.lit(0.0).alias("sum"))]
+    shares = reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("sum").alias("sum"))
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
     return nodes.join(shares, "id", "left").select("id", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 9).alias("betweenness"))
 

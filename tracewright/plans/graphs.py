@@ -57,7 +57,11 @@ def g10_bfs_depth(spark, d):
     return gr.bfs_depth(v_hop(spark, d))
 
 
-@query()
+@query(sql("v_hop", """, e AS (SELECT DISTINCT src, dst FROM v_hop WHERE src <> dst), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+  walk(s, id, d, p) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL SELECT s, dst, d + 1, sum(p) FROM walk JOIN e ON src = id GROUP BY s, dst, d + 1),
+  sp AS (SELECT s, id, min(d) AS d, arg_min(p, d) AS p FROM walk GROUP BY s, id),
+  b AS (SELECT a.id, sum(a.p * b.p / c.p) AS x FROM sp a JOIN sp b ON b.s = a.id JOIN sp c ON c.s = a.s AND c.id = b.id WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = c.d GROUP BY a.id)
+  SELECT id, round(coalesce(x, 0) / ((count(*) OVER () - 1) * (count(*) OVER () - 2)), 9) AS betweenness FROM n LEFT JOIN b USING (id)"""))
 def g11_betweenness(spark, d):
     return gr.betweenness(v_hop(spark, d))
 
