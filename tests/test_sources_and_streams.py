@@ -1,5 +1,6 @@
 """Text readers, writers and streaming forms."""
 
+import os
 import random
 
 from tracewright.operators.pairing import pair_nested
@@ -95,3 +96,28 @@ def test_stream_ingest(spark, tmp_path):
     events = streams.stream_ingest(spark.readStream.text(str(tmp_path / "in")), "s", 0)
     streams.write_stream(events, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["event"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["ros2:callback_end", "ros2:callback_start"]
+
+
+def test_sync_sessions_with_late_rows_and_silent_keys(spark, tmp_path):
+    """Three files, one a batch: periods close at the next row, by the watermark or after the time to live; rows behind the watermark are dropped."""
+    minute = 60_000_000_000
+    schema = "id long, ts_ns long, event string, k string"
+    batches = [
+        [(1, 0, "take", "a"), (2, 1, "sync", "a"), (3, 3, "take", "a"), (4, 4, "sync", "a"), (5, 0, "take", "b"), (6, 2, "take", "c"), (7, 30, "take", "x")],
+        [(8, 12, "take", "a"), (9, 29, "take", "a"), (10, 60, "take", "x"), (11, 31, "sync", "b")],
+        [(12, 5, "take", "a"), (13, 45, "take", "b"), (14, 200, "take", "x")],
+    ]
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(i, (t + 1000) * minute, e, key) for i, t, e, key in rows], schema).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        part = next((tmp_path / f"b{k}").glob("*.parquet"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.stream_sync_sessions(live, 5 * minute, "k", delay="1 minute", ttl_ns=60 * minute)
+    q = out.writeStream.format("memory").queryName("periods").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r["k"], r["start_ns"] // minute - 1000, r["end_ns"] // minute - 1000, r["n"], r["closed"]) for r in spark.table("periods").collect())
+    # a: 0 to 4 ends with a sync and a gap; row 8 comes behind the watermark (29) and is dropped, as is row 12; 29 is left open and then silent.
+    # b: 0 to 31 ends with a sync, 45 comes behind the watermark (59); c: 2 is silent; x: 30 and 60 are one silent period, 200 is not passed yet.
+    assert got == [("a", 0, 4, 4, True), ("a", 29, 29, 1, False), ("b", 0, 31, 2, True), ("c", 2, 2, 1, False), ("x", 30, 60, 2, False)]

@@ -58,6 +58,16 @@ def x4_stream_sessions(spark, d):
     return through(spark, lambda s: streams.stream_sessions(s, "2 hours", "vpid"), v_trace(spark, d).select("id", "ts_ns", "vpid"))
 
 
+@query(sql("v_trace", """, f AS (SELECT *, CASE WHEN event = 'sync' AND lead(ts_ns) OVER w - ts_ns > 7200000000000 THEN 1 ELSE 0 END AS c FROM v_trace WINDOW w AS (PARTITION BY vtid ORDER BY ts_ns, id)),
+  p AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY vtid ORDER BY ts_ns, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS period FROM f),
+  r AS (SELECT vtid, period, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n, arg_max(event, struct_pack(t := ts_ns, i := id)) AS last FROM p GROUP BY ALL)
+  SELECT vtid, start_ns, end_ns, n, true AS closed FROM r WHERE last = 'sync' AND end_ns + 7200000000000 < (SELECT (max(ts_ns) // 1000000 - 600000) * 1000000 FROM v_trace)"""))
+def x4_stream_sync_sessions(spark, d):
+    """Periods that end with a sync and a gap, as far as the watermark has come."""
+    source = v_trace(spark, d).select("id", "ts_ns", "event", "vtid")
+    return through(spark, lambda s: streams.stream_sync_sessions(s, 7_200_000_000_000, "vtid"), source, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 @query(sql("v_trace", "SELECT id, ts_ns, event, vpid, vtid, coalesce(cb, '') AS cb, CAST(id % 8 AS INT) AS cpu FROM v_trace"))
 def s1_trace_text(spark, d):
     """The event table as trace lines, parsed back."""

@@ -91,3 +91,75 @@ def stream_rates(events: DataFrame, width: str, slide: str | None = None, delay:
 def stream_sessions(events: DataFrame, gap: str, *keys: str, delay: str = "10 minutes") -> DataFrame:
     """Runs of events of a key without a gap of that length."""
     return _timed(events, delay).groupBy(F.session_window("ts", gap), *keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
+
+
+class SyncSessions(StatefulProcessor):
+    """The open period of a key. Rows wait until the watermark has passed them, then are taken in order of (ts_ns, id).
+
+    A sync followed by a gap above gap_ns closes the period: at the next row, or by a timer once the watermark is that far. A period
+    that has seen nothing for ttl_ns is given out as not closed, so that a silent key holds no state.
+    """
+
+    def __init__(self, keys: list[str], gap_ns: int, ttl_ns: int):
+        self.keys, self.gap_ns, self.ttl_ns = keys, gap_ns, ttl_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getListState("wait", "ts_ns long, id long, event string")
+        self.open = handle.getValueState("open", "start long, last long, sync boolean, n long")
+
+    def _timer(self, ns: int) -> None:
+        self.handle.registerTimer(ns // 1_000_000 + 1)
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*self.keys, "start_ns", "end_ns", "n", "closed"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        first = None
+        for batch in rows:
+            for r in batch.itertuples():
+                if r.ts_ns >= late:
+                    self.wait.appendValue((int(r.ts_ns), int(r.id), r.event))
+                    first = r.ts_ns if first is None else min(first, r.ts_ns)
+        if first is not None:
+            self._timer(int(first))
+        yield self._rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        rows = sorted(map(tuple, self.wait.get()))
+        later = [w for w in rows if w[0] >= until]
+        now, out = tuple(self.open.get()) if self.open.exists() else None, []
+        for ts, _, event in rows[: len(rows) - len(later)]:
+            if now and now[2] and ts - now[1] > self.gap_ns:
+                out.append((*key, now[0], now[1], now[3], True))
+                now = None
+            now = (now[0] if now else ts, ts, event == "sync", (now[3] if now else 0) + 1)
+        if now and now[2] and now[1] + self.gap_ns < until:
+            out.append((*key, now[0], now[1], now[3], True))
+            now = None
+        elif now and now[1] + self.ttl_ns < until:
+            out.append((*key, now[0], now[1], now[3], False))
+            now = None
+        self.wait.put(later) if later else self.wait.clear()
+        if now:
+            self.open.update(now)
+            self._timer(now[1] + (min(self.gap_ns, self.ttl_ns) if now[2] else self.ttl_ns))
+        else:
+            self.open.clear()
+        if later:
+            self._timer(later[0][0])
+        yield self._rows(out)
+
+
+def stream_sync_sessions(events: DataFrame, gap_ns: int, *keys: str, delay: str = "10 minutes", ttl_ns: int = 365 * 86_400_000_000_000) -> DataFrame:
+    """Periods of a key's events (id, ts_ns, event) on a stream: keys, start_ns, end_ns, n, closed. Only a sync followed by a gap above gap_ns ends one.
+
+    Rows may be late by `delay`; later ones are dropped. closed is false where a key was silent for ttl_ns.
+    """
+    ship_package(events.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", start_ns long, end_ns long, n long, closed boolean"
+    rows = _timed(events.select("id", "ts_ns", "event", *keys), delay)
+    return rows.groupBy(*keys).transformWithStateInPandas(SyncSessions(list(keys), gap_ns, ttl_ns), schema, "Append", "EventTime")
