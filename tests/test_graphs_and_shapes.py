@@ -224,3 +224,38 @@ def test_a_chain_of_10000_takes_few_rounds(spark, monkeypatch):
         assert got == {f"{i:05d}": k for k, i in enumerate(ids)} and len(rounds) < 26, rounds  # 15 doublings and a few others
     rounds.clear()
     assert {x["component"] for x in graph.components(e).collect()} == {"00000"} and len(rounds) < 40, rounds
+
+
+def test_busy_topics_are_spread_over_a_grid(spark):
+    from tracewright.operators.scale import grid_join
+
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("a"))
+    right = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").alias("b"))
+    want = sorted(left.join(right, "k").collect())
+    assert sorted(grid_join(left, right, "k", cell_pairs=500).collect()) == want and sorted(grid_join(left, right, "k").collect()) == want
+    # A topic with 100,000 publishers and 10 takers: no task gets more than a few cells.
+    pub = spark.range(100_000).select(F.lit("busy").alias("topic"), F.col("id").alias("entity"), F.lit(0).alias("node"))
+    sub = spark.range(10).select(F.lit("busy").alias("topic"), F.col("id").alias("entity"), F.lit(0).alias("node"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = grid_join(pub.withColumnRenamed("entity", "p"), sub.select("topic", F.col("entity").alias("s")), "topic", cell_pairs=20_000)
+        per = [x["count"] for x in pairs.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(per) == 1_000_000 and len(per) > 20 and max(per) < 150_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert model.match_topics(pub.limit(50), sub).count() == 500
+
+
+def test_profiled_pids_descend_through_wrappers(spark):
+    tree = [(10, 1, "nsys"), (11, 10, "nsys-launcher a"), (12, 11, "nsys b"), (13, 12, "node"), (14, 13, "child"), (15, 10, "direct"), (20, 1, "nsys"), (21, 20, "other"), (30, 31, "nsys"), (31, 30, "nsys"), (32, 31, "ring"), (40, 10, None)]
+    log = [("resurrect", 10), ("resurrect", None), ("kill", 20)]
+    calls, own = [((7 << 24) + 5,), ((7 << 24) + 6,), ((8 << 24) + 1,)], [(700, 7 << 24), (900, 9 << 24)]
+    got = model.profiled_pids(
+        spark.createDataFrame(log, "action string, resurrected_pid long"), spark.createDataFrame(tree, "pid long, ppid long, cmd string"),
+        spark.createDataFrame(calls, "global_tid long"), spark.createDataFrame(own, "pid long, global_pid long"), "nsys",
+    )
+    assert sorted(map(tuple, got.collect())) == [(13, "resurrect", 0), (15, "resurrect", 0), (40, "resurrect", 0), (700, "launch_wrap", 2)]

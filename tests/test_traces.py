@@ -123,3 +123,25 @@ def test_window_counts_and_periods(spark):
     rows = [(1, 0, 1, 1, "x", "sync"), (2, 3, 1, 1, "x", "take"), (3, 4, 1, 1, "x", "sync"), (4, 20, 1, 1, "x", "take")]
     got = pairing.sync_gap_periods(spark.createDataFrame(rows, SCHEMA), 5, "vtid").collect()
     assert {r["id"]: r["period"] for r in got} == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_shift_sweep_equals_the_grid_at_every_shift(spark):
+    r = random.Random(12)
+    spans = [(i, r.randrange(2), r.randrange(2), "c", t0, t0 + r.choice([3, 10, 40, 300])) for i, t0 in enumerate(r.randrange(400) for _ in range(40))]
+    calls = [(i, r.randrange(2), r.randrange(3), r.randrange(500), "k") for i in range(80)]
+    s = spark.createDataFrame(spans, "span_id long, vpid long, vtid long, cb string, t0 long, t1 long")
+    c = spark.createDataFrame(calls, "corr long, pid long, tid long, t long, api_name string")
+    low, high = -30, 45
+    want = {x: sum(any(p == q and d == e and b - a >= 10 and a <= t + x <= b for _, q, e, _, a, b in spans) for _, p, d, t, _ in calls) for x in range(low, high + 1)}
+    steps = {x["shift"]: x["covered"] for x in attribution.coverage_steps(c, s, 10, low, high).collect()}
+    assert low in steps
+    for x in want:
+        assert steps[max(k for k in steps if k <= x)] == want[x]
+    best = attribution.best_shift(c, s, 10, low, high).first()
+    top = max(want.values())
+    first = min(x for x in want if want[x] == top)
+    last = next((x for x in range(first, high + 1) if want[x] != top), high + 1) - 1
+    assert tuple(best) == (first, last, top, len(calls))
+    grid = attribution.coverage(c, s, 10, [-30, 0, 7, 45]).collect()
+    assert {x["shift"]: x["covered"] for x in grid} == {x: want[x] for x in (-30, 0, 7, 45)} and sum(x["best"] for x in grid) == 1
+    assert attribution.best_shift(c, s, 10_000, low, high).first()["covered"] == 0

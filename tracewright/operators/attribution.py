@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.scale import written
+from tracewright.operators.scale import running_sum, written
 from tracewright.operators.temporal import asof, chunk_for, interval_owner
 
 #: What a sync of each type releases.
@@ -108,14 +108,63 @@ def residual_tops(attributed: DataFrame, runtime: DataFrame, k: int = 15) -> Dat
     return names.withColumn("what", F.lit("api")).unionByName(threads.withColumn("what", F.lit("tid")))
 
 
+def _long(spans: DataFrame, least_ns: int) -> DataFrame:
+    """Long spans per thread, those that touch or overlap made one: (pid, tid, a, b)."""
+    s = spans.where(F.col("t1") - F.col("t0") >= least_ns).select(F.col("vpid").alias("pid"), F.col("vtid").alias("tid"), F.col("t0").alias("a"), F.col("t1").alias("b"))
+    before = Window.partitionBy("pid", "tid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = s.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(before), F.col("a") - 1)).cast("int"))
+    run = cut.withColumn("run", F.sum("new").over(Window.partitionBy("pid", "tid").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
+    return run.groupBy("pid", "tid", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+
+
+def _reach(runtime: DataFrame, spans: DataFrame, least_ns: int, low: int, high: int) -> DataFrame:
+    """(from, to): the shifts within low .. high that bring some call into some long span of its thread, one row for each such pair.
+
+    Merged spans and calls meet in time buckets, as wide as the range of shifts and the mean span: a span stands in the buckets from which
+    a call can reach it, two or three on average.
+    """
+    s = written(_long(spans, least_ns), "long-spans")
+    width = max(1, high - low, int(s.agg(F.avg(F.col("b") - F.col("a"))).first()[0] or 0))
+    bucket = lambda t: F.floor(t / width)
+    filed = s.withColumn("at", F.explode(F.sequence(bucket(F.col("a") - high), bucket(F.col("b") - low))))
+    pairs = runtime.select("pid", "tid", "t", bucket(F.col("t")).alias("at")).join(filed, ["pid", "tid", "at"])
+    pairs = pairs.select(F.greatest(F.col("a") - F.col("t"), F.lit(low)).alias("from"), F.least(F.col("b") - F.col("t"), F.lit(high)).alias("to"))
+    return pairs.where(F.col("from") <= F.col("to"))
+
+
+def coverage_steps(runtime: DataFrame, spans: DataFrame, least_ns: int, low: int, high: int) -> DataFrame:
+    """(shift, covered): how many calls lie in a long span of their thread after a shift of the clock, for every shift from which on that number differs.
+
+    A sweep without a grid: a call and a span (overlapping ones are made one first) cover an interval of shifts, whose ends
+    count +1 and -1. Equal ends are summed before they are put in order, and the running sum goes over range partitions.
+    """
+    steps = _reach(runtime, spans, least_ns, low, high)
+    ends = steps.select(F.col("from").alias("shift"), F.lit(1).alias("step")).unionByName(steps.select((F.col("to") + 1).alias("shift"), F.lit(-1).alias("step")))
+    ends = ends.unionByName(ends.sparkSession.range(1).select(F.lit(low).cast("bigint").alias("shift"), F.lit(0).alias("step")))
+    sums = ends.groupBy("shift").agg(F.sum("step").alias("step")).withColumn("all", F.lit(0))
+    return running_sum(sums, ["all"], ["shift"], "step").where(F.col("shift") <= high).select("shift", (F.col("before") + F.col("step")).alias("covered"))
+
+
+def best_shift(runtime: DataFrame, spans: DataFrame, least_ns: int, low: int, high: int) -> DataFrame:
+    """(shift, until, covered, calls): the least shift of low .. high that brings the most calls into long spans, and the last one of the run with as many."""
+    steps = written(coverage_steps(runtime, spans, least_ns, low, high), "steps")
+    top = steps.agg(F.max("covered").alias("covered"))
+    at = steps.join(F.broadcast(top), "covered").agg(F.min("shift").alias("shift"), F.first("covered").alias("covered"))
+    later = steps.select(F.col("shift").alias("next"), F.col("covered").alias("then")).join(F.broadcast(at), (F.col("next") > F.col("shift")) & (F.col("then") != F.col("covered")))
+    until = later.agg((F.coalesce(F.min("next"), F.lit(high + 1)) - 1).alias("until"))
+    return at.join(F.broadcast(until)).join(F.broadcast(runtime.agg(F.count(F.lit(1)).alias("calls")))).select("shift", "until", "covered", "calls")
+
+
 def coverage(runtime: DataFrame, spans: DataFrame, least_ns: int, shifts: list[int]) -> DataFrame:
-    """Share of calls that lie in a long span of their thread after shifting the clock by each candidate; `best` marks the least shift of the largest share."""
-    s = spans.where(F.col("t1") - F.col("t0") >= least_ns)
-    moved = runtime.select("corr", "pid", "tid", F.explode(F.array(*[F.lit(x).cast("bigint") for x in shifts])).alias("shift"), "t")
-    moved = moved.withColumn("t", F.col("t") + F.col("shift")).withColumn("point", F.struct("corr", "shift"))
-    held = interval_owner(moved.withColumnRenamed("corr", "c"), s.select("span_id", F.col("vpid").alias("pid"), F.col("vtid").alias("tid"), "t0", "t1"), ["pid", "tid"], "point")
-    shares = held.groupBy("shift").agg(F.count(F.lit(1)).alias("calls"), F.count("span_id").alias("covered")).withColumn("share", F.round(F.col("covered") / F.col("calls"), 6))
-    best = shares.agg(F.max(F.struct("covered", -F.col("shift"))).alias("b")).select((-F.col("b.col2")).alias("best_shift"))
+    """Share of calls that lie in a long span of their thread after shifting the clock by each candidate; `best` marks the least shift of the largest share.
+
+    Read off the steps of coverage_steps(), so calls are not copied for each candidate.
+    """
+    steps = coverage_steps(runtime, spans, least_ns, min(shifts), max(shifts))
+    asked = runtime.sparkSession.createDataFrame([(int(s),) for s in sorted(set(shifts))], "candidate bigint")
+    at = steps.join(F.broadcast(asked), F.col("shift") <= F.col("candidate")).groupBy(F.col("candidate").alias("shift")).agg(F.max_by("covered", "shift").alias("covered"))
+    shares = at.join(F.broadcast(runtime.agg(F.count(F.lit(1)).alias("calls")))).withColumn("share", F.round(F.col("covered") / F.col("calls"), 6))
+    best = at.agg(F.max(F.struct("covered", -F.col("shift"))).alias("b")).select((-F.col("b.col2")).alias("best_shift"))
     return shares.join(F.broadcast(best)).select("shift", "calls", "covered", "share", (F.col("shift") == F.col("best_shift")).alias("best"))
 
 

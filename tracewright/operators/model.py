@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tracewright.functions.scalars import action_name, action_role
+from tracewright.operators.scale import grid_join, written
 from tracewright.operators.temporal import asof, asof_last, asof_tolerance, contained, interval_owner, nearest_tolerance
 from tracewright.shipping import ship_package
 
@@ -117,10 +118,13 @@ def attribute_by_active(publishes: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def match_topics(pub: DataFrame, sub: DataFrame) -> DataFrame:
-    """Every publishing entity with every subscribing entity of the topic; pairs of one node are flagged. See with_topic_data for type and rate."""
+    """Every publishing entity with every subscribing entity of the topic; pairs of one node are flagged. See with_topic_data for type and rate.
+
+    The pairs of a busy topic are spread over a grid of tasks.
+    """
     p = pub.select(F.col("node").alias("src_node"), F.col("entity").alias("src"), "topic").distinct()
     s = sub.select(F.col("node").alias("dst_node"), F.col("entity").alias("dst"), "topic").distinct()
-    return p.join(s, "topic").withColumn("intra_node", F.col("src_node") == F.col("dst_node"))
+    return grid_join(p, s, "topic").withColumn("intra_node", F.col("src_node") == F.col("dst_node"))
 
 
 def with_topic_data(edges: DataFrame, info: DataFrame, rates: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def with_topic_data(edges: DataFrame, info: DataFrame, rates: DataFrame) -> Data
 
 def match_services(clients: DataFrame, servers: DataFrame) -> DataFrame:
     """A request and a response edge for each client and server of a service."""
-    pairs = clients.select(F.col("entity").alias("src"), "service").distinct().join(servers.select(F.col("entity").alias("dst"), "service").distinct(), "service")
+    pairs = grid_join(clients.select(F.col("entity").alias("src"), "service").distinct(), servers.select(F.col("entity").alias("dst"), "service").distinct(), "service")
     back = pairs.select("service", F.col("dst").alias("src"), F.col("src").alias("dst"))
     return pairs.withColumn("part", F.lit("request")).unionByName(back.withColumn("part", F.lit("response"))).withColumn("nature", F.lit("dep"))
 
@@ -163,7 +167,8 @@ def split_callbacks(functions: DataFrame, clients: DataFrame) -> DataFrame:
 
 def group_links(ingress: DataFrame, egress: DataFrame) -> DataFrame:
     """Edges from every ingress to every egress of the same node and group."""
-    return ingress.select("node", "group", F.col("entity").alias("src")).join(egress.select("node", "group", F.col("entity").alias("dst")), ["node", "group"]).where("src <> dst").distinct()
+    ends = lambda df, name: df.select("node", "group", F.col("entity").alias(name)).distinct()
+    return grid_join(ends(ingress, "src"), ends(egress, "dst"), "node", "group").where("src <> dst")
 
 
 def unowned_threads(runtime: DataFrame, spans: DataFrame) -> DataFrame:
@@ -178,6 +183,33 @@ def gpu_pids(activity: DataFrame, runtime: DataFrame) -> DataFrame:
     return some.join(F.broadcast(best), F.col("rank") == F.col("best"), "left_semi").select("pid")
 
 
+def profiled_pids(log: DataFrame, tree: DataFrame, calls: DataFrame, processes: DataFrame, wrapper: str) -> DataFrame:
+    """(pid, source, calls) of processes that ran under a profiler, found in two ways.
+
+    resurrect: the process hangs below a resurrected one (log: action, resurrected_pid), with only processes between that
+    are wrappers (their cmd holds the wrapper's name) while its own cmd does not. tree: pid, ppid, cmd. launch_wrap: it is one of the profiler's own processes
+    (global_pid) that made runtime calls (global_tid); the numbers share all but their low 24 bits. calls counts those, 0 for resurrect.
+
+    Each wrapper's way up is doubled until it ends outside the wrappers, so rounds grow with the logarithm of the deepest chain.
+    """
+    wraps = F.coalesce(F.contains("cmd", F.lit(wrapper)), F.lit(False))
+    born = log.where("action = 'resurrect'").select(F.col("resurrected_pid").alias("pid")).where("pid IS NOT NULL").distinct()
+    rows = written(tree.select("pid", "ppid", wraps.alias("wraps")).where("pid IS NOT NULL"), "tree")
+    up = written(rows.where("wraps").join(born, "pid", "left_anti").groupBy("pid").agg(F.min("ppid").alias("top")), "wrappers")
+    for _ in range(max(1, up.count()).bit_length() + 1):  # processes that are each other's parents would never end
+        step = up.join(up.select(F.col("pid").alias("top"), F.col("top").alias("next")), "top", "left")
+        step = written(step.select("pid", F.coalesce("next", "top").alias("top"), F.col("next").isNotNull().alias("moved")), "wrappers")
+        up = step.drop("moved")
+        if not step.where("moved").limit(1).count():
+            break
+    below = rows.where("not wraps").join(up.select(F.col("pid").alias("ppid"), "top"), "ppid", "left").select("pid", F.coalesce("top", "ppid").alias("top"))
+    found = below.join(born.select(F.col("pid").alias("top")), "top", "left_semi").select("pid").distinct().select("pid", F.lit("resurrect").alias("source"), F.lit(0).cast("bigint").alias("calls"))
+    high = lambda c: F.shiftright(c, 24).alias("high")
+    made = calls.groupBy(high("global_tid")).agg(F.count(F.lit(1)).alias("n"))
+    own = processes.select("pid", high("global_pid")).distinct().join(made, "high").groupBy("pid").agg(F.sum("n").alias("calls"))
+    return found.unionByName(own.select("pid", F.lit("launch_wrap").alias("source"), "calls"))
+
+
 def match_boundaries(graphs: DataFrame) -> DataFrame:
     """Real publisher of one role to real subscriber of another, over topics that both left external; graphs: role, entity, topic, direction."""
     p = graphs.where("direction = 'pub'").select(F.col("role").alias("src_role"), F.col("entity").alias("src"), "topic")

@@ -75,6 +75,31 @@ def salted_join(rows: DataFrame, side: DataFrame, *keys: str, how: str = "inner"
     return left.join(right, [*keys, "__part"], how).drop("__part")
 
 
+def grid_join(left: DataFrame, right: DataFrame, *keys: str, cell_pairs: int = 1_000_000) -> DataFrame:
+    """Inner many-to-many join whose hot keys are spread over a grid of tasks (fragment and replicate).
+
+    A key with p rows on the left and q on the right makes p * q pairs. If that is above cell_pairs, its left rows are dealt to a parts
+    and copied to b, its right rows dealt to b and copied to a, with a to b as p to q so that few rows are copied; each of
+    the a * b cells then makes about cell_pairs pairs. At most as many keys are hot as the result has cells.
+    """
+    n = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    hot = n(left, "__p").join(n(right, "__q"), list(keys)).where(F.col("__p").cast("double") * F.col("__q") > cell_pairs)
+    cells = F.ceil(F.col("__p").cast("double") * F.col("__q") / cell_pairs)
+    a = F.greatest(F.lit(1), F.least(F.col("__p"), F.ceil(F.sqrt(cells * F.col("__p") / F.col("__q"))))).cast("int")
+    hot = hot.select(*keys, a.alias("__a"), cells.alias("__cells")).select(*keys, "__a", F.greatest(F.lit(1), F.ceil(F.col("__cells") / F.col("__a"))).cast("int").alias("__b"))
+    hot = written(hot, "hot-keys", rows=1)
+    many = hot.count()
+    if not many:
+        return left.join(right, list(keys))
+    hot = F.broadcast(hot) if many <= HOT_KEYS else hot
+    parts = lambda c: F.coalesce(F.col(c), F.lit(1))
+    deal = lambda df, c: F.pmod(F.xxhash64(*df.columns), parts(c)).cast("int")
+    copies = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    x = left.join(hot, list(keys), "left").withColumn("__i", deal(left, "__a")).withColumn("__j", copies("__b")).drop("__a", "__b")
+    y = right.join(hot, list(keys), "left").withColumn("__j", deal(right, "__b")).withColumn("__i", copies("__a")).drop("__a", "__b")
+    return x.join(y, [*keys, "__i", "__j"]).drop("__i", "__j")
+
+
 def alike(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     """Equality of the keys of two tables; nulls are equal."""
     return reduce(lambda c, k: c & a[k].eqNullSafe(b[k]), keys, F.lit(True))

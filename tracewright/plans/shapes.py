@@ -33,8 +33,9 @@ def d1_dag_nodes(spark, d):
     return sh.typed_dag(v_call(spark, d))[0].na.fill(-1, ["stream"])
 
 
-@query(sql("v_call", _NODES.replace("nodes AS (", "nodes AS MATERIALIZED (") + """, e AS (SELECT inv, lag(idx) OVER (PARTITION BY inv ORDER BY idx) AS src, idx AS dst, 'cpu_order' AS kind FROM nodes WHERE pe = 'CPU' UNION ALL SELECT inv, idx - 1, idx, 'launch' FROM nodes WHERE pe = 'SM'
-  UNION ALL SELECT inv, lag(idx) OVER (PARTITION BY inv, stream ORDER BY idx), idx, 'stream_fifo' FROM nodes WHERE pe = 'SM') SELECT inv, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, kind FROM e WHERE src IS NOT NULL"""))
+@query(sql("v_call", _NODES + """, w AS (SELECT inv, idx, pe, lag(idx) OVER (PARTITION BY inv, pe ORDER BY idx) AS cpu, lag(idx) OVER (PARTITION BY inv, pe, stream ORDER BY idx) AS fifo FROM nodes),
+  e AS (SELECT inv, idx AS dst, unnest(CASE WHEN pe = 'CPU' THEN [{'src': cpu, 'kind': 'cpu_order'}] ELSE [{'src': idx - 1, 'kind': 'launch'}, {'src': fifo, 'kind': 'stream_fifo'}] END) AS x FROM w)
+  SELECT inv, CAST(x.src AS INT) AS src, CAST(dst AS INT) AS dst, x.kind AS kind FROM e WHERE x.src IS NOT NULL"""))
 def d1_dag_edges(spark, d):
     return sh.typed_dag(v_call(spark, d))[1]
 
@@ -230,6 +231,23 @@ def j27_gpu_pids(spark, d):
     return md.gpu_pids(v_gpu(spark, d), v_runtime(spark, d))
 
 
+_WRAPS = "CASE WHEN c_custkey % 5 < 3 THEN 'nsys-launcher' ELSE 'node' END"
+
+
+@query(f"""WITH RECURSIVE tree AS (SELECT c_custkey AS pid, nullif(c_custkey // 2, c_custkey) AS ppid, {_WRAPS} LIKE '%nsys%' AS wraps FROM customer), born AS (SELECT c_custkey AS pid FROM customer WHERE c_custkey % 11 = 3),
+  climb(pid, top) AS (SELECT pid, ppid FROM tree WHERE NOT wraps UNION ALL SELECT c.pid, ppid FROM climb c JOIN tree t ON t.pid = c.top WHERE wraps AND c.top NOT IN (SELECT pid FROM born))
+  SELECT DISTINCT pid, 'resurrect' AS source, 0::BIGINT AS calls FROM climb WHERE top IN (SELECT pid FROM born)
+  UNION ALL SELECT s_suppkey + 10000000, 'launch_wrap', count(*) FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 0 GROUP BY s_suppkey""")
+def j27_profiled_pids(spark, d):
+    """Customers as a process tree with chains of launchers, some of them resurrected; suppliers as the profiler's processes, line items as their calls."""
+    c, s = read(spark, d, "customer"), read(spark, d, "supplier")
+    tree = c.select(F.col("c_custkey").alias("pid"), F.expr("nullif(c_custkey div 2, c_custkey)").alias("ppid"), F.expr(_WRAPS).alias("cmd"))
+    log = c.where("c_custkey % 11 = 3").select(F.lit("resurrect").alias("action"), F.col("c_custkey").alias("resurrected_pid"))
+    own = s.where("s_suppkey % 2 = 0").select((F.col("s_suppkey") + 10_000_000).alias("pid"), F.shiftleft("s_suppkey", 24).alias("global_pid"))
+    calls = read(spark, d, "lineitem").select((F.shiftleft("l_suppkey", 24) + F.col("l_orderkey") % 1000).alias("global_tid"))
+    return md.profiled_pids(log, tree, calls, own, "nsys")
+
+
 @query(sql("v_span", """, p AS (SELECT id, vpid, vtid, ts_ns AS t FROM v_trace WHERE event = 'publish'), o AS (SELECT p.id, arg_max(s.span_id, struct_pack(a := s.t0, b := s.span_id)) AS own FROM p JOIN v_span s ON p.vpid = s.vpid AND p.vtid = s.vtid AND p.t BETWEEN s.t0 AND s.t1 GROUP BY p.id),
   x AS (SELECT p.id, arg_min(s.span_id, struct_pack(a := s.t0, b := s.span_id)) AS other FROM p JOIN v_span s ON p.vpid = s.vpid AND p.t BETWEEN s.t0 AND s.t1 WHERE p.id NOT IN (SELECT id FROM o) GROUP BY p.id)
   SELECT p.*, coalesce(own, other, -1) AS span_id, CASE WHEN own IS NOT NULL THEN 'thread' WHEN other IS NOT NULL THEN 'process' ELSE 'none' END AS rule FROM p LEFT JOIN o USING (id) LEFT JOIN x USING (id)"""))

@@ -225,6 +225,16 @@ def a34_coverage(spark, d):
     return at.coverage(v_runtime(spark, d), v_span(spark, d), 6 * HOUR, [-HOUR, 0, HOUR])
 
 
+@query(sql("v_span v_runtime", f""", s AS (SELECT vpid, vtid, t0, t1 FROM v_span WHERE t1 - t0 >= {6 * HOUR}),
+  r AS (SELECT pid, tid, corr, t, greatest(t0 - t, {-HOUR}) AS a, least(t1 - t, {HOUR}) AS b FROM v_runtime JOIN s ON pid = vpid AND tid = vtid AND t0 - t <= {HOUR} AND t1 - t >= {-HOUR}),
+  c AS (SELECT a AS shift FROM r UNION SELECT b + 1 FROM r WHERE b < {HOUR} UNION SELECT {-HOUR}),
+  m AS (SELECT shift, count(DISTINCT corr) AS covered FROM c LEFT JOIN r ON shift BETWEEN a AND b GROUP BY shift), w AS (SELECT min(shift) AS shift, max(covered) AS covered FROM m WHERE covered = (SELECT max(covered) FROM m))
+  SELECT shift, (SELECT coalesce(min(m.shift) - 1, {HOUR}) FROM m WHERE m.shift > w.shift AND m.covered <> w.covered) AS until, covered, (SELECT count(*) FROM v_runtime) AS calls FROM w"""))
+def a34_best_shift(spark, d):
+    """The best shift of the clock within an hour, without a grid of candidates."""
+    return at.best_shift(v_runtime(spark, d), v_span(spark, d), 6 * HOUR, -HOUR, HOUR)
+
+
 @query(sql("v_span v_gpu v_sync", _ATTR + """, r AS (SELECT v.api_name, v.tid FROM att a JOIN v_runtime v ON a.corr = v.corr WHERE rule = 'residual')
   (SELECT api_name AS key, count(*) AS n, 'api' AS what FROM r GROUP BY api_name ORDER BY n DESC, api_name LIMIT 15) UNION ALL SELECT CAST(tid AS VARCHAR), count(*), 'tid' FROM r GROUP BY tid"""))
 def a24_residual_tops(spark, d):
