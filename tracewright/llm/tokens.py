@@ -24,9 +24,9 @@ SLICE_BYTES = 1_000_000
 RUN = 500
 #: A stop or comma between a letter or digit and a blank. Only letters that normalising leaves as they are count: ASCII, and the
 #: two-byte ones from sharp s to y with diaeresis (the sign in their midst left out); elsewhere the sign may join a mark.
-_SIGN = re.compile(rb"(?:(?<=[A-Za-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([.,])(?=[ \n])")
+_SIGN = re.compile(rb"[.,](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))(?=[ \n])")
 #: First bytes of combining marks, with which a capital may stand that has no composed form where the small letter has one.
-_MARKS = re.compile(rb"[\xcc\xcd]")
+_MARKS = (b"\xcc", b"\xcd")
 
 
 def loosened(text: str) -> bytes:
@@ -35,8 +35,8 @@ def loosened(text: str) -> bytes:
     The tokenizer lower-cases anyway and makes a word of its own of each run of signs, so only the
     number of distinct chunks changes. Texts that could name special tokens, or hold combining marks, keep their case.
     """
-    raw = _SIGN.sub(rb" \1", text.encode("utf-8", "replace"))
-    return raw if b"<|" in raw or _MARKS.search(raw) else raw.lower()
+    raw = _SIGN.sub(rb" \g<0>", text.encode("utf-8", "replace"))
+    return raw if b"<|" in raw or any(m in raw for m in _MARKS) else raw.lower()
 
 
 class ChunkEncoder:
@@ -118,7 +118,7 @@ class ChunkEncoder:
 
     def _lookup(self, w: Words) -> np.ndarray | None:
         """The number of each word; None if two words have one hash."""
-        second = w.second()
+        second = w.second
         names, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         checks = second[first]
         if (second != checks[inverse]).any():
@@ -142,7 +142,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of all texts, each followed by END_ID, and the number of ids of each text; slice by slice."""
-        for w in words(pa.array([loosened(t) for t in texts], pa.large_binary()), CASED):
+        for w in words(pa.array([loosened(t) for t in texts], pa.large_binary()), CASED, twice=True):
             if len(self.names) > CACHE_CHUNKS:
                 self.forget()
             code = self._lookup(w)

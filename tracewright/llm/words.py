@@ -44,24 +44,28 @@ LONG_BYTES = 256
 _KEPT = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each run of bytes: eight bytes at a time are added to a state that is scrambled in between.
+def _hashed(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """For each seed a 64-bit hash of each run of bytes: eight bytes at a time are added to a state that is scrambled in between.
 
     data has eight bytes more than the runs. No sum over positions is taken, so no arrangement of letters cancels out.
     """
     eight = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
-    h = sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    rows = np.flatnonzero((sizes > 0) & (sizes <= LONG_BYTES))
-    at, left, state = starts[rows], sizes[rows], h[rows]
+    begin = sizes.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    part = eight[starts] & _KEPT[np.minimum(sizes, 8)]
+    out = [mix(begin ^ part, seed) for seed in seeds]
+    rows = np.flatnonzero((sizes > 8) & (sizes <= LONG_BYTES))
+    at, left = starts[rows] + 8, sizes[rows] - 8
     while len(rows):
-        state = mix(state ^ (eight[at] & _KEPT[np.minimum(left, 8)]), seed)
-        h[rows] = state
+        part = eight[at] & _KEPT[np.minimum(left, 8)]
+        for h, seed in zip(out, seeds):
+            h[rows] = mix(h[rows] ^ part, seed)
         more = left > 8
-        rows, at, left, state = rows[more], at[more] + 8, left[more] - 8, state[more]
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(sizes > LONG_BYTES).tolist():
         run = data[starts[i] : starts[i] + sizes[i]].tobytes()
-        h[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
-    return h
+        for h, seed in zip(out, seeds):
+            h[i] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 @dataclass
@@ -74,18 +78,15 @@ class Words:
     data: np.ndarray  # the bytes of the texts as they are compared, and eight more
     starts: np.ndarray  # where words begin in data
     ends: np.ndarray
-
-    def second(self) -> np.ndarray:
-        """Other hashes of the same words; together they are 128 bits."""
-        return _hashed(self.data, self.starts, self.ends - self.starts, 2)
+    second: np.ndarray | None = None  # other hashes of the same words, if asked for; together they are 128 bits
 
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the words' first bytes, size at most."""
-        return mix(_hashed(self.data, self.starts, np.minimum(self.ends - self.starts, size), 3), size)
+        return mix(_hashed(self.data, self.starts, np.minimum(self.ends - self.starts, size), 3)[0], size)
 
 
-def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
-    """Slices of a column of texts with the hash of each word; null counts as empty.
+def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES, twice: bool = False) -> Iterator[Words]:
+    """Slices of a column of texts with the hash of each word, or two hashes; null counts as empty.
 
     Hashing walks over all words eight bytes at a time, so its loop is as long as the longest word, not the text.
     """
@@ -109,9 +110,9 @@ def words(column: pa.Array, letters=ALNUM, slice_bytes: int = SLICE_BYTES) -> It
         starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         known = np.zeros(size + 8, np.uint8)
         known[:size] = counts_as[data]
-        h = _hashed(known, starts, ends - starts, 1)
+        h, *second = _hashed(known, starts, ends - starts, *((1, 2) if twice else (1,)))
         counts = np.diff(np.searchsorted(starts, bounds))
-        yield Words(first, h, counts, known, starts, ends)
+        yield Words(first, h, counts, known, starts, ends, *second)
         first = last
 
 
