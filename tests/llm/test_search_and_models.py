@@ -95,8 +95,8 @@ def test_words_whose_letters_cancel_out_differ():
         word = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
         other = word.translate(str.maketrans("ab", "ba"))
         for letters in (ALNUM, BLANK):
-            (w,) = words(pa.array([f"{word} {other} {word[:-1]} {word}b"]), letters)
-            assert len(set(w.hashes.tolist())) == len(set(w.second().tolist())) == 4 and not set(w.hashes.tolist()) & set(w.second().tolist())
+            (w,) = words(pa.array([f"{word} {other} {word[:-1]} {word}b"]), letters, twice=True)
+            assert len(set(w.hashes.tolist())) == len(set(w.second.tolist())) == 4 and not set(w.hashes.tolist()) & set(w.second.tolist())
             a, b = (next(shingles(next(words(pa.array([f"{x} two three four"]), letters)), 3))[1] for x in (word, other))
             assert len(set(a.tolist()) & set(b.tolist())) == 1
 
@@ -223,6 +223,28 @@ def test_recall_is_measured(spark):
     assert all(c.recall >= decontaminate.TARGET for c in decontaminate.build(items))
 
 
+@pytest.mark.parametrize("n", [5, 9, 14, 25, 45, 63, 64, 99, 180, 500])
+def test_recall_in_other_text_for_short_and_long_items(n):
+    """Items with as many edits as are allowed, in the midst of other words; edits and first word are those of the nearest run."""
+    r = random.Random(n)
+    items = [np.array([r.randrange(1, 2**62) for _ in range(n)], np.uint64) for _ in range(40)]
+    s = decontaminate.Searcher(np.arange(len(items)), items)
+    found = 0
+    for i, item in enumerate(items):
+        copy = item.tolist()
+        for _ in range(decontaminate.allowed(n)):
+            at, kind = r.randrange(len(copy)), r.randrange(3)
+            copy[at : at + (kind != 1)] = [r.randrange(1, 2**62)] * (kind != 2)
+        lead = [r.randrange(1, 2**62) for _ in range(r.randrange(90))]
+        text = np.array([*lead, *copy, *[r.randrange(1, 2**62) for _ in range(r.randrange(90))]], np.uint64)
+        got = {k: (d, at) for _, k, d, at in s.hits(text, np.array([len(text)]))}
+        assert set(got) <= {i}
+        if i in got:
+            found += 1
+            assert got[i] == (plain_distance(item.tolist(), text.tolist()), decontaminate._nearest_run(item, text))
+    assert found >= 0.9 * len(items), found
+
+
 def test_long_items_are_found_with_all_allowed_edits(spark):
     r = random.Random(4)
     word = lambda: f"w{r.randrange(4000)}"

@@ -18,8 +18,10 @@ from tracewright.llm.words import mix, words
 EDITS = 0.2
 #: Recall that the repetitions must reach on items edited as much as allowed.
 TARGET = 0.95
-#: Symbols of an embedding that make up one key, and the most repetitions; size classes that need more are searched exactly.
-SAMPLED, REPETITIONS = 3, 48
+#: Symbols of an embedding that make up one key.
+SAMPLED = 3
+#: Items of twice as many words and more are cut into pieces of at least PIECE words that are embedded on their own.
+PIECE = 32
 SEED = 11
 #: Items of one size class have sizes within this ratio.
 RATIO = 1.3
@@ -27,8 +29,8 @@ RATIO = 1.3
 BLOCK_BYTES = 16_000_000
 #: Blocks that one pass over the documents searches; with the bytes of a block this bounds what is broadcast at once.
 PASS_BLOCKS = 8
-#: Places of equal grams that are expanded at a time, and cells of the texts that are compared at a time.
-PLACES, CELLS = 2_000_000, 400_000
+#: Cells of the texts that are compared at a time.
+CELLS = 400_000
 #: Bytes of text whose windows are hashed at a time; smaller slices pay the work of each repetition more often.
 SLICE_BYTES = 1_000_000
 SCHEMA = "doc_id bigint, item_id bigint, edits int, first_word bigint, item_words int"
@@ -61,15 +63,28 @@ def _odd(seed: int, r: int, j: int) -> np.uint64:
 
 @dataclass
 class SizeClass:
-    """Items of similar size: their symbols, the sampling plan and the keys of all repetitions."""
+    """Items or pieces of items of similar size: the sampling plan and the keys of all repetitions."""
 
-    items: list[int]  # numbers of items
+    items: list[int]  # numbers of the pieces
     sizes: np.ndarray
     least: int
     plan: list[np.ndarray] = field(default_factory=list)
-    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys and item numbers
+    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys and numbers of pieces
     recall: float = 0.0
-    exact: bool = False  # without plan and keys: found by shared grams, none is missed
+
+
+def pieces(items: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(item, first word, words) of what is embedded: short items whole, long ones cut into n // PIECE equal pieces.
+
+    The edits allowed in an item are at most those allowed in its pieces together, before rounding down; so in some piece there are
+    no more than that piece allows, and the item is found with the recall of that piece at least.
+    """
+    out = []
+    for i, x in enumerate(items):
+        cuts = max(1, len(x) // PIECE)
+        bounds = [len(x) * k // cuts for k in range(cuts + 1)]
+        out += [(i, a, b - a) for a, b in zip(bounds, bounds[1:]) if b > a]
+    return out
 
 
 def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -87,11 +102,7 @@ def _edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
 
 
 def build(items: list[np.ndarray], seed: int = SEED) -> list[SizeClass]:
-    """Size classes with as many repetitions as the target recall needs, measured on edited items.
-
-    A class that does not reach the target within REPETITIONS, or cannot at the pace of the first
-    quarter of them, is marked exact.
-    """
+    """Size classes with as many repetitions as the target recall needs, measured on edited items."""
     order = sorted((len(x), i) for i, x in enumerate(items) if len(x))
     classes: list[SizeClass] = []
     for n, i in order:
@@ -109,16 +120,11 @@ def build(items: list[np.ndarray], seed: int = SEED) -> list[SizeClass]:
         both = np.concatenate([y for p in pairs for y in p])
         at = np.cumsum([0, *[len(y) for p in pairs for y in p]])[:-1]
         met = np.zeros(len(pairs), bool)
-        for r in range(REPETITIONS):
+        while c.recall < TARGET:
             c.plan.append(np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)))
-            keys = _key(both, at, c.plan[r], seed, r)
+            keys = _key(both, at, c.plan[-1], seed, len(c.plan) - 1)
             met |= keys[0::2] == keys[1::2]
             c.recall = float(met.mean())
-            if c.recall >= TARGET or (r + 1 == REPETITIONS // 4 and 1 - (1 - c.recall) ** 4 < TARGET):
-                break
-        if c.recall < TARGET:
-            c.plan, c.recall, c.exact = [], 1.0, True
-            continue
         flat = np.concatenate([pad(items[i]) for i in c.items])
         starts = np.cumsum([0, *[len(items[i]) + 3 * c.least for i in c.items]])[:-1]
         for r, sampled in enumerate(c.plan):
@@ -128,20 +134,6 @@ def build(items: list[np.ndarray], seed: int = SEED) -> list[SizeClass]:
     return classes
 
 
-def gram_size(n: int) -> int:
-    """The longest grams, three words at most, of which an item of n words has more side by side than edits are allowed."""
-    return next(q for q in (3, 2, 1) if n // q > allowed(n))
-
-
-def _grams(symbols: np.ndarray, q: int) -> np.ndarray:
-    """Keys of the q symbols from each place on that has so many."""
-    n = max(len(symbols) - q + 1, 0)
-    key = np.zeros(n, np.uint64)
-    for j in range(q):
-        key = mix(key ^ symbols[j : j + n], 7)
-    return key
-
-
 def edit_distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """For each row: the least edit distance of an item (all columns) to any run of words of the text row."""
     m, width = texts.shape
@@ -172,70 +164,16 @@ class Searcher:
     """What a task needs to search texts for a block of items."""
 
     def __init__(self, ids: np.ndarray, items: list[np.ndarray]):
-        self.ids, self.items, self.classes = ids, items, build(items)
+        self.ids, self.items = ids, items
+        cut = pieces(items)
+        self.owner, self.offset = np.array([p[0] for p in cut], np.int64), np.array([p[1] for p in cut], np.int64)
+        self.classes = build([items[i][a : a + n] for i, a, n in cut])
         self.vocabulary = np.unique(np.concatenate(items)) if items else np.empty(0, np.uint64)
         self.known = np.zeros(1 << 22, bool)
         self.known[(self.vocabulary & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.grams = self._index()
-
-    def _index(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each gram size: sorted keys of the exact classes' grams side by side, their items and places in these."""
-        found: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for i in [i for c in self.classes if c.exact for i in c.items]:
-            q = gram_size(len(self.items[i]))
-            found.setdefault(q, []).append((_grams(self.items[i], q)[::q], i))
-        index = {}
-        for q, parts in found.items():
-            keys = np.concatenate([k for k, _ in parts])
-            o = np.argsort(keys, kind="stable")
-            owners = np.repeat([i for _, i in parts], [len(k) for k, _ in parts])
-            places = np.concatenate([np.arange(len(k)) * q for k, _ in parts])
-            index[q] = keys[o], owners[o], places[o]
-        return index
-
-    def regions(self, h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows, items, starts) where an item of an exact class may occur, start - k to start + n + 2k for n words and k edits.
-
-        Of an item's n // q grams side by side, k edits spoil k at most. The others stand in the text
-        unchanged, and as insertions and deletions are edits their offsets (place in the text less place
-        in the item) differ by k at most. So where fewer than n // q - k grams have offsets within k,
-        the item does not occur.
-        """
-        row_end = np.cumsum(counts)
-        sizes = np.array([len(x) for x in self.items], np.int64)
-        edits = np.array([allowed(n) for n in sizes.tolist()], np.int64)
-        for q, (names, owners, places) in self.grams.items():
-            keys = _grams(h, q)
-            lo = np.searchsorted(names, keys)
-            at = np.flatnonzero(names[np.minimum(lo, len(names) - 1)] == keys)
-            row = np.searchsorted(row_end, at, "right")
-            inside = at + q <= row_end[row] if len(at) else np.zeros(0, bool)
-            at, row = at[inside], row[inside]
-            lo = lo[at]
-            many = np.searchsorted(names, keys[at], "right") - lo
-            # Whole rows at a time, so that an item's grams in a row stay together.
-            cuts = np.flatnonzero(np.diff(row)) + 1
-            if len(cuts):
-                part = (np.cumsum(many)[cuts - 1]) // PLACES
-                cuts = cuts[np.flatnonzero(np.diff(part, prepend=0))]
-            for b in np.split(np.arange(len(at)), cuts):
-                if not len(b):
-                    continue
-                n = many[b]
-                take = np.repeat(lo[b] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                item, where, offset = owners[take], np.repeat(row[b], n), np.repeat(at[b], n) - places[take]
-                o = np.lexsort((offset, item, where))
-                item, where, offset = item[o], where[o], offset[o]
-                ahead = np.arange(len(o)) + (sizes // q - edits)[item] - 1
-                end = np.minimum(ahead, len(o) - 1)
-                ok = (ahead < len(o)) & (item[end] == item) & (where[end] == where) & (offset[end] - offset <= edits[item])
-                k = edits[item[ok]]
-                start = offset[ok] // (k + 1) * (k + 1)
-                found = np.unique(np.stack([where[ok], item[ok], start], 1), axis=0)
-                yield found[:, 0], found[:, 1], found[:, 2]
 
     def candidates(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start) pairs whose keys meet; h holds the words of several rows in turn.
+        """(piece, start) pairs whose keys meet; h holds the words of several rows in turn.
 
         Only windows in which enough words occur in some item at all can be within the allowed edits
         of an item of that size; the others are not embedded.
@@ -247,7 +185,7 @@ class Searcher:
         total = np.concatenate([[0], np.cumsum(inside, dtype=np.int32)])
         last = np.repeat(np.cumsum(counts), counts)  # end of each word's row
         found = []
-        for c in (c for c in self.classes if not c.exact):
+        for c in self.classes:
             starts = np.zeros(len(h), bool)
             here = np.arange(len(h))
             for n in np.unique(c.sizes).tolist():
@@ -273,40 +211,35 @@ class Searcher:
         return pairs[:, 0], pairs[:, 1]
 
     def hits(self, h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, edits, first word) of the best place of each item in each row."""
-        item, start = self.candidates(h, counts)
+        """(row, item, edits, first word) of the best place of each item in each row.
+
+        A piece that begins at a place tells where its item begins, give or take the edits; places as near as that are looked at together.
+        """
+        piece, start = self.candidates(h, counts)
         row_end = np.cumsum(counts)
-        row = np.searchsorted(row_end, start, "right")
         sizes = np.array([len(x) for x in self.items], np.int64)
+        edits = np.array([allowed(n) for n in sizes.tolist()], np.int64)
+        item, row = self.owner[piece], np.searchsorted(row_end, start, "right")
+        start = (start - self.offset[piece]) // (edits[item] + 1) * (edits[item] + 1)
+        places = np.unique(np.stack([item, row, start], 1), axis=0) if len(item) else np.empty((0, 3), np.int64)
+        item, row, start = places.T
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for n in np.unique(sizes[item]).tolist() if len(item) else []:
-            slack = allowed(n) + 3
-            for block in np.array_split(w := np.flatnonzero(sizes[item] == n), len(w) // 4000 + 1):
-                at = start[block][:, None] + np.arange(-slack, n + slack)[None, :]
-                ok = (at >= (row_end - counts)[row[block]][:, None]) & (at < row_end[row[block]][:, None])
+        for n in np.unique(sizes[item]).tolist():
+            k = allowed(n)
+            w = np.flatnonzero(sizes[item] == n)
+            for block in np.array_split(w, len(w) * (n + 4 * k) // CELLS + 1):
+                if not len(block):
+                    continue
+                at = start[block][:, None] + np.arange(-k - 3, n + 3 * k + 3)[None, :]
+                first = (row_end - counts)[row[block]]
+                ok = (at >= first[:, None]) & (at < row_end[row[block]][:, None])
                 texts = np.where(ok, h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
                 d = edit_distances(np.stack([self.items[i] for i in item[block]]), texts)
-                for k in np.flatnonzero(d <= allowed(n)).tolist():
-                    key = int(row[block[k]]), int(item[block[k]])
-                    place = int(start[block[k]] - (row_end - counts)[key[0]])
-                    best[key] = min(best.get(key, (n + 1, 0)), (int(d[k]), place))
-        for rows, item, start in self.regions(h, counts):
-            for n in np.unique(sizes[item]).tolist():
-                k = allowed(n)
-                w = np.flatnonzero(sizes[item] == n)
-                for block in np.array_split(w, len(w) * (n + 3 * k) // CELLS + 1):
-                    if not len(block):
-                        continue
-                    at = start[block][:, None] + np.arange(-k, n + 2 * k)[None, :]
-                    first = (row_end - counts)[rows[block]]
-                    ok = (at >= first[:, None]) & (at < row_end[rows[block]][:, None])
-                    texts = np.where(ok, h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
-                    d = edit_distances(np.stack([self.items[i] for i in item[block]]), texts)
-                    for x in np.flatnonzero(d <= k).tolist():
-                        key = int(rows[block[x]]), int(item[block[x]])
-                        if int(d[x]) <= best.get(key, (n, 0))[0]:
-                            place = int(at[x, 0] - first[x]) + _nearest_run(self.items[key[1]], texts[x])
-                            best[key] = min(best.get(key, (n + 1, 0)), (int(d[x]), max(place, 0)))
+                for x in np.flatnonzero(d <= k).tolist():
+                    key = int(row[block[x]]), int(item[block[x]])
+                    if int(d[x]) <= best.get(key, (n, 0))[0]:
+                        place = int(at[x, 0] - first[x]) + _nearest_run(self.items[key[1]], texts[x])
+                        best[key] = min(best.get(key, (n + 1, 0)), (int(d[x]), max(place, 0)))
         for (r, i), (d, place) in best.items():
             yield r, i, d, place
 
@@ -374,9 +307,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distance. Words are runs of letters and digits, A-Z lower-cased. Whole texts are searched, a
     window at every word. Windows and items are embedded and keyed as in _key; the number of
     repetitions is set for each size class by measuring recall on edited items; each candidate is
-    verified by the exact distance. Size classes that would need more than REPETITIONS (items of more than
-    some hundred words) are found by the unchanged runs of three words that must be left, as in
-    Searcher.regions, which misses none. The benchmark is broadcast in blocks of about BLOCK_BYTES; a pass over
+    verified by the exact distance. Items of 2 * PIECE words and more are embedded piece by piece (see pieces). first_word is where
+    the nearest run begins, the first of equals. The benchmark is broadcast in blocks of about BLOCK_BYTES; a pass over
     the documents searches PASS_BLOCKS of them while it holds a batch's hashed words, so its size may grow.
 
     Null, empty or word-less texts and items match nothing. A null doc_id is reported as null; repeated rows
