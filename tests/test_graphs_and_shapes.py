@@ -259,3 +259,67 @@ def test_profiled_pids_descend_through_wrappers(spark):
         spark.createDataFrame(calls, "global_tid long"), spark.createDataFrame(own, "pid long, global_pid long"), "nsys",
     )
     assert sorted(map(tuple, got.collect())) == [(13, "resurrect", 0), (15, "resurrect", 0), (40, "resurrect", 0), (700, "launch_wrap", 2)]
+
+
+def plain_common(a, b):
+    """A longest common subsequence by the full table; on ties the first sequence's token is dropped."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(a[i])
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_skeleton_equals_a_plain_fold(spark):
+    r = random.Random(7)
+    for _ in range(300):
+        a, b = ([r.choice("abcd"[: r.randrange(1, 5)]) for _ in range(r.choice([0, 1, 5, 40, 150]))] for _ in range(2))
+        assert shapes.common_subsequence(a, b) == plain_common(a, b)
+    rows = [(k, [r.choice("abcde") for _ in range(r.randrange(0, 90))]) for k in range(6) for _ in range(7)] + [(9, ["x"]), (10, ["a", "b"]), (10, ["c"])]
+    got = {x["key"]: (x["skeleton"], x["sequences"]) for x in shapes.skeleton(spark.createDataFrame([*rows, rows[0]], "k long, tokens array<string>"), "k", least=1).collect()}
+    want = {}
+    for k in {k for k, t in rows if t}:
+        some = sorted({tuple(t) for q, t in rows if q == k and t}, key=lambda t: (len(t), t))
+        fold = list(some[0])
+        for t in some[1:]:
+            fold = plain_common(fold, list(t))
+        want[str(k)] = (fold, len(some))
+    assert got == want
+
+
+def test_pca_equals_the_axes_of_the_standardised_matrix(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = np.column_stack([r.normal(size=80) * 5, r.integers(0, 9, 80), np.zeros(80), np.arange(80) ** 1.5])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "inv long, a double, b double, c double, d double")
+    got = np.array([tuple(v)[1:] for v in shapes.pca(df).orderBy("inv").collect()])
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
+    assert np.abs(got - z @ axes.T).max() < 1e-8
+    assert shapes.pca(df.where("inv < 0")).count() == 0 and shapes.pca(df.where("inv = 1")).first()["pc1"] == 0
+
+
+def test_sketched_quantiles_and_exact_medians(spark):
+    from tracewright.operators import stats
+
+    r = random.Random(2)
+    rows = [("big", int(r.expovariate(0.001))) for _ in range(20_000)] + [("one", 5), ("two", 1), ("two", 4), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    big = sorted(v for k, v in rows if k == "big")
+    for p in (0.01, 0.5, 0.9, 0.99):
+        got = {x["k"]: (x["q"], x["n"]) for x in stats.quantile_sketch(df, "v", p, "k").collect()}
+        at = sum(v <= got["big"][0] for v in big) / len(big)
+        assert abs(at - p) < 0.0133 + 1e-3 and got["big"][1] == 20_000 and got["one"] == (5, 1) and "none" not in got
+    middle = {x["k"]: x["m"] for x in stats.medians(df, {"m": "v"}, "k").collect()}
+    assert middle == {"big": (big[9_999] + big[10_000]) / 2, "one": 5.0, "two": 2.5}

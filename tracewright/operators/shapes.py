@@ -5,12 +5,16 @@ Calls: (inv, pos, token, stream, cost); pos is 1, 2, ... in time order inside an
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import copy_direction
 from tracewright.operators.scale import running_sum, written
+from tracewright.operators.stats import medians
 from tracewright.shipping import ship_package
 
 
@@ -152,54 +156,106 @@ def process_report(attributed: DataFrame, waits: DataFrame, order: DataFrame, sh
 
 
 def pca(features: DataFrame, k: int = 2) -> DataFrame:
-    """Invocations on the first k principal axes of standardised features (signs are arbitrary); one aggregation and one projection."""
-    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    """Invocations on the first k principal axes of standardised features (population deviation, 1 where it is 0).
 
+    One aggregation gives means and the matrix of products, whose size depends on the features only; its axes are found on
+    the driver. The sign rule: of each axis the entry of the largest size (the first of equals) is positive.
+    """
     cols = [c for c in features.columns if c != "inv"]
-    x = VectorAssembler(inputCols=cols, outputCol="raw").transform(features)
-    x = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="x").fit(x).transform(x)
-    out = PCA(k=k, inputCol="x", outputCol="p").fit(x).transform(x)
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select("inv", *[vector_to_array("p")[i].alias(f"pc{i + 1}") for i in range(k)])
-
-
-def _common(a: list[str], b: list[str]) -> list[str]:
-    """A longest common subsequence; on ties the first sequence's token is dropped."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+    x = [F.col(c).cast("double") for c in cols]
+    d = len(cols)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = features.agg(F.count(F.lit(1)), *[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x], *[F.covar_pop(x[i], x[j]) for i, j in pairs]).first()
+    if not row[0]:
+        return features.select("inv", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(k)])
+    mean, sd = row[1 : d + 1], [s if s else 1.0 for s in row[d + 1 : 2 * d + 1]]
+    gram = np.zeros((d, d))
+    for (i, j), c in zip(pairs, row[2 * d + 1 :]):
+        gram[i, j] = gram[j, i] = c / sd[i] / sd[j]
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :k].T
+    axes = [a * np.sign(a[np.argmax(np.abs(a) > np.abs(a).max() - 1e-9)]) for a in axes]
+    scaled = [(c - m) / s for c, m, s in zip(x, mean, sd)]
+    return features.select("inv", *[sum((c * float(w) for c, w in zip(scaled[1:], a[1:])), scaled[0] * float(a[0])).alias(f"pc{i + 1}") for i, a in enumerate(axes)])
+
+
+#: Rows of an alignment that are kept; those between are computed again when the path comes by.
+KEPT_ROWS = 64
+
+
+def common_subsequence(a: list[str], b: list[str]) -> list[str]:
+    """A longest common subsequence; on ties the first sequence's token is dropped.
+
+    Bit-parallel: a row of the table is one number of len(b) bits, a zero where the length grows, and the next row follows by one
+    addition. The path is walked from the front of both; every KEPT_ROWS-th row is kept and the rows between are made
+    again, so memory is len(a) * len(b) / KEPT_ROWS bits.
+    """
+    n, m = len(a), len(b)
+    full = (1 << m) - 1
+    places: dict[str, int] = {}
+    for j, t in enumerate(reversed(b)):
+        places[t] = places.get(t, 0) | 1 << j
+
+    def below(row: int, i: int) -> int:  # the row of a[i:] from that of a[i + 1:]
+        u = row & places.get(a[i], 0)
+        return ((row + u) | (row - u)) & full
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = below(row, i)
+        if i % KEPT_ROWS == 0:
+            kept[i] = row
+    length = lambda row, j: (m - j) - (row & ((1 << (m - j)) - 1)).bit_count()  # noqa: E731  of the rest of a row and b[j:]
+    out, i, j, near = [], 0, 0, {}
+    while i < n and j < m:
+        if i + 1 not in near:
+            last = min(n, (i // KEPT_ROWS + 1) * KEPT_ROWS)
+            near, row = {last: kept[last]}, kept[last]
+            for r in range(last - 1, i - 1, -1):
+                row = near[r] = below(row, r)
+        if a[i] == b[j]:
             out.append(a[i])
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif length(near[i + 1], j) >= length(near[i] if i in near else below(near[i + 1], i), j + 1):
             i += 1
         else:
             j += 1
     return out
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = sorted((list(t) for t in pdf["tokens"]), key=lambda t: (len(t), t))
-    out = rows[0]
-    for r in rows[1:]:
-        out = _common(out, r)
-        if not out:
-            break
-    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "skeleton": [out], "sequences": [len(rows)]})
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, skeleton, sequences) from rows (key, tokens) that come key by key; only the fold so far is held."""
+    now, fold, count, done = None, [], 0, []
+
+    def batch_of():
+        out = pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string())), pa.array([d[2] for d in done], pa.int64())], names=["key", "skeleton", "sequences"])
+        done.clear()
+        return out
+
+    for batch in batches:
+        for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if now is None or now[0] != key:
+                if now is not None:
+                    done.append((now[0], fold, count))
+                now, fold, count = (key,), tokens, 0
+            else:
+                fold = common_subsequence(fold, tokens) if fold else fold
+            count += 1
+        if done:
+            yield batch_of()
+    if now is not None:
+        done.append((now[0], fold, count))
+        yield batch_of()
 
 
 def skeleton(seqs: DataFrame, key: str, least: int = 1) -> DataFrame:
     """The common subsequence of all distinct sequences of a key, folded pairwise from the shortest.
 
-    Sequences are made distinct first, so a group holds each shape once; groups run in parallel.
+    Sequences are made distinct first and stream past the fold in order, so a task holds two sequences, never a group.
     """
     ship_package(seqs.sparkSession)
     distinct = seqs.where(F.size("tokens") >= least).select(F.col(key).cast("string").alias("key"), "tokens").distinct()
-    return distinct.groupBy("key").applyInPandas(_fold, "key string, skeleton array<string>, sequences long")
+    ordered = distinct.repartition("key").sortWithinPartitions("key", F.size("tokens"), "tokens")
+    return ordered.mapInArrow(_folded, "key string, skeleton array<string>, sequences long")
 
 
 def _runs(tokens: Column, length: Column | int) -> Column:
@@ -256,22 +312,43 @@ def insertions(aligned: DataFrame) -> DataFrame:
     return rows.groupBy("inv", "after").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"]).alias("block"))
 
 
+def _trie(blocks: DataFrame) -> DataFrame:
+    """after, k, name, before, prefix, class, passes, ends: the weight that passes and ends at each prefix of k tokens of the blocks (after, block, weight, class).
+
+    A row for each token is of constant width: a prefix is named by two hashes, the running bit-wise sums of its tokens' hashes by
+    place, and grouped by that name, the name before and the last token. Two prefixes of one name would have to agree in all
+    three at every length. The text of a prefix is cut from one of its blocks, once for each prefix.
+    """
+    distinct = blocks.groupBy("after", "block", "class").agg(F.sum("weight").alias("weight"))
+    distinct = written(distinct.withColumn("b", F.monotonically_increasing_id()), "blocks")
+    tokens = distinct.select("b", "after", "class", "weight", F.size("block").alias("size"), F.posexplode("block").alias("k", "token")).withColumn("k", F.col("k") + 1)
+    w = Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    own = [F.xxhash64(F.lit(seed), "k", "token") for seed in (1, 2)]
+    name = F.struct(*[F.bit_xor(h).over(w).alias(f"h{i}") for i, h in enumerate(own)]).alias("name")
+    rows = tokens.select("b", "after", "class", "weight", "k", "token", (F.col("k") == F.col("size")).cast("int").alias("end"), name, *[h.alias(f"own{i}") for i, h in enumerate(own)])
+    before = F.struct(*[F.col(f"name.h{i}").bitwiseXOR(F.col(f"own{i}")).alias(f"h{i}") for i in range(2)])
+    roots = distinct.select("b", "after", "class", "weight", F.lit(0).alias("k"), F.lit(None).cast("string").alias("token"), (F.size("block") == 0).cast("int").alias("end"), F.struct(F.lit(0).cast("bigint").alias("h0"), F.lit(0).cast("bigint").alias("h1")).alias("name"))
+    rows = rows.withColumn("before", before).drop("own0", "own1").unionByName(roots.withColumn("before", F.col("name")))
+    per = rows.groupBy("after", "k", "name", "before", "token", "class").agg(F.sum("weight").alias("passes"), F.sum(F.col("weight") * F.col("end")).alias("ends"), F.min("b").alias("b"))
+    text = F.array_join(F.slice("block", 1, F.col("k")), ",").alias("prefix")
+    return per.join(distinct.select("b", "block"), "b").select("after", "k", "name", "before", "token", text, "class", "passes", "ends")
+
+
 def insertion_trie(blocks: DataFrame) -> DataFrame:
     """Prefixes of insertion blocks at each skeleton index: how many pass, how many end, and the share that ends."""
-    cut = blocks.select("after", "block", F.explode(F.sequence(F.lit(1), F.size("block"))).alias("k"))
-    rows = cut.select("after", F.array_join(F.slice("block", 1, F.col("k")), ",").alias("prefix"), (F.col("k") == F.size("block")).cast("int").alias("ends"))
-    return rows.groupBy("after", "prefix").agg(F.count(F.lit(1)).alias("passes"), F.sum("ends").alias("ends")).withColumn("end_share", F.round(F.col("ends") / F.col("passes"), 6))
+    rows = _trie(blocks.select("after", "block", F.lit(1).alias("weight"), F.lit("").alias("class"))).where("k > 0")
+    return rows.select("after", "prefix", "passes", F.col("ends"), F.round(F.col("ends") / F.col("passes"), 6).alias("end_share"))
 
 
 def weighted_trie(blocks: DataFrame) -> DataFrame:
     """The trie of blocks (after, block, weight, class): per prefix the weight that passes and ends, the share that ends, the share of the prefix before
     that enters it, and the weight by class as `class:weight` in order of class."""
-    cut = blocks.select("after", "block", "weight", "class", F.explode(F.sequence(F.lit(0), F.size("block"))).alias("k"))
-    name = lambda k: F.array_join(F.slice("block", 1, k), ",")
-    rows = cut.select("after", "k", name(F.col("k")).alias("prefix"), F.when(F.col("k") > 0, name(F.greatest(F.col("k") - 1, F.lit(0)))).alias("before"), "weight", "class", (F.col("k") == F.size("block")).cast("int").alias("ends"))
-    mix = rows.groupBy("after", "k", "prefix", "before", "class").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("ends")).alias("e"))
-    per = mix.groupBy("after", "k", "prefix", "before").agg(F.sum("w").alias("passes"), F.sum("e").alias("ends"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "w"))), lambda x: F.concat_ws(":", x["class"], x["w"])), ",").alias("classes"))
-    up = per.select("after", (F.col("k") + 1).alias("k"), F.col("prefix").alias("before"), F.col("passes").alias("from"))
+    node = ["after", "k", "name", "before", "token"]
+    per = _trie(blocks).groupBy(*node).agg(
+        F.min("prefix").alias("prefix"), F.sum("passes").alias("passes"), F.sum("ends").alias("ends"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("class", "passes"))), lambda x: F.concat_ws(":", x["class"], x["passes"])), ",").alias("classes"),
+    )
+    up = per.groupBy("after", (F.col("k") + 1).alias("k"), F.col("name").alias("before")).agg(F.sum("passes").alias("from"))
     out = per.where("k > 0").join(up, ["after", "k", "before"])
     return out.select("after", "prefix", "passes", "ends", "classes", F.round(F.col("ends") / F.col("passes"), 6).alias("end_share"), F.round(F.col("passes") / F.col("from"), 6).alias("enter_share"))
 
@@ -345,12 +422,12 @@ def classify_shapes(stats: DataFrame, axes: list[str], sigma: float = 2.0, tail:
     mean, or a modified z score above 3.5, or a total below a fifth of the median.
     """
     per = stats.groupBy("key").agg(
-        F.min("first_t").alias("t0"), F.max("last_t").alias("t1"), F.max_by("sig", F.struct("count", "sig")).alias("main"), F.percentile("total", 0.5).alias("median_total"),
-        *[f.alias(f"{a}_{n}") for a in axes for n, f in (("mean", F.avg(a)), ("std", F.stddev_pop(a)), ("median", F.percentile(a, 0.5)))],
+        F.min("first_t").alias("t0"), F.max("last_t").alias("t1"), F.max_by("sig", F.struct("count", "sig")).alias("main"),
+        *[f.alias(f"{a}_{n}") for a in axes for n, f in (("mean", F.avg(a)), ("std", F.stddev_pop(a)))],
     )
-    j = stats.join(per, "key")
-    mads = j.groupBy("key").agg(*[F.percentile(F.abs(F.col(a) - F.col(f"{a}_median")), 0.5).alias(f"{a}_mad") for a in axes])
-    j = j.join(mads, "key")
+    middle = medians(stats, {"median_total": "total"} | {f"{a}_median": a for a in axes}, "key")
+    j = stats.join(per, "key").join(middle, "key")
+    j = j.join(medians(j, {f"{a}_mad": F.abs(F.col(a) - F.col(f"{a}_median")) for a in axes}, "key"), "key")
     odd = F.col("total") < F.col("median_total") / 5
     for a in axes:
         odd = odd | (F.abs(F.col(a) - F.col(f"{a}_mean")) > sigma * F.nullif(f"{a}_std", F.lit(0.0))) | (0.6745 * F.abs(F.col(a) - F.col(f"{a}_median")) / F.nullif(f"{a}_mad", F.lit(0.0)) > 3.5)

@@ -53,6 +53,26 @@ def quantile_low(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     return ranked(df, value, *keys).where(holds(rank_low(p))).select(*keys, F.col(value).alias("q"), "n")
 
 
+def quantile_sketch(df: DataFrame, value: str, p: float, *keys: str, k: int = 200) -> DataFrame:
+    """An approximate quantile_low: mergeable KLL sketches, so a group is never in one task and one pass is enough; value must be integer.
+
+    The rank of the result is off by about 1.33 % of n for k = 200 (about 2.65 / k, with 99 % confidence).
+    """
+    sketch = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), k).alias("s"))
+    return sketch.select(*keys, F.kll_sketch_get_quantile_bigint("s", F.lit(p)).alias("q"), F.kll_sketch_get_n_bigint("s").alias("n"))
+
+
+def medians(df: DataFrame, values: dict[str, str | Column], *keys: str) -> DataFrame:
+    """keys and a median (mean of the middle two) under each name of values, exact: all values in one long table, counted and ranked over range partitions."""
+    column = lambda v: (F.col(v) if isinstance(v, str) else v).cast("double")
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), column(v).alias("value")) for n, v in values.items()])).alias("x")
+    rows = df.select(*keys, long).select(*keys, F.col("x.name").alias("__name"), F.col("x.value").alias("__value")).where("__value IS NOT NULL")
+    counts = running_sum(rows.groupBy(*keys, "__name", "__value").agg(F.count(F.lit(1)).alias("__c")), [*keys, "__name"], ["__value"], "__c")
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("__c")), F.col("__value")))
+    middle = counts.groupBy(*keys, "__name").agg(((at(F.expr("(total - 1) div 2")) + at(F.expr("total div 2"))) / 2).alias("m"))
+    return middle.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == n, F.col("m"))).alias(n) for n in values])
+
+
 def exec_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """n, floor mean, sorted[n // 2], sorted[min(n - 1, int(.99 n))], max of each group."""
     at = lambda i: F.max(F.when(holds(i), F.col(value)))
@@ -115,12 +135,11 @@ def lanes(spans: DataFrame, start_ns: int, end_ns: int, bins: int, max_spans: in
 
 def axis_stats(shapes: DataFrame, axis: str, *keys: str) -> DataFrame:
     """Mean, population deviation, median, median absolute deviation, least and largest of an axis over distinct shapes."""
-    centre = shapes.groupBy(*keys).agg(F.percentile(axis, 0.5).alias("median"))
-    far = shapes.join(centre, list(keys)).withColumn("dev", F.abs(F.col(axis) - F.col("median")))
-    return far.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(axis), 3).alias("mean"), F.round(F.stddev_pop(axis), 3).alias("std"), F.first("median").alias("median"),
-        F.percentile("dev", 0.5).alias("mad"), F.min(axis).alias("min"), F.max(axis).alias("max"),
+    far = shapes.join(medians(shapes, {"median": axis}, *keys), list(keys)).withColumn("dev", F.abs(F.col(axis) - F.col("median")))
+    per = far.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(axis), 3).alias("mean"), F.round(F.stddev_pop(axis), 3).alias("std"), F.first("median").alias("median"), F.min(axis).alias("min"), F.max(axis).alias("max"),
     )
+    return per.join(medians(far, {"mad": "dev"}, *keys), list(keys)).select(*keys, "n", "mean", "std", "median", "mad", "min", "max")
 
 
 def share_of_total(df: DataFrame, *keys: str) -> DataFrame:
