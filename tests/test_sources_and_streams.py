@@ -121,3 +121,17 @@ def test_sync_sessions_with_late_rows_and_silent_keys(spark, tmp_path):
     # a: 0 to 4 ends with a sync and a gap; row 8 comes behind the watermark (29) and is dropped, as is row 12; 29 is left open and then silent.
     # b: 0 to 31 ends with a sync, 45 comes behind the watermark (59); c: 2 is silent; x: 30 and 60 are one silent period, 200 is not passed yet.
     assert got == [("a", 0, 4, 4, True), ("a", 29, 29, 1, False), ("b", 0, 31, 2, True), ("c", 2, 2, 1, False), ("x", 30, 60, 2, False)]
+
+
+def test_stream_ingest_puts_lines_at_the_day_nearest_to_their_arrival(spark):
+    from pyspark.sql import functions as F
+
+    line = '[%s.000000005] (+0.1) host1 ev:x: { cpu_id = 3 }, { procname = "my proc", vpid = 7, vtid = 8 }, { n = 1 }'
+    rows = [(line % "23:59:59", "2024-05-01 23:59:59"), (line % "23:59:59", "2024-05-02 00:00:03"), (line % "00:00:01", "2024-05-02 00:00:03"), (line % "12:30:00", "2024-05-02 13:00:00"), ("noise", "2024-05-02 13:00:00")]
+    df = spark.createDataFrame(rows, "value string, t string").withColumn("at", F.to_timestamp("t"))
+    got = streams.stream_ingest(df, "s", arrived="at").collect()
+    seen = [r["ts"] for r in streams.stream_ingest(df, "s", arrived="at").select(F.date_format(F.timestamp_micros(F.expr("ts_ns div 1000")), "yyyy-MM-dd HH:mm:ss").alias("ts")).collect()]
+    assert seen == ["2024-05-01 23:59:59", "2024-05-01 23:59:59", "2024-05-02 00:00:01", "2024-05-02 12:30:00"]
+    assert all((r["host_name"], r["cpu_id"], r["procname"], r["vpid"], r["vtid"], r["ts_ns"] % 1000) == ("host1", 3, "my proc", 7, 8, 5) for r in got)
+    fixed = streams.stream_ingest(df, "s", 0).first()
+    assert fixed["ts_ns"] == ((23 * 60 + 59) * 60 + 59) * 10**9 + 5

@@ -286,6 +286,22 @@ def graph_summary(vertices: DataFrame) -> DataFrame:
     return vertices.rollup("type").agg(F.count(F.lit(1)).alias("vertices"), F.count("parent").alias("contained")).withColumn("type", F.coalesce("type", F.lit("all")))
 
 
+def edge_summary(edges: DataFrame) -> DataFrame:
+    """Edges by relation and level, with the totals of each relation and of all ('all'). edges: rel, level."""
+    every = F.lit("all")
+    return edges.rollup("rel", "level").agg(F.count(F.lit(1)).alias("n"), F.grouping("level").alias("g")).select(F.coalesce("rel", every).alias("rel"), F.when(F.col("g") == 1, every).otherwise(F.col("level")).alias("level"), "n")
+
+
+def missing_callbacks(entities: DataFrame, gpu_nodes: DataFrame) -> DataFrame:
+    """(cause, n): all entities, those with a callback, and those without by cause: on a node of an accelerator process (gpu), part of an action, or other,
+    which is neither. An entity may be counted under gpu and action. entities: id, node, cb, action; gpu_nodes: node."""
+    rows = entities.join(gpu_nodes.select("node").distinct().withColumn("gpu", F.lit(True)), "node", "left")
+    gpu, action, free = F.coalesce("gpu", F.lit(False)), F.col("action").isNotNull(), F.col("cb").isNull()
+    counts = {"all": F.lit(True), "bound": ~free, "gpu": free & gpu, "action": free & action, "other": free & ~gpu & ~action}
+    one = rows.agg(*[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("cause"), F.col(n).alias("n")) for n in counts])).alias("x")).select("x.*")
+
+
 def dataflow_role(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """source, sink, relay or isolated, with the sorted topics that go out and come in."""
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")

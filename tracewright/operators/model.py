@@ -40,22 +40,28 @@ def all_per_key(df: DataFrame, value: str, *keys: str) -> DataFrame:
 def resolve_chain(events: DataFrame) -> DataFrame:
     """Candidates (session_id, vpid, handle, kind, name, cb, pos, symbol): subscriptions over their objects, services and timers by handle.
 
-    Subscriptions go handle -> object -> callback -> symbol; keys hold session and process.
+    Subscriptions go handle -> object -> callback -> symbol; keys hold session and process. Events that begin with py_ are those of a second client
+    library, which binds callbacks to handles straight: they count for handles that the first library has no callback for. Its symbols win.
     """
     k = ["session_id", "vpid"]
-    symbol = last_per_key(_one(events, "callback_register", cb="callback", symbol="symbol"), *k, "cb").select(*k, "cb", "symbol")
+    registers = [_one(events, f"{lib}callback_register", cb="callback", symbol="symbol").withColumn("lib", F.lit(i)) for i, lib in enumerate(("", "py_"))]
+    symbol = registers[0].unionByName(registers[1]).groupBy(*k, "cb").agg(F.max_by("symbol", F.struct("lib", "ts_ns", "id")).alias("symbol"))
     sub = last_per_key(_one(events, "subscription_init", handle="subscription_handle", name="topic_name"), *k, "handle").select(*k, "handle", "name")
     objects = _one(events, "subscription_object", handle="subscription_handle", object="subscription").select(*k, "handle", "object")
     added = _one(events, "subscription_callback_added", object="subscription", cb="callback")
     subs = sub.join(objects, [*k, "handle"]).join(added, [*k, "object"]).withColumn("kind", F.lit("sub"))
     direct = []
+    second = [sub.join(_one(events, "py_subscription_callback_added", handle="subscription_handle", cb="callback"), [*k, "handle"]).withColumn("kind", F.lit("sub"))]
     for kind, init, link, key, name in (("serv", "service_init", "service_callback_added", "service_handle", "service_name"), ("tmr", "timer_init", "timer_callback_added", "timer_handle", "period_ns")):
         a = last_per_key(_one(events, init, handle=key, name=name), *k, "handle").select(*k, "handle", "name")
-        direct.append(a.join(_one(events, link, handle=key, cb="callback"), [*k, "handle"]).withColumn("kind", F.lit(kind)))
+        for found, event in ((direct, link), (second, f"py_{link}")):
+            found.append(a.join(_one(events, event, handle=key, cb="callback"), [*k, "handle"]).withColumn("kind", F.lit(kind)))
     cols = [*k, "handle", "kind", "name", "cb", "ts_ns", "id"]
     every = subs.select(*cols)
     for x in direct:
         every = every.unionByName(x.select(*cols))
+    bound = every.select(*k, "kind", "handle").distinct()
+    every = every.unionByName(reduce(DataFrame.unionByName, [x.select(*cols) for x in second]).join(bound, [*k, "kind", "handle"], "left_anti").select(*cols))
     pos = F.row_number().over(Window.partitionBy(*k, "kind", "handle").orderBy("ts_ns", "id"))
     return every.withColumn("pos", pos).join(symbol, [*k, "cb"], "left").select(*k, "handle", "kind", "name", "cb", "pos", "symbol")
 
@@ -149,6 +155,25 @@ def external_boundary(pub: DataFrame, sub: DataFrame) -> DataFrame:
     return into.unionByName(out)
 
 
+def external_graph(pub: DataFrame, sub: DataFrame, info: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, type, level, parent, label, etype) and edges (src, dst, level, nature, topic, msg_type) that external_boundary() stands for.
+
+    Each topic with one side only has an external entity with one function in it. Edges from a source carry the topic's message type, where
+    info (topic, type) knows it.
+    """
+    outer = external_boundary(pub, sub)
+    ends = outer.select(F.col("src").alias("id"), "topic").unionByName(outer.select(F.col("dst").alias("id"), "topic")).where("id LIKE 'ext:%'").distinct()
+    none = F.lit(None).cast("string")
+    label = F.concat(F.lit("ext:"), "topic").alias("label")
+    function = F.concat("id", F.lit("/f"))
+    e = ends.select("id", F.lit("E").alias("type"), F.lit(2).alias("level"), none.alias("parent"), label, F.lit("ext").alias("etype"))
+    f = ends.select(function.alias("id"), F.lit("F").alias("type"), F.lit(3).alias("level"), F.col("id").alias("parent"), label, F.lit("ext").alias("etype"))
+    kinds = info.groupBy("topic").agg(F.min("type").alias("msg_type")) if info is not None else outer.select("topic", none.alias("msg_type")).where("false")
+    comm = outer.join(kinds, "topic", "left").select("src", "dst", F.lit("L2").alias("level"), F.lit("msg").alias("nature"), "topic", F.when(F.col("src").startswith("ext:"), F.col("msg_type")).alias("msg_type"))
+    inner = ends.select(F.col("id").alias("src"), function.alias("dst"), F.lit("V").alias("level"), F.lit("contains").alias("nature"), none.alias("topic"), none.alias("msg_type"))
+    return e.unionByName(f), comm.unionByName(inner)
+
+
 def propagate_functions(edges: DataFrame, functions: DataFrame, more: list[str] = ()) -> DataFrame:
     """Entity edges as function edges: main to main; a response goes to the continuation, or to main if there is none. more: columns to carry along."""
     f = functions.groupBy("entity").agg(F.min(F.when(F.col("part") == "main", F.col("function"))).alias("main"), F.min(F.when(F.col("part") == "continuation", F.col("function"))).alias("cont"))
@@ -439,10 +464,14 @@ def quality_report(chosen: DataFrame, fired: DataFrame) -> DataFrame:
     return by.unionByName(loose)
 
 
-def drop_tool_processes(nodes: DataFrame, helpers: str, viewers: str) -> DataFrame:
-    """Nodes of processes that are not only command line helpers and hold no viewer; both patterns are expressions over the process and node names."""
-    per = nodes.groupBy("vpid").agg(F.bool_and(F.col("node").rlike(helpers)).alias("tools"), F.bool_or(F.col("proc").rlike(viewers)).alias("view"))
-    return nodes.join(per.where("NOT tools AND NOT view").select("vpid"), "vpid", "left_semi")
+def drop_tool_processes(nodes: DataFrame, helpers: str | None, viewers: str | None, callers: str | None = None) -> DataFrame:
+    """Nodes of processes that are not only command line helpers and hold no viewer; patterns are expressions over node and process names, None switches a rule off.
+
+    callers keeps processes of helpers of which a node's name matches it (those that call actions).
+    """
+    match = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False)) if pattern else F.lit(False)
+    per = nodes.groupBy("vpid").agg(F.bool_and(match("node", helpers)).alias("tools"), F.bool_or(match("node", callers)).alias("calls"), F.bool_or(match("proc", viewers)).alias("view"))
+    return nodes.join(per.where("(NOT tools OR calls) AND NOT view").select("vpid"), "vpid", "left_semi")
 
 
 def causal_feed(links: DataFrame, handles: DataFrame, edges: DataFrame) -> DataFrame:

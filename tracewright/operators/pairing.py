@@ -121,6 +121,18 @@ def sync_gap_periods(trace: DataFrame, gap_ns: int, *keys: str, chunk_rows: int
     return at.with_sum(flagged, "closes", "period").withColumn("period", F.col("period").cast("bigint")).drop("closes", "t2", "__chunk")
 
 
+def period_report(periods: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+    """Per period of a key: length, jitter (difference to the length of the period before, null for the first), bottleneck (the callback with the longest
+    spans in all that begin in it, the least by name on ties; null without spans) and its time. periods: the rows of sync_gap_periods."""
+    length = periods.groupBy(*keys, "period").agg((F.max("ts_ns") - F.min("ts_ns")).alias("length_ns"))
+    w = Window.partitionBy(*keys).orderBy("period")
+    length = length.withColumn("jitter_ns", F.abs(F.col("length_ns") - F.lag("length_ns").over(w)))
+    began = spans.select(F.col("span_id").alias("id"), "cb", (F.col("t1") - F.col("t0")).alias("busy")).join(periods.select("id", *keys, "period"), "id")
+    busy = began.groupBy(*keys, "period", "cb").agg(F.sum("busy").alias("busy_ns"))
+    worst = busy.groupBy(*keys, "period").agg(F.min_by(F.struct("cb", "busy_ns"), F.struct(-F.col("busy_ns"), "cb")).alias("b")).select(*keys, "period", F.col("b.cb").alias("bottleneck"), "b.busy_ns")
+    return length.join(worst, [*keys, "period"], "left")
+
+
 def productive(periods: DataFrame, operations: list[str], least: int, *keys: str) -> DataFrame:
     """Periods with at least `least` of the given events."""
     ops = F.sum(F.col("event").isin(operations).cast("int"))

@@ -83,6 +83,20 @@ def shape_table(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("sig").agg(F.count(F.lit(1)).alias("invocations"), F.min("inv").alias("template"), F.max("n").alias("n"), F.array_join(F.min_by("tokens", "inv"), ",").alias("tokens"))
 
 
+def shape_mix(shapes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per key and signature: count, nodes by element of the first invocation, sorted streams of all its invocations, and beside them the key's invocations and
+    number of streams. shapes: key, inv, sig, t0; nodes: inv, pe, stream."""
+    n = lambda pe: F.count(F.when(F.col("pe") == pe, 1)).alias(f"n_{pe.lower()}")
+    mix = nodes.groupBy("inv").agg(n("CPU"), n("SM"), n("CE"))
+    per = shapes.groupBy("key", "sig").agg(F.count(F.lit(1)).alias("count"), F.min_by("inv", F.struct("t0", "inv")).alias("inv"))
+    used = shapes.join(nodes.where("stream IS NOT NULL").select("inv", "stream").distinct(), "inv").select("key", "sig", "stream").distinct()
+    streams = used.groupBy("key", "sig").agg(F.array_join(F.transform(F.array_sort(F.collect_list("stream")), lambda x: x.cast("string")), ",").alias("streams"))
+    whole = shapes.groupBy("key").agg(F.count(F.lit(1)).alias("invocations"))
+    many = used.groupBy("key").agg(F.count_distinct("stream").alias("key_streams"))
+    out = per.join(mix, "inv").drop("inv").join(streams, ["key", "sig"], "left").join(whole, "key").join(many, "key", "left")
+    return out.na.fill("", ["streams"]).na.fill(0, ["key_streams"])
+
+
 def shape_cost_bounds(calls: DataFrame, seqs: DataFrame) -> DataFrame:
     """Least and largest cost at each position of each shape."""
     return calls.join(seqs.select("inv", "sig"), "inv").groupBy("sig", "pos").agg(F.min("cost").alias("c_min"), F.max("cost").alias("c_max"), F.count(F.lit(1)).alias("n"))

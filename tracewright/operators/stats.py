@@ -20,6 +20,13 @@ def top(df: DataFrame, k: int, by: str, *keys: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *keys).limit(k)
 
 
+def top_callbacks(trace: DataFrame, symbols: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent (process, thread, callback) starts with the callback's symbol ('?' where unknown). symbols: cb, symbol."""
+    starts = trace.where((F.col("event") == "callback_start") & F.col("cb").isNotNull())
+    best = top(count_by(starts, "vpid", "vtid", "cb"), k, "n", "vpid", "vtid", "cb")
+    return best.join(symbols.groupBy("cb").agg(F.max("symbol").alias("symbol")), "cb", "left").withColumn("symbol", F.coalesce("symbol", F.lit("?")))
+
+
 def thread_mix(trace: DataFrame, threads: int = 10, events: int = 10) -> DataFrame:
     """Event mix of the busiest threads: count and per cent of the events shown for the thread."""
     busiest = top(count_by(trace, "vtid"), threads, "n", "vtid").select("vtid")

@@ -298,15 +298,69 @@ def p2_admin_names(spark, d):
     return n.select("name", sc.is_admin_name(F.col("name"), True).alias("admin"), sc.is_admin_name(F.col("name")).alias("off"))
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'ns' || p_size || '::k' || p_partkey WHEN 1 THEN 'b::c::k' || p_partkey ELSE 'k' || p_partkey END AS kernel,
-  CASE p_partkey % 5 WHEN 0 THEN 'ParameterService' WHEN 1 THEN 'TimeSource' WHEN 2 THEN '...' || right(repeat('z', 70) || p_partkey, 57) WHEN 3 THEN 'f' || p_partkey ELSE 'cb' END AS symbol,
+#: Symbols of callbacks with %d for a number, and their short forms.
+_SYMBOLS = [
+    ("rclcpp::ParameterService::g", "ParameterService::op"), ("rclcpp::TimeSource::h", "TimeSource::cb"), ("f%d", "f%d"), ("std::_Bind<void (A::cb::*)(int)>", "A::cb::cb"),
+    ("rclcpp::ParameterService srv::SetParameters_Request_<x%d>", "ParameterService::SetParameters"), ("rclcpp::TimeSource clock_sub", "TimeSource::clock_sub"), ("rclcpp::TimeSource msg::ParameterEvent_<x>", "TimeSource::param_event"),
+    ("message_filters::Subscriber<sensor_msgs::msg::Image_<x%d> >", "msg_filter::Sub<sensor_msgs::msg::Image_>"), ("std::_Bind<void (ns::Node%d::*(ns::Node%d*))()> ", "ns::Node%d::timer_cb"),
+    ("std::_Bind<void (ns::Node::*(x))(std_msgs::msg::String_<y%d>)>", "ns::Node::cb(String)"), ("tf2_ros::TransformListener::x%d", "tf2::TransformListener::cb"), ("?", "?"), ("message_filters::Subscriber<%d>", "msg_filter::Sub<?>"),
+]
+_LONG = "repeat('z', 70) || p_partkey"
+
+
+def _cases(k: int) -> str:
+    n = len(_SYMBOLS)
+    text = lambda x: "replace('" + x.replace("%d", "#") + "', '#', CAST(p_partkey AS STRING))"
+    return f"CASE p_partkey % {n + 1} " + " ".join(f"WHEN {i} THEN {text(pair[k])}" for i, pair in enumerate(_SYMBOLS)) + f" ELSE {_LONG if not k else f'{chr(39)}...{chr(39)} || right({_LONG}, 57)'} END"
+
+
+@query(f"""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'ns' || p_size || '::k' || p_partkey WHEN 1 THEN 'b::c::k' || p_partkey ELSE 'k' || p_partkey END AS kernel, {_cases(1)} AS symbol,
   CASE p_partkey % 5 WHEN 0 THEN 'C::m' WHEN 1 THEN 'TimeSource::attachNode' WHEN 2 THEN substr(repeat('z', 70) || p_partkey, 1, 60) WHEN 3 THEN '/t' || p_partkey ELSE '?' END AS label FROM part""")
 def c1_names(spark, d):
     p = read(spark, d, "part")
     kernel = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('void ns', p_size, '::k', p_partkey, '<int, A<B<', p_size, '>>>(float*, int)') WHEN 1 THEN concat('a::b::c::k', p_partkey, '<1>()') ELSE concat('k', p_partkey) END")
-    symbol = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'rclcpp::ParameterService::g' WHEN 1 THEN 'rclcpp::TimeSource::h' WHEN 2 THEN concat(repeat('z', 70), p_partkey) WHEN 3 THEN concat('f', p_partkey) ELSE 'std::_Bind<void (A::cb::*)(int)>' END")
     label = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'std::_Bind<void (*a::b::C::m(int))>' WHEN 1 THEN 'rclcpp::TimeSource::h' WHEN 2 THEN concat(repeat('z', 70), p_partkey) WHEN 3 THEN concat('ext:/t', p_partkey) ELSE '' END")
-    return p.select(F.col("p_partkey").alias("id"), sc.short_kernel(kernel).alias("kernel"), F.regexp_replace(sc.short_symbol(symbol), "^A::", "").alias("symbol"), sc.short_label(label).alias("label"))
+    return p.select(F.col("p_partkey").alias("id"), sc.short_kernel(kernel).alias("kernel"), sc.short_symbol(F.expr(_cases(0))).alias("symbol"), sc.short_label(label).alias("label"))
+
+
+@query(sql("v_topic", """, n AS (SELECT DISTINCT CASE page_id % 9 WHEN 0 THEN '/tf' WHEN 1 THEN name || '/debug/x' WHEN 2 THEN name || '/get_parameters' WHEN 3 THEN name || '/_hidden' WHEN 4 THEN '/diag_agg' WHEN 5 THEN name || '/cyclic_time_ms' ELSE name END AS name FROM v_topic)
+  SELECT name, CASE WHEN name IN ('/tf', '/diag_agg') OR contains(name, '/debug/') OR contains(name, '/_') OR name LIKE '%/get_parameters' OR name LIKE '%/cyclic_time_ms' THEN 'infra' ELSE 'data' END AS class FROM n"""))
+def p3_default_classes(spark, d):
+    name = F.expr("CASE page_id % 9 WHEN 0 THEN '/tf' WHEN 1 THEN concat(name, '/debug/x') WHEN 2 THEN concat(name, '/get_parameters') WHEN 3 THEN concat(name, '/_hidden') WHEN 4 THEN '/diag_agg' WHEN 5 THEN concat(name, '/cyclic_time_ms') ELSE name END")
+    return v_topic(spark, d).select(name.alias("name")).distinct().select("name", sc.topic_class(F.col("name")).alias("class"))
+
+
+@query(_INIT + """ SELECT session_id, vpid, handle, kind, name, cb, CAST(pos AS INT) AS pos, coalesce(symbol, '') AS symbol FROM cand WHERE kind = 'tmr' OR CAST(substr(handle, 2) AS BIGINT) % 5 <> 0
+  UNION ALL SELECT 's', vpid, 'h' || s, 'sub', topic, 'py' || s, 1, CASE WHEN s % 10 = 0 THEN 'pysym' || s ELSE '' END FROM sup WHERE s % 5 = 0""")
+def j1_two_libraries(spark, d):
+    """Handles of a second client library: those that the first one has bound too stay with it."""
+    ev = v_init(spark, d)
+    handle = F.col("payload")["subscription_handle"]
+    number = F.substring(handle, 2, 20).cast("bigint")
+    own = ev.where((F.col("event") != "subscription_object") | (number % 5 != 0))
+    subs = ev.where(F.col("event") == "subscription_init")
+    cb = F.concat(F.lit("py"), number)
+    added = subs.where(number % 5 <= 1).withColumn("event", F.lit("py_subscription_callback_added")).withColumn("payload", F.create_map(F.lit("subscription_handle"), handle, F.lit("callback"), cb))
+    named = subs.where(number % 10 == 0).withColumn("event", F.lit("py_callback_register")).withColumn("payload", F.create_map(F.lit("callback"), cb, F.lit("symbol"), F.concat(F.lit("pysym"), number)))
+    return md.resolve_chain(own.unionByName(added).unionByName(named)).na.fill("", ["symbol"])
+
+
+@query(sql("v_vertex", """, e AS (SELECT id, parent AS node, CASE WHEN ascii(right(id, 1)) % 3 = 0 THEN 'cb' END AS cb, CASE WHEN ascii(right(id, 1)) % 4 = 0 THEN 'act' END AS action FROM v_vertex WHERE type = 'E'), g AS (SELECT *, right(node, 1) IN ('1', '2') AS gpu FROM e)
+  SELECT 'all' AS cause, count(*) AS n FROM g UNION ALL SELECT 'bound', count(*) FROM g WHERE cb IS NOT NULL UNION ALL SELECT 'gpu', count(*) FROM g WHERE cb IS NULL AND gpu UNION ALL SELECT 'action', count(*) FROM g WHERE cb IS NULL AND action IS NOT NULL
+  UNION ALL SELECT 'other', count(*) FROM g WHERE cb IS NULL AND NOT gpu AND action IS NULL"""))
+def a32_missing_callbacks(spark, d):
+    v = v_vertex(spark, d)
+    e = v.where("type = 'E'").select("id", F.col("parent").alias("node"), F.expr("if(ascii(right(id, 1)) % 3 = 0, 'cb', null)").alias("cb"), F.expr("if(ascii(right(id, 1)) % 4 = 0, 'act', null)").alias("action"))
+    return gr.missing_callbacks(e, v.where("type = 'N' AND right(id, 1) IN ('1', '2')").select(F.col("id").alias("node")))
+
+
+@query(sql("v_edge v_vertex", """, c AS (SELECT p.type || '_' || v.type AS level FROM v_vertex v JOIN v_vertex p ON v.parent = p.id)
+  SELECT 'contains' AS rel, level, count(*) AS n FROM c GROUP BY level UNION ALL SELECT 'contains', 'all', count(*) FROM c UNION ALL SELECT 'comm', topic, count(*) FROM v_edge GROUP BY topic UNION ALL SELECT 'comm', 'all', count(*) FROM v_edge
+  UNION ALL SELECT 'all', 'all', (SELECT count(*) FROM c) + (SELECT count(*) FROM v_edge)"""))
+def a32_edge_summary(spark, d):
+    """Edges by relation and level with totals; the topic stands for the level of communication edges."""
+    up = gr.contains_edges(v_vertex(spark, d)).select(F.lit("contains").alias("rel"), "level")
+    return gr.edge_summary(up.unionByName(v_edge(spark, d).select(F.lit("comm").alias("rel"), F.col("topic").alias("level"))))
 
 
 @query(sql("v_topic", """, n AS (SELECT DISTINCT page_id % 9 = 0 AS ext, CASE WHEN page_id % 8 = 0 THEN '/rviz2' ELSE name END AS name FROM v_topic), p AS (SELECT *, list_filter(string_split(name, '/'), lambda x: x <> '') AS s FROM n)

@@ -204,7 +204,7 @@ def k2_list_sessions(spark, d):
     line = read(spark, d, "lineitem")
     for k in range(3):
         v = line.where(F.col("l_linenumber") % 3 == k).select(F.col("l_suppkey").alias("id")).distinct()
-        sk.save_graph(v, e.limit(5), f"s{k}", "main", path)
+        sk.save_graph(v, e, f"s{k}", "main", path)
     return sk.list_sessions(spark, path)
 
 

@@ -50,6 +50,16 @@ def a25_shape_table(spark, d):
     return sh.shape_table(sh.sequences(v_call(spark, d)))
 
 
+@query(sql("v_call", _SEQ + _NODES + """, k AS (SELECT inv, inv % 7 AS key, sig FROM seqs), m AS (SELECT inv, count(*) FILTER (pe = 'CPU') AS n_cpu, count(*) FILTER (pe = 'SM') AS n_sm, count(*) FILTER (pe = 'CE') AS n_ce FROM nodes GROUP BY inv),
+  p AS (SELECT key, sig, count(*) AS count, min(inv) AS inv FROM k GROUP BY ALL), u AS (SELECT DISTINCT key, sig, stream FROM k JOIN nodes USING (inv) WHERE stream IS NOT NULL),
+  s AS (SELECT key, sig, string_agg(CAST(stream AS VARCHAR), ',' ORDER BY stream) AS streams FROM u GROUP BY ALL), w AS (SELECT key, count(*) AS invocations FROM k GROUP BY key), y AS (SELECT key, count(DISTINCT stream) AS key_streams FROM u GROUP BY key)
+  SELECT key, sig, count, n_cpu, n_sm, n_ce, streams, invocations, key_streams FROM p JOIN m USING (inv) JOIN s USING (key, sig) JOIN w USING (key) JOIN y USING (key)"""))
+def a25_shape_mix(spark, d):
+    c = v_call(spark, d)
+    shapes = sh.sequences(c).select((F.col("inv") % 7).alias("key"), "inv", "sig", F.col("inv").alias("t0"))
+    return sh.shape_mix(shapes, sh.typed_dag(c)[0])
+
+
 @query(sql("v_call", _SEQ + " SELECT sig, pos, min(cost) AS c_min, max(cost) AS c_max, count(*) AS n FROM v_call JOIN seqs USING (inv) GROUP BY sig, pos"))
 def a26_shape_cost_bounds(spark, d):
     c = v_call(spark, d)
@@ -203,6 +213,19 @@ def j30_match_boundaries(spark, d):
     return md.match_boundaries(g)
 
 
+@query(sql("v_pub v_sub", """, b AS (SELECT DISTINCT entity AS src, topic FROM v_pub WHERE ascii(right(topic, 1)) % 2 = 0), s AS (SELECT DISTINCT entity AS dst, topic FROM v_sub WHERE ascii(right(entity, 1)) % 3 <> 0),
+  i AS (SELECT 'ext:src:' || topic AS src, dst, topic FROM s WHERE topic NOT IN (SELECT topic FROM b)), o AS (SELECT src, 'ext:sink:' || topic AS dst, topic FROM b WHERE topic NOT IN (SELECT topic FROM s)),
+  x AS (SELECT DISTINCT src AS id FROM i UNION SELECT DISTINCT dst FROM o)
+  SELECT src, dst, 'L2' AS level, 'msg' AS nature, topic, CASE WHEN src LIKE 'ext:%' AND ascii(right(topic, 1)) % 5 <> 0 THEN 'T' || right(topic, 1) ELSE '' END AS msg_type FROM (SELECT * FROM i UNION ALL SELECT * FROM o)
+  UNION ALL SELECT id, id || '/f', 'V', 'contains', '', '' FROM x"""))
+def j22_external_graph(spark, d):
+    """External entities with their functions: half of the topics lose their publishers, a third of the entities take nothing."""
+    pub = v_pub(spark, d).where("ascii(right(topic, 1)) % 2 = 0")
+    sub = v_sub(spark, d).where("ascii(right(entity, 1)) % 3 <> 0")
+    info = v_sub(spark, d).where("ascii(right(topic, 1)) % 5 <> 0").select("topic", F.concat(F.lit("T"), F.expr("right(topic, 1)")).alias("type"))
+    return md.external_graph(pub, sub, info)[1].na.fill("", ["topic", "msg_type"])
+
+
 @query(sql("v_pub v_sub v_vertex", _PS + """, e AS (SELECT DISTINCT id AS entity, parent AS node FROM v_vertex WHERE type = 'N'), x AS (SELECT e.entity, e.node, v.parent AS executor FROM e JOIN v_vertex v ON e.node = v.id),
   l2 AS (SELECT p.entity AS src, s.entity AS dst, 'msg' AS nature, topic, CAST(NULL AS VARCHAR) AS direction FROM (SELECT DISTINCT * FROM pub) p JOIN sub s USING (topic)),
   a AS (SELECT l2.*, a.node AS an, a.executor AS ax, b.node AS bn, b.executor AS bx, a.node = b.node AS intra_node FROM l2 JOIN x a ON l2.src = a.entity JOIN x b ON l2.dst = b.entity),

@@ -307,6 +307,14 @@ def a4_top_callbacks(spark, d):
     return st.top(st.count_by(v_trace(spark, d).where("event = 'callback_start'"), "cb"), 10, "n", "cb")
 
 
+@query(sql("v_trace", """, t AS (SELECT vpid, vtid, cb, count(*) AS n FROM v_trace WHERE event = 'callback_start' AND cb IS NOT NULL GROUP BY ALL ORDER BY n DESC, vpid, vtid, cb LIMIT 10)
+  SELECT vpid, vtid, cb, n, CASE WHEN cb LIKE '%1' THEN 'sym' || cb ELSE '?' END AS symbol FROM t"""))
+def a4_top_callback_symbols(spark, d):
+    t = v_trace(spark, d)
+    symbols = t.where("event = 'callback_start' AND cb LIKE '%1'").select("cb", F.concat(F.lit("sym"), "cb").alias("symbol"))
+    return st.top_callbacks(t, symbols)
+
+
 _DUR = "count(*) AS n, CAST(sum(t_end - t_start) AS BIGINT) AS total_ns, CAST(sum(t_end - t_start) // count(*) AS BIGINT) AS mean_ns, min(t_end - t_start) AS min_ns, max(t_end - t_start) AS max_ns"
 
 
@@ -370,6 +378,22 @@ def a20_density_bins(spark, d):
     return st.density_bins(spans, lo or 0, hi or 0, 50)
 
 
+_MIDDLE = "e AS (SELECT min(t0) AS lo, max(t1) AS hi FROM v_span), m AS (SELECT lo, lo + (hi - lo) // 3 AS upto FROM e)"
+
+
+@query(sql("v_span", f""", {_MIDDLE}, i AS (SELECT v_span.*, CAST(least(49, (greatest(t0, lo) - lo) // greatest((upto - lo) // 50, 1)) AS INT) AS bin, least(t1, upto) - greatest(t0, lo) AS busy FROM v_span, m WHERE t1 >= lo AND t0 <= upto)
+  SELECT 'spans' AS mode, vpid, vtid, count(*) AS rows, CAST(sum(t1 - t0) AS BIGINT) AS ns FROM i GROUP BY ALL UNION ALL SELECT 'density', vpid, vtid, count(DISTINCT bin), CAST(sum(busy) AS BIGINT) FROM i GROUP BY ALL"""))
+def a20_lanes(spark, d):
+    """Both forms of a lane view over the first third of the time: spans where they are few, bins where they are many."""
+    spans = v_span(spark, d)
+    lo, hi = spans.agg(F.min("t0"), F.max("t1")).first()
+    lo, hi = lo or 0, hi or 0
+    upto = lo + (hi - lo) // 3
+    few, many = st.lanes(spans, lo, upto, 50, max_spans=1_000_000_000), st.lanes(spans, lo, upto, 50, max_spans=0)
+    whole = few.groupBy("vpid", "vtid").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("t1") - F.col("t0")).alias("ns")).withColumn("mode", F.lit("spans"))
+    return whole.unionByName(many.groupBy("vpid", "vtid").agg(F.count(F.lit(1)).alias("rows"), F.sum("busy_ns").alias("ns")).withColumn("mode", F.lit("density")))
+
+
 @query(sql("v_sync", "SELECT sync_type, stream, count(*) AS n FROM v_sync GROUP BY ALL"))
 def a22_sync_counts(spark, d):
     return st.count_by(v_sync(spark, d), "sync_type", "stream")

@@ -13,12 +13,22 @@ from tracewright.shipping import ship_package
 from tracewright.sources.readers import LINE, named, fields
 
 
-def stream_ingest(lines: DataFrame, session_id: str, day_start_ns: int) -> DataFrame:
-    """Trace events of a stream of text lines; times of day count from day_start_ns (a stream has no file order to see midnight in)."""
+DAY_NS = 86_400_000_000_000
+
+
+def stream_ingest(lines: DataFrame, session_id: str, day_start_ns: int | None = None, arrived: str | None = None) -> DataFrame:
+    """Trace events of a stream of text lines: session_id, ts_ns, host_name, event, cpu_id, procname, vpid, vtid, payload.
+
+    Lines hold times of day. With day_start_ns they count from there. Otherwise the midnight rule of a stream holds: the day is the one that puts the event
+    nearest to the arrival of its line (column `arrived`, a timestamp; the present by default), so that nights need no file order to be seen.
+    """
     part = lambda i: F.regexp_extract("value", LINE, i)
     tod = ((part(1).cast("bigint") * 60 + part(2).cast("bigint")) * 60 + part(3).cast("bigint")) * 1_000_000_000 + part(4).cast("bigint")
+    now = F.unix_micros(F.col(arrived) if arrived else F.current_timestamp()) * 1000
+    day = F.lit(day_start_ns) if day_start_ns is not None else F.floor((now - tod + DAY_NS // 2) / DAY_NS) * DAY_NS
     return lines.where(F.col("value").rlike(LINE)).select(
-        F.lit(session_id).alias("session_id"), (F.lit(day_start_ns) + tod).alias("ts_ns"), part(6).alias("event"), named(part(8), "vpid", r"(-?\d+)").cast("int").alias("vpid"), named(part(8), "vtid", r"(-?\d+)").cast("int").alias("vtid"), fields(part(9)).alias("payload")
+        F.lit(session_id).alias("session_id"), (day + tod).alias("ts_ns"), part(5).alias("host_name"), part(6).alias("event"), named(part(7), "cpu_id", r"(-?\d+)").cast("smallint").alias("cpu_id"),
+        named(part(8), "procname", '"([^"]*)"').alias("procname"), named(part(8), "vpid", r"(-?\d+)").cast("int").alias("vpid"), named(part(8), "vtid", r"(-?\d+)").cast("int").alias("vtid"), fields(part(9)).alias("payload"),
     )
 
 
