@@ -5,14 +5,19 @@ Vertex ids are made of their natural key (session, process, handle or address),
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.scalars import entity_label, node_full_name
-from tracewright.operators.model import _one, detect_actions, external_boundary, first_per_key, group_links, last_per_key, match_services, match_topics, pick_candidate, propagate_functions, resolve_chain, split_callbacks
+from tracewright.functions.scalars import entity_label, node_full_name, topic_class
+from tracewright.operators.model import (
+    _one, detect_actions, detect_joins, detect_polled, detect_state_links, external_graph, first_per_key, group_links, last_per_key, mark_phases, match_services, match_topics, measure_flows,
+    pick_candidate, propagate_functions, resolve_chain, split_callbacks,
+)
 from tracewright.operators.scale import written
+from tracewright.operators.stats import flow_stats
 
 KEY = ["session_id", "vpid"]
 VERTEX = ["session_id", "id", "type", "level", "parent", "label", "etype", "cb"]
@@ -128,9 +133,35 @@ def comm_edges(
 
 
 def build_graph(events: DataFrame, kills: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Vertices of a trace and its edges: containment by the parent column of the vertices, communication from comm_edges.
-
-    Topics that only one side of is in the trace get external vertices. Entities that send requests have a continuation function.
+    """Vertices of a trace and its edges: containment by the parent column of the vertices, communication from comm_edges. See build_model for all that a trace tells."""
+    model = build_model(events, kills)
+    return model.vertices.select(*VERTEX, "action", "role"), model.edges.where("nature IS NULL OR nature NOT IN ('join', 'state')")
+
+
+@dataclass
+class Model:
+    """What build_model finds."""
+
+    vertices: DataFrame  # VERTEX, action, role, join_role, join_group, phase
+    edges: DataFrame  # EDGE
+    joins: DataFrame  # node, entity, role, join_group
+    state: DataFrame  # src, dst (entities), topic, takes (0 where inferred)
+    flows: DataFrame | None  # topic, method, n, p50, p90, max
+
+
+def build_model(
+    events: DataFrame, kills: DataFrame | None = None, types: DataFrame | None = None, groups: DataFrame | None = None, takes: DataFrame | None = None, spans: DataFrame | None = None,
+    publishes: DataFrame | None = None, tolerance: int = 50_000_000,
+) -> Model:
+    """The whole task-graph model of a trace.
+
+    1. Vertices of all levels (build_vertices) with external ones for topics of which the trace has one side, and the parts of actions.
+    2. What entities publish and call (sent_topics), and from it joins and state links of each node; data topics only.
+    3. With takes (id, session_id, vpid, vtid, t, cb, topic, ref) and spans (span_id, vpid, vtid, cb, t0, t1): polled reads, a take inside the span of another callback.
+    4. Phases of functions from their fires; external and polled ones are data.
+    5. Edges of all levels (comm_edges). Entities that send requests have a continuation. groups: session_id, vpid, handle, group, direction (in, out) of entities that a
+       scheduler of their own links. types: topic, type.
+    6. With publishes (id, topic, t): hop latencies and state ages (measure_flows), their statistics by topic and method.
     """
     events = written(events, "events")
     v = written(build_vertices(events, kills), "vertices")
@@ -143,11 +174,43 @@ def build_graph(events: DataFrame, kills: DataFrame | None = None) -> tuple[Data
     sub = e.where("etype = 'sub'").select("node", "entity", F.col("label").alias("topic"))
     clients = cli.join(nodes, "entity").select("node", "entity", "service")
     servers = e.where("etype = 'serv'").select("node", "entity", F.col("label").alias("service"))
-    f = v.where("type = 'F'").select(F.col("parent").alias("entity"), F.col("id").alias("function"), F.lit("main").alias("part"))
-    edges = comm_edges(pub, sub, clients, servers, split_callbacks(f, clients), nodes)
-    outer = external_boundary(pub, sub)
-    ext = outer.select(F.col("src").alias("id")).unionByName(outer.select(F.col("dst").alias("id"))).where("id LIKE 'ext:%'").distinct()
+    f = v.where("type = 'F'").select(F.col("parent").alias("entity"), F.col("id").alias("function"), "cb", F.lit("main").alias("part"))
+
+    data = lambda df: df.where(topic_class(F.col("topic")) == "data")
+    kinds = e.select("entity", F.col("etype").alias("kind"))
+    info = types.groupBy("topic").agg(F.min("type").alias("msg_type")) if types is not None else sub.select("topic", F.lit(None).cast("string").alias("msg_type")).where("false")
+    inputs = sub.join(info, "topic").select("node", "entity", F.lit("sub").alias("kind"), "msg_type")
+    joins = written(detect_joins(data(pub).join(kinds, "entity").select("node", "entity", "kind", "topic"), inputs), "joins")
+    fired = functions.where("fires").select(_id("E", *KEY, "handle").alias("entity"), F.lit(1).alias("fires"))
+    quiet = detect_state_links(data(sub).join(fired, "entity"), data(pub), joins)
+    state = quiet.join(sub.select(F.col("entity").alias("src"), "topic"), "src").select("src", "dst", "topic", F.lit(0).cast("bigint").alias("takes"))
+    polled = v.select(F.col("id").alias("entity")).where("false")
+    if takes is not None and spans is not None:
+        owner = functions.select("vpid", "cb", _id("E", *KEY, "handle").alias("entity")).groupBy("vpid", "cb").agg(F.min("entity").alias("entity"))
+        name = lambda c: F.concat_ws("@", F.col(c), F.col("vpid").cast("string"))  # noqa: E731  callbacks are unique in a process only
+        reads = detect_polled(data(takes).withColumn("cb", name("cb")), spans.withColumn("cb", name("cb")))
+        named = lambda c, to: owner.select(name("cb").alias(c), F.col("entity").alias(to))
+        seen = written(reads.join(named("sub_cb", "src"), "sub_cb").join(named("reader", "dst"), "reader").groupBy("src", "dst", "topic").agg(F.sum("takes").alias("takes")), "polled")
+        state, polled = state.unionByName(seen), seen.select(F.col("src").alias("entity")).distinct()
+    state = written(state, "state")
+
+    outer, borders = external_graph(pub, sub, types)
     none = F.lit(None).cast("string")
-    more = ext.select(none.alias("session_id"), "id", F.lit("E").alias("type"), F.lit(2).alias("level"), none.alias("parent"), F.element_at(F.split("id", ":", 3), 3).alias("label"), F.lit("ext").alias("etype"), none.alias("cb"))
-    borders = outer.select("src", "dst", F.lit("L2").alias("level"), F.lit("msg").alias("nature"), "topic", none.alias("direction"), F.lit(False).alias("intra_node"), F.lit(1).cast("bigint").alias("n"))
-    return detect_actions(v.unionByName(more)), edges.unionByName(borders)
+    every = v.unionByName(outer.select(none.alias("session_id"), "id", "type", "level", "parent", "label", "etype", none.alias("cb")))
+    own = functions.select(_id("F", *KEY, "handle").alias("function"), _id("cb", *KEY, "cb").alias("cb"))
+    marks = events.where("event = 'callback_start'").select(*KEY, "ts_ns", F.col("payload")["callback"].alias("cb")).select(_id("cb", *KEY, "cb").alias("cb"), "ts_ns")
+    bounds = marks.groupBy("cb").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count(F.lit(1)).alias("fires"))
+    asked = own.join(f.select("function", "entity"), "function").join(nodes, "entity").join(kinds.withColumnRenamed("kind", "source"), "entity").join(polled.withColumn("polled", F.lit(True)), "entity", "left")
+    phases = mark_phases(asked.select("function", "executor", "cb", "source", F.lit(False).alias("external"), F.coalesce("polled", F.lit(False)).alias("polled")), bounds).select(F.col("function").alias("id"), "phase")
+    roles = joins.groupBy(F.col("entity").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("join_role"), F.min("join_group").alias("join_group"))
+    phase = F.coalesce("phase", F.when((F.col("type") == "F") & (F.col("etype") == "ext"), "data")).alias("phase")
+    vertices = detect_actions(every).join(roles, "id", "left").join(phases, "id", "left").select(*VERTEX, "action", "role", "join_role", "join_group", phase)
+
+    ends = {"ingress": None, "egress": None}
+    if groups is not None:
+        member = groups.select(_id("E", *KEY, "handle").alias("entity"), "group", "direction").join(nodes.select("entity", "node"), "entity")
+        ends = {"ingress": member.where("direction = 'in'"), "egress": member.where("direction = 'out'")}
+    edges = comm_edges(pub, sub, clients, servers, split_callbacks(f.drop("cb"), clients), nodes, joins=joins, state=state, **ends)
+    borders = borders.where("nature = 'msg'").select("src", "dst", "level", "nature", "topic", none.alias("direction"), F.lit(False).alias("intra_node"), F.lit(1).cast("bigint").alias("n"))
+    flows = flow_stats(measure_flows(takes, publishes, spans, tolerance), "value", "topic", "method") if publishes is not None and takes is not None and spans is not None else None
+    return Model(vertices, edges.unionByName(borders), joins, state, flows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars as sc
@@ -130,6 +130,64 @@ def g3_build_graph(spark, d):
     return every.join(edges.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("n")), "level", "left").na.fill(0)
 
 
+def v_model(spark, d):
+    """v_init with five topics, services and their clients, and timers that fire; with takes (a started callback reads the next subscription of its node), spans, message types and groups."""
+    ev = v_init(spark, d)
+    few = F.transform_values("payload", lambda k, x: F.when(k == "topic_name", F.concat(F.lit("/t"), F.substring(x, 3, 9).cast("int") % 5)).otherwise(x))
+    s = read(spark, d, "supplier").selectExpr("cast(s_suppkey AS bigint) AS s", "cast(s_nationkey AS bigint) AS k")
+    n = read(spark, d, "nation").selectExpr("cast(n_nationkey AS bigint) AS k")
+    more = [
+        (s, 20, "service_init", "s % 6 = 1", {"service_handle": "concat('sv', s)", "service_name": "concat('/s', s % 4)", "node_handle": "concat('n', k)"}), (s, 21, "service_callback_added", "s % 6 = 1", {"service_handle": "concat('sv', s)", "callback": "concat('sc', s)"}),
+        (s, 22, "client_init", "s % 6 = 2", {"client_handle": "concat('cl', s)", "service_name": "concat('/s', s % 4)"}), (s, 23, "client_link", "s % 6 = 2", {"client_handle": "concat('cl', s)", "callback": "concat('c', s, 'a')"}),
+        (n, 30, "callback_start", "k % 3 = 0", {"callback": "concat('tc', k)"}), (n, 31, "callback_start", "k % 3 = 0", {"callback": "concat('tc', k)"}),
+    ]
+    rows = [ev.withColumn("payload", few)]
+    for table, i, event, where, payload in more:
+        key = "k" if table is n else "s"
+        pairs = ", ".join(f"'{name}', {value}" for name, value in payload.items())
+        rows.append(table.where(where).selectExpr("'s' AS session_id", "cast(k % 4 AS int) AS vpid", f"{key} * 100 + {i} AS ts_ns", f"{key} * 100 + {i} AS id", f"'{event}' AS event", "concat('proc', k % 4) AS procname", f"map({pairs}) AS payload"))
+    spans = s.where("s % 4 = 0").selectExpr("s AS span_id", "cast(k % 4 AS int) AS vpid", "k AS vtid", "concat('c', s, 'a') AS cb", "s * 100 + 10 AS t0", "s * 100 + 60 AS t1")
+    after = s.withColumn("next", F.lead("s").over(Window.partitionBy("k").orderBy("s"))).where("next IS NOT NULL AND s % 4 = 0")
+    takes = after.selectExpr("s AS id", "'s' AS session_id", "cast(k % 4 AS int) AS vpid", "k AS vtid", "s * 100 + 15 AS t", "concat('c', next, 'a') AS cb", "concat('/t', (next % 50) % 5) AS topic", "cast(null AS bigint) AS ref")
+    types = spark.range(5).selectExpr("concat('/t', id) AS topic", "concat('T', id % 3) AS type")
+    groups = s.where("s % 7 < 4").selectExpr("'s' AS session_id", "cast(k % 4 AS int) AS vpid", "concat('h', s) AS handle", "concat('g', s % 2) AS `group`", "if(s % 7 < 2, 'in', 'out') AS direction")
+    return reduce(DataFrame.unionByName, rows), takes, spans, types, groups
+
+
+@query(_INIT.replace("(s_suppkey % 50) AS topic", "((s_suppkey % 50) % 5) AS topic") + """,
+  own AS (SELECT vpid, cb, 'E:s:' || vpid || ':' || handle AS e, fires FROM chosen), ent AS (SELECT s, k, vpid, topic, 'E:s:' || vpid || ':h' || s AS e FROM sup),
+  pub AS (SELECT own.e, ent.k, '/t' || (((s + 1) % 50) % 5) AS topic FROM ent JOIN own ON own.e = ent.e AND own.cb = 'c' || s || 'a' WHERE s % 5 <> 0),
+  cli AS (SELECT own.e, ent.k, '/s' || s % 4 AS service FROM ent JOIN own ON own.e = ent.e AND own.cb = 'c' || s || 'a' WHERE s % 6 = 2), srv AS (SELECT 'E:s:' || vpid || ':sv' || s AS e, k, '/s' || s % 4 AS service FROM sup WHERE s % 6 = 1),
+  grp AS (SELECT e, k, 'g' || s % 2 AS g, s % 7 < 2 AS inward FROM ent WHERE s % 7 < 4),
+  l2 AS (SELECT 'msg' AS nature, '' AS direction, pub.e AS a, ent.e AS b, pub.k AS ka, ent.k AS kb FROM pub JOIN ent USING (topic) UNION ALL SELECT 'dep', 'request', cli.e, srv.e, cli.k, srv.k FROM cli JOIN srv USING (service)
+    UNION ALL SELECT 'dep', 'response', srv.e, cli.e, srv.k, cli.k FROM cli JOIN srv USING (service) UNION ALL SELECT 'gxf_internal', '', i.e, o.e, i.k, o.k FROM grp i JOIN grp o ON i.k = o.k AND i.g = o.g AND i.inward AND NOT o.inward),
+  multi AS (SELECT k, topic FROM pub GROUP BY ALL HAVING count(DISTINCT e) >= 2), comp AS (SELECT pub.k, topic, e FROM pub JOIN multi USING (k, topic)),
+  typ AS (SELECT e, k, 'T' || CAST(substr(topic, 3) AS INT) % 3 AS ty FROM ent), want AS (SELECT comp.k, ty, min(topic) AS topic FROM comp JOIN typ USING (e) GROUP BY comp.k, ty),
+  joins AS (SELECT k, e, 'completer' AS role, min(topic) AS g FROM comp GROUP BY ALL UNION ALL SELECT typ.k, typ.e, 'member', min(want.topic) FROM typ JOIN want ON typ.k = want.k AND typ.ty = want.ty WHERE typ.e NOT IN (SELECT e FROM comp) GROUP BY ALL),
+  ties AS (SELECT count(DISTINCT e) - 1 AS c FROM joins GROUP BY k, g),
+  quiet AS (SELECT ent.e, ent.k FROM ent JOIN own USING (e) WHERE fires AND ent.e NOT IN (SELECT e FROM pub) AND ent.e NOT IN (SELECT e FROM joins)), held AS (SELECT DISTINCT quiet.e AS a, pub.e AS b FROM quiet JOIN pub USING (k)),
+  nxt AS (SELECT s, k, vpid, lead(s) OVER (PARTITION BY k ORDER BY s) AS z FROM sup), reads AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM nxt JOIN own a ON a.vpid = nxt.vpid AND a.cb = 'c' || z || 'a' JOIN own b ON b.vpid = nxt.vpid AND b.cb = 'c' || s || 'a' WHERE s % 4 = 0 AND z IS NOT NULL GROUP BY ALL),
+  l1 AS (SELECT ka, kb, count(*) AS n FROM l2 WHERE ka <> kb GROUP BY ALL),
+  fn AS (SELECT own.e, own.vpid, own.cb, own.e IN (SELECT a FROM reads) AS polled FROM own UNION ALL SELECT e, k % 4, 'sc', false FROM srv),
+  fire AS (SELECT vpid, 'c' || s || 'a' AS cb, s * 100 + 10 AS t FROM sup WHERE s % 4 = 0 UNION ALL SELECT vpid, 'c' || s || 'b', s * 100 + 11 FROM sup WHERE s % 6 = 0 UNION ALL SELECT vpid, 'tc' || k, k * 100 + 31 FROM nat WHERE k % 3 = 0),
+  start AS (SELECT vpid, min(k * 100 + 30) AS t0 FROM nat WHERE k % 3 = 0 GROUP BY vpid),
+  ph AS (SELECT CASE WHEN polled THEN 'data' WHEN fire.t IS NULL THEN 'zero_exec' WHEN fire.t >= start.t0 THEN 'data' ELSE 'init' END AS phase FROM fn LEFT JOIN fire ON fire.vpid = fn.vpid AND fire.cb = fn.cb LEFT JOIN start ON start.vpid = fn.vpid)
+  SELECT 'L2' AS what, nature, direction, count(*) AS rows, count(*) AS n FROM l2 GROUP BY ALL UNION ALL SELECT 'L3', nature, direction, count(*), count(*) FROM l2 GROUP BY ALL
+  UNION ALL SELECT 'L3', 'join', '', CAST(sum(c) AS BIGINT), CAST(sum(c) AS BIGINT) FROM ties WHERE c > 0 HAVING sum(c) > 0 UNION ALL SELECT 'L3', 'state', 'inferred', count(*), 0 FROM held HAVING count(*) > 0 UNION ALL SELECT 'L3', 'state', 'polled', count(*), CAST(sum(n) AS BIGINT) FROM reads HAVING count(*) > 0
+  UNION ALL SELECT 'L1', '', '', count(*), CAST(sum(n) AS BIGINT) FROM l1 UNION ALL SELECT 'L0', '', '', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT ka % 4 AS a, kb % 4 AS b, sum(n) AS n FROM l1 WHERE ka % 4 <> kb % 4 GROUP BY ALL)
+  UNION ALL SELECT 'phase', phase, '', count(*), 0 FROM ph GROUP BY phase UNION ALL SELECT 'role', role, '', count(*), 0 FROM joins GROUP BY role""")
+def g3_build_model(spark, d):
+    """All that the model build finds: edges by level, nature and direction, functions by phase, entities by their role in joins."""
+    events, takes, spans, types, groups = v_model(spark, d)
+    m = bd.build_model(events, types=types, groups=groups, takes=takes, spans=spans)
+    own = m.edges.where("NOT (src LIKE 'ext:%' OR dst LIKE 'ext:%')")
+    row = lambda df, what, nature, direction, n: df.groupBy(what.alias("what"), nature.alias("nature"), direction.alias("direction")).agg(F.count(F.lit(1)).alias("rows"), F.sum(n).alias("n"))
+    none, zero = F.lit(""), F.lit(0).cast("bigint")
+    out = row(own, F.col("level"), F.coalesce("nature", none), F.coalesce("direction", none), F.col("n"))
+    out = out.unionByName(row(m.vertices.where("type = 'F' AND NOT id LIKE 'ext:%'"), F.lit("phase"), F.col("phase"), none, zero))
+    return out.unionByName(row(m.joins, F.lit("role"), F.col("role"), none, zero))
+
+
 # --- functions, joins, state ---
 
 
