@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -80,18 +81,57 @@ def test_hilbert_index_is_a_curve(spark):
 
 
 def check_shards(rows, got, shards):
-    """The law, gapless slots, the digest columns, the order along the curve and groups that are parted at cuts only."""
+    """The law, gapless slots, the digest columns, and the order along the curve but for what plain_exchange moves."""
     assert len(got) == len(rows)
     counts = {s: [r["slot"] for r in got if r["shard"] == s] for s in range(shards)}
     assert max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in counts.values())
     raw = lambda t: (t or "").encode()
     assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted((i or -1, len(raw(t)) + 16, zlib.crc32(raw(t))) for i, t, *_ in rows)
-    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
-    assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in got)
-    for crc in {r["text_crc32"] for r in got}:
-        places = [k for k, r in enumerate(order) if r["text_crc32"] == crc]
-        assert places == list(range(places[0], places[0] + len(places)))
+    key = {}
+    for i, t, *_ in rows:
+        key.setdefault((i, zlib.crc32(raw(t))), hashlib.md5(raw(t)).hexdigest())
+    run = sorted((r["hilbert"], key[r["doc_id"], r["text_crc32"]], -1 if r["doc_id"] is None else r["doc_id"]) for r in got)
+    run = plain_exchange(run, shards)
+    start = [-(-k * len(run) // shards) for k in range(shards + 1)]
+    want = [(h, d, s, k - start[s]) for s in range(shards) for k, (h, _, d) in enumerate(run[start[s] : start[s + 1]], start[s])]
+    assert sorted((r["hilbert"], -1 if r["doc_id"] is None else r["doc_id"], r["shard"], r["slot"]) for r in got) == sorted(want)
+
+
+def plain_exchange(run, shards):
+    """Rows (hilbert, md5, doc_id) along the curve, where groups that a cut parts have changed places with single rows of the later shard."""
+    n, out = len(run), list(run)
+    start = [-(-k * n // shards) for k in range(shards + 1)]
+    size = Counter(r[1] for r in run)
+    for s in range(1, shards):
+        c = start[s]
+        if not 0 < c < n or run[c - 1][1] != run[c][1]:
+            continue
+        at = [k for k in range(n) if run[k][1] == run[c][1]]
+        if at[0] < start[s - 1] or at[-1] >= start[s + 1]:
+            continue
+        alone = [k for k in range(at[-1] + 1, start[s + 1]) if size[run[k][1]] == 1][: c - at[0]]
+        if len(alone) == c - at[0]:
+            for j, k in enumerate(alone):
+                out[at[0] + j], out[k] = run[k], run[at[0] + j]
+    return out
+
+
+def test_groups_that_fit_are_not_parted(spark):
+    r = random.Random(6)
+    data = [(k, f"text {r.randrange(250) if r.random() < 0.4 else 1000 + k} " + "x " * r.randrange(9), r.choice(["de", "en"]), f"s{r.randrange(9)}", k) for k in range(1200)]
+    data += [(5000 + k, "many copies", "en", "s1", k) for k in range(25)] + [(6000 + k, None if k % 2 else "", "de", "s2", k) for k in range(20)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, text_key int").repartition(3)
+    got = hilbert_shards.hilbert_shards(table, 40).collect()
+    check_shards(data, got, 40)
+    texts = dict((i, t or "") for i, t, *_ in data)
+    of = {}
+    for x in got:
+        of.setdefault(texts[x["doc_id"]], set()).add(x["shard"])
+    assert all(len(v) == 1 for v in of.values())
+    cut = sorted((x["hilbert"], hashlib.md5(texts[x["doc_id"]].encode()).hexdigest(), x["doc_id"]) for x in got)
+    start = [-(-k * len(cut) // 40) for k in range(41)]
+    assert any(cut[c - 1][1] == cut[c][1] for c in start[1:40])  # without the exchange some would be
 
 
 def test_hilbert_shards_law(docs, nothing):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import body, materialise, offsets, salted_join, table
+from tracewright.llm.common import BROADCAST_ROWS, body, materialise, offsets, salted_join, table
 from tracewright.operators.scale import running_sum
 
 SHARDS = 40
@@ -120,19 +122,42 @@ def _ordered(docs: DataFrame, bits: int, whole_rows: bool) -> tuple[DataFrame, D
     order = ["hilbert", "text_md5", "doc_id"]
     ranked = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ranked = materialise(
-        ranked.select("*", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")).drop("at", "text_md5"),
+        ranked.select("*", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), F.xxhash64("text_md5").alias("text_key")).drop("at", "text_md5"),
         "shard-sorted",
     )
     before = offsets(ranked.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "rows", "base")
     return ranked, before.select("part", "base"), total
 
 
+def _exchanged(rows: DataFrame, start: Callable[[str], str]) -> DataFrame:
+    """(rank, other): rows that change places so that no cut parts a group of equal texts; rows: rank, shard, text_key.
+
+    A group that a cut parts goes to the later shard as a whole: those of its rows before the cut change places with the
+    first rows behind the group, in that shard, whose text is theirs alone. Where there are too few, or where a
+    group reaches over more than two shards, it stays parted. start gives the rank that a shard begins with, as an expression.
+    """
+    ends = rows.where(f"rank = {start('shard')} OR rank + 1 = {start('(shard + 1)')}")
+    parted = ends.groupBy("text_key").agg(F.min("shard").alias("low"), F.max("shard").alias("high")).where("high = low + 1").select("text_key", "low")
+    parted = F.broadcast(materialise(parted, "parted", compact=True))  # one group at a cut at most
+    cut = F.expr(start("(low + 1)"))
+    groups = rows.join(parted, "text_key").groupBy("text_key", "low").agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("behind")).withColumn("need", cut - F.col("first"))
+    groups = F.broadcast(materialise(groups.select((F.col("low") + 1).alias("shard"), "first", "behind", "need"), "groups", compact=True))
+    alone = rows.join(groups, "shard").where("rank >= behind").groupBy("shard", "first", "need", "text_key").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank"))
+    alone = alone.where("n = 1").join(parted, "text_key", "left_anti").select("shard", "first", "need", "rank", F.lit(1).alias("one"))
+    chosen = materialise(running_sum(alone, ["shard"], ["rank"], "one").where("before < need AND total >= need").select("rank", (F.col("first") + F.col("before")).alias("other")), "exchanged", compact=True)
+    return chosen.unionByName(chosen.select(F.col("other").alias("rank"), F.col("rank").alias("other")))
+
+
 def _placed(ranked: DataFrame, before: DataFrame, total: int, shards: int) -> DataFrame:
     """ranked with shard and slot: the sorted run is cut where rank * shards / total reaches a new number. before has one row per file part."""
     n = max(total, 1)
     out = ranked.join(F.broadcast(before), "part").withColumn("rank", F.col("base") + F.col("pos"))
-    out = out.withColumn("shard", F.expr(f"cast((rank * {shards}) div {n} as int)"))
-    return out.withColumn("slot", F.expr(f"rank - (cast(shard as long) * {n} + {shards - 1}) div {shards}"))
+    number = F.expr(f"cast((rank * {shards}) div {n} as int)")
+    start = lambda shard: f"((cast({shard} as long) * {n} + {shards - 1}) div {shards})"
+    swaps = _exchanged(out.select("rank", number.alias("shard"), "text_key"), start)
+    swaps = F.broadcast(swaps) if swaps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else swaps
+    out = out.join(swaps, "rank", "left").withColumn("rank", F.coalesce("other", "rank")).drop("other", "text_key").withColumn("shard", number)
+    return out.withColumn("slot", F.expr(f"rank - {start('shard')}"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
@@ -142,7 +167,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     source by the order of their names, so a cell is a range of names. Rows are sorted by (curve index, md5 of
     the text, doc_id), and the sorted run is cut into shards whose row counts differ by one at most (law
     `rows`). Equal texts take the lang and source of the first of them (smallest doc_id), so they have one place on the
-    curve and are neighbours: a group is parted only where the law's cut falls inside it.
+    curve and are neighbours; where a cut falls inside a group, the group's rows before it change places with
+    single rows behind it (see _exchanged), so only groups larger than a shard stay parted, or those of a shard with too few single rows.
     The global rank is local position + rows of earlier file parts, which are joined as a table of one row per
     part. Texts are read once and never shuffled.
 
