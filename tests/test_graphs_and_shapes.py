@@ -323,3 +323,24 @@ def test_sketched_quantiles_and_exact_medians(spark):
         assert abs(at - p) < 0.0133 + 1e-3 and got["big"][1] == 20_000 and got["one"] == (5, 1) and "none" not in got
     middle = {x["k"]: x["m"] for x in stats.medians(df, {"m": "v"}, "k").collect()}
     assert middle == {"big": (big[9_999] + big[10_000]) / 2, "one": 5.0, "two": 2.5}
+
+
+def test_common_block_equals_a_plain_search(spark):
+    r = random.Random(14)
+    rows = []
+    for k in range(25):
+        core = [r.choice("ab") for _ in range(r.randrange(0, 23))]
+        for _ in range(r.choice([1, 2, 5])):
+            rows.append((k, [r.choice("abc") for _ in range(r.randrange(0, 9))] + core + [r.choice("abc") for _ in range(r.randrange(0, 9))]))
+    rows += [rows[0], (90, []), (91, ["x"]), (91, ["y"]), (92, ["z"] * 40), (92, ["z"] * 33)]
+    want = {}
+    for k in {k for k, _ in rows}:
+        some = sorted({tuple(t) for q, t in rows if q == k}, key=lambda t: (len(t), t))
+        first = some[0]
+        for n in range(len(first), 0, -1):
+            held = [first[i : i + n] for i in range(len(first) - n + 1) if all(any(t[j : j + n] == first[i : i + n] for j in range(len(t))) for t in some)]
+            if held:
+                want[str(k)] = (n, ",".join(held[0]))
+                break
+    got = {x["key"]: (x["length"], x["block"]) for x in shapes.common_block(spark.createDataFrame(rows, "k long, tokens array<string>"), "k").collect()}
+    assert got == want

@@ -279,27 +279,57 @@ def _runs(tokens: Column, length: Column | int) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.slice(tokens, i, length))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def _with_run_ids(sequences: DataFrame, longest: int) -> DataFrame:
+    """sequences with `levels`: for each power of two the hashes of all runs of that length, each made of the two halves' hashes."""
+    rows = sequences.withColumn("__0", F.transform("tokens", lambda t: F.xxhash64(t)))
+    names, length = ["__0"], 1
+    while 2 * length <= longest:
+        below, half = names[-1], length
+        count = F.size("tokens") - 2 * half + 1
+        pairs = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(F.get(below, i), F.get(below, i + half)))  # noqa: B023
+        rows = rows.withColumn(f"__{len(names)}", F.when(count > 0, pairs).otherwise(F.array().cast("array<bigint>")))
+        names.append(f"__{len(names)}")
+        length *= 2
+    return rows.withColumn("levels", F.array(*names)).drop(*names)
+
+
+def _run_ids(length: Column) -> Column:
+    """Hashes of all runs of any length, in order: each is named by the two runs of a power of two that cover it."""
+    level = F.get("levels", (F.length(F.bin(length)) - 1).cast("int"))
+    apart = length - F.pow(F.lit(2), F.length(F.bin(length)) - 1).cast("int")
+    count = F.size("tokens") - length + 1
+    ids = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.xxhash64(F.get(level, i), F.get(level, (i + apart).cast("int"))))
+    return F.when(count > 0, ids).otherwise(F.array().cast("array<bigint>"))
+
+
 def common_block(seqs: DataFrame, key: str) -> DataFrame:
     """The longest contiguous run that all distinct sequences of a key hold; the first one in the shortest sequence on ties. Keys without one have no row.
 
     All keys are searched at once: each bisects the length of its own shortest sequence (a run held by all has shorter ones), and a round is one count
-    of runs of the length that each key tries. Rounds grow with the logarithm of the shortest sequence.
+    of runs of the length that each key tries. Rounds grow with the logarithm of the shortest sequence. Runs are counted by 64-bit names made by doubling, so a row is
+    of constant width; the run that a key finds is compared token by token in all its sequences.
     """
-    distinct = written(seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct(), "sequences")
-    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("high"), F.min_by("tokens", F.struct(F.size("tokens"), "tokens")).alias("first"))
-    state = written(total.select("key", "all", "first", F.lit(0).alias("low"), "high", F.array().cast("array<string>").alias("run")), "bisect")
+    distinct = seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct()
+    longest = distinct.agg(F.max(F.size("tokens"))).first()[0] or 0
+    distinct = written(_with_run_ids(distinct, longest), "sequences")
+    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("high"), F.min_by(F.struct("tokens", "levels"), F.struct(F.size("tokens"), "tokens")).alias("first"))
+    shortest = written(total.select("key", "first.tokens", "first.levels"), "shortest")
+    state = written(total.select("key", "all", F.lit(0).alias("low"), "high", F.array().cast("array<string>").alias("run")), "bisect")
     while state.where("low < high").limit(1).count():
-        tried = state.where("low < high").withColumn("length", F.expr("(low + high + 1) div 2"))
-        grams = distinct.join(tried.select("key", "all", "length"), "key").select("key", "all", F.explode(F.array_distinct(_runs(F.col("tokens"), F.col("length")))).alias("run"))
-        hits = grams.groupBy("key", "all", "run").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", "run")
-        at = hits.join(tried.select("key", "first", "length"), "key").withColumn("at", F.array_position(_runs(F.col("first"), F.col("length")), F.col("run")))
-        best = at.groupBy("key").agg(F.min_by("run", "at").alias("found"))
-        moved = state.withColumn("length", F.expr("(low + high + 1) div 2")).join(best, "key", "left")
-        held = F.col("found").isNotNull() & (F.col("low") < F.col("high"))
+        tried = state.where("low < high").select("key", "all", F.expr("(low + high + 1) div 2").cast("int").alias("length"))
+        named = distinct.join(tried, "key")
+        hits = named.select("key", "all", F.explode(F.array_distinct(_run_ids(F.col("length")))).alias("id")).groupBy("key", "all", "id").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", "id")
+        at = hits.join(shortest.join(tried, "key").select("key", "tokens", "length", _run_ids(F.col("length")).alias("ids")), "key").withColumn("at", F.array_position("ids", F.col("id")))
+        best = at.groupBy("key").agg(F.min_by(F.struct("id", F.slice("tokens", F.col("at").cast("int"), F.col("length")).alias("run")), "at").alias("b")).select("key", "b.*")
+        place = F.array_position(_run_ids(F.col("length")), F.col("id")).cast("int")
+        same = named.join(best, "key").where((place > 0) & (F.slice("tokens", F.greatest(place, F.lit(1)), F.col("length")) == F.col("run")))
+        held = same.groupBy("key", "all", "run").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", F.col("run").alias("found"))
+        moved = state.join(tried.select("key", "length"), "key", "left").join(held, "key", "left")
+        hit, open_ = F.col("found").isNotNull(), F.col("length").isNotNull()
         state = written(
             moved.select(
-                "key", "all", "first", F.when(held, F.col("length")).otherwise(F.col("low")).alias("low"),
-                F.when(~held & (F.col("low") < F.col("high")), F.col("length") - 1).otherwise(F.col("high")).alias("high"), F.when(held, F.col("found")).otherwise(F.col("run")).alias("run"),
+                "key", "all", F.when(hit, F.col("length")).otherwise(F.col("low")).alias("low"), F.when(open_ & ~hit, F.col("length") - 1).otherwise(F.col("high")).alias("high"),
+                F.when(hit, F.col("found")).otherwise(F.col("run")).alias("run"),
             ), "bisect",
         )
     return state.where("low > 0").select("key", F.col("low").alias("length"), F.array_join("run", ",").alias("block"))
