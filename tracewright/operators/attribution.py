@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.scale import running_sum, written
-from tracewright.operators.temporal import asof, chunk_for, interval_owner
+from tracewright.operators.temporal import KEY_ROWS, asof, chunk_for, interval_owner
 
 #: What a sync of each type releases.
 OWN_STREAM, ALL_STREAMS, WAIT = (1, 3), 4, 2
@@ -44,12 +44,27 @@ def releases(sync: DataFrame, activity: DataFrame) -> DataFrame:
     return own.unionByName(every).distinct()
 
 
+def _last_of_both(points: DataFrame, claims: DataFrame, freed: DataFrame) -> DataFrame:
+    """points with claim_t, claimant and r_t: the last claim (the largest id of one time) and the last release of their stream at or before t."""
+    nothing = lambda df, *names: df.withColumns({n: F.lit(None).cast("bigint") for n in names})
+    rows = nothing(points.withColumn("side", F.lit(1)), "claim_at", "by", "free_at")
+    rows = rows.unionByName(nothing(claims.select("pid", "stream", "t", F.col("t").alias("claim_at"), F.col("id").alias("by"), F.lit(0).alias("side")), "corr", "span_id", "free_at"))
+    rows = rows.unionByName(nothing(freed.select("pid", "stream", "t", F.col("t").alias("free_at"), F.lit(0).alias("side")), "corr", "span_id", "claim_at", "by"))
+    w = Window.partitionBy("pid", "stream").orderBy("t", "side", "by").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    found = rows.select("*", last("claim_at").alias("claim_t"), last("by").alias("claimant"), last("free_at").alias("r_t")).where("side = 1")
+    return found.select(*points.columns, "claim_t", "claimant", "r_t")
+
+
 def attribute_runtime(runtime: DataFrame, spans: DataFrame, activity: DataFrame, sync: DataFrame, gpu_only: bool = True, sync_aware: bool = True) -> DataFrame:
     """corr, pid, t, rule, span_id for each call.
 
     time: the innermost span of the call's own thread. stream: else the latest claim on the call's
     stream at or before t, unless (sync_aware) a release lies at or after the claim and at or before t:
     post-release. residual: no claim. gpu_only keeps the calls that started an activity. Owners are found once and written.
+
+    Claims and releases are carried to the calls in one window over the streams; where a process has so many calls that a stream
+    could be too long for one task, by two as-of joins in time chunks.
     """
     owned = written(owners(runtime, spans), "owned")
     called = correlate(owned, activity)
@@ -57,10 +72,13 @@ def attribute_runtime(runtime: DataFrame, spans: DataFrame, activity: DataFrame,
     claims = _claims(owned, activity).withColumnRenamed("span_id", "id")
     points = called.select("corr", "pid", "stream", "t", "span_id")
     freed = releases(sync, activity).withColumn("id", F.lit(0).cast("bigint"))
-    chunk = chunk_for(["pid", "stream"], points, claims, freed)
-    claimed = asof(points, claims, ["pid", "stream"], ["id"], chunk_ns=chunk)
-    claimed = claimed.withColumnRenamed("r_t", "claim_t").withColumnRenamed("r_id", "claimant")
-    out = asof(claimed, freed, ["pid", "stream"], chunk_ns=chunk)
+    busiest = owned.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if busiest <= KEY_ROWS // 4:  # claims and releases are fewer than calls and waits
+        out = _last_of_both(points, claims, freed)
+    else:
+        chunk = chunk_for(["pid", "stream"], points, claims, freed)
+        claimed = asof(points, claims, ["pid", "stream"], ["id"], chunk_ns=chunk)
+        out = asof(claimed.withColumnRenamed("r_t", "claim_t").withColumnRenamed("r_id", "claimant"), freed, ["pid", "stream"], chunk_ns=chunk)
     void = F.col("r_t") >= F.col("claim_t") if sync_aware else F.lit(False)
     rule = F.when(F.col("span_id").isNotNull(), "time").when(F.col("claimant").isNull(), "residual").when(F.coalesce(void, F.lit(False)), "post_release").otherwise("stream")
     return out.select("corr", "pid", "t", rule.alias("rule"), F.coalesce("span_id", F.when(rule == "stream", F.col("claimant"))).alias("span_id"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.scale import running_sum, salted_join, written
 
+#: Nodes of a pointer table that may be broadcast.
+BROADCAST_NODES = 1_000_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of weakly connected components of (src, dst): the least node, by hooking and contraction.
@@ -18,35 +21,43 @@ def components(edges: DataFrame) -> DataFrame:
     the joins back the rows of a hub are dealt to many tasks. Each round is written to the shared folder; only counts reach
     the driver. Self-links name single nodes; links with a null end are ignored.
     """
-    ends = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
     pair = [F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")]
-    links = written(ends.select(*pair).where("u <> v").distinct(), "links")
-    found = None
+    ends = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").select(*pair).distinct(), "links")
+    links, maps = ends.where("u <> v"), []
     while many := links.count():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         roots = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root"))
         roots = doubled(written(roots, "hooks", rows=2 * many))
         nodes = roots.count()
-        found = roots if found is None else salted_join(found, roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", how="left").select("node", F.coalesce("next", "root").alias("root"))
-        found = written(found, "found", compact=True)
-        name = lambda old, new: roots.select(F.col("node").alias(old), F.col("root").alias(new))  # noqa: B023, E731
-        moved = salted_join(links, name("u", "src"), "u", total=max(many, nodes))
-        moved = salted_join(moved, name("v", "dst"), "v", total=max(many, nodes), counted=links)
-        links = written(moved.where("src <> dst").select(*pair).distinct(), "links", rows=many)
-    loops = ends.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    if found is None:
+        maps.append((roots, nodes))
+        moved = _named(_named(links, roots, "u", nodes), roots, "v", nodes)
+        links = written(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", rows=many)
+    loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    if not maps:
         return loops
-    found = found.select("node", F.col("root").alias("component"))
+    found = maps[0][0]
+    for roots, nodes in maps[1:]:
+        found = _named(found, roots, "root", nodes)
+    found = written(found.select("node", F.col("root").alias("component")), "components", compact=True)
     return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
+def _named(rows: DataFrame, pointers: DataFrame, column: str, many: int) -> DataFrame:
+    """rows with a column's nodes replaced by what pointers (node, root; many rows) name; others stay. Few pointers are broadcast, else hot nodes are dealt out."""
+    side = pointers.select(F.col("node").alias(column), F.col("root").alias("__to"))
+    out = rows.join(F.broadcast(side), column, "left") if many <= BROADCAST_NODES else salted_join(rows, side, column, how="left")
+    return out.select(*[F.coalesce("__to", c).alias(c) if c == column else c for c in rows.columns])
+
+
 def doubled(pointers: DataFrame) -> DataFrame:
-    """Pointers (node, root) without a cycle but for roots that point to themselves, doubled until each names the end of its path; log rounds."""
+    """Pointers (node, root) without a cycle but for roots that point to themselves, followed until each names the end of its path: four steps of the table at a time, so log rounds."""
     many = pointers.count()
     while True:
-        up = pointers.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        step = salted_join(pointers, up, "root", total=many).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-        step = written(step, "pointers", rows=many)
+        step = pointers
+        for _ in range(2):
+            step = _named(step, pointers, "root", many)
+        step = _named(step.withColumn("before", F.col("root")), pointers, "root", many)
+        step = written(step.select("node", "root", (F.col("before") != F.col("root")).alias("moved")), "pointers", rows=many)
         pointers = step.drop("moved")
         if not step.where("moved").limit(1).count():
             return pointers
