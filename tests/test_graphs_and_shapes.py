@@ -344,3 +344,15 @@ def test_common_block_equals_a_plain_search(spark):
                 break
     got = {x["key"]: (x["length"], x["block"]) for x in shapes.common_block(spark.createDataFrame(rows, "k long, tokens array<string>"), "k").collect()}
     assert got == want
+
+
+def test_scratch_folders_are_deleted(spark):
+    from tracewright.operators.scale import new_path, scratch, work_folder
+
+    e = spark.createDataFrame([("a", "b", "t", 1), ("b", "c", "t", 1)], EDGE)
+    with scratch(spark) as folder:
+        assert {r["component"] for r in graph.components(e).collect()} == {"a"} and any(Path(folder).iterdir())
+        with scratch(spark) as inner:
+            assert inner.startswith(folder) and new_path(spark, "x").startswith(inner)
+        assert new_path(spark, "x").startswith(folder) and not Path(inner).exists()
+    assert not Path(folder).exists() and new_path(spark, "x").startswith(work_folder(spark) + "/x-")

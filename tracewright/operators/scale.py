@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,11 +38,28 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{spark.conf.get('tracewright.run.dir', None) or work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own in the shared folder for what operators write inside the block; it is deleted at the end, so results must be written or read by then.
+
+    >>> with scratch(spark):
+    ...     task_graphs(edges).write.parquet(path)
+    """
+    folder, before = new_path(spark, "run"), spark.conf.get("tracewright.run.dir", None)
+    spark.conf.set("tracewright.run.dir", folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set("tracewright.run.dir", before) if before else spark.conf.unset("tracewright.run.dir")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str, compact: bool = False, rows: int | None = None) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and survives lost executors. The caller's folder is not cleared.
+    """df written to the shared folder and read back: cuts lineage and survives lost executors. What is written stays, but for a block of scratch().
 
     compact deals narrow tables (ids, links) to two files per core, however many partitions the last shuffle had; with a
     bound on their number, rows, to one file for each SMALL_ROWS.
