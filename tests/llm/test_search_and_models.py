@@ -288,6 +288,7 @@ def test_language_id(spark, nothing):
     alphabet = {"aa": "abcde", "bb": "fghij", "cc": "éüñß"}
     rows = [(i, " ".join("".join(r.choice(alphabet[g]) for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(3, 60))), g) for i in range(400) for g in [r.choice("abc") * 2]]
     rows += [(1000, None, "aa"), (1001, "", None), (1002, "123 ...", "bb"), (None, "abc abc", "aa"), (1003, "ffgg", None)]
+    rows += [rows[3], rows[3], (1004, "abcde cabbed " * 60_000, "aa"), (1004, "fghij jig " * 60_000, "bb")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS score")
     got = language_id.identify_languages(docs).collect()
     assert len(got) == len(rows)

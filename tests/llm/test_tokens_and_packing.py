@@ -134,3 +134,33 @@ def test_pack_wastes_less_than_one_sequence(sizes):
         seen[d] = seen.get(d, 0) + n
     assert all(u <= 2048 for u in used.values()) and sum(2048 - u for u in used.values()) < 2048
     assert seen == {d: n for d, n in enumerate(sizes) if n}
+
+
+@pytest.mark.parametrize("most", [9000, 400])
+def test_pack_balances_cost(most):
+    """Pieces come largest first, each goes to the sequence of lowest cost with room; without very large ones costs differ far less than if sequences were filled in turn."""
+    r = np.random.default_rng(5)
+    sizes = np.minimum(r.lognormal(5, 1.2, 1500).astype(int) + 1, most).tolist()
+    cost = lambda n: packing.LINEAR * n + packing.QUADRATIC * n * n
+    pieces = packing.pack(sizes)
+    rest = [p for p in pieces if not (p[2] == packing.SEQUENCE and p[4] == 0 and p[1] + p[2] < sizes[p[0]])]
+    costs = {s: 0.0 for *_, s, _ in rest}
+    used = dict.fromkeys(costs, 0)
+    left = {}
+    for d, start, n, s, off in rest:
+        waiting = left.pop(d, sizes[d] - start)
+        assert off == used[s] and costs[s] == min(c for x, c in costs.items() if used[x] < packing.SEQUENCE)
+        assert n == min(waiting, packing.SEQUENCE - off)
+        costs[s], used[s] = costs[s] + cost(n), used[s] + n
+        if n < waiting:
+            left[d] = waiting - n
+    assert not left
+    turn, fill, at = [0.0], 0, packing.SEQUENCE
+    for size in [sizes[d] - s for d, s, *_ in sorted({(d, min(p[1] for p in rest if p[0] == d)) for d, *_ in rest})]:
+        while size:
+            take = min(size, at - fill)
+            turn[-1], fill, size = turn[-1] + cost(take), fill + take, size - take
+            if fill == at:
+                turn.append(0.0)
+                fill = 0
+    assert most > packing.SEQUENCE or np.std(list(costs.values())) < 0.5 * np.std(turn[:-1])
