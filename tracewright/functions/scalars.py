@@ -205,14 +205,23 @@ def throughput(size: Column, ns: Column) -> Column:
     return size / (F.nullif(ns, F.lit(0)) / F.lit(1e9))
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """A double with so many places; its exact binary value is rounded, ties to even (format_string rounds the shortest decimal text)."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * places))
+
+
 def fmt_ns(ns: Column) -> Column:
-    f = lambda unit, by: F.format_string(f"%.2f {unit}", ns.cast("double") / by)
+    f = lambda unit, by: F.concat(_fixed(ns.cast("double") / by, 2), F.lit(f" {unit}"))
     return F.when(ns >= 1_000_000_000, f("s", 1e9)).when(ns >= 1_000_000, f("ms", 1e6)).when(ns >= 1_000, f("us", 1e3)).otherwise(F.concat(ns.cast("string"), F.lit(" ns")))
 
 
-def human_bytes(n: Column) -> Column:
-    f = lambda unit, by: F.format_string(f"%.1f {unit}", n.cast("double") / by)
-    return F.when(n >= 1 << 30, f("GiB", float(1 << 30))).when(n >= 1 << 20, f("MiB", float(1 << 20))).when(n >= 1 << 10, f("KiB", 1024.0)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+def human_bytes(n: Column, largest: str = "GiB") -> Column:
+    """Bytes in the largest unit that they fill, up to `largest`."""
+    units = ["KiB", "MiB", "GiB"]
+    text = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(units[: units.index(largest) + 1], 1):
+        text = F.when(n >= 1 << 10 * power, F.concat(_fixed(n.cast("double") / float(1 << 10 * power), 1), F.lit(f" {unit}"))).otherwise(text)
+    return text
 
 
 def resolve_placeholders(template: Column, properties: Column) -> Column:
