@@ -28,7 +28,8 @@ def query(oracle: str):
 def _lines(spark: SparkSession, text: DataFrame, *order: str) -> DataFrame:
     """A column `value` written as text and read as lines; with order, as one file whose lines have that order."""
     path = new_path(spark, "text")
-    (text.orderBy(*order).select("value").coalesce(1) if order else text.select("value")).write.text(path)
+    # One partition that is sorted: sorted partitions put together by coalesce may come in the order of their places on a cluster.
+    (text.repartition(1).sortWithinPartitions(*order).select("value") if order else text.select("value")).write.text(path)
     return rd.lines(spark, path)
 
 
@@ -112,9 +113,9 @@ def s10_topics(spark, d):
 @query("SELECT '/box' || s_nationkey AS container, CAST(s_suppkey AS INT) AS idx, '/box' || s_nationkey || '/c' || s_suppkey AS component FROM supplier")
 def s11_component_list(spark, d):
     s = read(spark, d, "supplier")
-    head = s.select("s_nationkey", F.lit(0).alias("s_suppkey"), F.concat(F.lit("/box"), "s_nationkey").alias("value")).distinct()
-    rows = s.select("s_nationkey", "s_suppkey", F.concat(F.lit("  "), "s_suppkey", F.lit("  /box"), "s_nationkey", F.lit("/c"), "s_suppkey").alias("value"))
-    return rd.parse_component_list(_lines(spark, head.unionByName(rows), "s_nationkey", "s_suppkey"))
+    head = s.select("s_nationkey", F.lit(0).alias("line"), F.lit(0).cast("bigint").alias("s_suppkey"), F.concat(F.lit("/box"), "s_nationkey").alias("value")).distinct()
+    rows = s.select("s_nationkey", F.lit(1).alias("line"), "s_suppkey", F.concat(F.lit("  "), "s_suppkey", F.lit("  /box"), "s_nationkey", F.lit("/c"), "s_suppkey").alias("value"))
+    return rd.parse_component_list(_lines(spark, head.unionByName(rows), "s_nationkey", "line", "s_suppkey"))
 
 
 @query("SELECT DISTINCT '/n' || s_suppkey % 70 AS node FROM supplier")
