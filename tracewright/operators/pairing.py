@@ -89,11 +89,12 @@ def pair_single(trace: DataFrame, cb: str, chunk_rows: int | None = None) -> Dat
 
 
 def span_stats(spans: DataFrame, *keys: str) -> DataFrame:
-    """Count, least, largest, mean and population deviation of durations (ns)."""
+    """Count, least, largest, mean and population deviation of durations (ns). The mean is of an exact sum: sums of ns pass 2**53, where doubles lose units."""
     d = F.col("t1") - F.col("t0")
+    mean = (F.sum(d.cast("decimal(19,0)")) / F.count(d)).cast("double")
     return spans.groupBy(*(keys or ("cb",))).agg(
         F.count(F.lit(1)).alias("n"), F.min(d).alias("min_ns"), F.max(d).alias("max_ns"),
-        F.round(F.avg(d), 0).cast("bigint").alias("mean_ns"), F.round(F.stddev_pop(d) / 1e9, 3).alias("std_s"),
+        F.round(mean, 0).cast("bigint").alias("mean_ns"), F.round(F.stddev_pop(d) / 1e9, 3).alias("std_s"),
     )
 
 
