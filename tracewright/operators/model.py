@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType
 
 from tracewright.functions.scalars import action_name, action_role
 from tracewright.operators.scale import grid_join, written
-from tracewright.operators.temporal import asof, asof_last, asof_tolerance, contained, interval_owner, nearest_tolerance
+from tracewright.operators.temporal import asof, asof_last, asof_tolerance, earliest_open, interval_owner, nearest_tolerance
 from tracewright.shipping import ship_package
 
 
@@ -116,11 +116,10 @@ def attribute_links(links: DataFrame, entities: DataFrame, by_topic: DataFrame |
 
 def attribute_by_active(publishes: DataFrame, spans: DataFrame) -> DataFrame:
     """Publishes with the open callback of their thread, else the earliest still open callback of their process."""
-    own = interval_owner(publishes, spans, ["vpid", "vtid"])
-    lost = own.where("span_id IS NULL").select("id", "vpid", "t")
-    other = contained(lost, spans.select("span_id", "t0", "t1", "vpid"), ["vpid"]).groupBy("id").agg(F.min(F.struct("t0", "span_id")).alias("b")).select("id", F.col("b.span_id").alias("any_span"))
-    out = own.join(other, "id", "left")
-    return out.select("id", "vpid", "vtid", "t", F.coalesce("span_id", "any_span").alias("span_id"), F.when(F.col("span_id").isNotNull(), "thread").when(F.col("any_span").isNotNull(), "process").otherwise("none").alias("rule"))
+    spans = written(spans.select("span_id", "t0", "t1", "vpid", "vtid"), "spans")
+    own = written(interval_owner(publishes, spans, ["vpid", "vtid"]).select("id", "vpid", "vtid", "t", "span_id"), "owned")
+    out = earliest_open(own, spans, ["vpid"])
+    return out.select("id", "vpid", "vtid", "t", F.coalesce("span_id", "open_id").alias("span_id"), F.when(F.col("span_id").isNotNull(), "thread").when(F.col("open_id").isNotNull(), "process").otherwise("none").alias("rule"))
 
 
 def match_topics(pub: DataFrame, sub: DataFrame) -> DataFrame:

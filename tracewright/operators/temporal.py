@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.scale import written
+from tracewright.operators.scale import ordered, written
 
 #: A key with more rows than this is cut into time chunks of about so many, which several tasks share.
 KEY_ROWS = 2_000_000
@@ -101,6 +101,24 @@ def interval_owner(points: DataFrame, spans: DataFrame, keys: list[str], point_i
     return points.join(best, point_id, "left").withColumn("span_id", F.col("best.span_id")).withColumn("t0", F.col("best.t0")).drop("best")
 
 
+def earliest_open(points: DataFrame, spans: DataFrame, keys: list[str], chunk_rows: int | None = None) -> DataFrame:
+    """points with open_id, the span of their key that holds t (both ends count) and began first, the least id on ties; null without one.
+
+    In the order of starts only a span that ends later than all before it is ever the answer: to the points behind those. Such spans
+    also end in that order, so a point looks up the first of them that ends at or after t, and no pair of a point and a span is made.
+    """
+    named = spans.where(" AND ".join(["t1 >= t0", *[f"{k} IS NOT NULL" for k in keys]])).select("span_id", "t0", "t1", *keys)
+    at = ordered(named, keys, ["t0", "span_id"], chunk_rows)
+    rows = at.rows.withColumn("reach", F.max("t1").over(at.window().rowsBetween(Window.unboundedPreceding, -1)))
+    if not at.whole:
+        ends = rows.groupBy(*keys, "__chunk").agg(F.max("t1").alias("far"))
+        before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        rows = at.joined(rows, ends.select(*keys, "__chunk", F.max("far").over(before).alias("far"))).withColumn("reach", F.greatest("reach", "far"))
+    later = written(rows.where("reach IS NULL OR t1 > reach").select(*keys, F.col("t1").alias("t"), F.col("span_id").alias("id"), "span_id", "t0"), "later")
+    found = asof(points, later, keys, ["span_id", "t0"], forward=True)
+    return found.select(*points.columns, F.when(F.col("r_t0") <= F.col("t"), F.col("r_span_id")).alias("open_id"))
+
+
 def interval_overlaps(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str = "id") -> DataFrame:
     """How many spans hold each point: point id, overlaps."""
     n = contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.count(F.lit(1)).alias("overlaps"))
