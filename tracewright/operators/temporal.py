@@ -119,10 +119,14 @@ def earliest_open(points: DataFrame, spans: DataFrame, keys: list[str], chunk_ro
     return found.select(*points.columns, F.when(F.col("r_t0") <= F.col("t"), F.col("r_span_id")).alias("open_id"))
 
 
-def interval_overlaps(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str = "id") -> DataFrame:
-    """How many spans hold each point: point id, overlaps."""
-    n = contained(points.select(point_id, "t", *keys), spans.select("span_id", "t0", "t1", *keys), keys).groupBy(point_id).agg(F.count(F.lit(1)).alias("overlaps"))
-    return points.join(n, point_id, "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("bigint"))
+def interval_overlaps(points: DataFrame, spans: DataFrame, keys: list[str], point_id: str = "id", chunk_rows: int | None = None) -> DataFrame:
+    """points with the number of spans that hold them (both ends count), as overlaps: those that began at or before t less those that ended before it, by one running sum."""
+    named = spans.where(" AND ".join(["t1 >= t0", *[f"{k} IS NOT NULL" for k in keys]]))
+    mark = lambda df, t, place, name, step: df.select(*keys, F.col(t).alias("t"), F.lit(place).alias("__place"), F.col(name).cast("bigint").alias("__id"), F.lit(step).alias("__step"))
+    ends = mark(named, "t0", 0, "span_id", 1).unionByName(mark(named, "t1", 2, "span_id", -1))
+    rows = points.withColumns({"__place": F.lit(1), "__id": F.col(point_id).cast("bigint"), "__step": F.lit(0)}).unionByName(ends, allowMissingColumns=True)
+    at = ordered(rows, keys, ["t", "__place", "__id"], chunk_rows)
+    return at.with_sum(at.rows, "__step", "overlaps").where("__place = 1").select(*points.columns, F.col("overlaps").cast("bigint").alias("overlaps"))
 
 
 def interval_semi(spans: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
