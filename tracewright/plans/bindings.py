@@ -49,8 +49,8 @@ def v_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, part = read(spark, sf_dir, "orders"), read(spark, sf_dir, "part")
     return (
         line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(part, line["l_partkey"] == part["p_partkey"])
-        .groupBy(F.concat(F.lit("NC:"), "o_custkey").alias("src"), F.concat(F.lit("NS:"), "l_suppkey").alias("dst"), F.col("p_brand").alias("topic"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("o_custkey", "l_suppkey", F.col("p_brand").alias("topic")).agg(F.count(F.lit(1)).alias("n"))  # by numbers: the names are longer to shuffle
+        .select(F.concat(F.lit("NC:"), "o_custkey").alias("src"), F.concat(F.lit("NS:"), "l_suppkey").alias("dst"), "topic", "n")
     )
 
 
@@ -92,8 +92,8 @@ def v_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem").selectExpr("l_suppkey", "concat(l_returnflag, l_linestatus) AS topic", f"row_number() {over} AS pos", f"lead(l_suppkey) {over} AS following")
     return (
         line.where("following IS NOT NULL")
-        .groupBy(F.expr("concat('S:', l_suppkey, '@', pos)").alias("src"), F.expr("concat('S:', following, '@', pos + 1)").alias("dst"), "topic")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("l_suppkey", "pos", "following", "topic").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.expr("concat('S:', l_suppkey, '@', pos)").alias("src"), F.expr("concat('S:', following, '@', pos + 1)").alias("dst"), "topic", "n")
     )
 
 
