@@ -19,10 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each node hooks to its least neighbour, pointers are doubled until they name local minima, and the links are taken between
     those; every round at least halves the nodes that still have links. Hooking is a grouped minimum (pre-aggregated), and in
     the joins back the rows of a hub are dealt to many tasks. Each round is written to the shared folder; only counts reach
-    the driver. Self-links name single nodes; links with a null end are ignored.
+    the driver. Self-links name single nodes; links with a null end are ignored. The first links are not made distinct, which
+    would shuffle them all for a minimum that copies do not change.
     """
     pair = [F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")]
-    ends = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").select(*pair).distinct(), "links")
+    ends = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").select(*pair), "links")
     links, maps = ends.where("u <> v"), []
     while many := links.count():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append((roots, nodes))
         moved = _named(_named(links, roots, "u", nodes), roots, "v", nodes)
         links = written(moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", rows=many)
-    loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     if not maps:
         return loops
     found = maps[0][0]
@@ -99,11 +100,16 @@ def degree(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
 
 
 def sources(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
+    return edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
 def sinks(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+    return edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+
+
+def _few(nodes: DataFrame, many: int) -> DataFrame:
+    """nodes to be joined with links: broadcast if they are few, so that the links are not shuffled."""
+    return F.broadcast(nodes) if many <= BROADCAST_NODES else nodes
 
 
 def contracted(links: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
@@ -127,21 +133,21 @@ def contracted(links: DataFrame, keep: DataFrame | None = None) -> tuple[DataFra
         if not step.where("moved").limit(1).count():
             break
     inner = inner.join(inner.select(F.col("id").alias("head")), "head", "left_anti").select("id", "head", "far")  # rings keep moving
-    outer = links.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti")
-    named = outer.join(inner.select(F.col("id").alias("src"), "head", "far"), "src", "left")
+    outer = links.join(_few(inner.select(F.col("id").alias("dst")), many), "dst", "left_anti")
+    named = outer.join(_few(inner.select(F.col("id").alias("src"), "head", "far"), many), "src", "left")
     return named.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("far", F.lit(0)) + 1).alias("w")), inner
 
 
 def bfs_depth(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable. Chains are contracted first; each round writes the nodes that came nearer."""
+    """Steps from the nearest root (default: nodes without incoming edges); -1 if unreachable. Chains are contracted first, which may leave links twice; each round writes the nodes that came nearer."""
     links = written(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     start = written((roots if roots is not None else sources(links)).select("id").distinct(), "roots")
     short, inner = contracted(links.where("src <> dst"), start)
-    short = written(short.groupBy("src", "dst").agg(F.min("w").alias("w")), "short")
+    short = written(short.select("src", "dst", "w"), "short")
     state = written(start.select("id", F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("fresh")), "depths")
-    while state.where("fresh").limit(1).count():
-        step = short.join(state.where("fresh").select(F.col("id").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("near"))
+    while many := state.where("fresh").count():
+        step = short.join(_few(state.where("fresh").select(F.col("id").alias("src"), "depth"), many), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("near"))
         nearer = F.coalesce(F.col("near") < F.coalesce("depth", "near") + F.col("depth").isNull().cast("int"), F.lit(False))
         state = written(state.select("id", "depth").join(step, "id", "full_outer").select("id", F.least("depth", "near").alias("depth"), nearer.alias("fresh")), "depths")
     found = state.select("id", "depth")
@@ -150,21 +156,22 @@ def bfs_depth(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return nodes.join(found, "id", "left").select("id", F.coalesce("depth", F.lit(-1)).cast("int").alias("depth"))
 
 
-def longest_depth(edges: DataFrame) -> DataFrame:
+def longest_depth(edges: DataFrame, distinct: bool = False) -> DataFrame:
     """Longest path (edges) from a node without incoming edges, found by repeated peeling; nodes on or behind cycles keep what
     their already peeled predecessors give (0 without any).
 
-    Chains are contracted first. A round takes away the nodes that wait for none; nodes hold how many links they wait for, so a
-    round writes the nodes only, once.
+    Chains are contracted first, which may leave links twice. A round takes away the nodes that wait for none; nodes hold how many links
+    they wait for, so a round writes the nodes only, once. distinct: no two edges have the same ends, in a written table.
     """
-    links = written(edges.select("src", "dst").where("src <> dst").distinct(), "links")
+    links = edges.select("src", "dst").where("src <> dst")
+    links = links if distinct else written(links.distinct(), "links")
     nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
     short, inner = contracted(links)
-    short = written(short.groupBy("src", "dst").agg(F.max("w").alias("w")), "short")
+    short = written(short.select("src", "dst", "w"), "short")
     ends = short.select(F.col("src").alias("id"), F.lit(0).alias("n")).unionByName(short.select(F.col("dst").alias("id"), F.lit(1).alias("n")))
     state = written(ends.groupBy("id").agg(F.sum("n").alias("waits")).select("id", "waits", F.lit(0).cast("bigint").alias("depth"), (F.col("waits") == 0).alias("fresh")), "peeled")
-    while state.where("fresh").limit(1).count():
-        step = short.join(state.where("fresh").select(F.col("id").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"), F.max(F.col("depth") + F.col("w")).alias("far"))
+    while many := state.where("fresh").count():
+        step = short.join(_few(state.where("fresh").select(F.col("id").alias("src"), "depth"), many), "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("gone"), F.max(F.col("depth") + F.col("w")).alias("far"))
         left = F.col("waits") - F.coalesce("gone", F.lit(0))
         state = written(state.drop("fresh").join(step, "id", "left").select("id", left.alias("waits"), F.greatest("depth", F.coalesce("far", F.lit(0))).alias("depth"), ((left == 0) & (F.col("waits") > 0)).alias("fresh")), "peeled")
     found = state.select("id", "depth")
@@ -178,7 +185,7 @@ def task_graphs(edges: DataFrame, functions: DataFrame | None = None) -> DataFra
     """One row per component: nodes, edges, roots, sinks, longest depth; with functions (id, etype, executor, fires) also timer roots, fires and the sorted executors."""
     edges = written(edges.select("src", "dst").distinct(), "edges")
     parts = written(components(edges), "parts")
-    depth = longest_depth(edges)
+    depth = longest_depth(edges, distinct=True)
     flag = lambda df, name: df.select(F.col("id").alias("node"), F.lit(1).alias(name))
     rows = parts.join(depth.withColumnRenamed("id", "node"), "node", "left").join(flag(sources(edges), "root"), "node", "left").join(flag(sinks(edges), "sink"), "node", "left")
     more = []
@@ -189,7 +196,8 @@ def task_graphs(edges: DataFrame, functions: DataFrame | None = None) -> DataFra
             F.array_join(F.array_sort(F.collect_set(F.col("executor").cast("string"))), ",").alias("executors"),
         ]
     per = rows.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.count("root").alias("roots"), F.count("sink").alias("sinks"), F.coalesce(F.max("depth"), F.lit(0)).alias("depth"), *more)
-    links = edges.select("src", "dst").distinct().join(parts, F.col("src") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("out"))  # counted by node first: the join is of nodes
+    links = out.join(parts, "node").groupBy("component").agg(F.sum("out").alias("edges"))
     return per.join(links, "component")
 
 
@@ -315,9 +323,8 @@ def missing_callbacks(entities: DataFrame, gpu_nodes: DataFrame) -> DataFrame:
 
 def dataflow_role(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """source, sink, relay or isolated, with the sorted topics that go out and come in."""
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = edges.groupBy(F.col("src").alias("id")).agg(names("topic").alias("out_topics"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(names("topic").alias("in_topics"))
+    names = lambda end, name: edges.select(F.col(end).alias("id"), "topic").distinct().groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("topic")), ",").alias(name))
+    out, into = names("src", "out_topics"), names("dst", "in_topics")
     both = out.join(into, "id", "full_outer")
     both = vertices.select("id").join(both, "id", "left") if vertices is not None else both
     both = both.na.fill("", ["out_topics", "in_topics"])

@@ -117,7 +117,7 @@ def h10_dataflow_role(spark, d):
   g AS (SELECT id, count(*) AS total FROM (SELECT src AS id FROM v_hop UNION ALL SELECT dst FROM v_hop) GROUP BY id)
   SELECT id, CAST(depth AS INT) AS depth, total, CAST(row_number() OVER (ORDER BY CASE WHEN depth < 0 THEN 999 ELSE depth END, total DESC, id) AS INT) AS rn FROM b JOIN g USING (id)"""))
 def l3_staircase_order(spark, d):
-    return gr.staircase_order(v_hop(spark, d))
+    return gr.staircase_order(gr.written(v_hop(spark, d).select("src", "dst"), "hops"))
 
 
 @query(sql("v_vertex", ", t(id, depth) AS (SELECT id, 0 FROM v_vertex WHERE id = 'CN:1' UNION ALL SELECT v.id, depth + 1 FROM t JOIN v_vertex v ON v.parent = t.id WHERE depth < 2) SELECT id, CAST(depth AS INT) AS depth FROM t"))
