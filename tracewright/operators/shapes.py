@@ -43,11 +43,12 @@ def typed_dag(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     gpu = F.struct(F.lit(1).alias("o"), pe.alias("pe"), F.coalesce(name, F.col("token")).alias("name"))
     both = calls.select("inv", "pos", "stream", F.explode(F.when(F.col("stream").isNull(), F.array(cpu)).otherwise(F.array(cpu, gpu))).alias("x")).select("inv", "pos", "stream", "x.*")
     nodes = both.withColumn("idx", F.row_number().over(Window.partitionBy("inv").orderBy("pos", "o")) - 1).select("inv", "idx", "pe", "name", F.when(F.col("o") == 1, F.col("stream")).alias("stream"), "o")
-    before = lambda *keys: F.lag("idx").over(Window.partitionBy("inv", *keys).orderBy("idx"))
-    order = nodes.where("o = 0").withColumn("src", before()).select("inv", "src", F.col("idx").alias("dst"), F.lit("cpu_order").alias("kind"))
-    launch = nodes.where("o = 1").select("inv", (F.col("idx") - 1).alias("src"), F.col("idx").alias("dst"), F.lit("launch").alias("kind"))
-    fifo = nodes.where("o = 1").withColumn("src", before("stream")).select("inv", "src", F.col("idx").alias("dst"), F.lit("stream_fifo").alias("kind"))
-    return nodes.drop("o"), order.unionByName(launch).unionByName(fifo).where("src IS NOT NULL")
+    before = F.lag("idx").over(Window.partitionBy("inv", "o", "stream").orderBy("idx"))  # CPU nodes have no stream
+    edge = lambda src, kind: F.struct(src.alias("src"), F.col("idx").alias("dst"), F.lit(kind).alias("kind"))
+    own, near = F.col("idx") - 1, F.col("before")
+    pairs = F.when(F.col("o") == 0, F.array(edge(near, "cpu_order"))).otherwise(F.array(edge(own, "launch"), edge(near, "stream_fifo")))
+    edges = nodes.withColumn("before", before).select("inv", F.explode(pairs).alias("x")).select("inv", "x.*").where("src IS NOT NULL")  # all kinds in one pass
+    return nodes.drop("o"), edges
 
 
 def dag_signature(nodes: DataFrame, edges: DataFrame, digits: int = 16) -> DataFrame:
@@ -120,9 +121,9 @@ def dag_features(nodes: DataFrame, edges: DataFrame, top_k: int = 20) -> DataFra
         F.count_distinct("stream").alias("n_streams"), *[n((pe == "CPU") & (name == w)).alias(f"t_{w}") for w in words],
     )
     kind = F.col("kind")
-    b = edges.groupBy("inv").agg(n(kind == "launch").alias("e_launch"), n(kind == "stream_fifo").alias("e_fifo"), n(kind == "cpu_order").alias("e_order"), n(kind == "cpu_order").alias("depth"))
-    branch = edges.where("kind = 'launch'").groupBy("inv", "src").agg(F.count(F.lit(1)).alias("d")).groupBy("inv").agg(F.max("d").alias("branch"))
-    return a.join(b, "inv", "left").join(branch, "inv", "left").na.fill(0)
+    by_source = edges.groupBy("inv", "src").agg(n(kind == "launch").alias("l"), n(kind == "stream_fifo").alias("f"), n(kind == "cpu_order").alias("c"))
+    b = by_source.groupBy("inv").agg(F.sum("l").alias("e_launch"), F.sum("f").alias("e_fifo"), F.sum("c").alias("e_order"), F.sum("c").alias("depth"), F.max("l").alias("branch"))
+    return a.join(b, "inv", "left").na.fill(0)
 
 
 #: Calls that tell the start of a program: (part of the name, number from which it counts or None for each, weight).
