@@ -325,21 +325,23 @@ def common_block(seqs: DataFrame, key: str) -> DataFrame:
 
     All keys are searched at once: each bisects the length of its own shortest sequence (a run held by all has shorter ones), and a round is one count
     of runs of the length that each key tries. Rounds grow with the logarithm of the shortest sequence. Runs are counted by 64-bit names made by doubling, so a row is
-    of constant width; the run that a key finds is compared token by token in all its sequences.
+    of constant width; the run that a key finds is compared token by token in all its sequences. Sequences are shuffled by key as they
+    are, once a round; names are made behind that.
     """
-    distinct = seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct()
+    distinct = written(seqs.select(F.col(key).cast("string").alias("key"), "tokens").distinct(), "sequences")
     longest = distinct.agg(F.max(F.size("tokens"))).first()[0] or 0
-    distinct = written(_with_run_ids(distinct, longest), "sequences")
-    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("high"), F.min_by(F.struct("tokens", "levels"), F.struct(F.size("tokens"), "tokens")).alias("first"))
-    shortest = written(total.select("key", "first.tokens", "first.levels"), "shortest")
+    total = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.min(F.size("tokens")).alias("high"), F.min(F.struct(F.size("tokens"), "tokens")).alias("first"))
+    total = written(total, "shortest")
+    shortest = total.select("key", "first.tokens")
     state = written(total.select("key", "all", F.lit(0).alias("low"), "high", F.array().cast("array<string>").alias("run")), "bisect")
     while state.where("low < high").limit(1).count():
         tried = state.where("low < high").select("key", "all", F.expr("(low + high + 1) div 2").cast("int").alias("length"))
-        named = distinct.join(tried, "key")
-        hits = named.select("key", "all", F.explode(F.array_distinct(_run_ids(F.col("length")))).alias("id")).groupBy("key", "all", "id").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", "id")
-        at = hits.join(shortest.join(tried, "key").select("key", "tokens", "length", _run_ids(F.col("length")).alias("ids")), "key").withColumn("at", F.array_position("ids", F.col("id")))
+        with_ids = lambda rows: _with_run_ids(rows, longest).withColumn("ids", _run_ids(F.col("length"))).drop("levels")
+        named = with_ids(distinct.repartition("key").join(tried, "key"))
+        hits = named.select("key", "all", F.explode(F.array_distinct("ids")).alias("id")).groupBy("key", "all", "id").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", "id")
+        at = hits.join(with_ids(shortest.join(tried, "key")).select("key", "tokens", "length", "ids"), "key").withColumn("at", F.array_position("ids", F.col("id")))
         best = at.groupBy("key").agg(F.min_by(F.struct("id", F.slice("tokens", F.col("at").cast("int"), F.col("length")).alias("run")), "at").alias("b")).select("key", "b.*")
-        place = F.array_position(_run_ids(F.col("length")), F.col("id")).cast("int")
+        place = F.array_position("ids", F.col("id")).cast("int")
         same = named.join(best, "key").where((place > 0) & (F.slice("tokens", F.greatest(place, F.lit(1)), F.col("length")) == F.col("run")))
         held = same.groupBy("key", "all", "run").agg(F.count(F.lit(1)).alias("c")).where("c = all").select("key", F.col("run").alias("found"))
         moved = state.join(tried.select("key", "length"), "key", "left").join(held, "key", "left")
