@@ -94,7 +94,7 @@ def sent_topics(events: DataFrame, functions: DataFrame) -> tuple[DataFrame, Dat
 
 def comm_edges(
     pub: DataFrame, sub: DataFrame, clients: DataFrame, servers: DataFrame, functions: DataFrame, nodes: DataFrame, joins: DataFrame | None = None, state: DataFrame | None = None,
-    ingress: DataFrame | None = None, egress: DataFrame | None = None,
+    ingress: DataFrame | None = None, egress: DataFrame | None = None, store: bool = False,
 ) -> DataFrame:
     """Communication edges on all levels: src, dst, level, nature, topic, direction, intra_node, n.
 
@@ -102,6 +102,7 @@ def comm_edges(
     L2 joins entities by topic (msg), service (dep, both ways) and shared group (gxf_internal: ingress, egress with node, group, entity). L3 repeats them between
     functions: main to main, a response to the continuation. joins (node, entity, role, join_group) ties each member of a join to its first completer; state (src, dst,
     topic, takes) adds sample-and-hold reads, observed ones with their number of takes. L1 counts the L2 edges between different nodes, L0 sums L1 between different executors.
+    store writes the L2 edges once for all levels; it is meant for topics with few pairs, as all pairs of busy topics may not fit the shared folder.
     """
     none = F.lit(None).cast("string")
     shape = lambda df, nature, topic="topic", direction=none: df.select("src", "dst", F.lit(nature).alias("nature"), F.col(topic).alias("topic"), direction.alias("direction"))
@@ -110,6 +111,7 @@ def comm_edges(
         l2 = l2.unionByName(shape(group_links(ingress, egress), "gxf_internal", "group"))
     at = nodes.select("entity", "node", "executor").distinct()
     ends = l2.join(at.select(F.col("entity").alias("src"), F.col("node").alias("src_node"), F.col("executor").alias("src_ex")), "src").join(at.select(F.col("entity").alias("dst"), F.col("node").alias("dst_node"), F.col("executor").alias("dst_ex")), "dst")
+    ends = written(ends, "ends") if store else ends
     intra = ends.withColumn("intra_node", F.col("src_node") == F.col("dst_node"))
     rows = lambda df, level, n=F.lit(1): df.withColumn("level", F.lit(level)).withColumn("n", n.cast("bigint")).select(*EDGE)
     out = [rows(intra, "L2")]
@@ -127,6 +129,7 @@ def comm_edges(
         out.append(rows(held, "L3", F.coalesce("takes", F.lit(0))))
     apart = ends.where("src_node <> dst_node").groupBy("src_node", "dst_node", "src_ex", "dst_ex").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topic"))
     level = lambda df, a, b, topic, name: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(name).alias("level"), none.alias("nature"), topic.alias("topic"), none.alias("direction"), F.lit(False).alias("intra_node"), F.col("n").cast("bigint").alias("n"))
+    apart = written(apart, "apart") if store else apart
     out.append(level(apart, "src_node", "dst_node", F.col("topic"), "L1"))
     out.append(level(apart.where("src_ex <> dst_ex").groupBy("src_ex", "dst_ex").agg(F.sum("n").alias("n")), "src_ex", "dst_ex", none, "L0"))
     return reduce(DataFrame.unionByName, out)
