@@ -117,22 +117,92 @@ def comm_edges(
     out = [rows(intra, "L2")]
     l3 = propagate_functions(intra.withColumnRenamed("direction", "part"), functions, ["nature", "intra_node"]).withColumnRenamed("part", "direction")
     out.append(rows(l3.where("src IS NOT NULL AND dst IS NOT NULL"), "L3"))
+    out += [rows(x, "L3", F.col("n")) for x in _tied(functions, joins, state)]
+    if store:
+        apart = ends.where("src_node <> dst_node").groupBy("src_node", "dst_node", "src_ex", "dst_ex").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topic"))
+    else:
+        apart = _apart(*_sides(pub, sub, clients, servers, functions, nodes, ingress, egress))
+    level = lambda df, a, b, topic, name: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(name).alias("level"), none.alias("nature"), topic.alias("topic"), none.alias("direction"), F.lit(False).alias("intra_node"), F.col("n").cast("bigint").alias("n"))
+    apart = written(apart, "apart") if store else apart
+    out.append(level(apart, "src_node", "dst_node", F.col("topic"), "L1"))
+    out.append(level(apart.where("src_ex <> dst_ex").groupBy("src_ex", "dst_ex").agg(F.sum("n").alias("n")), "src_ex", "dst_ex", none, "L0"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _tied(functions: DataFrame, joins: DataFrame | None, state: DataFrame | None) -> list[DataFrame]:
+    """Edges between functions that joins and state links make: src, dst, nature, topic, direction, intra_node, n."""
+    none, out = F.lit(None).cast("string"), []
     main = functions.where("part = 'main'").groupBy("entity").agg(F.min("function").alias("function"))
     if joins is not None:
         f = joins.join(main, "entity").select("node", "join_group", "role", "function")
         first = f.groupBy("node", "join_group").agg(F.min(F.struct((F.col("role") != "completer").cast("int"), "function")).alias("a")).select("node", "join_group", F.col("a.function").alias("dst"))
         ties = f.join(first, ["node", "join_group"]).where("function <> dst").select(F.col("function").alias("src"), "dst", F.lit("join").alias("nature"), F.col("join_group").alias("topic"), none.alias("direction"), F.lit(True).alias("intra_node")).distinct()
-        out.append(rows(ties, "L3"))
+        out.append(ties.withColumn("n", F.lit(1)))
     if state is not None:
         held = state.join(main.withColumnsRenamed({"entity": "src", "function": "f"}), "src").join(main.withColumnsRenamed({"entity": "dst", "function": "g"}), "dst")
-        held = held.select(F.col("f").alias("src"), F.col("g").alias("dst"), F.lit("state").alias("nature"), "topic", F.when(F.col("takes") > 0, "polled").otherwise("inferred").alias("direction"), F.lit(True).alias("intra_node"), "takes")
-        out.append(rows(held, "L3", F.coalesce("takes", F.lit(0))))
-    apart = ends.where("src_node <> dst_node").groupBy("src_node", "dst_node", "src_ex", "dst_ex").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topic"))
-    level = lambda df, a, b, topic, name: df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(name).alias("level"), none.alias("nature"), topic.alias("topic"), none.alias("direction"), F.lit(False).alias("intra_node"), F.col("n").cast("bigint").alias("n"))
-    apart = written(apart, "apart") if store else apart
-    out.append(level(apart, "src_node", "dst_node", F.col("topic"), "L1"))
-    out.append(level(apart.where("src_ex <> dst_ex").groupBy("src_ex", "dst_ex").agg(F.sum("n").alias("n")), "src_ex", "dst_ex", none, "L0"))
-    return reduce(DataFrame.unionByName, out)
+        held = held.select(F.col("f").alias("src"), F.col("g").alias("dst"), F.lit("state").alias("nature"), "topic", F.when(F.col("takes") > 0, "polled").otherwise("inferred").alias("direction"), F.lit(True).alias("intra_node"), F.coalesce("takes", F.lit(0)).alias("n"))
+        out.append(held)
+    return out
+
+
+#: What the two ends of an edge share; space is the node of a scheduler's group.
+MEET = ["nature", "part", "topic", "space"]
+
+
+def _sides(
+    pub: DataFrame, sub: DataFrame, clients: DataFrame, servers: DataFrame, functions: DataFrame, nodes: DataFrame, ingress: DataFrame | None = None, egress: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sending and the receiving ends of the L2 edges counted by MEET, node and executor, and the pairs of an entity with itself that are none.
+
+    Each end has n, its number, and f, how many of these have the function that an L3 edge goes from or to. All ends that meet make edges, so edges can be counted without making them.
+    """
+    row = lambda df, nature, part, topic="topic", space=F.lit(""): df.select("entity", F.lit(nature).alias("nature"), F.lit(part).alias("part"), F.col(topic).alias("topic"), space.alias("space"))
+    own = lambda df, *c: df.select(*c).distinct()
+    ask, serve = own(clients, "entity", "service"), own(servers, "entity", "service")
+    src = [row(own(pub, "node", "entity", "topic"), "msg", ""), row(ask, "dep", "request", "service"), row(serve, "dep", "response", "service")]
+    dst = [row(own(sub, "node", "entity", "topic"), "msg", ""), row(serve, "dep", "request", "service"), row(ask, "dep", "response", "service")]
+    if ingress is not None and egress is not None:
+        src.append(row(own(ingress, "node", "group", "entity"), "gxf_internal", "", "group", F.col("node")))
+        dst.append(row(own(egress, "node", "group", "entity"), "gxf_internal", "", "group", F.col("node")))
+    at = nodes.select("entity", "node", "executor").distinct()
+    f = functions.groupBy("entity").agg(F.min(F.when(F.col("part") == "main", F.col("function"))).alias("main"), F.min(F.when(F.col("part") == "continuation", F.col("function"))).alias("cont"))
+    to = F.when(F.col("part") == "response", F.coalesce("cont", "main")).otherwise(F.col("main"))
+    placed = lambda rows, fn: reduce(DataFrame.unionByName, rows).join(at, "entity").join(f, "entity", "left").select(*MEET, "entity", "node", "executor", fn.isNotNull().cast("bigint").alias("f"))
+    src, dst = placed(src, F.col("main")), placed(dst, to)
+    end = lambda df, name: df.select(*MEET, F.col("node").alias(f"{name}_node"), F.col("executor").alias(f"{name}_ex"), F.col("f").alias(f"{name}_f"), *[c for c in ("entity", f"{name}_n") if c in df.columns])
+    self = end(src.where("nature = 'gxf_internal'"), "src").join(end(dst.where("nature = 'gxf_internal'"), "dst"), [*MEET, "entity"])
+    counted = lambda df, name: end(df.groupBy(*MEET, "node", "executor").agg(F.count(F.lit(1)).alias(f"{name}_n"), F.sum("f").alias("f")), name)
+    return counted(src, "src"), counted(dst, "dst"), self
+
+
+def _apart(src: DataFrame, dst: DataFrame, self: DataFrame) -> DataFrame:
+    """src_node, dst_node, src_ex, dst_ex with the number n of L2 edges between different nodes and their sorted topics; from _sides()."""
+    by = ["src_node", "dst_node", "src_ex", "dst_ex", "nature", "topic"]
+    both = src.join(dst, MEET).where("src_node <> dst_node").select(*by, (F.col("src_n") * F.col("dst_n")).alias("n")).unionByName(self.where("src_node <> dst_node").select(*by, F.lit(-1).cast("bigint").alias("n")))
+    some = both.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 0")
+    return some.groupBy(*by[:4]).agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topic"))
+
+
+def comm_totals(
+    pub: DataFrame, sub: DataFrame, clients: DataFrame, servers: DataFrame, functions: DataFrame, nodes: DataFrame, joins: DataFrame | None = None, state: DataFrame | None = None,
+    ingress: DataFrame | None = None, egress: DataFrame | None = None,
+) -> DataFrame:
+    """The edges of comm_edges() counted without making them: level, nature, direction, rows, n (sum of their n). L2 and L3 edges are products of the numbers of their ends."""
+    src, dst, self = _sides(pub, sub, clients, servers, functions, nodes, ingress, egress)
+    total = lambda df, name: df.groupBy(*MEET).agg(F.sum(f"{name}_n").alias(f"{name}_n"), F.sum(f"{name}_f").alias(f"{name}_f"))
+    pairs = total(src, "src").join(total(dst, "dst"), MEET).select("nature", "part", (F.col("src_n") * F.col("dst_n")).alias("L2"), (F.col("src_f") * F.col("dst_f")).alias("L3"))
+    pairs = pairs.unionByName(self.select("nature", "part", F.lit(-1).cast("bigint").alias("L2"), (-F.col("src_f") * F.col("dst_f")).alias("L3")))
+    sums = pairs.groupBy("nature", "part").agg(F.sum("L2").alias("L2"), F.sum("L3").alias("L3"))
+    row = lambda df, level, rows, n, nature=F.col("nature"), direction=F.col("direction"): df.select(F.lit(level).alias("level"), nature.alias("nature"), direction.alias("direction"), rows.cast("bigint").alias("rows"), n.cast("bigint").alias("n"))
+    none, one = F.lit(None).cast("string"), F.count(F.lit(1)).alias("rows")
+    named = sums.withColumn("direction", F.when(F.col("part") != "", F.col("part")))
+    out = [row(named, level, F.col(level), F.col(level)) for level in ("L2", "L3")]
+    out += [row(x.groupBy("nature", "direction").agg(one, F.sum("n").alias("n")), "L3", F.col("rows"), F.col("n")) for x in _tied(functions, joins, state)]
+    apart = _apart(src, dst, self)
+    out.append(row(apart.agg(one, F.sum("n").alias("n")), "L1", F.col("rows"), F.col("n"), none, none))
+    upper = apart.where("src_ex <> dst_ex").groupBy("src_ex", "dst_ex").agg(F.sum("n").alias("n"))
+    out.append(row(upper.agg(one, F.sum("n").alias("n")), "L0", F.col("rows"), F.col("n"), none, none))
+    return reduce(DataFrame.unionByName, out).where("rows > 0")
 
 
 def build_graph(events: DataFrame, kills: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +220,8 @@ class Model:
     joins: DataFrame  # node, entity, role, join_group
     state: DataFrame  # src, dst (entities), topic, takes (0 where inferred)
     flows: DataFrame | None  # topic, method, n, p50, p90, max
+    totals: DataFrame  # comm_totals: the edges but those to external vertices, counted without making them
+    borders: DataFrame  # EDGE, those to external vertices
 
 
 def build_model(
@@ -213,7 +285,9 @@ def build_model(
     if groups is not None:
         member = groups.select(_id("E", *KEY, "handle").alias("entity"), "group", "direction").join(nodes.select("entity", "node"), "entity")
         ends = {"ingress": member.where("direction = 'in'"), "egress": member.where("direction = 'out'")}
-    edges = comm_edges(pub, sub, clients, servers, split_callbacks(f.drop("cb"), clients), nodes, joins=joins, state=state, **ends)
+    parts = split_callbacks(f.drop("cb"), clients)
+    edges = comm_edges(pub, sub, clients, servers, parts, nodes, joins=joins, state=state, **ends)
+    totals = comm_totals(pub, sub, clients, servers, parts, nodes, joins=joins, state=state, **ends)
     borders = borders.where("nature = 'msg'").select("src", "dst", "level", "nature", "topic", none.alias("direction"), F.lit(False).alias("intra_node"), F.lit(1).cast("bigint").alias("n"))
     flows = flow_stats(measure_flows(takes, publishes, spans, tolerance), "value", "topic", "method") if publishes is not None and takes is not None and spans is not None else None
-    return Model(vertices, edges.unionByName(borders), joins, state, flows)
+    return Model(vertices, edges.unionByName(borders), joins, state, flows, totals, borders)
